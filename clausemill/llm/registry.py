@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate
+from . import bpe, decontaminate, quality_rules
 
-MODULES = (bpe, decontaminate)
+MODULES = (bpe, decontaminate, quality_rules)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
