@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, quality_rules
+from . import bpe, decontaminate, html_text, quality_rules, substring
 
-MODULES = (bpe, decontaminate, quality_rules, html_text)
+MODULES = (bpe, decontaminate, quality_rules, html_text, substring)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space that separates words.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -48,7 +49,7 @@ def slices(batch: pa.RecordBatch, column: str, target: int = SLICE_BYTES) -> Ite
     """Cut a batch into row ranges of about ``target`` bytes of ``column``."""
     if not batch.num_rows:
         return
-    lengths = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0))
+    lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0))
     group = np.cumsum(lengths, dtype=np.int64) // target
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
