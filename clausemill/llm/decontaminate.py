@@ -16,8 +16,6 @@ as such; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,27 +33,22 @@ def folded_words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def _seeds(words: Column, at: Column) -> Column:
-    """One (mask, hash) for each mask that fits at a position."""
-    return F.array(
+def _seeds(words: Column) -> Column:
+    """(mask, at, hash) of every placement of every mask in an array of words."""
+    return F.concat(
         *(
-            F.struct(F.lit(k).alias("mask"), F.when(at + mask[-1] < F.size(words), F.xxhash64(*(F.get(words, at + m) for m in mask))).alias("hash"))
+            F.when(
+                F.size(words) > mask[-1],
+                F.transform(
+                    F.sequence(F.lit(0), F.size(words) - 1 - mask[-1]),
+                    lambda i, k=k, mask=mask: F.struct(F.lit(k).alias("mask"), i.alias("at"), F.xxhash64(*(F.get(words, i + m) for m in mask)).alias("hash")),
+                ),
+            ).otherwise(F.array().cast("array<struct<mask:int,at:int,hash:bigint>>"))
             for k, mask in enumerate(MASKS)
         )
     )
 
 
-def _begins(words: Column, at: Column, item: Column, item_at: Column, mask: Column) -> Column:
-    """Whether the same mask does not also match one position earlier."""
-    same = [
-        reduce(lambda a, b: a & b, (F.get(words, at - 1 + m) == F.get(item, item_at - 1 + m) for m in offsets)) for offsets in MASKS
-    ]
-    matched = F.when(mask == 0, same[0])
-    for k in range(1, len(MASKS)):
-        matched = matched.when(mask == k, same[k])
-    return (at == 0) | (item_at == 0) | ~F.coalesce(matched, F.lit(False))
-
-
 def _verified(pairs: DataFrame) -> DataFrame:
     """Keep diagonals with a close window. In: doc_id, words, item_id, item, diagonal."""
     part = pairs.select(
@@ -82,24 +75,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     close window.
     """
     items = benchmark.select("item_id", folded_words(F.col("text")).alias("item")).where(F.size("item") >= WINDOW)
-    seeds = items.select("item_id", "item", F.posexplode("item").alias("item_at", "w")).select(
-        "item_id", "item", "item_at", F.inline(_seeds(F.col("item"), F.col("item_at"))).alias("mask", "hash")
-    )
-    seeds = seeds.where("hash is not null")
+    seeds = items.select("item_id", F.inline(_seeds(F.col("item")))).withColumnRenamed("at", "item_at")
     texts = docs.select("doc_id", folded_words(F.col("text")).alias("words")).where(F.size("words") >= WINDOW - SUBSTITUTIONS)
-    placed = texts.select("doc_id", "words", F.posexplode("words").alias("at", "w")).select(
-        "doc_id", "words", "at", F.inline(_seeds(F.col("words"), F.col("at"))).alias("mask", "hash")
-    )
-    placed = placed.where("hash is not null")
+    placed = texts.select("doc_id", F.inline(_seeds(F.col("words"))))  # the words stay behind: only hashes are exploded
     size = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0]
-    if size <= BROADCAST_WORDS:
-        hits = placed.join(F.broadcast(seeds), ["mask", "hash"])
-        hits = hits.where(_begins(F.col("words"), F.col("at"), F.col("item"), F.col("item_at"), F.col("mask")))
-        pairs = hits.select("doc_id", "words", "item_id", "item", (F.col("at") - F.col("item_at")).alias("diagonal"))
-    else:
-        hits = placed.drop("words").join(seeds.drop("item"), ["mask", "hash"])
-        found = hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
-        pairs = found.join(items, "item_id").join(texts, "doc_id")
+    hits = placed.join(F.broadcast(seeds) if size <= BROADCAST_WORDS else seeds, ["mask", "hash"])
+    found = hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+    pairs = found.join(items, "item_id").join(texts, "doc_id")
     return _verified(pairs).groupBy("doc_id", "item_id").agg(F.max("item_words").alias("item_words"), F.max("n_matched").alias("n_matched"))
 
 
