@@ -33,20 +33,15 @@ def folded_words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def _placements(words: Column, k: int, mask: tuple[int, ...]) -> Column:
+    places = F.sequence(F.lit(0), F.size(words) - 1 - mask[-1])
+    hashed = F.transform(places, lambda i: F.struct(F.lit(k).alias("mask"), i.alias("at"), F.xxhash64(*(F.get(words, i + m) for m in mask)).alias("hash")))
+    return F.when(F.size(words) > mask[-1], hashed).otherwise(F.array().cast("array<struct<mask:int,at:int,hash:bigint>>"))
+
+
 def _seeds(words: Column) -> Column:
     """(mask, at, hash) of every placement of every mask in an array of words."""
-    return F.concat(
-        *(
-            F.when(
-                F.size(words) > mask[-1],
-                F.transform(
-                    F.sequence(F.lit(0), F.size(words) - 1 - mask[-1]),
-                    lambda i, k=k, mask=mask: F.struct(F.lit(k).alias("mask"), i.alias("at"), F.xxhash64(*(F.get(words, i + m) for m in mask)).alias("hash")),
-                ),
-            ).otherwise(F.array().cast("array<struct<mask:int,at:int,hash:bigint>>"))
-            for k, mask in enumerate(MASKS)
-        )
-    )
+    return F.concat(*(_placements(words, k, mask) for k, mask in enumerate(MASKS)))
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
