@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, jaccard, quality_rules, substring
+from . import bpe, decontaminate, html_text, jaccard, langid, quality_rules, substring
 
-MODULES = (bpe, decontaminate, quality_rules, html_text, substring, jaccard)
+MODULES = (bpe, decontaminate, quality_rules, html_text, substring, jaccard, langid)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
