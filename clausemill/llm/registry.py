@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, jaccard, langid, quality_rules, substring
+from . import bpe, decontaminate, html_text, jaccard, langid, quality_rules, substring, toxicity
 
-MODULES = (bpe, decontaminate, quality_rules, html_text, substring, jaccard, langid)
+MODULES = (bpe, decontaminate, quality_rules, html_text, substring, jaccard, langid, toxicity)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+
+
+def pipeline(spark, sf_dir):
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
