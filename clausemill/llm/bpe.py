@@ -257,6 +257,12 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str | None = None,
     return _chunked(docs, sent, chunk_chars, overlap, _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def token_counts(docs: DataFrame, ranks_path: str, pattern: str | None = None, chunk_chars: int = 65_536, overlap: int = 1_024) -> DataFrame:
+    """(doc_id, n_tokens) of every document."""
+    sent = _sent(docs.sparkSession, ranks_path, pattern)
+    return _chunked(docs, sent, chunk_chars, overlap, lambda codec, ids: (len(ids),), "doc_id long, n_tokens long")
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of ids and of decoded bytes for every document."""
     import public_tokenizers

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, jaccard, langid, quality_rules, substring, toxicity
+from . import bpe, decontaminate, html_text, jaccard, langid, quality_net, quality_rules, substring, token_rollups, toxicity
 
-MODULES = (bpe, decontaminate, quality_rules, html_text, substring, jaccard, langid, toxicity)
+MODULES = (bpe, decontaminate, quality_rules, html_text, substring, jaccard, langid, toxicity, quality_net, token_rollups)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
