@@ -19,11 +19,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import saved
+
 WINDOW = 12
 SUBSTITUTIONS = 2
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 4, 5, 6))
 #: Test items whose words are at most this many are sent to every executor; a larger test set is joined by a shuffle.
 BROADCAST_WORDS = 400_000
+#: Ids of documents with a hit, up to this many (8 bytes each), are broadcast to pick their texts; more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -75,8 +79,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     placed = texts.select("doc_id", F.inline(_seeds(F.col("words"))))  # the words stay behind: only hashes are exploded
     size = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0]
     hits = placed.join(F.broadcast(seeds) if size <= BROADCAST_WORDS else seeds, ["mask", "hash"])
-    found = hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
-    pairs = found.join(items, "item_id").join(texts, "doc_id")
+    found = saved(hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct(), "diagonals")
+    ids = saved(found.select("doc_id").distinct(), "ids")
+    hit = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    pairs = found.join(items, "item_id").join(hit.select("doc_id", folded_words(F.col("text")).alias("words")), "doc_id")
     return _verified(pairs).groupBy("doc_id", "item_id").agg(F.max("item_words").alias("item_words"), F.max("n_matched").alias("n_matched"))
 
 
