@@ -32,12 +32,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
 from .tables import drop, saved
-from .words import Words, mix, rolled, slices
+from .words import SLICE_BYTES, Words, mix, rolled, slices
 
 SHINGLE = 5
 #: Links need 100 * intersection >= SIMILAR * union.
@@ -127,11 +128,28 @@ def _near_sizes(a: str, b: str):
 
 
 def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts of the named documents, one row an id."""
+    """Texts of the named documents, one row an id, as zstd frames: they move several times."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frames = [pa.Codec("zstd").compress(t.as_buffer(), asbytes=True) for t in batch.column("text")]
+            sizes = pc.binary_length(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), sizes, pa.array(frames, pa.binary())], ["id", "size", "frame"])
+
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return texts.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    return texts.join(ids, "id", "left_semi").mapInArrow(pack, "id long, size int, frame binary").dropDuplicates(["id"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with the texts back in a column ``text``."""
+    cuts = np.cumsum(batch.column("size").to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:], strict=False):
+        part = batch.slice(a, b - a)
+        texts = [pa.Codec("zstd").decompress(f.as_buffer(), decompressed_size=n, asbytes=True).decode() for f, n in zip(part.column("frame"), part.column("size").to_pylist(), strict=True)]
+        yield part.append_column("text", pa.array(texts, pa.string()))
 
 
 def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -143,14 +161,14 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     texts = saved(_picked(docs, ids), "texts")
     groups = saved(pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("copies")), "hubs")
     hubs = groups.select("b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    hubs = hubs.join(texts, hubs.b == texts.id).select("b", "copy", F.lit(None).cast("long").alias("a"), "text")
+    hubs = hubs.join(texts, hubs.b == texts.id).select("b", "copy", F.lit(None).cast("long").alias("a"), "size", "frame")
     members = pairs.join(groups, "b").select("b", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int").alias("copy"), "a")
-    members = members.join(texts, members.a == texts.id).select("b", "copy", "a", "text")
+    members = members.join(texts, members.a == texts.id).select("b", "copy", "a", "size", "frame")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(0, np.uint64)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in _unpacked(batch) if batch.num_rows else ():
                 found = []
                 for a, b, s in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), shingle_sets(part), strict=True):
                     if a is None:
@@ -176,6 +194,9 @@ def document_components(docs: DataFrame) -> DataFrame:
     classes = saved(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id")), "classes")
     reps = classes.select(F.col("class_id").alias("doc_id")).join(known, "doc_id").select("doc_id", "n", "prefix").dropDuplicates(["doc_id"])
     reps = saved(reps, "representatives")
+    sizes = saved(rows.select("doc_id", "n", "d1", "d2"), "sizes")
+    drop(rows)  # its prefixes are the bulk
+    rows = sizes
 
     heads = reps.select(F.col("doc_id").alias("a"), "n", F.explode(F.slice("prefix", 1, HEADS)).alias("h"))
     hubs = saved(heads.groupBy("h").agg(F.min(F.struct("a", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("h", F.col("hub.a").alias("b"), F.col("hub.n").alias("bn")), "hubs")
@@ -185,9 +206,11 @@ def document_components(docs: DataFrame) -> DataFrame:
 
     marked = reps.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("c"), "prefix")
     marked = saved(marked, "marked")
+    drop(reps)
     entries = marked.select("doc_id", "n", "c", F.posexplode("prefix").alias("at", "h"))
     mixed = saved(entries.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("h"), "mixed")
     open_ = saved(entries.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "h"), "open")
+    drop(marked)
     left = open_.select("h", *(F.col(x).alias(f"a_{x}") for x in ("doc_id", "n", "c", "at")))
     right = open_.select("h", *(F.col(x).alias(f"b_{x}") for x in ("doc_id", "n", "c", "at")))
     # the smaller row needs only its first n - ceil(2 * 0.8 / 1.8 n) + 1 entries to meet a row of its size or larger
@@ -208,7 +231,7 @@ def document_components(docs: DataFrame) -> DataFrame:
     out = out.select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(own, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(own, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")
     )
-    for table in (classes, reps, hubs, pairs, links, marked, mixed, open_, pairs2, links2, final):
+    for table in (classes, hubs, pairs, links, mixed, open_, pairs2, links2, final):
         drop(table)
     return out
 
