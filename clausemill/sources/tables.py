@@ -41,3 +41,15 @@ def upsert_chunks(chunks: DataFrame, target: str) -> None:
 def write_eval_report(report: DataFrame, path: str, at: str) -> None:
     """The report rows as JSON with a time stamp."""
     report.withColumn("generated_at", F.lit(at)).write.mode("overwrite").json(path)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder in ``spark.checkpoint.dir``, which all executors share; a local one where it is unset (tests)."""
+    import tempfile
+    import uuid
+
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
