@@ -4,10 +4,13 @@ A document's row of the incidence matrix is its set of distinct 5-word shingles
 (A-Z lower-cased).  Documents link when 100 * |A and B| >= 80 * |A or B|.
 
 The product is taken only where it can matter.  Equal rows are one class.  Each
-class keeps its first n - ceil(0.8 n) + 1 shingles in one global order; linked
-classes share at least one of these.  The order puts very common shingles last,
-by a count sketch of fixed size over all documents, so that a common passage
-makes no large block.  Blocks are the hash partitions by shingle:
+class keeps its first n - ceil(0.8 n) + 1 shingles in one global order, of which
+linked classes share at least one.  The order puts rare shingles first: hashes in
+the lowest REGION of the hash space by document frequency and hash, then the rest
+by hash.  So frequencies are counted for that share of the shingles only, and a
+shingle of one document needs no entry at all, as it can meet nothing: it just
+takes its place in the order.  A common passage or line comes last and makes no
+large block.  Blocks are the hash partitions by shingle:
 
 1. Each block names its smallest class as hub, and its classes are compared with
    the hub only: a number linear in the block.  Verified links are contracted.
@@ -30,11 +33,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import components
 from .tables import drop, saved
@@ -43,10 +46,8 @@ from .words import SLICE_BYTES, Words, mix, rolled, slices
 SHINGLE = 5
 #: Links need 100 * intersection >= SIMILAR * union.
 SIMILAR = 80
-#: The count sketch has 2 ** SKETCH_BITS counters in SKETCH_BLOCKS parts, whatever the table.
-SKETCH_BITS, SKETCH_BLOCKS = 21, 32
-#: Shingles of a class that name hubs in the first step.
-HEADS = 8
+#: Share of the hash space whose shingles are ordered by document frequency.
+REGION = 0.35
 #: Members of one hub that are compared in one group; a hub with more is copied to several.
 HUB_MEMBERS = 256
 #: Ids up to this many (8 bytes each) are broadcast to pick rows; more are joined by a shuffle.
@@ -69,58 +70,63 @@ def shingle_sets(part: pa.RecordBatch) -> list[np.ndarray]:
     return out
 
 
-def _sketch(docs: DataFrame) -> np.ndarray:
-    """Level of every counter: 0 up to four times the mean count, then by powers of two."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets = shingle_sets(part)
-                if sets:
-                    np.add.at(table, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        blocks = table.reshape(SKETCH_BLOCKS, -1)
-        used = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([blocks[i].tobytes() for i in used], pa.binary())], ["block", "counts"])
-
-    def total(group: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCKS, np.uint64)
-        for one in group["counts"]:
-            out += np.frombuffer(one, np.uint32)
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "counts": [out.tobytes()]})
-
-    rows = docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(total, "block int, counts binary").collect()
-    table = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), np.uint64)
-    for row in rows:  # SKETCH_BLOCKS rows of a fixed size
-        table[row.block] = np.frombuffer(row.counts, np.uint64)
-    table = table.reshape(-1)
-    ratio = table / (4 * max(1.0, float(table.mean())))
-    return np.where(ratio > 1, np.ceil(np.log2(np.maximum(ratio, 1))), 0).astype(np.uint8)
-
-
-def _rows(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(doc_id, n, d1, d2, prefix) of every document; d1 and d2 digest the set."""
-    sent = docs.sparkSession.sparkContext.broadcast(levels)  # 2 ** SKETCH_BITS bytes
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, low, d1, d2): set size, shingles in the region, and two digests of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = sent.value
+        edge = np.uint64(int(REGION * 2**64))
         for batch in batches:
             for part in slices(batch, "text"):
-                sizes, first, second, prefixes = [], [], [], []
+                sizes, lows, first, second = [], [], [], []
                 for s in shingle_sets(part):
-                    n = len(s)
-                    sizes.append(n)
+                    sizes.append(len(s))
+                    lows.append(int(np.searchsorted(s, edge)))
                     first.append(int(mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64)))
                     second.append(int(mix(s ^ np.uint64(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64).view(np.int64)))
-                    of = level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    order = np.argsort(of, kind="stable") if of.any() else slice(None)
-                    prefixes.append(s[order][: n - (SIMILAR * n + 99) // 100 + 1 if n else 0].view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                    ["doc_id", "n", "d1", "d2", "prefix"],
-                )
+                columns = [pa.array(sizes, pa.int32()), pa.array(lows, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n", "low", "d1", "d2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, d1 long, d2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, low int, d1 long, d2 long")
+
+
+def _ordered_first(docs: DataFrame) -> DataFrame:
+    """(h, doc_id) of all shingles in the region, and beyond it of the smallest that a prefix may still need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edge = np.uint64(int(REGION * 2**64))
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = [s[: max(int(np.searchsorted(s, edge)), _prefix(len(s)))] for s in shingle_sets(part)]
+                if sets:
+                    ids = part.column("doc_id").take(pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets])))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), ids], ["h", "doc_id"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "h long, doc_id long")
+
+
+def _prefix(n: int) -> int:
+    return n - (SIMILAR * n + 99) // 100 + 1 if n else 0
+
+
+def _entries(docs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """(doc_id, n, h, at): the prefix entries of each class that some other class shares."""
+    chosen = docs.select("doc_id", "text").join(F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps, "doc_id", "left_semi")
+    counted = _ordered_first(chosen).withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
+    shared = saved(counted, "shared")
+    sizes = rows.select("doc_id", "n", "low").dropDuplicates(["doc_id"])
+    edge = F.lit(int(REGION * 2**64))
+    # hashes are unsigned: negative longs are the upper half of the space
+    low = (F.col("h") >= 0) & (F.col("h") < edge)
+    ranked = shared.dropDuplicates(["doc_id", "h"]).join(sizes, "doc_id").withColumn("later", (~low).cast("int"))
+    w = Window.partitionBy("doc_id")
+    order = w.orderBy("later", F.when(low, F.col("df")), F.col("h") < 0, "h")
+    common = F.count_if(low).over(w)
+    ranked = ranked.withColumn("at", F.row_number().over(order) - 1 + F.col("low") - common)  # shingles of one document alone come first
+    prefix = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1
+    kept = ranked.where((F.col("later") == 1) | (F.col("at") < prefix)).select("doc_id", "n", "h", F.col("at").cast("int").alias("at"))
+    out = saved(kept, "entries")
+    drop(shared)
+    return out
 
 
 def _near_sizes(a: str, b: str):
@@ -189,37 +195,29 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def document_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every document."""
     docs = docs.select("doc_id", "text")
-    rows = saved(_rows(docs, _sketch(docs)), "incidence")
+    rows = saved(_rows(docs), "sizes")
     known = rows.where("n > 0 and doc_id is not null")
     classes = saved(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id")), "classes")
-    reps = classes.select(F.col("class_id").alias("doc_id")).join(known, "doc_id").select("doc_id", "n", "prefix").dropDuplicates(["doc_id"])
-    reps = saved(reps, "representatives")
-    sizes = saved(rows.select("doc_id", "n", "d1", "d2"), "sizes")
-    drop(rows)  # its prefixes are the bulk
-    rows = sizes
-
-    heads = reps.select(F.col("doc_id").alias("a"), "n", F.explode(F.slice("prefix", 1, HEADS)).alias("h"))
-    hubs = saved(heads.groupBy("h").agg(F.min(F.struct("a", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("h", F.col("hub.a").alias("b"), F.col("hub.n").alias("bn")), "hubs")
-    pairs = saved(heads.join(hubs, "h").where("a <> b").where(_near_sizes("n", "bn")).select("a", "b").distinct(), "pairs")
+    entries = _entries(docs, known, classes.select(F.col("class_id").alias("doc_id")))
+
+    hubs = saved(entries.groupBy("h").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("h", F.col("hub.doc_id").alias("b"), F.col("hub.n").alias("bn")), "hubs")
+    met = entries.select(F.col("doc_id").alias("a"), "n", "h").join(hubs, "h").where("a <> b").where(_near_sizes("n", "bn"))
+    pairs = saved(met.select("a", "b").distinct(), "pairs")
     links = _linked(pairs, docs)
     labels = components(links)
 
-    marked = reps.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("c"), "prefix")
+    marked = entries.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n", "h", "at", F.coalesce("component", "doc_id").alias("c"))
     marked = saved(marked, "marked")
-    drop(reps)
-    entries = marked.select("doc_id", "n", "c", F.posexplode("prefix").alias("at", "h"))
-    mixed = saved(entries.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("h"), "mixed")
-    open_ = saved(entries.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "h"), "open")
-    drop(marked)
+    mixed = saved(marked.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("h"), "mixed")
+    open_ = saved(marked.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "h", "left_semi"), "open")
     left = open_.select("h", *(F.col(x).alias(f"a_{x}") for x in ("doc_id", "n", "c", "at")))
     right = open_.select("h", *(F.col(x).alias(f"b_{x}") for x in ("doc_id", "n", "c", "at")))
-    # the smaller row needs only its first n - ceil(2 * 0.8 / 1.8 n) + 1 entries to meet a row of its size or larger
-    index = F.col("b_n") - F.ceil(F.col("b_n") * (2 * SIMILAR) / (100 + SIMILAR)) + 1
-    order = (F.col("b_n") < F.col("a_n")) | ((F.col("b_n") == F.col("a_n")) & (F.col("b_doc_id") < F.col("a_doc_id")))
-    met = left.join(right, "h").where(order & (F.col("a_c") != F.col("b_c")) & _near_sizes("a_n", "b_n") & (F.col("b_at") < index))
+    need = F.ceil((F.col("a_n") + F.col("b_n")) * SIMILAR / (100 + SIMILAR))
+    # of a pair with that overlap, some common shingle lies in the first n - need + 1 of both rows
+    early = (F.col("a_at") <= F.col("a_n") - need) & (F.col("b_at") <= F.col("b_n") - need)
+    met = left.join(right, "h").where((F.col("b_doc_id") < F.col("a_doc_id")) & (F.col("a_c") != F.col("b_c")) & _near_sizes("a_n", "b_n") & early)
     counted = met.groupBy("a_doc_id", "b_doc_id", "a_n", "b_n").agg(F.count("*").alias("both"), F.max("a_at").alias("a_last"), F.max("b_at").alias("b_last"))
     rest = F.least(F.col("a_n") - F.col("a_last"), F.col("b_n") - F.col("b_last")) - 1
-    need = F.ceil((F.col("a_n") + F.col("b_n")) * SIMILAR / (100 + SIMILAR))
     pairs2 = saved(counted.where(F.col("both") + rest >= need).select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")), "pairs")
     links2 = _linked(pairs2, docs)
     final = saved(components(links.unionByName(links2)), "components")
@@ -231,7 +229,7 @@ def document_components(docs: DataFrame) -> DataFrame:
     out = out.select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(own, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(own, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")
     )
-    for table in (classes, hubs, pairs, links, mixed, open_, pairs2, links2, final):
+    for table in (classes, entries, hubs, pairs, links, marked, mixed, open_, pairs2, links2, final):
         drop(table)
     return out
 
