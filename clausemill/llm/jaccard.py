@@ -14,12 +14,16 @@ large block.  Blocks are the hash partitions by shingle:
 
 1. Each block names its smallest class as hub, and its classes are compared with
    the hub only: a number linear in the block.  Verified links are contracted.
-2. Blocks that still hold several components accumulate overlap counts of pairs
-   of different components.  A pair goes if its count and what is left of both
-   rows cannot reach ceil(80 (|A| + |B|) / 180), the overlap that its sizes ask
-   for.  The rest is verified on the whole sets.
-
-Both steps verify exactly, and pairs left out are in one component already, so
+2. Of the blocks that still hold several components, the small ones accumulate
+   overlap counts of pairs of different components.  A pair goes if its count and
+   what is left of both rows cannot reach ceil(80 (|A| + |B|) / 180), the overlap
+   that its sizes ask for.  The rest is verified on the whole sets.
+3. Classes that share large blocks are dealt to tiles of about TILE, and each pair
+   of tiles takes the product of its whole incidence rows within one task, which
+   sends on only the links that still join something: a large family of edited
+   copies costs multiplications, not rows.
+
+All steps verify exactly, and pairs left out are in one component already, so
 the components are those of all links.
 
 Defined results: null, empty or blank text has no shingles and links with
@@ -50,6 +54,8 @@ SIMILAR = 80
 REGION = 0.35
 #: Members of one hub that are compared in one group; a hub with more is copied to several.
 HUB_MEMBERS = 256
+#: Blocks with more classes than this are large; classes of a tile; shingles multiplied at once.
+LARGE, TILE, COLUMNS = 48, 256, 4096
 #: Ids up to this many (8 bytes each) are broadcast to pick rows; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 
@@ -192,6 +198,73 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
+def _spanning(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that span the components of a few hundred sets, by their blocked product."""
+    m = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    rows = np.repeat(np.arange(m), sizes)
+    overlap = np.zeros((m, m), np.float32)
+    for a in range(0, len(values), COLUMNS):
+        part = (at >= a) & (at < a + COLUMNS)
+        block = np.zeros((m, COLUMNS), np.float32)
+        block[rows[part], at[part] - a] = 1
+        overlap += block @ block.T
+    linked = np.triu(100 * overlap >= SIMILAR * (sizes[:, None] + sizes[None, :] - overlap), 1)
+    label = list(range(m))
+
+    def top(i: int) -> int:
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    out = []
+    for x, y in np.argwhere(linked).tolist():
+        p, q = top(x), top(y)
+        if p != q:
+            label[max(p, q)] = min(p, q)
+            out.append((x, y))
+    return out
+
+
+def _tile_links(entries: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that span the components among classes sharing the large blocks of (h, doc_id)."""
+    hubs = saved(entries.groupBy("h").agg(F.min("doc_id").alias("b")), "hubs")
+    stars = saved(entries.join(hubs, "h").select(F.col("doc_id").alias("a"), "b").distinct(), "stars")
+    family = saved(components(stars), "families")  # (id, component)
+    sizes = saved(family.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "tiles")
+    texts = saved(_picked(docs, family.select("id")), "texts")
+    placed = family.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).join(texts, "id")
+    met = met.select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "size", "frame")
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sets = None, [], []
+
+        def done() -> pa.RecordBatch:
+            pairs = _spanning(sets) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([ids[x] for x, _ in pairs], pa.int64()), pa.array([ids[y] for _, y in pairs], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for part in _unpacked(batch) if batch.num_rows else ():
+                keys = zip(*(part.column(c).to_pylist() for c in ("component", "x", "y")), strict=True)
+                for one, i, s in zip(keys, part.column("id").to_pylist(), shingle_sets(part), strict=True):
+                    if one != key:
+                        if sets:
+                            yield done()
+                        key, ids, sets = one, [], []
+                    ids.append(i)
+                    sets.append(s)
+        if sets:
+            yield done()
+
+    links = saved(met.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y").mapInArrow(product, "a long, b long"), "links")
+    for table in (hubs, stars, family, sizes, texts):
+        drop(table)
+    return links
+
+
 def document_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every document."""
     docs = docs.select("doc_id", "text")
@@ -208,8 +281,10 @@ def document_components(docs: DataFrame) -> DataFrame:
 
     marked = entries.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n", "h", "at", F.coalesce("component", "doc_id").alias("c"))
     marked = saved(marked, "marked")
-    mixed = saved(marked.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("h"), "mixed")
-    open_ = saved(marked.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "h", "left_semi"), "open")
+    mixed = saved(marked.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high").select("h", (F.col("m") > LARGE).alias("large")), "mixed")
+    open_ = saved(marked.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "h"), "open")
+    tiled = _tile_links(open_.where("large").select("h", "doc_id"), docs)
+    open_ = open_.where("not large")
     left = open_.select("h", *(F.col(x).alias(f"a_{x}") for x in ("doc_id", "n", "c", "at")))
     right = open_.select("h", *(F.col(x).alias(f"b_{x}") for x in ("doc_id", "n", "c", "at")))
     need = F.ceil((F.col("a_n") + F.col("b_n")) * SIMILAR / (100 + SIMILAR))
@@ -220,7 +295,7 @@ def document_components(docs: DataFrame) -> DataFrame:
     rest = F.least(F.col("a_n") - F.col("a_last"), F.col("b_n") - F.col("b_last")) - 1
     pairs2 = saved(counted.where(F.col("both") + rest >= need).select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")), "pairs")
     links2 = _linked(pairs2, docs)
-    final = saved(components(links.unionByName(links2)), "components")
+    final = saved(components(links.unionByName(links2).unionByName(tiled)), "components")
 
     of_class = classes.join(final.withColumnRenamed("id", "class_id"), "class_id", "left").select("d1", "d2", "n", "class_id", F.coalesce("component", "class_id").alias("component"))
     of_class = saved(of_class, "class-components")
@@ -229,7 +304,7 @@ def document_components(docs: DataFrame) -> DataFrame:
     out = out.select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(own, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(own, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")
     )
-    for table in (classes, entries, hubs, pairs, links, marked, mixed, open_, pairs2, links2, final):
+    for table in (classes, entries, hubs, pairs, links, marked, mixed, open_, tiled, pairs2, links2, final):
         drop(table)
     return out
 

@@ -65,6 +65,15 @@ def test_hub_copies(spark, documents, monkeypatch):
     assert got == plain(rows)
 
 
+def test_tiles(spark, documents, monkeypatch):
+    monkeypatch.setattr(jaccard, "LARGE", 2)
+    monkeypatch.setattr(jaccard, "TILE", 3)
+    for seed in (4, 5):
+        rows = corpus(seed)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.document_components(documents(rows)).collect()}
+        assert got == plain(rows)
+
+
 def test_odd_rows(spark, odd):
     rows = jaccard.document_components(odd).collect()
     assert len(rows) == odd.count()
