@@ -9,9 +9,9 @@ window of ``WINDOW`` words of which at most ``SUBSTITUTIONS`` differ.
 
 Words are maximal runs of characters other than white space, A-Z lower-cased.
 
-Defined results: null or empty text and items under ``WINDOW`` words match
-nothing; repeated rows with one id count as one document; a null id is carried
-as such; other columns are ignored.
+Defined results: null or empty text, rows with a null doc_id and items under
+``WINDOW`` words match nothing; repeated rows with one id count as one document;
+other columns are ignored.
 """
 
 from __future__ import annotations

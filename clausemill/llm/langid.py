@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .labelled import held_out
+
 #: Most labelled documents that a fit reads.
 SAMPLE = 6_000
 #: Longest piece in characters, with the word mark.
@@ -275,11 +277,6 @@ def predictions(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def held_out(doc_id: str, parts: int, part: int):
-    """Whether crc32 of the id as text leaves ``part``; a null id is held out."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == part, F.lit(True))
-
-
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; a quarter is held out of the fit."""
     import public_tokenizers
