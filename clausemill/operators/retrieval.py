@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from clausemill.functions.text import tokens
 from clausemill.functions.vectors import dot, norm
+from clausemill.sources.tables import saved
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 TOP, CANDIDATES, ALPHA, THRESHOLD = 5, 20, 0.5, 0.55
@@ -56,15 +57,22 @@ def bm25_topk(questions: DataFrame, index: tuple[DataFrame, DataFrame], k: int =
     postings, chunks = index
     terms = questions.select("query_id", "lease_id", F.explode(tokens("question")).alias("term")).groupBy("query_id", "lease_id", "term").agg(F.count("*").alias("times"))
     hits = postings.join(_bounded(terms), ["lease_id", "term"]).groupBy("query_id", "lease_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
-    few = questions.select("query_id", "lease_id").join(hits.where("score > 0").groupBy("query_id").agg(F.count("*").alias("found")), "query_id", "left")
-    few = few.where(F.coalesce("found", F.lit(0)) < k).select("query_id", "lease_id")
+    columns = ["query_id", "chunk_id", "score", "rank"]
+    best = F.round("score", 9).desc()
+    top = saved(ranked(hits, k, best).select(*columns), "lexical")
+    found = top.where("score > 0").groupBy("query_id").agg(F.count("*").alias("found"))
+    few = questions.select("query_id", "lease_id").join(found, "query_id", "left").where(F.coalesce("found", F.lit(0)) < k).select("query_id", "lease_id")
+    few = saved(few, "few")
+    if not few.limit(1).count():
+        return top
+    own = saved(hits.join(_bounded(few.select("query_id")), "query_id", "left_semi"), "matches")
     # chunks beyond the first k plus the query's own matches can never be among its zero scores
+    most = own.groupBy("query_id").agg(F.count("*").alias("own")).agg(F.coalesce(F.max("own"), F.lit(0))).first()[0]
     order = Window.partitionBy("lease_id").orderBy("chunk_id")
-    matched = hits.groupBy("query_id").agg(F.count("*").alias("own"))
-    most = matched.join(few, "query_id", "left_semi").agg(F.coalesce(F.max("own"), F.lit(0))).first()[0]
     heads = chunks.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + most).drop("at")
-    zero = heads.join(_bounded(few), "lease_id").join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").select("query_id", "lease_id", "chunk_id", F.lit(0.0).alias("score"))
-    return ranked(hits.unionByName(zero), k, F.round("score", 9).desc()).select("query_id", "chunk_id", "score", "rank")
+    zero = heads.join(_bounded(few), "lease_id").join(own.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").select("query_id", "lease_id", "chunk_id", F.lit(0.0).alias("score"))
+    filled = ranked(own.unionByName(zero), k, best).select(*columns)
+    return top.join(few.select("query_id"), "query_id", "left_anti").select(*columns).unionByName(filled)
 
 
 def dense_topk(queries: DataFrame, candidates: DataFrame, k: int = TOP) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from clausemill.functions.redaction import PII_RULES
 from clausemill.operators import answers, compare, evaluate, leases, requests, retrieval
 
+from clausemill.sources.tables import saved
+
 from .bindings import table
 from .bindings import requests as request_log
 from .retrieval_queries import COSINE, DENSE, RERANKED, _reranked
@@ -224,7 +226,7 @@ def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     relevant = texts.join(F.broadcast(grams), "g").where(F.col("text").contains(F.col("question"))).select("query_id", F.col("doc_id").alias("chunk_id")).distinct()
     golden = asked.join(relevant.select("query_id").distinct().withColumn("known", F.lit(True)), "query_id", "left")
     golden = golden.select("query_id", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("category"), F.col("known").isNull().alias("should_refuse"))
-    lexical = _reranked(spark, sf_dir)
+    lexical = saved(_reranked(spark, sf_dir), "reranked")
     out = None
     for config, hits in (("reranked", lexical), ("top2", lexical.where("rank <= 2"))):
         rows = evaluate.question_scores(golden, relevant, hits).join(retrieval.refusal_gate(golden, hits).select("query_id", "refused"), "query_id").withColumn("config", F.lit(config))
