@@ -13,6 +13,11 @@ Measures (null text: none, all zero):
   n_symbols       characters of ``#*$%&|<>``
   n_dup_lines     lines with a word that equal an earlier line
   n_repeat_words  words inside 5-word windows found twice or more in the text
+  n_distinct      sum of the distinct words of each consecutive block of BLOCK words
+
+``n_distinct / n_words`` is the share of distinct words, averaged over all blocks of
+the text, each with the weight of its words; it does not sink with the length of a
+text, as the share over the whole text would.
 
 Defined results: null, empty or blank text fails the base; repeated rows and null
 ids pass through one for one; other columns are ignored; an empty table gives an
@@ -33,6 +38,7 @@ SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
 WINDOW = 5
+BLOCK = 2000
 #: Base rule: fewer words fail, and more than this percentage of repeated words.
 LEAST_WORDS = 10
 MOST_REPEATED = 20
@@ -57,7 +63,7 @@ RULES = (
     Rule("marked_words", "n_symbol_runs / nullif(n_words, 0)", "> 0.10", "< 0.03"),
     Rule("shouts", "n_shouts / nullif(n_words, 0)", "> 0.10", "< 0.03"),
     Rule("capitals", "n_upper / nullif(word_chars, 0)", "> 0.30", "< 0.10"),
-    Rule("variety", "n_distinct / nullif(least(n_words, 2000), 0)", "< 0.30", "> 0.45"),
+    Rule("variety", "n_distinct / nullif(n_words, 0)", "< 0.30", "> 0.45"),
     Rule("word_length", "word_chars / nullif(n_words, 0)", "> 12 or word_chars / nullif(n_words, 0) < 2.5", "between 3.5 and 8"),
     Rule("lines", "n_dup_lines / nullif(n_lines, 0)", "> 0.30", "< 0.10"),
     Rule("repeats", "n_repeat_words / nullif(n_words, 0)", "> 0.20", "< 0.05"),
@@ -85,7 +91,11 @@ def measures(docs: DataFrame) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
         (F.length("text") - F.length(F.translate("text", ".!?", ""))).cast("long").alias("n_stops"),
-        F.size(F.array_distinct(F.slice("w", 1, 2000))).cast("long").alias("n_distinct"),
+        F.aggregate(
+            F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)), F.lit(BLOCK)),
+            F.lit(0).cast("long"),
+            lambda total, i: total + F.size(F.array_distinct(F.slice("w", i, BLOCK))),
+        ).alias("n_distinct"),
         F.when(
             F.size("w") > WINDOW,
             F.transform(F.sequence(F.lit(0), F.size("w") - WINDOW), lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(WINDOW)))),

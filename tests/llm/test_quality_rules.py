@@ -53,3 +53,15 @@ def test_em_finds_the_accurate_rules(spark):
 def test_plan_is_native(spark):
     plan = q.op7_quality_rules(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_variety_covers_the_whole_text(spark, documents):
+    varied = [f"word{k}" for k in range(2000)]
+    dull = [f"dull{k * k % 7}" for k in range(18_000)]
+    texts = {1: varied + dull, 2: dull + varied, 3: varied, 4: dull[:2000], 5: varied + dull[:1], 6: []}
+    rule = next(r for r in q.RULES if r.name == "variety")
+    got = {r.doc_id: (r.n_distinct, r.vote) for r in q.measures(documents([(i, " ".join(w)) for i, w in texts.items()])).select("*", rule.vote().alias("vote")).collect()}
+    distinct = {i: sum(len(set(w[k : k + q.BLOCK])) for k in range(0, len(w), q.BLOCK)) for i, w in texts.items()}
+    assert got == {1: (distinct[1], 1), 2: (distinct[2], 1), 3: (2000, 0), 4: (distinct[4], 1), 5: (2001, 0), 6: (0, None)}
+    turned = q.measures(documents([(1, " ".join(dull[:2000] + [f"word{k}" for k in range(18_000)]))])).select(rule.vote().alias("vote"))
+    assert turned.first().vote == 0
