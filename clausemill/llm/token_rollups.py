@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .tables import new_path
+from .tables import drop, new_path, saved
 
 _LEDGER = "doc_id long, tokenizer string, source string, lang string, n_tokens long, deleted boolean, seq long"
 _DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -87,26 +87,30 @@ def _changes(counts: DataFrame, tokenizer: str, deleted: bool = False) -> DataFr
 
 
 def rolled_up(docs: DataFrame, ranks_path: str, path: str) -> TokenRollups:
-    """A store filled from ``docs`` in three batches.
+    """A store filled from ``docs`` in two batches.
 
-    1. ``insert``: words, and a provisional BPE count of a quarter of the bytes.
-    2. ``revise``: the exact BPE counts.
-    3. ``withdraw``: documents without any word are deleted.
+    1. ``insert``: words of every row, and of rows with a doc_id a provisional BPE
+       count of a quarter of the bytes.
+    2. ``revise``: the exact BPE counts.  Rows without a doc_id cannot be revised,
+       so they come in here and never have a provisional count.
     The first batch is then sent again, as after a lost reply.
     """
     store = TokenRollups(docs.sparkSession, path)
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", "source", "lang", text.alias("text"))
+    named = base.where("doc_id is not null")
     n_words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
     words = base.select("doc_id", "source", "lang", n_words.alias("n_tokens"))
-    guess = base.select("doc_id", "source", "lang", F.ceil(F.octet_length("text") / 4).cast("long").alias("n_tokens"))
+    guess = named.select("doc_id", "source", "lang", F.ceil(F.octet_length("text") / 4).cast("long").alias("n_tokens"))
     insert = _changes(words, "words").unionByName(_changes(guess, "byte_bpe_50k"))
     store.commit("insert", insert)
-    exact = bpe.token_counts(base, ranks_path).where("doc_id is not null").groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
-    known = base.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("source", "lang")).alias("r")).select("doc_id", "r.source", "r.lang")
-    store.commit("revise", _changes(known.join(exact, "doc_id"), "byte_bpe_50k"))
-    empty = words.where("n_tokens = 0 and doc_id is not null")
-    store.commit("withdraw", _changes(empty, "words", True).unionByName(_changes(empty, "byte_bpe_50k", True)))
+    exact = bpe.token_counts(named, ranks_path).groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
+    known = named.groupBy("doc_id").agg(F.max(F.struct("source", "lang")).alias("r")).select("doc_id", "r.source", "r.lang")
+    # a number stands for the missing id while they are counted; written, so that it stays the same
+    unnamed = saved(base.where("doc_id is null").withColumn("doc_id", F.monotonically_increasing_id()), "rows-without-id")
+    alone = unnamed.drop("text").join(bpe.token_counts(unnamed, ranks_path), "doc_id").withColumn("doc_id", F.lit(None).cast("long"))
+    store.commit("revise", _changes(known.join(exact, "doc_id").unionByName(alone), "byte_bpe_50k"))
+    drop(unnamed)
     store.commit("insert", insert)
     return store
 

@@ -49,3 +49,22 @@ def test_query_against_plain(spark, odd):
     assert got == dict(expected)
     assert token_rollups.rolled_up(odd, PATH, new_path(spark, "t")).totals().count() == 2
     assert token_rollups.rolled_up(odd.limit(0), PATH, new_path(spark, "t")).totals().count() == 0
+
+
+def test_every_row_ends_at_its_exact_counts(spark, odd):
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
+    rows = odd.collect()
+    texts = [r.text or "" for r in rows if r.doc_id is None] + list({r.doc_id: r.text or "" for r in rows if r.doc_id is not None}.values())
+    got = {r.tokenizer: (r.n_docs, r.n_tokens) for r in token_rollups.rolled_up(odd, PATH, new_path(spark, "t")).totals().collect()}
+    assert got == {"words": (len(texts), sum(len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in texts)), "byte_bpe_50k": (len(texts), sum(len(encoding.encode_ordinary(t)) for t in texts))}
+
+
+def test_deleted_documents_come_again(spark):
+    store = token_rollups.TokenRollups(spark, new_path(spark, "t"))
+    rows = spark.createDataFrame([(1, "t", "a", "en", 5, False), (2, "t", "a", "en", 0, False), (None, "t", "a", "en", 3, False)], CHANGES)
+    named = rows.where("doc_id is not null")
+    store.commit("insert", rows)
+    store.commit("withdraw", named.withColumn("deleted", F.lit(True)))
+    assert totals(store) == {("a", "en"): (1, 3)}
+    store.commit("restore", named)
+    assert totals(store) == {("a", "en"): (3, 8)}
