@@ -11,7 +11,7 @@ The index is a log of immutable runs.  Adding a batch writes its entries as one
 more run, bucketed and sorted by anchor, and merge-joins it with every earlier
 run bucket by bucket, so that no old entry is shuffled again.  Entries whose
 anchor no other document has are done; the others are verified window by window:
-anchor and signature (96 bits of two independent families) must agree.  Several
+anchor and signature (64 bits each, of two independent families) must agree.  Several
 small runs are compacted into one, which keeps the smallest document of each
 distinct entry.
 
@@ -45,7 +45,7 @@ WINDOW = 13
 ANCHOR = 5
 #: More files than this in one run (writing tasks times buckets) are avoided by a shuffle before the run is written.
 RUN_FILES = 20_000
-_ENTRY = "anchor long, doc_id long, place int, signs array<int>"
+_ENTRY = "anchor long, doc_id long, place int, signs array<long>"
 _WORD = re.compile(WORD_PATTERN)
 
 
@@ -62,7 +62,7 @@ def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(1, WINDOW - ANCHOR + 1):
                 less = sub[k : n + k] < low
                 low[less], at[less] = sub[k : n + k][less], k
-            sign = (rolled(words.hashes(1), WINDOW, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            sign = rolled(words.hashes(1), WINDOW, 1).view(np.int64)
             here = np.arange(n)
             whole = here + WINDOW <= words.stop_word[:n]  # the window lies in one text
             anchor_at = at + here
@@ -75,7 +75,7 @@ def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin = keep[first]
             doc = words.doc[begin]
             ids = part.column("doc_id").take(pa.array(doc))
-            signs = pa.ListArray.from_arrays(pa.array(np.append(first, len(keep)), pa.int32()), pa.array(sign[keep], pa.int32()))
+            signs = pa.ListArray.from_arrays(pa.array(np.append(first, len(keep)), pa.int32()), pa.array(sign[keep], pa.int64()))
             out = pa.RecordBatch.from_arrays(
                 [pa.array(mix(low[begin]).view(np.int64)), ids, pa.array((begin - words.first[doc]).astype(np.int32)), signs], ["anchor", "doc_id", "place", "signs"]
             )

@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from clausemill.llm import substring
 from oracle import compare
 
@@ -75,3 +78,15 @@ def test_odd_rows(spark, odd):
 def test_query_against_sql(spark):
     compare(spark, substring.op2_substring_dedup, substring.ORACLES["op2_substring_dedup"])
     assert hashlib is not None
+
+
+def test_windows_under_one_anchor_are_told_apart_by_64_bits(spark, documents):
+    texts = ["a b c d e f g h i j k l " + f"m{k}" for k in range(300_000)]
+    hashes = np.concatenate([substring.rolled(substring.Words(pa.array(texts[k : k + 10_000])).hashes(1), 13, 1)[::13] for k in range(0, len(texts), 10_000)])
+    order = np.argsort(hashes)
+    near = np.flatnonzero(np.diff(hashes[order] >> np.uint64(32)) == 0)
+    anchor = lambda k: next(substring.entries(iter([pa.RecordBatch.from_pydict({"doc_id": [0], "text": [texts[k]]})]))).column("anchor")[0].as_py()
+    pairs = [(order[k], order[k + 1]) for k in near if anchor(order[k]) == anchor(order[k + 1])]
+    assert pairs  # equal anchors and equal upper halves of the signatures
+    rows = [(2 * k + j, texts[i]) for k, pair in enumerate(pairs) for j, i in enumerate(pair)]
+    assert all(r.n_removed == 0 for r in substring.deduplicated(documents(rows), 2, 1).collect())
