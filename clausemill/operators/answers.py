@@ -12,7 +12,8 @@ from clausemill.functions.redaction import redact_pii, sanitize_chunk
 from clausemill.functions.text import strip
 from clausemill.functions.vectors import cosine
 
-SIGNALS = ("favorable", "unfavorable", "neutral", "missing", "ambiguous")
+#: Labels of an answer (fixed values).
+SIGNALS = ("standard", "tenant_friendly", "landlord_friendly", "unusual", "red_flag")
 REFUSAL = "I could not find this in the document."
 INVALID = "The answer could not be read."
 SIMILAR = 0.92

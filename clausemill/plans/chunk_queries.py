@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from clausemill.functions import redaction
 from clausemill.functions.text import strip, tokens
 from clausemill.operators import chunking
 from clausemill.sources import validate
@@ -19,13 +19,17 @@ TEST_RULES = tuple(
 )
 
 
+#: Put into texts, which have no lease words of their own.
+PHRASES = ("terminating", "a breach", "assigning it", "consent to assign", "renewal", "automatic renewal", "repairs", "structural", "indemnified", "damage", "Monthly Rent", "lease term", "rentals", "rent", "evictions", "nothing")
+
+
 def a1_read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("lease_id", "source", "page", F.length("text").cast("long").alias("n_chars"))
 
 
 def a2_reject_textless(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "//([^/]*)", 1).alias("lease_id"), F.regexp_extract("html", "<footer>&copy; ([a-z.]*)", 1).alias("text"))
-    return validate.textless(rows).select("lease_id", "n_pages", "n_chars", "accepted")
+    """Every document as a lease of one page, so that blank ones are rejected."""
+    return validate.textless(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("lease_id"), "text")).select("lease_id", "n_pages", "n_chars", "accepted")
 
 
 def a4_validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +40,7 @@ def a4_validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a8_ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pages(spark, sf_dir)
-    return chunking.ingest_summary(chunking.split_clauses(docs.where("page % 7 = 0")), docs)
+    return chunking.ingest_summary(chunking.split_clauses(docs), docs)
 
 
 def b1_split_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,19 +54,27 @@ def b2_split_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def b3_recursive_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("length(text) > 350").select("doc_id", "text")
-    rows = docs.select("doc_id", F.posexplode(chunking.packed(F.col("text"), ". ", 350)).alias("part_no", "p"))
-    return rows.select("doc_id", "part_no", F.md5("p.text").alias("digest"), F.col("p.open").alias("open"))
+    rows = chunking.recursive_chunk(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "part_no", F.md5("text").alias("digest"))
 
 
-def b5_add_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.filter(F.transform(F.split("text", "\n"), strip), lambda x: x != "")
-    rows = pages(spark, sf_dir).withColumn("parts", parts)
-    return rows.select("page", F.posexplode(chunking.overlapped(F.col("parts"))).alias("part_no", "text")).select("page", "part_no", F.md5("text").alias("digest"))
+    return pages(spark, sf_dir).withColumn("parts", parts)
+
+
+def b4_merge_undersized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).select("page", F.posexplode(chunking.merged(F.col("parts"))).alias("part_no", "text"))
+    return rows.select("page", "part_no", F.md5("text").alias("digest"))
+
+
+def b5_add_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).select("page", F.posexplode(chunking.overlapped(F.col("parts"))).alias("part_no", "text"))
+    return rows.select("page", "part_no", F.md5("text").alias("digest"))
 
 
 def b6_chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_pages(pages(spark, sf_dir))
+    return chunking.chunk_pages(pages(spark, sf_dir)).select("lease_id", "source", "page", "clause_no", "part_no", F.md5("text").alias("digest"))
 
 
 def b7_assign_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,20 +83,165 @@ def b7_assign_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def b8_classify_clause(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By rules whose words the texts hold, and by the default rules with some words of those put in."""
     rows = chunking.split_clauses(pages(spark, sf_dir))
-    return rows.select("lease_id", "page", "clause_no", chunking.classify("text", TEST_RULES).alias("clause_type"))
+    phrases = F.array(*map(F.lit, PHRASES))
+    with_words = F.concat_ws(" ", "text", F.get(phrases, (F.col("page") % len(PHRASES)).cast("int")), F.get(phrases, (F.col("clause_no") * 5 % len(PHRASES)).cast("int")))
+    return rows.select("lease_id", "page", "clause_no", chunking.classify("text", TEST_RULES).alias("clause_type"), chunking.classify(with_words).alias("default_type"))
 
 
 def b9_clause_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.clause_histogram(b8_classify_clause(spark, sf_dir))
+    return chunking.clause_histogram(b8_classify_clause(spark, sf_dir).drop("default_type"))
 
 
 def b10_list_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from clausemill.functions.redaction import redact_pii
+    rows = chunking.assign_chunk_ids(chunking.split_clauses(pages(spark, sf_dir)).withColumn("part_no", F.lit(0)))
+    return chunking.list_chunks(rows).select("lease_id", "page", "chunk_no", "clause_type", F.md5("text").alias("digest"))
+
+
+def d5_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tokens("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.concat_ws(" ", t)).alias("digest"))
+
+
+def clauses_of(source: str) -> str:
+    """CTEs up to ``clauses`` of a table of (lease_id, source, page, text)."""
+    whens = " ".join(f"WHEN regexp_matches(text, '(?m){p}') THEN string_split(regexp_replace(text, '(?m)({p})', chr(1) || '\\1', 'g'), chr(1))" for p in chunking.HEADINGS.values())
+    return rf"""
+clause_parts AS (
+  SELECT lease_id, source, page, list_filter(list_transform(CASE {whens}
+    WHEN regexp_matches(text, '\n\s*\n') THEN string_split(regexp_replace(text, '\n\s*\n', chr(1), 'g'), chr(1))
+    ELSE string_split(regexp_replace(text, '\n(\s*[A-Z])', chr(1) || '\1', 'g'), chr(1)) END,
+    lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts
+  FROM {source}
+), clauses AS (
+  SELECT lease_id, source, page, len(parts)::INT AS n_clauses, (unnest(range(len(parts))))::INT AS clause_no, unnest(parts) AS text FROM clause_parts
+)"""
+
+
+_CLAUSES = clauses_of("(SELECT source AS lease_id, doc_id::VARCHAR AS source, doc_id + 1 AS page, text FROM documents)")
+
+
+def ladder(source: str, size: int = chunking.SIZE) -> str:
+    """Recursive CTEs up to ``pieces`` (id, no, t) of a table of (id, text): packs start where the running length asks for it."""
+    out = [f"p0 AS (SELECT id, []::BIGINT[] AS path, text AS t, length(text) > {size} AS open FROM {source})"]
+    for k, separator in enumerate(chunking.SEPARATORS):
+        sep, n = separator.replace("\n", "' || chr(10) || '"), len(separator)
+        cut = f"open AND contains(t, '{sep}')"
+        out.append(f"""
+o{k} AS (SELECT id, path, t FROM p{k} WHERE {cut}),
+s{k} AS (SELECT id, path, i, part, sum(length(part) + {n}) OVER (PARTITION BY id, path ORDER BY i) AS c, n FROM (SELECT id, path, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS part, len(l) AS n FROM (SELECT id, path, string_split(t, '{sep}') AS l FROM o{k}))),
+j{k} AS (SELECT a.id, a.path, a.i, greatest(a.i, coalesce(b.i, 0)) AS last FROM (SELECT *, c - length(part) - {n} + {size} AS reach FROM s{k}) a ASOF LEFT JOIN s{k} b ON a.id = b.id AND a.path = b.path AND a.reach >= b.c),
+f{k} AS (SELECT id, path, i, last FROM j{k} WHERE i = 1 UNION ALL SELECT j.id, j.path, j.i, j.last FROM f{k} f JOIN j{k} j ON j.id = f.id AND j.path = f.path AND j.i = f.last + 1),
+g{k} AS (SELECT f.id, f.path, f.i, bool_or(length(part) > {size}) AS open, string_agg(part || CASE WHEN s.i < n AND length(part) <= {size} THEN '{sep}' ELSE '' END, '' ORDER BY s.i) AS t FROM f{k} f JOIN s{k} s ON s.id = f.id AND s.path = f.path AND s.i BETWEEN f.i AND f.last GROUP BY ALL),
+p{k + 1} AS (SELECT id, list_append(path, 0) AS path, t, open FROM p{k} WHERE NOT ({cut}) UNION ALL SELECT id, list_append(path, i), t, open FROM g{k} WHERE t <> '')""")
+    last = f"p{len(chunking.SEPARATORS)}"
+    out.append(rf"""
+cuts AS (SELECT id, path, unnest(CASE WHEN open THEN [substring(t, a, {size}) FOR a IN range(1, length(t) + 1, {size})] ELSE [t] END) AS t, unnest(CASE WHEN open THEN range(1, length(t) + 1, {size}) ELSE [0] END) AS a FROM {last}),
+pieces AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY path, a) - 1 AS no, t FROM (SELECT id, path, a, regexp_replace(t, '^\s+|\s+$', '', 'g') AS t FROM cuts) WHERE t <> '')""")
+    return ",".join(out)
+
+
+def merging(source: str, least: int = chunking.LEAST) -> str:
+    """Recursive CTEs up to ``merged`` (id, no, t) of a table of (id, no, t), numbered from 0."""
+    return f"""
+m AS (SELECT id, no, 0 AS grp, length(t) AS n FROM {source} WHERE no = 0
+  UNION ALL SELECT m.id, s.no, grp + (n >= {least})::INT, length(t) + CASE WHEN n >= {least} THEN 0 ELSE n + 1 END FROM m JOIN {source} s ON s.id = m.id AND s.no = m.no + 1),
+mg AS (SELECT m.id, grp, string_agg(t, ' ' ORDER BY m.no) AS t FROM m JOIN {source} s ON s.id = m.id AND s.no = m.no GROUP BY ALL),
+mt AS (SELECT id, grp - (grp > 0 AND length(t) < {least} AND grp = max(grp) OVER (PARTITION BY id))::INT AS no, grp, t FROM mg),
+merged AS (SELECT id, no, string_agg(t, ' ' ORDER BY grp) AS t FROM mt GROUP BY ALL)"""
+
+
+def overlapping(source: str, over: str = "id") -> str:
+    return f"SELECT {over}, no, coalesce(regexp_replace(right(lag(t) OVER (PARTITION BY {over} ORDER BY no), {chunking.OVERLAP}), '^[^ ]* ', '') || ' ', '') || t AS t FROM {source}"
+
+
+_LINES = r"""lines AS (SELECT doc_id + 1 AS id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM documents),
+parts AS (SELECT id, unnest(range(len(parts))) AS no, unnest(parts) AS t FROM lines)"""
+_RULES = tuple(
+    (kind, rf"(?:^|[^\p{{L}}])(?:{words})(?:$|[^\p{{L}}])", weight)
+    for kind, words, weight in (("renewal", "there|thing", 10), ("liability", "the|der|que|la", 4), ("termination", "stor|ing", 10), ("rental_term", "und|en|de", 3))
+)
+
+
+#: Put into texts, which have no lease words of their own.
+PHRASES = ("terminating", "a breach", "assigning it", "consent to assign", "renewal", "automatic renewal", "repairs", "structural", "indemnified", "damage", "Monthly Rent", "lease term", "rentals", "rent", "evictions", "nothing")
+
+
+def a1_read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("lease_id", "source", "page", F.length("text").cast("long").alias("n_chars"))
+
+
+def a2_reject_textless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a lease of one page, so that blank ones are rejected."""
+    return validate.textless(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("lease_id"), "text")).select("lease_id", "n_pages", "n_chars", "accepted")
+
+
+def a4_validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    rows = talks.select("conv_id", "turn", F.concat_ws("-", "role", "conv_id", F.when(F.col("turn") % 3 == 0, F.lit("a b"))).alias("lease_id"), F.col("text").alias("question"), F.substring("text", 1, 230).alias("name"))
+    return validate.requests(rows).select("conv_id", "turn", F.concat_ws(",", "errors").alias("errors"))
 
-    rows = b7_assign_chunk_ids(spark, sf_dir).join(chunking.split_clauses(pages(spark, sf_dir)).select("page", "clause_no", "text"), ["page", "clause_no"])
-    rows = rows.where("lease_id in ('src1', 'src2')")
-    return rows.select("lease_id", "page", "chunk_no", F.md5(redact_pii("text", ("credit_card", "email", "phone"))).alias("digest")).orderBy(F.coalesce("page", F.lit(0)), "chunk_no")
+
+def a8_ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pages(spark, sf_dir)
+    return chunking.ingest_summary(chunking.split_clauses(docs), docs)
+
+
+def b1_split_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunking.split_clauses(pages(spark, sf_dir))
+    return rows.select("lease_id", "page", "clause_no", "n_clauses", F.md5("text").alias("digest"))
+
+
+def b2_split_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pages(spark, sf_dir).select("page", F.posexplode(chunking.paragraphs(F.col("text"))).alias("no", "text"))
+    return rows.select("page", "no", F.md5(strip("text")).alias("digest"))
+
+
+def b3_recursive_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunking.recursive_chunk(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "part_no", F.md5("text").alias("digest"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.filter(F.transform(F.split("text", "\n"), strip), lambda x: x != "")
+    return pages(spark, sf_dir).withColumn("parts", parts)
+
+
+def b4_merge_undersized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).select("page", F.posexplode(chunking.merged(F.col("parts"))).alias("part_no", "text"))
+    return rows.select("page", "part_no", F.md5("text").alias("digest"))
+
+
+def b5_add_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).select("page", F.posexplode(chunking.overlapped(F.col("parts"))).alias("part_no", "text"))
+    return rows.select("page", "part_no", F.md5("text").alias("digest"))
+
+
+def b6_chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_pages(pages(spark, sf_dir)).select("lease_id", "source", "page", "clause_no", "part_no", F.md5("text").alias("digest"))
+
+
+def b7_assign_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunking.split_clauses(pages(spark, sf_dir)).withColumn("part_no", F.lit(0))
+    return chunking.assign_chunk_ids(rows).select("lease_id", "page", "clause_no", "chunk_no", "chunk_id")
+
+
+def b8_classify_clause(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By rules whose words the texts hold, and by the default rules with some words of those put in."""
+    rows = chunking.split_clauses(pages(spark, sf_dir))
+    phrases = F.array(*map(F.lit, PHRASES))
+    with_words = F.concat_ws(" ", "text", F.get(phrases, (F.col("page") % len(PHRASES)).cast("int")), F.get(phrases, (F.col("clause_no") * 5 % len(PHRASES)).cast("int")))
+    return rows.select("lease_id", "page", "clause_no", chunking.classify("text", TEST_RULES).alias("clause_type"), chunking.classify(with_words).alias("default_type"))
+
+
+def b9_clause_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.clause_histogram(b8_classify_clause(spark, sf_dir).drop("default_type"))
+
+
+def b10_list_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunking.assign_chunk_ids(chunking.split_clauses(pages(spark, sf_dir)).withColumn("part_no", F.lit(0)))
+    return chunking.list_chunks(rows).select("lease_id", "page", "chunk_no", "clause_type", F.md5("text").alias("digest"))
 
 
 def d5_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,51 +266,51 @@ clause_parts AS (
 _RULES = "CASE " + " ".join(f"WHEN regexp_matches(text, '{pattern}', 'i') THEN '{kind}'" for kind, pattern, _ in (TEST_RULES[0], TEST_RULES[2], TEST_RULES[1], TEST_RULES[3])) + " ELSE 'other' END"
 _IDS = f"""WITH {_CLAUSES}, ids AS (
   SELECT lease_id, page, clause_no, text, (row_number() OVER (PARTITION BY lease_id ORDER BY page, clause_no) - 1)::BIGINT AS chunk_no FROM clauses)"""
-CARD = r"\b(?:\d{4}[ -]?){3}\d{4}\b"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE = r"(?:\+1[ .-]?)?(?:\b\d{3}\)?|\b\d{3})[ .-]?\d{3}[ .-]?\d{4}\b"
-REDACTED = f"regexp_replace(regexp_replace(regexp_replace(text, '{CARD}', '[REDACTED_CREDIT_CARD]', 'g'), '{EMAIL}', '[REDACTED_EMAIL]', 'g'), '{PHONE}', '[REDACTED_PHONE]', 'g')"
 
-QUERIES = {f.__name__: f for f in (a1_read_pages, a2_reject_textless, a4_validate_requests, a8_ingest_summary, b1_split_clauses, b2_split_paragraphs, b3_recursive_chunk, b5_add_overlap, b6_chunk_pages, b7_assign_chunk_ids, b8_classify_clause, b9_clause_histogram, b10_list_chunks, d5_tokenize)}
+
+def masked(text: str, rules: dict[str, str], token: str = "[REDACTED_{}]") -> str:
+    """SQL of a text with every rule's matches replaced in turn."""
+    for name, pattern in rules.items():
+        out = token.format(name.upper())
+        if name == "person_name":  # without look-ahead: what follows a name is put back
+            pattern, out = f"{redaction.NAMED}({redaction.NAME_END})", out + "\\1"
+        text = f"regexp_replace({text}, '(?i){quoted(pattern)}', '{out}', 'g')"
+    return text
+
+
+def quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+REDACTED = masked("text", redaction.PII_RULES)
+_DEFAULTS = "CASE " + " ".join(f"WHEN regexp_matches(x, '{chunking.word_pattern(words)}', 'i') THEN '{kind}'" for kind, _, words in sorted(chunking.CLAUSE_WORDS, key=lambda r: -r[1])) + " ELSE 'other' END"
+_PHRASES = "[" + ", ".join(f"'{p}'" for p in PHRASES) + "]"
+
+QUERIES = {f.__name__: f for f in (a1_read_pages, a2_reject_textless, a4_validate_requests, a8_ingest_summary, b1_split_clauses, b2_split_paragraphs, b3_recursive_chunk, b4_merge_undersized, b5_add_overlap, b6_chunk_pages, b7_assign_chunk_ids, b8_classify_clause, b9_clause_histogram, b10_list_chunks, d5_tokenize)}
 ORACLES = {
     "a1_read_pages": "SELECT source AS lease_id, doc_id::VARCHAR AS source, doc_id + 1 AS page, length(text) AS n_chars FROM documents",
-    "a2_reject_textless": """
-SELECT lease_id, count(*) AS n_pages, sum(n)::BIGINT AS n_chars, sum(n) > 0 AS accepted
-FROM (SELECT regexp_extract(url, '//([^/]*)', 1) AS lease_id, length(regexp_extract(html, '<footer>&copy; ([a-z.]*)', 1)) AS n FROM pages) GROUP BY 1""",
+    "a2_reject_textless": r"SELECT doc_id AS lease_id, count(*) AS n_pages, sum(n)::BIGINT AS n_chars, sum(n) > 0 AS accepted FROM (SELECT doc_id, length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS n FROM documents) GROUP BY 1",
     "a4_validate_requests": r"""
 SELECT conv_id, turn, array_to_string(list_filter([
   CASE WHEN NOT regexp_full_match(lease_id, '[A-Za-z0-9_-]{1,100}') THEN 'lease_id' END,
   CASE WHEN length(q) = 0 THEN 'question_blank' END, CASE WHEN length(q) > 1000 THEN 'question_long' END,
   CASE WHEN length(trim(substring(text, 1, 230))) = 0 THEN 'name_blank' END, CASE WHEN length(substring(text, 1, 230)) > 200 THEN 'name_long' END], lambda x: x IS NOT NULL), ',') AS errors
 FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS q, role || '-' || conv_id || CASE WHEN turn % 3 = 0 THEN '-a b' ELSE '' END AS lease_id FROM conversations)""",
-    "a8_ingest_summary": f"WITH {_CLAUSES} SELECT l.lease_id, count(c.lease_id) AS chunk_count, count(c.lease_id) > 0 AS accepted FROM (SELECT DISTINCT source AS lease_id FROM documents) l LEFT JOIN (SELECT lease_id FROM clauses WHERE page % 7 = 0) c USING (lease_id) GROUP BY 1",
+    "a8_ingest_summary": f"WITH {_CLAUSES} SELECT l.lease_id, count(c.lease_id) AS chunk_count, count(c.lease_id) > 0 AS accepted FROM (SELECT DISTINCT source AS lease_id FROM documents) l LEFT JOIN (SELECT lease_id FROM clauses) c USING (lease_id) GROUP BY 1",
     "b1_split_clauses": f"WITH {_CLAUSES} SELECT lease_id, page, clause_no, n_clauses, md5(text) AS digest FROM clauses",
     "b2_split_paragraphs": r"""
-WITH p AS (SELECT doc_id + 1 AS page, CASE WHEN regexp_matches(text, '\n[ \t]*\n') THEN string_split(regexp_replace(text, '\n[ \t]*\n', chr(1), 'g'), chr(1))
+WITH p AS (SELECT doc_id + 1 AS page, CASE WHEN regexp_matches(text, '\n\s*\n') THEN string_split(regexp_replace(text, '\n\s*\n', chr(1), 'g'), chr(1))
   ELSE string_split(regexp_replace(text, '\n(\s*[A-Z])', chr(1) || '\1', 'g'), chr(1)) END AS parts FROM documents)
 SELECT page, no::INT AS no, md5(regexp_replace(t, '^\s+|\s+$', '', 'g')) AS digest FROM (SELECT page, unnest(range(len(parts))) AS no, unnest(parts) AS t FROM p)""",
-    "b3_recursive_chunk": """
-WITH RECURSIVE d AS (SELECT doc_id, string_split(text, '. ') AS p FROM documents WHERE length(text) > 350),
-s AS (
-  SELECT doc_id, p, 0 AS i, -1 AS grp, 0 AS cur, false AS open FROM d
-  UNION ALL
-  SELECT doc_id, p, i + 1,
-    CASE WHEN cur + length(p[i + 1]) + 2 <= 350 AND cur > 0 THEN grp ELSE grp + 1 END,
-    CASE WHEN cur + length(p[i + 1]) + 2 <= 350 THEN cur + length(p[i + 1]) + CASE WHEN i + 1 < len(p) THEN 2 ELSE 0 END
-         WHEN length(p[i + 1]) > 350 THEN 0 ELSE length(p[i + 1]) + CASE WHEN i + 1 < len(p) THEN 2 ELSE 0 END END,
-    cur + length(p[i + 1]) + 2 > 350 AND length(p[i + 1]) > 350
-  FROM s WHERE i < len(p)
-), g AS (
-  SELECT doc_id, grp, bool_or(open) AS open, string_agg(p[i] || CASE WHEN i < len(p) AND NOT open THEN '. ' ELSE '' END, '' ORDER BY i) AS t FROM s WHERE i > 0 GROUP BY doc_id, grp
-)
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY grp) - 1)::INT AS part_no, md5(t) AS digest, open FROM g WHERE t <> ''""",
-    "b5_add_overlap": r"""
-WITH p AS (SELECT doc_id + 1 AS page, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM documents),
-u AS (SELECT page, unnest(range(len(parts))) AS no, unnest(parts) AS t FROM p)
-SELECT page, no::INT AS part_no, md5(coalesce(regexp_replace(right(lag(t) OVER (PARTITION BY page ORDER BY no), 50), '^[^ ]* ', '') || ' ', '') || t) AS digest FROM u""",
+    "b3_recursive_chunk": f"WITH RECURSIVE d AS (SELECT doc_id AS id, text FROM documents), {ladder('d')} SELECT id AS doc_id, no::INT AS part_no, md5(t) AS digest FROM pieces",
+    "b4_merge_undersized": f"WITH RECURSIVE {_LINES}, {merging('parts')} SELECT id AS page, no::INT AS part_no, md5(t) AS digest FROM merged",
+    "b5_add_overlap": f"WITH {_LINES} SELECT id AS page, no::INT AS part_no, md5(t) AS digest FROM ({overlapping('parts')})",
+    "b6_chunk_pages": f"""WITH RECURSIVE {_CLAUSES}, named AS (SELECT *, row_number() OVER () AS id FROM clauses), large AS (SELECT id, text FROM named WHERE length(text) > {chunking.SIZE}), {ladder('large')}, {merging('pieces')},
+chunks AS (SELECT id, 0 AS no, text AS t FROM named WHERE length(text) <= {chunking.SIZE} UNION ALL {overlapping('merged')})
+SELECT lease_id, source, page, clause_no, no::INT AS part_no, md5(t) AS digest FROM chunks JOIN named USING (id)""",
     "b7_assign_chunk_ids": f"{_IDS} SELECT lease_id, page, clause_no, chunk_no, lease_id || '::' || chunk_no AS chunk_id FROM ids",
-    "b8_classify_clause": f"WITH {_CLAUSES} SELECT lease_id, page, clause_no, {_RULES} AS clause_type FROM clauses",
+    "b8_classify_clause": f"WITH {_CLAUSES} SELECT lease_id, page, clause_no, {_RULES} AS clause_type, {_DEFAULTS} AS default_type FROM (SELECT *, text || ' ' || {_PHRASES}[page % {len(PHRASES)} + 1] || ' ' || {_PHRASES}[clause_no * 5 % {len(PHRASES)} + 1] AS x FROM clauses)",
     "b9_clause_histogram": f"WITH {_CLAUSES} SELECT lease_id, {_RULES} AS clause_type, count(*) AS n_chunks FROM clauses GROUP BY ALL",
-    "b10_list_chunks": f"{_IDS} SELECT lease_id, page, chunk_no, md5({REDACTED}) AS digest FROM ids WHERE lease_id IN ('src1', 'src2')",
+    "b10_list_chunks": f"{_IDS} SELECT lease_id, page, chunk_no, 'other' AS clause_type, md5({REDACTED}) AS digest FROM ids",
     "d5_tokenize": "SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9§]+') AS t FROM documents)",
 }

@@ -11,28 +11,35 @@ from clausemill.functions.vectors import cosine
 from clausemill.operators import retrieval
 
 from .bindings import questions, table, vectors
+from .chunk_queries import REDACTED, masked, quoted
 
-_THREE = ("credit_card", "email", "phone")
+SCAN_LINES = (("SERVICE_API_KEY=abcdef", "x"), ("Signed: Ann Lee ", ""), ("Acct. AB12345678", ""), ("Authorization: Bearer abcdefghijklmnop", ""), ("gsk_abcdefghijklmnop", ""), ("pk-lf-0123abcd-", "wxyz"), ("LANGFUSE_REDIS_AUTH=pass", ""), ("nothing ", " here"))
 _PHRASES = (r"\bthe\s+of\b", r"que\s+la")
 
 
 def c1_redact_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(redaction.redact_pii("text", _THREE)).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(redaction.redact_pii("text")).alias("digest"))
 
 
 def c3_pii_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redaction.pii_profile(table(spark, sf_dir, "documents"), "doc_id", rules=_THREE)
+    return redaction.pii_profile(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts and a last line that looks like a configuration, a signature or an account."""
+    more = [F.concat(F.lit(head), F.col("doc_id").cast("string"), F.lit(tail)) for head, tail in SCAN_LINES]
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return docs.withColumn("text", F.concat_ws("\n", "text", F.get(F.array(*more), (F.col("doc_id") % len(more)).cast("int"))))
 
 
 def c4_scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = {"credit_card": redaction.PII_RULES["credit_card"], "secret_assignment": redaction.SCAN_RULES["secret_assignment"]}
-    found = redaction.scan_lines(table(spark, sf_dir, "documents"), "doc_id", rules=rules)
+    found = redaction.scan_lines(_scanned(spark, sf_dir), "doc_id")
     return found.select("doc_id", "line_no", "rule", F.md5("excerpt").alias("digest"))
 
 
 def c5_scan_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = redaction.scan_gate(c4_scan_lines(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id"), "source")
-    return rows.select("source", "findings", (F.col("findings") == 0).alias("clean"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return redaction.scan_gate(redaction.scan_lines(docs, "doc_id"), docs, "doc_id")
 
 
 def c6_sanitize_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,13 +132,14 @@ def d13_refusals_by_clause(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.refusals_by_clause(retrieval.refusal_gate(_asked(spark, sf_dir), hits), hits)
 
 
-_CARD, _EMAIL, _PHONE = (redaction.PII_RULES[r] for r in _THREE)
-_SECRET = redaction.SCAN_RULES["secret_assignment"]
-_SCAN = f"""
-lines AS (SELECT doc_id, source, (unnest(range(len(l))) + 1)::INT AS line_no, unnest(l) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents)),
-found AS (
-  SELECT *, 'credit_card' AS rule FROM lines WHERE regexp_matches(line, '{_CARD}') UNION ALL SELECT *, 'secret_assignment' FROM lines WHERE regexp_matches(line, '{_SECRET}')
-)"""
+def _scan(docs: str) -> str:
+    rules = " UNION ALL ".join(f"SELECT *, '{rule}' AS rule FROM lines WHERE regexp_matches(line, '(?i){quoted(p)}')" for rule, p in redaction.SCAN_RULES.items())
+    return f"""
+lines AS (SELECT doc_id, (unnest(range(len(l))) + 1)::INT AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {docs})),
+found AS ({rules})"""
+
+
+_SCANNED = "(SELECT doc_id, text || chr(10) || [" + ", ".join(f"'{head}' || doc_id || '{tail}'" for head, tail in SCAN_LINES) + f"][doc_id % {len(SCAN_LINES)} + 1] AS text FROM documents)"
 COSINE = "coalesce(list_dot_product(a::DOUBLE[], b::DOUBLE[]) / nullif(sqrt(list_dot_product(a::DOUBLE[], a::DOUBLE[])) * sqrt(list_dot_product(b::DOUBLE[], b::DOUBLE[])), 0), 0)"
 DENSE = f"""
 pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, q.embedding AS a, c.embedding AS b FROM embeddings q JOIN embeddings c USING (label) WHERE q.vec_id % 50 = 0 AND c.vec_id % 50 <> 0),
@@ -171,14 +179,16 @@ QUERIES = {
     f.__name__: f
     for f in (c1_redact_pii, c3_pii_profile, c4_scan_lines, c5_scan_gate, c6_sanitize_chunk, c7_flag_injection, c8_hash_query, d1_embed, d2_cosine_similarity, d3_dense_topk, d4_dense_topk_approx, d6_build_bm25, d7_bm25_topk, d8_normalize_scores, d9_fuse, d10_rerank, d11_retrieve, d12_refusal_gate, d13_refusals_by_clause)
 }
-_INNER = "sha256((repeat(chr(54), 64))::BLOB)"
+#: The two padded keys of an HMAC with the key ``salt``, as SQL blobs.
+_PADS = ["'" + "".join(f"\\x{b ^ x:02X}" for b in b"salt".ljust(64, b"\0")) + "'::BLOB" for x in (0x36, 0x5C)]
 ORACLES = {
-    "c1_redact_pii": f"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '{_CARD}', '[REDACTED_CREDIT_CARD]', 'g'), '{_EMAIL}', '[REDACTED_EMAIL]', 'g'), '{_PHONE}', '[REDACTED_PHONE]', 'g')) AS digest FROM documents",
-    "c3_pii_profile": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS category, len(regexp_extract_all(text, '{redaction.PII_RULES[r]}')) AS hits FROM documents" for r in _THREE) + ") WHERE hits > 0",
-    "c4_scan_lines": f"WITH {_SCAN} SELECT doc_id, line_no, rule, md5(substring(regexp_replace(regexp_replace(line, '{_CARD}', '[MASKED]', 'g'), '{_SECRET}', '[MASKED]', 'g'), 1, 80)) AS digest FROM found",
-    "c5_scan_gate": f"WITH {_SCAN} SELECT source, count(*) AS findings, count(*) = 0 AS clean FROM found GROUP BY ROLLUP (source)",
+    "c1_redact_pii": f"SELECT doc_id, md5({REDACTED}) AS digest FROM documents",
+    "c3_pii_profile": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS category, len(regexp_extract_all(text, '(?i){quoted(redaction.NAMED + '(?:' + redaction.NAME_END + ')' if r == 'person_name' else p)}')) AS hits FROM documents" for r, p in redaction.PII_RULES.items()) + ") WHERE hits > 0",
+    "c4_scan_lines": f"WITH {_scan(_SCANNED)} SELECT doc_id, line_no, rule, md5(substring(regexp_replace({masked('line', redaction.SCAN_RULES, '[MASKED]')}, '^\\s+|\\s+$', '', 'g'), 1, 80)) AS digest FROM found",
+    "c5_scan_gate": f"WITH {_scan('documents')} SELECT d.doc_id, count(f.rule) AS findings, count(f.rule) = 0 AS clean FROM documents d LEFT JOIN found f USING (doc_id) GROUP BY ROLLUP (d.doc_id)",
     "c6_sanitize_chunk": r"SELECT doc_id, md5(regexp_replace(substring(regexp_replace(regexp_replace(text, '\bthe\s+of\b', '', 'gi'), 'que\s+la', '', 'gi'), 1, 2000), '^\s+|\s+$', '', 'g')) AS digest FROM documents",
     "c7_flag_injection": r"SELECT doc_id, regexp_matches(text, '\bthe\s+of\b|que\s+la', 'i') AS flagged FROM documents",
+    "c8_hash_query": f"SELECT item_id AS query_id, CASE WHEN text = '' THEN '' ELSE substring(sha256({_PADS[1]} || unhex(sha256({_PADS[0]} || encode(text)))), 1, 16) END AS digest FROM benchmark",
     "d2_cosine_similarity": f"WITH {DENSE} SELECT query_id, chunk_id, round({COSINE}, 6) AS similarity FROM pairs",
     "d3_dense_topk": f"WITH {DENSE} SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM ranked WHERE rank <= 5",
     "d6_build_bm25": f"WITH {bm25('source', chr(39) + 'all' + chr(39))} SELECT lease_id, chunk_id, count(*) AS n_terms, round(sum(weight), 6) AS weight FROM postings GROUP BY ALL",

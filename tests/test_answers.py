@@ -2,13 +2,13 @@ from pyspark.sql import functions as F
 
 from clausemill.operators import answers
 
-GOOD = '{"answer": "It is 5.", "quote": "rent is 5", "signal": "neutral"}'
+GOOD = '{"answer": "It is 5.", "quote": "rent is 5", "signal": "standard"}'
 
 
 def test_parse_and_validate(spark):
     raws = {
         "good": GOOD, "fenced": f"```json\n{GOOD}\n```", "upper": f"```JSON\n{GOOD}\n```", "junk": "not json", "array": "[1]", "missing": '{"answer": "x", "quote": "y"}',
-        "label": GOOD.replace("neutral", "maybe"), "number": GOOD.replace('"It is 5."', "5"), "null": None,
+        "label": GOOD.replace("standard", "favorable"), "number": GOOD.replace('"It is 5."', "5"), "null": None,
     }
     df = spark.createDataFrame(list(raws.items()), "k string, raw string")
     got = {r.k: r.v for r in df.select("k", answers.validate_answer("raw").isNotNull().alias("v")).collect()}
@@ -17,13 +17,18 @@ def test_parse_and_validate(spark):
     assert {k for k, v in parsed.items() if not v} == {"junk", "array", "null"}
 
 
+def test_every_label_is_valid(spark):
+    df = spark.createDataFrame([(GOOD.replace("standard", s),) for s in ("standard", "tenant_friendly", "landlord_friendly", "unusual", "red_flag")], "raw string")
+    assert df.where(answers.validate_answer("raw").isNull()).count() == 0
+
+
 def test_resolve_matrix(spark):
     rows = [(1, True, 0.9, ["s"], GOOD, True), (2, False, 0.9, ["s"], "junk", True), (3, False, 0.9, ["s"], GOOD, False), (4, False, 0.9, ["s"], GOOD.replace("It is 5.", "ask a@b.org"), True)]
     df = spark.createDataFrame(rows, "query_id int, refused boolean, confidence double, sources array<string>, raw string, grounded boolean")
     got = {r.query_id: r for r in answers.resolve_answer(df).collect()}
     assert [got[k].outcome for k in (1, 2, 3, 4)] == ["refused", "invalid", "ungrounded", "answered"]
     assert got[1].sources is None and got[1].confidence == 0.0 and got[3].confidence == 0.9 and got[3].sources == ["s"] and got[3].answer == answers.REFUSAL
-    assert got[4].answer == "ask [REDACTED_EMAIL]" and got[4].signal == "neutral"
+    assert got[4].answer == "ask [REDACTED_EMAIL]" and got[4].signal == "standard"
     assert [r.outcome for r in answers.resolve_answer(df, guard=False).where("query_id = 3").collect()] == ["answered"]
 
 

@@ -19,6 +19,14 @@ def test_heading_styles(spark):
     assert clauses(spark, " \n ") == []
 
 
+def test_headings_over_lines_and_without_space(spark):
+    assert clauses(spark, "1.\nRent is due\n2.\nTerm is a year") == ["1.\nRent is due", "2.\nTerm is a year"]
+    assert clauses(spark, "(a)First item\n(b)Second item") == ["(a)First item", "(b)Second item"]
+    assert clauses(spark, "Parties\n   RENT DUE  \nmonthly\n\tTHE TERM\none year") == ["Parties", "RENT DUE  \nmonthly", "THE TERM\none year"]
+    assert clauses(spark, "one\r\n\r\ntwo") == ["one", "two"]
+    assert clauses(spark, "LANDLORD: x\nTENANT: y\n\n1. TERM\n1.1 This starts") == ["LANDLORD: x\nTENANT: y", "1. TERM", "1.1 This starts"]
+
+
 def test_blank_pages_have_no_clause(spark):
     df = spark.createDataFrame([("l", "s", 1, ""), ("l", "s", 2, None), ("l", "s", 3, "x")], "lease_id string, source string, page int, text string")
     assert [r.page for r in chunking.split_clauses(df).collect()] == [3]
@@ -58,7 +66,7 @@ def plain_recursive(text, size, seps):
 def test_recursive_chunk_against_plain(spark, texts):
     size = 20
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    rows = chunking.recursive_chunk(df, size).orderBy("id", "path").collect()
+    rows = chunking.recursive_chunk(df, size).orderBy("id", "part_no").collect()
     for k, text in enumerate(texts):
         expected = [s for s in (p.strip() for p in plain_recursive(text, size, chunking.SEPARATORS)) if s]
         assert [r.text for r in rows if r.id == k] == expected
@@ -66,7 +74,7 @@ def test_recursive_chunk_against_plain(spark, texts):
 
 def test_hard_cut_and_exact_size(spark):
     df = spark.createDataFrame([(1, "x" * 350), (2, "y" * 351)], "id int, text string")
-    rows = chunking.recursive_chunk(df).orderBy("id", "path").collect()
+    rows = chunking.recursive_chunk(df).orderBy("id", "part_no").collect()
     assert [(r.id, len(r.text)) for r in rows] == [(1, 350), (2, 350), (2, 1)]
 
 
@@ -90,7 +98,8 @@ def test_chunk_pages_and_ids(spark):
 def test_classify(spark):
     cases = {
         "Tenant may terminate this lease": "termination", "sublet with consent to assign": "assignment", "automatic renewal of the term": "renewal", "plumbing repairs": "maintenance",
-        "insurance and negligence": "liability", "monthly rent": "rental_term", "parties agree": "other", "damages or rent": "liability", "terminate and assign": "termination",
+        "insurance and negligence": "liability", "monthly rent": "rental_term", "assigning it": "assignment", "renewing it": "renewal", "two defaults": "termination", "was breached": "termination",
+        "The lease shall not assigned": "other", "maintenance until the RENT DUE DATE": "rental_term", "shall automatically renew": "renewal", "extended the term": "renewal", "indemnifies": "liability", "habitable": "maintenance", "subletting": "other", "parties agree": "other", "damages or rent": "liability", "terminate and assign": "termination",
     }
     df = spark.createDataFrame([(k,) for k in cases], "text string")
     assert {r.text: r.k for r in df.select("text", chunking.classify("text").alias("k")).collect()} == cases

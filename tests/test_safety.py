@@ -7,10 +7,11 @@ from clausemill.functions import redaction
 from clausemill.functions.text import hash_query
 
 POSITIVE = {
-    "ssn 123-45-6789": "SSN", "card 4111 1111 1111 1111": "CREDIT_CARD", "Account number: 12345678-90": "ACCOUNT_NUMBER", "mail a.b@c.org": "EMAIL", "call 555-123-4567": "PHONE",
-    "at 12 North Elm Street": "STREET_ADDRESS", "Date of birth: 01/02/1980": "DATE_OF_BIRTH", "born 1980": "DATE_OF_BIRTH", "Tenant: José García-López Jr.": "PERSON_NAME", "LANDLORD: MARY O'NEIL": "PERSON_NAME",
+    "ssn 123-45-6789": "SSN", "card 4111 1111 1111 1111": "CREDIT_CARD", "Account # 12345678-90": "ACCOUNT_NUMBER", "Routing: 123456789": "ACCOUNT_NUMBER", "ABA: 123456789": "ACCOUNT_NUMBER", "ACH Account: 123456789": "ACCOUNT_NUMBER", "Bank Account: 12345 67890 12": "ACCOUNT_NUMBER", "Pay to A/C 1234-5678-9012": "ACCOUNT_NUMBER", "IBAN DE44500105175407324931": "ACCOUNT_NUMBER", "mail a.b@c.org": "EMAIL", "call 555-123-4567": "PHONE",
+    "at 12 North Elm Street": "STREET_ADDRESS", "Date of birth: 01/02/1980": "DATE_OF_BIRTH", "born 1980": "DATE_OF_BIRTH", "DOB is 01/02/1990": "DATE_OF_BIRTH", "Birthday: 12 January 1980": "DATE_OF_BIRTH", "DOB 1971-07-04 listed": "DATE_OF_BIRTH", "Date of Birth: March 14, 1985": "DATE_OF_BIRTH",
+    "12 Oak Circle": "STREET_ADDRESS", "742 Evergreen Terrace": "STREET_ADDRESS", "Tenant: José García-López Jr.": "PERSON_NAME", "LANDLORD: MARY O'NEIL": "PERSON_NAME", "Owner: Jane Smith": "PERSON_NAME", "Agent: Robert Brown": "PERSON_NAME", "Renter: Ana Lopez": "PERSON_NAME", "Landlady: Ruth May": "PERSON_NAME", "Tenant - John Smith": "PERSON_NAME", "landlord: jane smith": "PERSON_NAME", "Co-tenant: Émilie Lefèvre": "PERSON_NAME", "Landlord's representative: Max Muster": "PERSON_NAME",
 }
-NEGATIVE = ["signed on 01/02/2020", "from 2020-01-01 to 2021-01-01", "order 12345", "Mary Smith walked home", "section 8.2", "account is closed"]
+NEGATIVE = ["Reference number: AB12345678", "PO: ORD-12345", "January 1, 2025", "Term: 03/14/2025 to 03/14/2026", "signed on 01/02/2020", "from 2020-01-01 to 2021-01-01", "order 12345", "Mary Smith walked home", "section 8.2", "account is closed"]
 
 
 def redacted(spark, texts):
@@ -21,7 +22,7 @@ def test_redaction(spark):
     for text, out in zip(POSITIVE, redacted(spark, list(POSITIVE)), strict=True):
         assert f"[REDACTED_{POSITIVE[text]}]" in out, (text, out)
     assert redacted(spark, NEGATIVE) == NEGATIVE
-    assert redacted(spark, ["(555) 123-4567", None]) == ["([REDACTED_PHONE]", None]
+    assert redacted(spark, ["(555) 123-4567", None, "TENANT: John Doe, Jr. signed"]) == ["([REDACTED_PHONE]", None, "[REDACTED_PERSON_NAME] signed"]
 
 
 def test_redact_nested(spark):
@@ -45,9 +46,9 @@ def test_hash_query(spark):
 
 
 def test_scan(spark):
-    df = spark.createDataFrame([(1, "ok\nAPI_TOKEN = abc\nBearer abcdefghijklmnop1"), (2, "clean")], "id int, text string")
+    df = spark.createDataFrame([(1, "ok\nAPP_SECRET = abcdefgh1\nAuthorization: Bearer abcdefghijklmnop1\n  /s/ Ann Lee\nacct AB12345678\nMY_API_KEY=abcdefgh\nBy: ann lee"), (2, "clean")], "id int, text string")
     rows = redaction.scan_lines(df, "id").collect()
-    assert {(r.id, r.line_no, r.rule) for r in rows} == {(1, 2, "secret_assignment"), (1, 3, "bearer_token")}
+    assert {(r.id, r.line_no, r.rule) for r in rows} == {(1, 2, "password_assignment"), (1, 3, "bearer_token"), (1, 4, "signature"), (1, 5, "account_number"), (1, 6, "password_assignment"), (1, 7, "signature")}
     assert all("abc" not in r.excerpt for r in rows)
-    assert {(r.id, r.findings) for r in redaction.scan_gate(redaction.scan_lines(df, "id"), "id").collect()} == {(1, 2), (None, 2)}
+    assert {(r.id, r.findings, r.clean) for r in redaction.scan_gate(redaction.scan_lines(df, "id"), df, "id").collect()} == {(1, 6, False), (2, 0, True), (None, 6, False)}
     assert redaction.pii_profile(df.select("id", F.lit("a@b.co c@d.co").alias("text")), "id").first().hits == 2
