@@ -158,111 +158,6 @@ def overlapping(source: str, over: str = "id") -> str:
 
 _LINES = r"""lines AS (SELECT doc_id + 1 AS id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM documents),
 parts AS (SELECT id, unnest(range(len(parts))) AS no, unnest(parts) AS t FROM lines)"""
-_RULES = tuple(
-    (kind, rf"(?:^|[^\p{{L}}])(?:{words})(?:$|[^\p{{L}}])", weight)
-    for kind, words, weight in (("renewal", "there|thing", 10), ("liability", "the|der|que|la", 4), ("termination", "stor|ing", 10), ("rental_term", "und|en|de", 3))
-)
-
-
-#: Put into texts, which have no lease words of their own.
-PHRASES = ("terminating", "a breach", "assigning it", "consent to assign", "renewal", "automatic renewal", "repairs", "structural", "indemnified", "damage", "Monthly Rent", "lease term", "rentals", "rent", "evictions", "nothing")
-
-
-def a1_read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).select("lease_id", "source", "page", F.length("text").cast("long").alias("n_chars"))
-
-
-def a2_reject_textless(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a lease of one page, so that blank ones are rejected."""
-    return validate.textless(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("lease_id"), "text")).select("lease_id", "n_pages", "n_chars", "accepted")
-
-
-def a4_validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talks = table(spark, sf_dir, "conversations")
-    rows = talks.select("conv_id", "turn", F.concat_ws("-", "role", "conv_id", F.when(F.col("turn") % 3 == 0, F.lit("a b"))).alias("lease_id"), F.col("text").alias("question"), F.substring("text", 1, 230).alias("name"))
-    return validate.requests(rows).select("conv_id", "turn", F.concat_ws(",", "errors").alias("errors"))
-
-
-def a8_ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pages(spark, sf_dir)
-    return chunking.ingest_summary(chunking.split_clauses(docs), docs)
-
-
-def b1_split_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunking.split_clauses(pages(spark, sf_dir))
-    return rows.select("lease_id", "page", "clause_no", "n_clauses", F.md5("text").alias("digest"))
-
-
-def b2_split_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pages(spark, sf_dir).select("page", F.posexplode(chunking.paragraphs(F.col("text"))).alias("no", "text"))
-    return rows.select("page", "no", F.md5(strip("text")).alias("digest"))
-
-
-def b3_recursive_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunking.recursive_chunk(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "part_no", F.md5("text").alias("digest"))
-
-
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.filter(F.transform(F.split("text", "\n"), strip), lambda x: x != "")
-    return pages(spark, sf_dir).withColumn("parts", parts)
-
-
-def b4_merge_undersized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lines(spark, sf_dir).select("page", F.posexplode(chunking.merged(F.col("parts"))).alias("part_no", "text"))
-    return rows.select("page", "part_no", F.md5("text").alias("digest"))
-
-
-def b5_add_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lines(spark, sf_dir).select("page", F.posexplode(chunking.overlapped(F.col("parts"))).alias("part_no", "text"))
-    return rows.select("page", "part_no", F.md5("text").alias("digest"))
-
-
-def b6_chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_pages(pages(spark, sf_dir)).select("lease_id", "source", "page", "clause_no", "part_no", F.md5("text").alias("digest"))
-
-
-def b7_assign_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunking.split_clauses(pages(spark, sf_dir)).withColumn("part_no", F.lit(0))
-    return chunking.assign_chunk_ids(rows).select("lease_id", "page", "clause_no", "chunk_no", "chunk_id")
-
-
-def b8_classify_clause(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By rules whose words the texts hold, and by the default rules with some words of those put in."""
-    rows = chunking.split_clauses(pages(spark, sf_dir))
-    phrases = F.array(*map(F.lit, PHRASES))
-    with_words = F.concat_ws(" ", "text", F.get(phrases, (F.col("page") % len(PHRASES)).cast("int")), F.get(phrases, (F.col("clause_no") * 5 % len(PHRASES)).cast("int")))
-    return rows.select("lease_id", "page", "clause_no", chunking.classify("text", TEST_RULES).alias("clause_type"), chunking.classify(with_words).alias("default_type"))
-
-
-def b9_clause_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.clause_histogram(b8_classify_clause(spark, sf_dir).drop("default_type"))
-
-
-def b10_list_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunking.assign_chunk_ids(chunking.split_clauses(pages(spark, sf_dir)).withColumn("part_no", F.lit(0)))
-    return chunking.list_chunks(rows).select("lease_id", "page", "chunk_no", "clause_type", F.md5("text").alias("digest"))
-
-
-def d5_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tokens("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.concat_ws(" ", t)).alias("digest"))
-
-
-_CLAUSES = r"""
-clause_parts AS (
-  SELECT lease_id, source, page, list_filter(list_transform(CASE
-    WHEN regexp_matches(text, '(?m)^[ \t]*\d{1,2}(?:[.)][ \t]|\.\d+[ \t])') THEN string_split(regexp_replace(text, '(?m)(^[ \t]*\d{1,2}(?:[.)][ \t]|\.\d+[ \t]))', chr(1) || '\1', 'g'), chr(1))
-    WHEN regexp_matches(text, '(?m)^[ \t]*(?:\([a-z]\)|[A-Z]{1,2}\.)[ \t]') THEN string_split(regexp_replace(text, '(?m)(^[ \t]*(?:\([a-z]\)|[A-Z]{1,2}\.)[ \t])', chr(1) || '\1', 'g'), chr(1))
-    WHEN regexp_matches(text, '(?m)^[A-Z][A-Z\s]{5,}$') THEN string_split(regexp_replace(text, '(?m)(^[A-Z][A-Z\s]{5,}$)', chr(1) || '\1', 'g'), chr(1))
-    WHEN regexp_matches(text, '\n[ \t]*\n') THEN string_split(regexp_replace(text, '\n[ \t]*\n', chr(1), 'g'), chr(1))
-    ELSE string_split(regexp_replace(text, '\n(\s*[A-Z])', chr(1) || '\1', 'g'), chr(1)) END,
-    lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts
-  FROM (SELECT source AS lease_id, doc_id::VARCHAR AS source, doc_id + 1 AS page, text FROM documents)
-), clauses AS (
-  SELECT lease_id, source, page, len(parts)::INT AS n_clauses, (unnest(range(len(parts))))::INT AS clause_no, unnest(parts) AS text FROM clause_parts
-)"""
-
 _RULES = "CASE " + " ".join(f"WHEN regexp_matches(text, '{pattern}', 'i') THEN '{kind}'" for kind, pattern, _ in (TEST_RULES[0], TEST_RULES[2], TEST_RULES[1], TEST_RULES[3])) + " ELSE 'other' END"
 _IDS = f"""WITH {_CLAUSES}, ids AS (
   SELECT lease_id, page, clause_no, text, (row_number() OVER (PARTITION BY lease_id ORDER BY page, clause_no) - 1)::BIGINT AS chunk_no FROM clauses)"""
