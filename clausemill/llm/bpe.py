@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 #: A contraction or a white space run can depend on this many characters ahead.
 LOOKAHEAD = 4
 #: Pieces kept in a worker's memory; beyond it the memory starts anew.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -89,6 +89,14 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
+def tokens(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """Bytes of every id; None, which cannot be joined, where a number has no token."""
+    out: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
 class _Pieces(dict):
     """Ids of pieces seen by this worker."""
 
@@ -111,8 +119,8 @@ class Codec:
 
         self.pattern = regex.compile(pattern)
         self.pieces = _Pieces(ranks)
-        self.token = {rank: token for token, rank in ranks.items()}
-        self.decimal = {rank: str(rank) for rank in self.token}
+        self.token = tokens(ranks)
+        self.decimal = list(map(str, range(len(self.token))))
 
     def encode_pieces(self, pieces: Iterable[str]) -> list[int]:
         return list(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
@@ -237,7 +245,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     sent = encoded.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {rank: t for t, rank in sent.value.items()}
+        token = tokens(sent.value)
         for batch in batches:
             out = [None if ids is None else b"".join(map(token.__getitem__, ids)) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "bytes"])

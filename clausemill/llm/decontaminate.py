@@ -26,8 +26,8 @@ SUBSTITUTIONS = 2
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 4, 5, 6))
 #: Test items whose words are at most this many are sent to every executor; a larger test set is joined by a shuffle.
 BROADCAST_WORDS = 400_000
-#: Ids of documents with a hit, up to this many (8 bytes each), are broadcast to pick their texts; more are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
+#: Ids of documents with a hit, up to this many (some 20 bytes each once hashed, 8 MB), are broadcast to pick their texts; more are joined by a shuffle.
+BROADCAST_IDS = 400_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -18,10 +18,13 @@ large block.  Blocks are the hash partitions by shingle:
    overlap counts of pairs of different components.  A pair goes if its count and
    what is left of both rows cannot reach ceil(80 (|A| + |B|) / 180), the overlap
    that its sizes ask for.  The rest is verified on the whole sets.
-3. Classes that share large blocks are dealt to tiles of about TILE, and each pair
-   of tiles takes the product of its whole incidence rows within one task, which
-   sends on only the links that still join something: a large family of edited
-   copies costs multiplications, not rows.
+3. Classes that share large blocks form a family.  Those in its largest component
+   need no comparison among themselves, so only the others are dealt to one side
+   of tiles and the whole family to the other side.  Each pair of tiles takes the
+   product of its incidence rows within one task, which sends on only the links
+   that still join something.  A family of m classes, k of them outside its
+   largest component, sends about 2 m k / TILE rows: few where the hubs joined
+   most of it, quadratic where no two of a large family are linked.
 
 All steps verify exactly, and pairs left out are in one component already, so
 the components are those of all links.
@@ -54,10 +57,10 @@ SIMILAR = 80
 REGION = 0.35
 #: Members of one hub that are compared in one group; a hub with more is copied to several.
 HUB_MEMBERS = 256
-#: Blocks with more classes than this are large; classes of a tile; shingles multiplied at once.
-LARGE, TILE, COLUMNS = 48, 256, 4096
-#: Ids up to this many (8 bytes each) are broadcast to pick rows; more are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
+#: Blocks with more classes than this are large; most classes and about the most shingles of a tile; shingles multiplied at once.
+LARGE, TILE, TILE_SHINGLES, COLUMNS = 48, 1024, 500_000, 4096
+#: Ids up to this many (some 20 bytes each once hashed, 8 MB) are broadcast to pick rows; more are joined by a shuffle.
+BROADCAST_IDS = 400_000
 
 
 def shingle_sets(part: pa.RecordBatch) -> list[np.ndarray]:
@@ -117,8 +120,11 @@ def _prefix(n: int) -> int:
 def _entries(docs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
     """(doc_id, n, h, at): the prefix entries of each class that some other class shares."""
     chosen = docs.select("doc_id", "text").join(F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps, "doc_id", "left_semi")
-    counted = _ordered_first(chosen).withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
-    shared = saved(counted, "shared")
+    first = saved(_ordered_first(chosen), "first")
+    # counted and joined, not by a window: a shingle of very many classes is summed before the shuffle and split in the join
+    frequent = first.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    shared = saved(first.join(frequent, "h"), "shared")
+    drop(first)
     sizes = rows.select("doc_id", "n", "low").dropDuplicates(["doc_id"])
     edge = F.lit(int(REGION * 2**64))
     # hashes are unsigned: negative longs are the upper half of the space
@@ -198,20 +204,20 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
-def _spanning(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that span the components of a few hundred sets, by their blocked product."""
-    m = len(sets)
-    sizes = np.array([len(x) for x in sets])
-    values, at = np.unique(np.concatenate(sets), return_inverse=True)
-    rows = np.repeat(np.arange(m), sizes)
-    overlap = np.zeros((m, m), np.float32)
-    for a in range(0, len(values), COLUMNS):
-        part = (at >= a) & (at < a + COLUMNS)
-        block = np.zeros((m, COLUMNS), np.float32)
-        block[rows[part], at[part] - a] = 1
-        overlap += block @ block.T
-    linked = np.triu(100 * overlap >= SIMILAR * (sizes[:, None] + sizes[None, :] - overlap), 1)
-    label = list(range(m))
+def _spanning(left: list[np.ndarray], right: list[np.ndarray], parts: list[int]) -> list[tuple[int, int]]:
+    """Links between left and right sets that join components, by a blocked product.
+
+    ``parts`` are the components of the left sets, then of the right ones; pairs
+    of one component are left out.
+    """
+    common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    overlap = np.zeros((len(left), len(right)), np.float32)
+    for a in range(0, len(common), COLUMNS):
+        part = common[a : a + COLUMNS]
+        overlap += _incidence(left, part) @ _incidence(right, part).T
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    linked = 100 * overlap >= SIMILAR * (sizes[0][:, None] + sizes[1][None, :] - overlap)
+    label = {p: p for p in parts}
 
     def top(i: int) -> int:
         while label[i] != i:
@@ -221,45 +227,61 @@ def _spanning(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
     out = []
     for x, y in np.argwhere(linked).tolist():
-        p, q = top(x), top(y)
+        p, q = top(parts[x]), top(parts[len(left) + y])
         if p != q:
             label[max(p, q)] = min(p, q)
             out.append((x, y))
     return out
 
 
+def _incidence(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+    """Incidence rows of sorted sets over sorted shingles."""
+    out = np.zeros((len(sets), len(part)), np.float32)
+    for row, s in zip(out, sets, strict=True):
+        s = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")]
+        at = np.searchsorted(part, s)
+        row[at[part[at] == s]] = 1
+    return out
+
+
 def _tile_links(entries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) that span the components among classes sharing the large blocks of (h, doc_id)."""
+    """Links (a, b) that join components among classes sharing the large blocks of (h, doc_id, n, c)."""
     hubs = saved(entries.groupBy("h").agg(F.min("doc_id").alias("b")), "hubs")
     stars = saved(entries.join(hubs, "h").select(F.col("doc_id").alias("a"), "b").distinct(), "stars")
-    family = saved(components(stars), "families")  # (id, component)
-    sizes = saved(family.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "tiles")
+    known = entries.select(F.col("doc_id").alias("id"), "n", "c").distinct()
+    family = saved(known.join(components(stars).withColumnRenamed("component", "family"), "id"), "families")
+    parts = family.groupBy("family", "c").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    sizes = parts.groupBy("family").agg(F.max(F.struct("m", "c"))["c"].alias("main"), *(F.sum(x).alias(x) for x in ("m", "n")), F.max("m").alias("most"), F.max(F.struct("m", "n"))["n"].alias("main_n"))
+    tiles = [F.ceil(F.greatest(m / TILE, n / TILE_SHINGLES, F.lit(1))).cast("int") for m, n in ((F.col("m"), F.col("n")), (F.col("m") - F.col("most"), F.col("n") - F.col("main_n")))]
+    sizes = saved(sizes.select("family", "main", tiles[0].alias("tiles"), tiles[1].alias("outs")), "tiles")
     texts = saved(_picked(docs, family.select("id")), "texts")
-    placed = family.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).join(texts, "id")
-    met = met.select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "size", "frame")
+    placed = family.join(sizes, "family").withColumn("own", F.xxhash64("id"))
+    every = F.sequence(F.lit(0), F.col("outs") - 1)
+    right = placed.select("family", F.explode(every).alias("x"), F.pmod("own", F.col("tiles")).cast("int").alias("y"), F.lit(1).alias("side"), "id", "c")
+    every = F.sequence(F.lit(0), F.col("tiles") - 1)
+    left = placed.where("c <> main").select("family", F.pmod("own", F.col("outs")).cast("int").alias("x"), F.explode(every).alias("y"), F.lit(0).alias("side"), "id", "c")
+    met = left.unionByName(right).join(texts, "id").select("family", "x", "y", "side", "id", "c", "size", "frame")
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets = None, [], []
+        key, sides = None, ([], [])  # (id, component, set) of each side
 
         def done() -> pa.RecordBatch:
-            pairs = _spanning(sets) if len(sets) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([ids[x] for x, _ in pairs], pa.int64()), pa.array([ids[y] for _, y in pairs], pa.int64())], ["a", "b"])
+            pairs = []
+            if sides[0] and sides[1]:
+                pairs = _spanning(*([s for _, _, s in side] for side in sides), [c for side in sides for _, c, _ in side])
+            return pa.RecordBatch.from_arrays([pa.array([sides[0][x][0] for x, _ in pairs], pa.int64()), pa.array([sides[1][y][0] for _, y in pairs], pa.int64())], ["a", "b"])
 
         for batch in batches:
             for part in _unpacked(batch) if batch.num_rows else ():
-                keys = zip(*(part.column(c).to_pylist() for c in ("component", "x", "y")), strict=True)
-                for one, i, s in zip(keys, part.column("id").to_pylist(), shingle_sets(part), strict=True):
+                columns = [part.column(c).to_pylist() for c in ("family", "x", "y", "side", "id", "c")]
+                for *one, side, i, c, s in zip(*columns, shingle_sets(part), strict=True):
                     if one != key:
-                        if sets:
-                            yield done()
-                        key, ids, sets = one, [], []
-                    ids.append(i)
-                    sets.append(s)
-        if sets:
-            yield done()
-
-    links = saved(met.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y").mapInArrow(product, "a long, b long"), "links")
+                        yield done()
+                        key, sides = one, ([], [])
+                    sides[side].append((i, c, s))
+        yield done()
+
+    links = saved(met.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(product, "a long, b long"), "links")
     for table in (hubs, stars, family, sizes, texts):
         drop(table)
     return links
@@ -283,7 +305,7 @@ def document_components(docs: DataFrame) -> DataFrame:
     marked = saved(marked, "marked")
     mixed = saved(marked.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high").select("h", (F.col("m") > LARGE).alias("large")), "mixed")
     open_ = saved(marked.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "h"), "open")
-    tiled = _tile_links(open_.where("large").select("h", "doc_id"), docs)
+    tiled = _tile_links(open_.where("large").select("h", "doc_id", "n", "c"), docs)
     open_ = open_.where("not large")
     left = open_.select("h", *(F.col(x).alias(f"a_{x}") for x in ("doc_id", "n", "c", "at")))
     right = open_.select("h", *(F.col(x).alias(f"b_{x}") for x in ("doc_id", "n", "c", "at")))

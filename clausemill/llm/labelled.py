@@ -19,9 +19,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int
     """(text, y) of about ``most`` labelled documents at most, none of them held out.
 
     The labels are drawn by a hash of their id before the join, so the side that
-    is broadcast has a fixed bound.
+    is broadcast has a fixed bound.  Of several labels of one id the largest
+    counts.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(~held_out("doc_id", parts, part) & F.col("y").isNotNull()).dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(~held_out("doc_id", parts, part) & F.col("y").isNotNull()).groupBy("doc_id").agg(F.max("y").alias("y"))
     count = known.count()
     if count > most:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * most / count)))

@@ -36,11 +36,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import held_out, logistic, sample, sigmoid
+from .tables import drop, saved
 
 PARTS, PART = 5, 0
+#: Partitions of the bounded sample; the documents are read in as many tasks as they have.
+SAMPLE_PARTS = 16
 #: Stems: lengths, least share (and number) of toxic documents that repeat one, and how much rarer that must be in others.
 LENGTHS = range(3, 9)
 LEAST_SHARE, LEAST_DOCS, LEAST_LIFT = 0.015, 4, 12.0
+#: Prefixes that a task holds before it sends their counts on.
+HELD = 50_000
 #: Weight of a threat.
 THREAT_WEIGHT = 6.0
 
@@ -180,15 +185,22 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[int]] = {}
+
+        def counts() -> pa.RecordBatch:
+            columns = zip(*found.values(), strict=True) if found else ([], [], [], [])
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array(list(c), pa.int64()) for c in columns)], ["stem", "yes", "no", "yes2", "no2"])
+
         for batch in batches:
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                own = Counter(w[:n] for w in _WORD.findall(text.lower()) for n in LENGTHS if len(w) >= n)
+            for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
+                own = Counter(w[:n] for w in _WORD.findall(text.as_py().lower()) for n in LENGTHS if len(w) >= n)
                 for stem, times in own.items():
                     row = found.setdefault(stem, [0, 0, 0, 0])
                     row[1 - y] += 1
                     row[3 - y] += times > 1
-        columns = zip(*found.values(), strict=True) if found else ([], [], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array(list(c), pa.int64()) for c in columns)], ["stem", "yes", "no", "yes2", "no2"])
+                if len(found) >= HELD:
+                    yield counts()
+                    found.clear()
+        yield counts()
 
     sums = rows.where("y in (0, 1)").mapInArrow(prefixes, "stem string, yes long, no long, yes2 long, no2 long").groupBy("stem").agg(*(F.sum(c).alias(c) for c in ("yes", "no", "yes2", "no2")))
     lift2 = (F.col("yes2") / max(1, toxic)) / ((F.col("no2") + 0.5) / max(1, clean))
@@ -259,7 +271,11 @@ def clean(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
 
 
 def fit_tables(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(sample(docs, labels, "toxic", PARTS, PART).coalesce(8))
+    """Fit on the labelled sample, which is written once as several passes read it."""
+    rows = saved(sample(docs, labels, "toxic", PARTS, PART).repartition(SAMPLE_PARTS), "toxicity-sample")
+    model = fit(rows)
+    drop(rows)
+    return model
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 A word is a maximal run of bytes other than space and 0x09-0x0D, which is the
 pattern ``[^\\x20\\x09-\\x0D]+`` on the decoded text, as UTF-8 never uses those
 bytes inside a longer character.  Everything here works on one slice of a batch
-(some MB), so that a Python worker's memory does not depend on the table.
+(a quarter of a MB, or one longer text), so that a Python worker's memory does not depend on the table.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ _INK[list(SPACE_BYTES)] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 #: Bytes of text handled at once; a single longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 256 << 10
 
 
 def _family(seed: int) -> tuple[np.ndarray, np.uint64]:
@@ -93,13 +93,19 @@ class Words:
         if not len(self):
             return np.zeros(0, np.uint64)
         table, base = FAMILIES[family]
-        body = self.data[self.ink]
+        table = table[_LOWER] if lower else table
         lens = self.end - self.start
-        at = np.cumsum(lens) - lens
-        place = np.arange(len(body)) - np.repeat(at, lens)
         powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(int(lens.max()) - 1, base, np.uint64))), dtype=np.uint64)
-        values = (table[_LOWER[body]] if lower else table[body]) * powers[place]
-        return mix(np.add.reduceat(values, at) ^ (lens.astype(np.uint64) << np.uint64(40)))
+        out = np.empty(len(self), np.uint64)
+        # some words at a time, as the temporaries take tens of bytes a character
+        cuts = [0, *(np.flatnonzero(np.diff(self.start // SLICE_BYTES)) + 1).tolist(), len(self)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            span = slice(self.start[a], self.end[b - 1])
+            values = table[self.data[span][self.ink[span]]]
+            at = np.cumsum(lens[a:b]) - lens[a:b]
+            values *= powers[np.arange(len(values)) - np.repeat(at, lens[a:b])]
+            out[a:b] = np.add.reduceat(values, at)
+        return mix(out ^ (lens.astype(np.uint64) << np.uint64(40)))
 
 
 def rolled(hashes: np.ndarray, width: int, family: int = 0) -> np.ndarray:
