@@ -8,13 +8,19 @@ The smallest density on the path from the node of the largest density sum up to
 body is the threshold; the subtree with the largest density sum whose density
 reaches it is the article.
 
-Elements that never hold article text (scripts, forms, navigation ...) and
-elements whose class, id or role names boilerplate or reader comments are taken
-out before the densities are computed.
+The whole page is parsed into a tree first, with the end tags that HTML lets authors
+omit.  Scripts, styles and the like never enter it.  Navigation, asides, forms and
+elements whose class, id or role names boilerplate or reader comments are then taken
+out, unless they hold the article: the largest <article> or <main> that is no comment
+or, on pages without one, more than half of the text with a main heading or several
+paragraphs.  So a class such as ``has-sidebar`` on a wrapper, a form around the page
+or a <nav> that is never closed costs nothing.  Densities are computed on what is
+left.
 
 Defined results: null or empty html gives an empty text; broken or cut markup is
-closed at the end; a page whose body has no text gives an empty text; repeated
-rows pass through one for one; columns other than page_id, url and html are
+closed at the end; a page whose body has no text gives an empty text; of equal
+density sums the longer text counts, and of equal lengths the first in page order;
+repeated rows pass through one for one; columns other than page_id, url and html are
 ignored.
 """
 
@@ -31,8 +37,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Elements whose content is not markup.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that are never part of an article.
-OUTSIDE = frozenset("head script style noscript template iframe object svg canvas nav footer aside form button select option textarea input label dialog menu title map audio video".split())
+#: Elements whose content is never text of the page.
+OUTSIDE = frozenset("head script style noscript template iframe object svg canvas button select option textarea input label title map audio video".split())
+#: Elements that are never part of an article, but may be left open or wrapped around one.
+STRUCTURAL = frozenset("nav footer aside form dialog menu".split())
 #: Elements whose edges separate blocks of text.
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html"
@@ -43,15 +51,24 @@ NODES = BLOCKS - {"br", "hr"}
 #: An opening tag closes these when they are still open, up to the nearest container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = frozenset("html body article section div main ul ol dl table tbody thead tfoot td th blockquote aside nav header footer form figure details".split())
-#: Words in class, id and role that name boilerplate.
+#: Words in class, id and role that name boilerplate, and those that name what readers wrote.
 BOILERPLATE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies copyright disclaimer"
-    " disqus dropdown feedback footer form gdpr header hidden login masthead menu menus modal nav navbar navigation navlinks newsletter notice notices notification overlay pager pagination paywall popup"
-    " promo promoted promotion recommend recommended recommendations related remark remarks replies reply respond responses review reviews search share sharing sidebar signup skip skyscraper social sponsor sponsored sponsors"
+    "ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs consent contentinfo cookie cookies copyright disclaimer"
+    " dropdown footer form gdpr header hidden login masthead menu menus modal nav navbar navigation navlinks newsletter notice notices notification overlay pager pagination paywall popup"
+    " promo promoted promotion recommend recommended recommendations related search share sharing sidebar signup skip skyscraper social sponsor sponsored sponsors"
     " subscribe subscription tagcloud tags toolbar topbar tracking widget widgets".split()
 )
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
+COMMENTS = frozenset("comment comments commentlist disqus feedback remark remarks replies reply respond responses review reviews".split())
+#: Words that make a name say something about another element, as in has-sidebar, and words that make a header the article's own.
+ABOUT = frozenset("has no not with without is show open closed enabled disabled on off".split())
+CONTENT = frozenset("article content entry main post story".split())
+
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s=>/]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+|=)*+)>",
+    re.S,
+)
+_ALONE = re.compile(r"(?<!=)(?:^|[\s\"'])/\s*\Z")
 _CUT = re.compile(r"<[!/a-zA-Z][^>]*\Z")
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PARTS = re.compile(r"[a-z]+")
@@ -60,31 +77,48 @@ _BLANK = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "loose", "parent", "parts", "sum", "tag", "tags")
+    __slots__ = ("chars", "children", "density", "kind", "link_chars", "link_tags", "loose", "own", "parent", "parts", "sum", "tag", "tags")
 
-    def __init__(self, tag: str, parent: _Node | None):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: _Node | None, kind: str = ""):
+        self.tag, self.parent, self.kind = tag, parent, kind
         self.children: list[_Node] = []
         self.parts: list[str | _Node] = []  # texts and child nodes in page order
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.own = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def _named_boilerplate(attributes: str) -> bool:
-    for m in _NAMED.finditer(attributes):
+def _kind(tag: str, attributes: str) -> str:
+    """What an element's tag and names say it is: boilerplate, comments, hidden, or nothing."""
+    found = "boilerplate" if tag in STRUCTURAL else ""
+    for m in _NAMED.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return "hidden"
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        elif not BOILERPLATE.isdisjoint(_PARTS.findall(_CAMEL.sub(" ", html.unescape(value)).lower())):
-            return True
-    return False
+                return "hidden"
+            continue
+        for token in html.unescape(value).split():
+            parts = set(_PARTS.findall(_CAMEL.sub(" ", token).lower()))
+            if parts & ABOUT or parts & CONTENT and "header" in parts:
+                continue
+            if parts & COMMENTS:
+                return "comments"
+            if parts & BOILERPLATE and tag not in ("article", "main", "h1"):
+                found = "boilerplate"
+    return found
+
+
+def _closed(node: _Node, tags: frozenset | set, stops: frozenset) -> _Node:
+    """Where the page goes on once the nearest open element of ``tags`` is closed, if there is one below the stops."""
+    up = node
+    while up.parent and up.tag not in tags and up.tag not in stops:
+        up = up.parent
+    return up.parent if up.tag in tags and up.parent else node
 
 
 def parse(page: str) -> _Node:
-    """The DOM of a page without the elements that hold no article text."""
+    """The DOM of a page, without the elements whose content is never text."""
     root = node = _Node("html", None)
     at, skip, depth = 0, "", 0  # skip: the element being left out and its nesting
     articles = 0
@@ -96,11 +130,13 @@ def parse(page: str) -> _Node:
             if m[1] and not skip:
                 node.parts.append(m[1])
             continue
-        tag, closing, alone = m[3].lower(), bool(m[2]), bool(m[5])
+        tag, closing, alone = m[3].lower(), bool(m[2]), bool(m[4]) and bool(_ALONE.search(m[4]))
         if not closing and tag in RAW:  # jump over content that is not markup
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
+        if skip and (tag in BLOCKS or tag == "body") and skip in ("option", "label", "head"):  # their end tags may be missing
+            skip = ""
         if skip:
             if tag == skip:
                 depth += -1 if closing else 0 if alone else 1
@@ -112,31 +148,21 @@ def parse(page: str) -> _Node:
             while up.parent and up.tag != tag and not (up.tag in CONTAINERS and tag not in CONTAINERS):
                 up = up.parent
             if up.tag == tag and up.parent:
-                while node is not up:
+                while node is not up.parent:
+                    articles -= node.tag in ("article", "main")
                     node = node.parent
-                node = up.parent
-                articles -= tag in ("article", "main")
             continue
         if tag in ("html", "body"):
             continue
-        outside = tag in OUTSIDE or tag == "header" and not articles or (tag not in ("article", "main", "h1")) and _named_boilerplate(m[4] or "")
         if tag in BLOCKS and tag not in ("br", "hr"):  # a block ends an open paragraph
-            up = node
-            while up.parent and up.tag != "p" and up.tag not in CONTAINERS:
-                up = up.parent
-            if up.tag == "p" and up.parent:
-                node = up.parent
+            node = _closed(node, {"p"}, CONTAINERS)
         if tag in CLOSES:
-            up = node
-            while up.parent and up.tag not in CLOSES[tag] and up.tag not in CONTAINERS - CLOSES[tag]:
-                up = up.parent
-            if up.tag in CLOSES[tag] and up.parent:
-                node = up.parent
-        if outside:
+            node = _closed(node, CLOSES[tag], CONTAINERS - CLOSES[tag])
+        if tag in OUTSIDE:
             if tag not in VOID and not alone:
                 skip, depth = tag, 1
             continue
-        child = _Node(tag, node)
+        child = _Node(tag, node, "boilerplate" if tag == "header" and not articles else _kind(tag, m[4]))
         node.children.append(child)
         node.parts.append(child)
         if tag not in VOID and not alone:
@@ -147,6 +173,46 @@ def parse(page: str) -> _Node:
     return root
 
 
+def prune(root: _Node) -> _Node:
+    """Take out boilerplate and comments, but nothing that holds the article."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(reversed(node.children))
+    chars: dict[_Node, int] = {}
+    for node in reversed(order):
+        node.own = sum(len(word) for p in node.parts if isinstance(p, str) for word in p.split())
+        chars[node] = node.own + sum(chars[c] for c in node.children)
+    out: set[_Node] = set()  # inside comments or hidden
+    for node in order:
+        if node.parent in out or node.kind in ("comments", "hidden"):
+            out.add(node)
+    mains = [n for n in order if n.tag in ("article", "main") and n not in out and chars[n]]
+    main = max(mains, key=lambda n: chars[n], default=None)
+    holds = set()
+    while main is not None:
+        holds.add(main)
+        main = main.parent
+    below: dict[_Node, tuple[int, int]] = {}  # main headings and paragraphs with text
+    for node in reversed(order):
+        own = (int(node.tag == "h1"), int(node.tag == "p" and chars[node] > 0))
+        below[node] = tuple(map(sum, zip(own, *(below[c] for c in node.children), strict=True)))
+
+    def stays(node: _Node) -> bool:
+        if not node.kind or node in holds:
+            return True
+        wrapper = not mains and 2 * chars[node] > chars[root] and (below[node][0] > 0 or below[node][1] > 1)
+        return wrapper and node.kind == "boilerplate"
+
+    for node in order:
+        gone = {c for c in node.children if not stays(c)}
+        if gone:
+            node.children = [c for c in node.children if c not in gone]
+            node.parts = [" " if p in gone else p for p in node.parts]
+    return root
+
+
 def _density(chars: int, tags: int, link_chars: int, link_tags: int, body_ratio: float) -> float:
     """Composite text density of one node's counts."""
     if not chars:
@@ -166,9 +232,9 @@ def _measure(root: _Node) -> list[_Node]:
     while stack:
         node = stack.pop()
         order.append(node)
-        stack.extend(node.children)
+        stack.extend(reversed(node.children))
     for node in reversed(order):
-        own = sum(len(_BLANK.sub("", p)) for p in node.parts if isinstance(p, str))
+        own = node.own
         inline = [c for c in node.children if c.tag not in NODES]
         node.chars = own + sum(c.chars for c in node.children)
         node.tags = sum(c.tags + 1 for c in node.children)
@@ -196,7 +262,7 @@ def article(root: _Node) -> _Node | None:
         threshold = min(threshold, up.density) if up.tag in NODES else threshold
         up = up.parent
     passing = [n for n in full if n.density >= threshold]
-    return max(passing, key=lambda n: (n.sum, n.chars))
+    return max(passing, key=lambda n: (n.sum, n.chars))  # the first of equals, as nodes come in page order
 
 
 def text_of(node: _Node | None) -> str:
@@ -228,7 +294,7 @@ def text_of(node: _Node | None) -> str:
 
 def extract(page: str | None) -> str:
     """Main text of one page."""
-    return text_of(article(parse(page))) if page else ""
+    return text_of(article(prune(parse(page)))) if page else ""
 
 
 def main_text(pages: DataFrame) -> DataFrame:

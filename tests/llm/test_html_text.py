@@ -1,7 +1,8 @@
 import html
+import math
 import re
 
-from clausemill.llm.html_text import extract, main_text
+from clausemill.llm.html_text import _measure, article, extract, main_text, parse, prune
 
 BODY = "<h1>Head</h1><p>First <b>bold</b>&amp; text that is long enough to count.</p><p>Second\n  paragraph, also long enough,<br>with a break.</p>"
 TEXT = "Head First bold& text that is long enough to count. Second paragraph, also long enough, with a break."
@@ -17,6 +18,69 @@ def test_boilerplate_goes():
     assert extract(page.replace("<article>", "<div id=content>").replace("</article>", "</div>")) == TEXT
 
 
+LINKS = "<ul><li><a href=/>Home</a></li><li><a href=/x>News</a></li></ul>"
+
+
+def test_names_on_wrappers_and_missing_end_tags():
+    for page in (
+        f'<div class="wrapper has-sidebar"><article>{BODY}</article></div>',
+        f'<body><nav>{LINKS}</nav><div id="content" class="post no-comments">{BODY}</div><footer>f</footer>',
+        f"<form action=x><div><nav>{LINKS}</nav></div><div class=c>{BODY}</div></form>",
+        f"<nav>{LINKS}<div id=content>{BODY}</div>",
+        f"<nav>{LINKS}<article>{BODY}</article>",
+        f'<article><p class="notice">Note this{BODY}</article>',
+        f'<div><ul><li class="share">Share it</ul>{BODY}</div>',
+        f"<div data-x=it's><nav>{LINKS}</nav><article>{BODY}</article></div><p>it's",
+        f'<div class="page"><div class="article-header"><h1>Head</h1></div>{BODY.removeprefix("<h1>Head</h1>")}</div>',
+        f'<div class="layout sidebar-right"><div class=side-nav>{LINKS}</div><div class=content>{BODY}</div></div>',
+    ):
+        assert extract(page) == TEXT, page
+
+
+def test_articles_of_readers_and_teasers_are_not_the_article():
+    said = '<article class="comment"><p>A reader says much here. </p></article>' * 30
+    assert extract(f"<article>{BODY}</article><section id=comments>{said}</section>") == TEXT
+    assert extract(f"<main>{BODY}</main><aside>{'<article><a href=x>Teaser one</a></article>' * 3}</aside>") == TEXT
+
+
+def test_pages_without_an_article_element():
+    """Density alone finds the text between lists of links, banners and boxes."""
+    box = "<div><div><a href=#>Offer</a> <a href=#>More offers</a></div><div><a href=#>Terms</a></div></div>"
+    body = "<h1>Head</h1>" + "".join(f"<p>Paragraph {k} of a text that goes on for quite a while, as texts do.</p>" for k in range(6))
+    text = " ".join(["Head", *(f"Paragraph {k} of a text that goes on for quite a while, as texts do." for k in range(6))])
+    for page in (f"<body>{box}<div>{body}</div>{box}</body>", f"<table><tr><td>{LINKS}<td><div>{body}</div><td>{box}</table>", f"<div><div>{LINKS}</div><section>{body}</section><div>{LINKS}{box}</div></div>"):
+        assert extract(page) == text, page
+
+
+def test_density_against_plain():
+    """Counts, densities and sums of every node, by walking the tree anew for each."""
+    root = prune(parse(f"<body><div><p>one <a href=x>two</a></p>loose <b>text</b><ul><li><a>three</a><li>four</ul></div><section>{BODY}</section></body>"))
+    nodes = _measure(root)
+
+    def walk(n):
+        return [n, *(m for c in n.children for m in walk(c))]
+
+    def text(n):
+        return "".join(p if isinstance(p, str) else text(p) for p in n.parts)
+
+    def size(x):
+        return len(re.sub(r"\s", "", x))
+
+    def link_chars(n):
+        return size(text(n)) if n.tag == "a" else sum(map(link_chars, n.children))
+
+    ratio = link_chars(root) / size(text(root))
+    for n in nodes:
+        below = walk(n)[1:]
+        assert (n.chars, n.tags, n.link_chars, n.link_tags) == (size(text(n)), len(below), link_chars(n), sum(m.tag == "a" for m in below))
+        if n.chars:
+            c, t, lc, lt = n.chars, max(1, n.tags), max(1, n.link_chars), max(1, n.link_tags)
+            base = math.log(c / max(1, c - n.link_chars) * lc + ratio * c + math.e)
+            assert abs(n.density - c / t * math.log(c / lc * t / lt + 1) / max(1.0, math.log(base + math.e - 1))) < 1e-9
+    best = article(root)
+    assert best is max(nodes, key=lambda n: n.sum if n.density >= min(m.density for m in nodes if m is root or best in walk(m)) else -1)
+
+
 def test_link_lists_lose():
     links = "<div>" + "".join(f"<p><a href=#>Link number {k}</a></p>" for k in range(20)) + "</div>"
     assert extract(f"<body>{links}<div>{BODY}</div></body>") == TEXT
