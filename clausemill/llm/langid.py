@@ -11,14 +11,15 @@ Words are runs of letters, lower-cased, with a leading mark as in the
 vocabulary; characters that no piece covers fall back to one piece of a small
 fixed probability, so every word has a segmentation.
 
-Training reads at most ``SAMPLE`` labelled documents, drawn by a hash of their
-text; piece counts are summed by Spark and only one number for each piece and
-language reaches the driver.
+The languages are those of all labelled rows.  Training reads at most about
+``SAMPLE`` texts, an equal number for each language, drawn by a hash of the text;
+equal texts count once, and each language has one text at least.  Piece counts are
+summed by Spark and only one number for each piece and language reaches the driver.
 
 Defined results: null text or a text without a letter is ``und`` with score 0;
 ties go to the first language in order of name; repeated rows and null ids pass
-through one for one; with no labelled document every text is ``und``; other
-columns are ignored.
+through one for one (a null id counts as held out); with no labelled document every
+text is ``und``; words of any length count whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,11 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import held_out
+from .tables import drop, saved
 
-#: Most labelled documents that a fit reads.
+#: About the most labelled texts that a fit reads.
 SAMPLE = 6_000
-#: Longest piece in characters, with the word mark.
-LONGEST = 8
+#: Words over this length are summed as logarithms, as their products may leave the range of a float.
+LONG = 40
 #: Passes of expectation-maximisation after the first count.
 PASSES = 2
 #: Probability of a character outside the vocabulary, and count added to each piece.
@@ -49,11 +51,11 @@ REMEMBERED = 400_000
 
 
 def vocabulary(path: str) -> list[str]:
-    """Pieces of a sentencepiece model, of at most LONGEST characters, letters only."""
+    """Pieces of a sentencepiece model that are made of lower-case letters."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    found = {p for p in map(model.id_to_piece, range(model.get_piece_size())) if len(p) <= LONGEST and p.removeprefix(MARK).isalpha() and p == p.lower()}
+    found = {p for p in map(model.id_to_piece, range(model.get_piece_size())) if p.removeprefix(MARK).isalpha() and p == p.lower()}
     return sorted(found | {MARK})
 
 
@@ -68,6 +70,7 @@ class Lattice:
         order = np.argsort(np.array(codes, np.uint64))
         self.keys, self.ids = np.array(codes, np.uint64)[order], order
         self.size = len(pieces)
+        self.longest = max(map(len, pieces), default=1)
 
     @staticmethod
     def _hash(chars: np.ndarray) -> np.ndarray:
@@ -83,7 +86,7 @@ class Lattice:
         n = chars.shape[1]
         for i in range(n):
             run = np.zeros(len(chars), np.uint64)
-            for j in range(i, min(n, i + LONGEST)):
+            for j in range(i, min(n, i + self.longest)):
                 run = (run + chars[:, j] + np.uint64(1)) * _BASE
                 run ^= run >> np.uint64(29)
                 at = np.searchsorted(self.keys, run)
@@ -107,32 +110,39 @@ def _groups(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield np.array(part), np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(len(part), n).astype(np.uint64)
 
 
-def _forward(edges, n: int, rows: int, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward sums of each position, scaled; log of the total of each word."""
+def _weights(piece: np.ndarray, width: int, prob: np.ndarray) -> np.ndarray:
+    """Probabilities of the pieces on one edge; only a single character may be unknown."""
+    p = prob[piece]
+    return np.where((piece == len(prob) - 1)[:, None], 0.0, p) if width > 1 else p
+
+
+def _forward(edges, n: int, rows: int, prob: np.ndarray) -> np.ndarray:
+    """Sum over the segmentations of each word's beginning up to each position."""
     ahead = np.zeros((n + 1, rows, prob.shape[1]))
     ahead[0] = 1.0
-    for j in range(1, n + 1):
-        for i in range(max(0, j - LONGEST), j):
-            piece = edges.get((i, j))
-            if piece is not None:
-                p = prob[piece]
-                if j - i > 1:
-                    p = np.where((piece == len(prob) - 1)[:, None], 0.0, p)
-                ahead[j] += ahead[i] * p
-    return ahead, np.log(np.maximum(ahead[n], 1e-300))
+    for (i, j), piece in sorted(edges.items(), key=lambda e: e[0]):
+        ahead[j] += ahead[i] * _weights(piece, j - i, prob)
+    return ahead
+
+
+def _log_sums(edges, n: int, rows: int, prob: np.ndarray, back: bool = False) -> np.ndarray:
+    """Logs of what ``_forward`` gives, or of the sums from each position to the end."""
+    out = np.full((n + 1, rows, prob.shape[1]), -np.inf)
+    out[n if back else 0] = 0.0
+    with np.errstate(divide="ignore"):
+        for (i, j), piece in sorted(edges.items(), key=lambda e: e[0], reverse=back):
+            here, there = (i, j) if back else (j, i)
+            out[here] = np.logaddexp(out[here], out[there] + np.log(_weights(piece, j - i, prob)))
+    return out
 
 
 def word_scores(words: list[str], lattice: Lattice, prob: np.ndarray) -> np.ndarray:
-    """Log-probability of each word in each language, over all segmentations.
-
-    Words over 40 characters count as their parts of 40.
-    """
+    """Log-probability of each word in each language, over all segmentations."""
     out = np.zeros((len(words), prob.shape[1]))
     for where, chars in _groups(words):
-        n = chars.shape[1]
-        for a in range(0, n, 40):
-            part = chars[:, a : a + 40]
-            out[where] += _forward(lattice.edges(part), part.shape[1], len(part), prob)[1]
+        rows, n = chars.shape
+        edges = lattice.edges(chars)
+        out[where] = _log_sums(edges, n, rows, prob)[n] if n > LONG else np.log(_forward(edges, n, rows, prob)[n])
     return out
 
 
@@ -140,23 +150,21 @@ def expected_counts(words: list[str], weights: np.ndarray, lattice: Lattice, pro
     """Expected uses of each piece, words weighted by language: (pieces + 1, languages)."""
     total = np.zeros_like(prob)
     for where, chars in _groups(words):
-        for a in range(0, chars.shape[1], 40):
-            part = chars[:, a : a + 40]
-            n, rows = part.shape[1], len(part)
-            edges = lattice.edges(part)
-            ahead, _ = _forward(edges, n, rows, prob)
-            back = np.zeros_like(ahead)
-            back[n] = weights[where] / np.maximum(ahead[n], 1e-300)
-            for j in range(n, 0, -1):
-                for i in range(max(0, j - LONGEST), j):
-                    piece = edges.get((i, j))
-                    if piece is not None:
-                        p = prob[piece]
-                        if j - i > 1:
-                            p = np.where((piece == len(prob) - 1)[:, None], 0.0, p)
-                        use = p * back[j]
-                        back[i] += use
-                        np.add.at(total, piece, ahead[i] * use)
+        rows, n = chars.shape
+        edges = lattice.edges(chars)
+        if n > LONG:
+            ahead, back = (_log_sums(edges, n, rows, prob, way) for way in (False, True))
+            for (i, j), piece in edges.items():
+                share = np.exp(ahead[i] + back[j] - ahead[n])
+                np.add.at(total, piece, share * _weights(piece, j - i, prob) * weights[where])
+            continue
+        ahead = _forward(edges, n, rows, prob)
+        back = np.zeros_like(ahead)
+        back[n] = weights[where] / ahead[n]
+        for (i, j), piece in sorted(edges.items(), key=lambda e: e[0], reverse=True):
+            use = _weights(piece, j - i, prob) * back[j]
+            back[i] += use
+            np.add.at(total, piece, ahead[i] * use)
     return total
 
 
@@ -219,13 +227,19 @@ class Model:
         return [self.languages[b] if s else "und" for b, s in zip(best, some, strict=True)], np.where(some, score, 0.0)
 
 
+def _sample(labelled: DataFrame, most: int) -> tuple[list[str], DataFrame]:
+    """All languages, and about ``most`` distinct (text, lang) rows, as many of each language."""
+    draw = F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min(draw).alias("least")).collect()  # one row a language
+    if not counts:
+        return [], labelled
+    bounds = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, max(r.least, int(min(1.0, most / len(counts) / r.n) * 1_000_000) - 1))))
+    return sorted(r.lang for r in counts), saved(labelled.where(draw <= bounds[F.col("lang")]).distinct(), "language-sample")
+
+
 def fit(labelled: DataFrame, pieces: list[str], sample: int = SAMPLE, passes: int = PASSES) -> Model:
     """Fit on (text, lang) rows, of which at most about ``sample`` are read."""
-    labelled = labelled.select("text", "lang").where("text is not null and lang is not null")
-    count = labelled.count()
-    if count > sample:
-        labelled = labelled.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample / count)))
-    languages = sorted(r.lang for r in labelled.select("lang").distinct().collect())
+    languages, labelled = _sample(labelled.select("text", "lang").where("text is not null and lang is not null"), sample)
     counts = np.ones((len(pieces) + 1, len(languages)))
     model = Model(languages, pieces, counts)
     if not languages:
@@ -259,6 +273,7 @@ def fit(labelled: DataFrame, pieces: list[str], sample: int = SAMPLE, passes: in
         counts = np.zeros((len(pieces) + 1, len(languages)))
         counts[rows["piece"], rows["lang"]] = rows["uses"]
         model = Model(languages, pieces, counts)
+    drop(labelled)
     return model
 
 

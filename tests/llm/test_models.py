@@ -1,5 +1,9 @@
 """Language, quality, toxicity: pieces against plain versions, held-out accuracy, odd rows."""
 
+import math
+import random
+from fractions import Fraction
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -27,6 +31,71 @@ def test_forward_sums_all_segmentations():
         assert abs(counts[k, 0] - sum(p * way.count(piece) for way, p in ways.items()) / sum(ways.values())) < 1e-9
 
 
+def test_long_words_count_whole():
+    pieces = ["▁", "a", "b", "aba", "bab", "abababababab"]
+    rng = np.random.default_rng(1)
+    prob = np.vstack([rng.dirichlet(np.ones(len(pieces)), 2).T, np.full((1, 2), 1e-7)])
+    lattice = langid.Lattice(pieces)
+    assert lattice.longest == 12
+
+    def plain(w, lang):  # exact sums of fractions
+        sums = [Fraction(1)]
+        for j in range(1, len(w) + 1):
+            sums.append(sum((sums[i] * Fraction(dict(zip(pieces, prob[:, lang], strict=False)).get(w[i:j], 1e-7 if j == i + 1 else 0.0)) for i in range(max(0, j - 12), j)), Fraction(0)))
+        return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+    for w in ("▁" + "ab" * 25, "▁" + "abz" * 40, "▁" + "z" * 120):
+        got = langid.word_scores([w], lattice, prob)[0]
+        assert np.allclose(got, [plain(w, 0), plain(w, 1)], rtol=1e-9)
+    words, weights = ["▁" + "ab" * 15, "▁ba"], np.array([[1.0, 2.0], [3.0, 0.5]])
+    short = langid.expected_counts(words, weights, lattice, prob)
+    langid.LONG, kept = 1, langid.LONG
+    assert np.allclose(langid.expected_counts(words, weights, lattice, prob), short) and np.allclose(langid.word_scores(words, lattice, prob), [[plain(w, k) for k in (0, 1)] for w in words])
+    langid.LONG = kept
+
+
+def test_language_fit_and_predictions_against_plain(spark, documents):
+    """Two passes of expectation-maximisation and the posterior, by listing every segmentation."""
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba"]
+    rows = [("ab ba", "x"), ("aab", "x"), ("bb ba", "y"), ("b", "y"), ("b", "y"), (None, "y"), ("abb", None)]
+
+    def ways(w):
+        return [[]] if not w else [[w[:k], *rest] for k in range(1, len(w) + 1) if w[:k] in pieces for rest in ways(w[k:])]
+
+    def chance(way, p):
+        return math.prod(p[q] for q in way)
+
+    table = {}
+    for lang in ("x", "y"):
+        words = ["▁" + w for t in {t for t, other in rows if other == lang and t} for w in t.split()]
+        count = {q: sum(len(q) for w in words for k in range(len(w)) if w.startswith(q, k)) for q in pieces}
+        for _ in range(2):
+            p = {q: (count[q] + langid.ADDED) / (sum(count.values()) + langid.ADDED * len(pieces)) for q in pieces}
+            count = dict.fromkeys(pieces, 0.0)
+            for w in words:
+                total = sum(chance(way, p) for way in ways(w))
+                for way in ways(w):
+                    for q in way:
+                        count[q] += chance(way, p) / total
+        table[lang] = {q: (count[q] + langid.ADDED) / (sum(count.values()) + langid.ADDED * len(pieces)) for q in pieces}
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), pieces)
+    assert model.languages == ["x", "y"]
+    texts = ["ab", "bb b", "aab ba", "12", None]
+    got = {r.doc_id: r for r in langid.predictions(documents(list(enumerate(texts))), model).collect()}
+    for k, text in enumerate(texts[:3]):
+        score = {lang: math.prod(sum(chance(way, table[lang]) for way in ways("▁" + w)) for w in text.split()) for lang in table}
+        best = max(sorted(score), key=score.get)
+        assert got[k].lang_pred == best and abs(got[k].score - score[best] / sum(score.values())) < 1e-9
+    assert all((got[k].lang_pred, got[k].score) == ("und", 0.0) for k in (3, 4))
+
+
+def test_language_sample_keeps_rare_languages(spark):
+    rows = spark.range(3000).selectExpr("concat('text ', case when id % 3 = 0 then 'copy' else string(id) end) as text", "case when id = 7 then 'rare' else 'en' end as lang")
+    languages, sample = langid._sample(rows, 100)
+    counts = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert languages == ["en", "rare"] and counts["rare"] == 1 and 10 < counts["en"] < 100 and sample.distinct().count() == sample.count()
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     rows = langid.op3_language_id(spark, SF).join(docs, "doc_id").where("held_out")
@@ -80,10 +149,26 @@ def test_grammar():
 
 
 def test_composition_equals_a_cascade():
+    """The composed machine against plain rules applied one after the other, on random clauses."""
     symbols = ("insult", "threat", "target", "negation", "report", "quote", "other")
     machine = toxicity.grammar()
-    assert {s for _, s in machine["table"]} == set(symbols)
-    assert all(end in {state for state, _ in machine["table"]} for end, _ in machine["table"].values())
+    rng = random.Random(5)
+    for _ in range(500):
+        clause = [rng.choice(symbols) for _ in range(rng.randrange(1, 25))]
+        state, got = machine["start"], []
+        for s in clause:
+            state, out = machine["table"][state, s]
+            got.append(out)
+        near = ["aimed" if s in ("insult", "threat") and "target" in clause[max(0, k - 4) : k] else s for k, s in enumerate(clause)]
+        denied = ["denied" if s in ("insult", "threat", "aimed") and "negation" in near[max(0, k - 3) : k] else s for k, s in enumerate(near)]
+        quoted, said, expected = False, False, []
+        for s in denied:
+            if s == "quote":
+                quoted, said = not quoted, False
+            elif s == "report" and not quoted:
+                said = True
+            expected.append("reported" if s in ("insult", "threat", "aimed") and (quoted or said) else s)
+        assert got == expected, clause
 
 
 def test_toxicity_held_out(spark):
