@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clausemill.functions.text import tokens
-from clausemill.functions.vectors import dot, norm
+from clausemill.functions.vectors import cosine, dot, norm
 from clausemill.sources.tables import saved
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -16,29 +18,50 @@ TOP, CANDIDATES, ALPHA, THRESHOLD = 5, 20, 0.5, 0.55
 BROADCAST_QUERIES = 20_000
 
 
-def _bounded(queries: DataFrame) -> DataFrame:
+def bounded(queries: DataFrame) -> DataFrame:
     """The queries, marked for broadcast if few."""
     return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
 
 
-def build_bm25(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+@dataclass(frozen=True)
+class Bm25:
+    """Okapi index: ``tf`` (lease_id, chunk_id, dl, term, tf), ``idf`` (lease_id, term, avgdl, idf) and ``chunks`` (lease_id, chunk_id)."""
+
+    tf: DataFrame
+    idf: DataFrame
+    chunks: DataFrame
+
+    def postings(self, tf: DataFrame | None = None, idf: DataFrame | None = None) -> DataFrame:
+        """(lease_id, term, chunk_id, weight), the whole contribution of a term to a chunk's score."""
+        rows = (self.tf if tf is None else tf).join(self.idf if idf is None else idf, ["lease_id", "term"])
+        weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        return rows.select("lease_id", "term", "chunk_id", weight.alias("weight"))
+
+
+def term_counts(t: Column) -> Column:
+    """(term, tf) of an array of tokens, which must be a plain column: runs of the sorted tokens, inside the row."""
+    n = F.size(t)
+    begins = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(t, i - 1) != F.get(t, i - 2)))
+    ends = F.concat(F.slice(begins, F.lit(2), n), F.array(n + 1))
+    runs = F.zip_with(begins, ends, lambda a, b: F.struct(F.get(t, a - 1).alias("term"), (b - a).cast("long").alias("tf")))
+    return F.when(n > 0, runs).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+
+def build_bm25(chunks: DataFrame) -> Bm25:
     """Okapi index of each lease, from (lease_id, chunk_id, text).
 
-    Postings (lease_id, term, chunk_id, weight) hold the term's whole contribution
-    to a score; the second frame has every chunk.  A negative idf becomes EPSILON
-    times the lease's mean idf.
+    Texts are tokenised once and their term counts written; all else is derived
+    from them.  A negative idf becomes EPSILON times the lease's mean idf.
     """
-    words = chunks.select("lease_id", "chunk_id", tokens("text").alias("t"))
-    lengths = words.select("lease_id", "chunk_id", F.size("t").alias("dl"))
-    lease = lengths.groupBy("lease_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = words.select("lease_id", "chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("lease_id", "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    words = chunks.select("lease_id", "chunk_id", F.array_sort(tokens("text")).alias("t"))
+    rows = saved(words.select("lease_id", "chunk_id", F.size("t").alias("dl"), term_counts(F.col("t")).alias("terms")), "term-counts")
+    lease = rows.groupBy("lease_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = rows.select("lease_id", "chunk_id", "dl", F.inline("terms"))
     df = tf.groupBy("lease_id", "term").agg(F.count("*").alias("df")).join(lease, "lease_id")
-    df = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    df = saved(df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "document-frequencies")
     mean = df.groupBy("lease_id").agg(F.avg("raw").alias("mean"))
     idf = df.join(mean, "lease_id").select("lease_id", "term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    postings = tf.join(idf, ["lease_id", "term"]).select("lease_id", "term", "chunk_id", weight.alias("weight"))
-    return postings, chunks.select("lease_id", "chunk_id")
+    return Bm25(tf, idf, rows.select("lease_id", "chunk_id"))
 
 
 def ranked(scores: DataFrame, k: int, order: Column) -> DataFrame:
@@ -47,44 +70,49 @@ def ranked(scores: DataFrame, k: int, order: Column) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25_topk(questions: DataFrame, index: tuple[DataFrame, DataFrame], k: int = CANDIDATES) -> DataFrame:
+def bm25_topk(questions: DataFrame, index: Bm25, k: int = CANDIDATES) -> DataFrame:
     """(query_id, chunk_id, score, rank); repeated query words count again and chunks without a match score 0.
 
     ``questions`` has query_id, question and lease_id.  Matches are ranked first;
     zero-score chunks fill up only for queries with fewer than ``k`` matches, and
-    then only the first ``k`` of the lease.
+    then only the first ``k`` of the lease.  Of the index only the questions' terms
+    are weighed.
     """
-    postings, chunks = index
+    chunks = index.chunks
     terms = questions.select("query_id", "lease_id", F.explode(tokens("question")).alias("term")).groupBy("query_id", "lease_id", "term").agg(F.count("*").alias("times"))
-    hits = postings.join(_bounded(terms), ["lease_id", "term"]).groupBy("query_id", "lease_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
+    asked = bounded(terms.select("lease_id", "term").distinct())
+    postings = index.postings(index.tf.join(asked, ["lease_id", "term"], "left_semi"), index.idf.join(asked, ["lease_id", "term"], "left_semi"))
+    hits = postings.join(bounded(terms), ["lease_id", "term"]).groupBy("query_id", "lease_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
     columns = ["query_id", "chunk_id", "score", "rank"]
     best = F.round("score", 9).desc()
+    hits = saved(hits, "scores")
     top = saved(ranked(hits, k, best).select(*columns), "lexical")
     found = top.where("score > 0").groupBy("query_id").agg(F.count("*").alias("found"))
     few = questions.select("query_id", "lease_id").join(found, "query_id", "left").where(F.coalesce("found", F.lit(0)) < k).select("query_id", "lease_id")
     few = saved(few, "few")
     if not few.limit(1).count():
         return top
-    own = saved(hits.join(_bounded(few.select("query_id")), "query_id", "left_semi"), "matches")
+    own = saved(hits.join(bounded(few.select("query_id")), "query_id", "left_semi"), "matches")
     # chunks beyond the first k plus the query's own matches can never be among its zero scores
     most = own.groupBy("query_id").agg(F.count("*").alias("own")).agg(F.coalesce(F.max("own"), F.lit(0))).first()[0]
     order = Window.partitionBy("lease_id").orderBy("chunk_id")
     heads = chunks.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + most).drop("at")
-    zero = heads.join(_bounded(few), "lease_id").join(own.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").select("query_id", "lease_id", "chunk_id", F.lit(0.0).alias("score"))
+    zero = heads.join(bounded(few), "lease_id").join(own.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").select("query_id", "lease_id", "chunk_id", F.lit(0.0).alias("score"))
     filled = ranked(own.unionByName(zero), k, best).select(*columns)
     return top.join(few.select("query_id"), "query_id", "left_anti").select(*columns).unionByName(filled)
 
 
-def dense_topk(queries: DataFrame, candidates: DataFrame, k: int = TOP) -> DataFrame:
-    """Exact: (query_id, chunk_id, distance, rank), distance 1 - cosine within the query's lease."""
+def dense_topk(queries: DataFrame, candidates: DataFrame, k: int = TOP, itself: bool = False) -> DataFrame:
+    """Exact: (query_id, chunk_id, distance, rank), distance 1 - cosine within the query's lease; a chunk asked by its own id only if ``itself``."""
     asks = queries.select("query_id", "lease_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn"))
-    rows = candidates.withColumn("cn", norm(F.col("embedding"))).join(_bounded(asks), "lease_id")
+    rows = candidates.withColumn("cn", norm(F.col("embedding"))).join(bounded(asks), "lease_id")
     usable = (F.size("q") == F.size("embedding")) & (F.col("qn") * F.col("cn") > 0)
-    cosine = F.coalesce(F.when(usable, dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("cn"))), F.lit(0.0))
-    return ranked(rows.select("query_id", "chunk_id", (1 - cosine).alias("distance")), k, F.round("distance", 9).asc())
+    near = F.coalesce(F.when(usable, dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("cn"))), F.lit(0.0))
+    rows = rows if itself else rows.where("query_id <> chunk_id")
+    return ranked(rows.select("query_id", "chunk_id", (1 - near).alias("distance")), k, F.round("distance", 9).asc())
 
 
-def dense_topk_approx(queries: DataFrame, candidates: DataFrame, k: int = TOP, tables: int = 16, length: float = 1.2, seed: int = 5) -> DataFrame:
+def dense_topk_approx(queries: DataFrame, candidates: DataFrame, k: int = TOP, tables: int = 16, length: float = 1.2, seed: int = 5, itself: bool = False) -> DataFrame:
     """As ``dense_topk`` by random-projection buckets on unit vectors, then exact scores."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
@@ -99,10 +127,9 @@ def dense_topk_approx(queries: DataFrame, candidates: DataFrame, k: int = TOP, t
         from pyspark.ml.functions import vector_to_array
         return model.transform(df).select("lease_id", name, F.posexplode("h").alias("table", "bucket")).withColumn("bucket", F.get(vector_to_array("bucket"), 0))
 
-    near = keys(rows, "chunk_id").join(_bounded(keys(asks, "query_id")), ["lease_id", "table", "bucket"]).select("query_id", "chunk_id").distinct()
-    pairs = near.join(candidates, "chunk_id").join(_bounded(queries.select("query_id", F.col("embedding").alias("q"))), "query_id")
-    from clausemill.functions.vectors import cosine
-
+    near = keys(rows, "chunk_id").join(bounded(keys(asks, "query_id")), ["lease_id", "table", "bucket"]).select("query_id", "chunk_id").distinct()
+    pairs = near.join(candidates, "chunk_id").join(bounded(queries.select("query_id", F.col("embedding").alias("q"))), "query_id")
+    pairs = pairs if itself else pairs.where("query_id <> chunk_id")
     return ranked(pairs.select("query_id", "chunk_id", (1 - cosine("q", "embedding")).alias("distance")), k, F.round("distance", 9).asc())
 
 
@@ -165,10 +192,13 @@ def refusals_by_clause(gate: DataFrame, hits: DataFrame) -> DataFrame:
     return rows.groupBy(F.coalesce("clause_type", F.lit("unknown")).alias("clause_type")).agg(F.count("*").alias("refusals"))
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, mode: str = "lexical+rerank", k: int = TOP, candidates: int = CANDIDATES, dense: DataFrame | None = None, evaluation: bool = False) -> DataFrame:
+def retrieve(
+    questions: DataFrame, chunks: DataFrame, mode: str = "lexical+rerank", k: int = TOP, candidates: int = CANDIDATES, dense: DataFrame | None = None, lexical: DataFrame | None = None, evaluation: bool = False
+) -> DataFrame:
     """Hits of the questions: ``dense``, ``lexical`` or ``hybrid``, each also ``+rerank``.
 
-    ``dense`` holds the dense candidates.  Hybrid without rerank is for evaluation only.
+    ``dense`` and ``lexical`` hold candidates by rank; lexical ones are looked for
+    where they are not given.  Hybrid without rerank is for evaluation only.
     """
     kind, _, second = mode.partition("+")
     if kind == "hybrid" and not second and not evaluation:
@@ -176,15 +206,15 @@ def retrieve(questions: DataFrame, chunks: DataFrame, mode: str = "lexical+reran
     n = candidates if second else k
     if kind in ("dense", "hybrid") and dense is None:
         raise ValueError("dense candidates are needed")
+    if kind != "dense":
+        lexical = bm25_topk(questions, build_bm25(chunks), n) if lexical is None else lexical.where(F.col("rank") <= n)
     if kind == "dense":
         found = dense.where(F.col("rank") <= n).select("query_id", "chunk_id", "distance", "rank")
+    elif kind == "hybrid":
+        found = fuse(dense.where(F.col("rank") <= n), lexical, k=n)
     else:
-        lexical = bm25_topk(questions, build_bm25(chunks), n)
-        if kind == "hybrid":
-            found = fuse(dense.where(F.col("rank") <= n), lexical, k=n)
-        else:
-            found = normalize(lexical, "score").select("query_id", "chunk_id", (1 - F.col("scaled")).alias("distance"), "rank")
+        found = normalize(lexical, "score").select("query_id", "chunk_id", (1 - F.col("scaled")).alias("distance"), "rank")
     if not second:
         return found.where(F.col("rank") <= k)
-    texts = found.select("query_id", "chunk_id").join(chunks.select("chunk_id", "text"), "chunk_id").join(_bounded(questions.select("query_id", "question")), "query_id")
+    texts = chunks.select("chunk_id", "text").join(bounded(found.select("query_id", "chunk_id")), "chunk_id").join(bounded(questions.select("query_id", "question")), "query_id")
     return rerank(texts, k)

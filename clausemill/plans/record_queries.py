@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from clausemill.sources.tables import saved
 
 from .bindings import table
 from .bindings import requests as request_log
-from .retrieval_queries import COSINE, DENSE, RERANKED, _reranked
+from .chunk_queries import masked
+from .retrieval_queries import ALL_MODES, COSINE, DENSE, modes
 
 NOW = "2001-08-02 00:00:00"
 
@@ -31,8 +34,8 @@ def e1_build_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e2_source_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = answers.source_references(_hits(spark, sf_dir).withColumn("text", F.substring("text", 1, 40)))
-    return rows.select("query_id", F.posexplode("sources").alias("i", "s")).select("query_id", "i", "s.clause_id", "s.clause_type", F.length("s.excerpt").alias("n"), "s.source", "s.page")
+    rows = answers.source_references(_hits(spark, sf_dir))
+    return rows.select("query_id", F.posexplode("sources").alias("i", "s")).select("query_id", "i", "s.clause_id", "s.clause_type", F.md5("s.excerpt").alias("digest"), "s.source", "s.page")
 
 
 def e3_parse_model_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +43,26 @@ def e3_parse_model_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", answers.parse_model_json(raw, "k bigint")["k"].alias("k"))
 
 
+def _holding(spark: SparkSession, sf_dir: str, holds) -> DataFrame:
+    """(item_id, doc_id): documents that hold an item's text by ``holds(text, item)``.
+
+    A text that holds an item has the second trigram of its tokens, whose first
+    and last token lie inside the item; only those pairs are compared.  Texts are
+    fetched for them alone.
+    """
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = items.withColumn("t", retrieval.tokens("item")).select("item_id", F.get(retrieval.trigrams(F.col("t")), 1).alias("g"))
+    grams = docs.select("doc_id", retrieval.tokens("text").alias("t")).select("doc_id", F.explode(retrieval.trigrams(F.col("t"))).alias("g"))
+    pairs = saved(grams.join(retrieval.bounded(asked), "g").select("item_id", "doc_id").distinct(), "pairs")
+    return docs.join(retrieval.bounded(pairs), "doc_id").join(retrieval.bounded(items), "item_id").where(holds("text", "item")).select("item_id", "doc_id")
+
+
 def e6_check_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(table(spark, sf_dir, "benchmark").where("item_id % 4 = 0").select("item_id", F.col("text").alias("quote"))), F.col("doc_id") % 10 == F.col("item_id") % 10)
-    return pairs.select("doc_id", "item_id", answers.check_grounding("text", "quote").alias("grounded"))
+    """Documents in which an item's text occurs as a quote, by item."""
+    found = _holding(spark, sf_dir, answers.check_grounding).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id").join(found, "item_id", "left")
+    return rows.select("item_id", F.col("n").isNotNull().alias("grounded"), F.coalesce("n", F.lit(0)).alias("n_docs"), "first")
 
 
 def e7_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,10 +83,11 @@ def e8_exact_answer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("lease_id"), (F.col("vec_id") % 2).cast("string").alias("flags"), "embedding")
-    return rows.where("id % 50 = 0").withColumnRenamed("id", "request_id"), rows.where("id % 50 <> 0").withColumnRenamed("id", "answer_id")
+    return rows.where("id % 20 = 0").withColumnRenamed("id", "request_id"), rows.withColumnRenamed("id", "answer_id")
 
 
 def e9_semantic_answer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest answer of every asking vector: its own, stored too, unless an equal one comes first."""
     rows = answers.semantic_answer_lookup(*_answers(spark, sf_dir), least=0.1)
     return rows.select("request_id", "answer_id", F.round("similarity", 6).alias("similarity"))
 
@@ -174,7 +195,7 @@ def f14_cap_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("lease_id"), F.col("doc_id").alias("chunk_no"), F.when(F.col("doc_id") % 17 > 0, F.col("lang")).alias("clause_type"), F.substring("text", 1, 400).alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("lease_id"), F.col("doc_id").alias("chunk_no"), F.when(F.col("doc_id") % 17 > 0, F.concat_ws("-", "lang", (F.length("text") % 8).cast("string"))).alias("clause_type"), "text")
     return compare.group_clauses(docs)
 
 
@@ -187,27 +208,22 @@ def f15_group_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groups(spark, sf_dir).select("lease_id", "clause_type", "chunk_no", "n")
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of which some leases lack some types."""
-    return _groups(spark, sf_dir).where("ascii(clause_type) % 3 <> cast(substring(lease_id, 4) as int) % 3")
-
-
 def f16_clause_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.clause_overlap(_pairs(spark, sf_dir), _sparse(spark, sf_dir))
+    return compare.clause_overlap(_pairs(spark, sf_dir), _groups(spark, sf_dir))
 
 
 def f17_one_sided_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = compare.one_sided_diffs(_pairs(spark, sf_dir), _sparse(spark, sf_dir).withColumn("text", F.translate("text", "0123456789", "")))
+    rows = compare.one_sided_diffs(_pairs(spark, sf_dir), _groups(spark, sf_dir))
     return rows.select("pair_id", "clause_type", F.md5("left_value").alias("l"), F.md5("right_value").alias("r"), "difference")
 
 
 def f18_shared_clause_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = compare.shared_clause_pairs(_pairs(spark, sf_dir), _sparse(spark, sf_dir))
+    rows = compare.shared_clause_pairs(_pairs(spark, sf_dir), _groups(spark, sf_dir))
     return rows.select("pair_id", "clause_type", F.md5("left_text").alias("l"), F.md5("right_text").alias("r"))
 
 
 def f19_shared_clause_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = compare.shared_clause_delta(compare.shared_clause_pairs(_pairs(spark, sf_dir), _sparse(spark, sf_dir)))
+    rows = compare.shared_clause_delta(compare.shared_clause_pairs(_pairs(spark, sf_dir), _groups(spark, sf_dir)))
     return rows.select("pair_id", "clause_type", F.round("jaccard", 6).alias("jaccard"), F.md5(F.concat_ws(" ", "left_tokens")).alias("l"), F.md5(F.concat_ws(" ", "right_tokens")).alias("r"), F.concat_ws(" ", "left_amounts").alias("la"), F.concat_ws(" ", "right_amounts").alias("ra"))
 
 
@@ -216,22 +232,21 @@ def f21_missing_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.missing_leases(_pairs(spark, sf_dir), docs, docs.where("lease_id <> 'src4'"))
 
 
+CONFIGS = ("dense", "dense+rerank", "hybrid", "hybrid+rerank")
+
+
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all questions under two configurations, by the natural golden set."""
-    bench, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    asked = bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    # a document that holds a passage holds its first trigram, so only those pairs are compared
-    grams = asked.withColumn("t", retrieval.tokens("question")).select("query_id", "question", F.get(retrieval.trigrams(F.col("t")), 0).alias("g"))
-    texts = docs.withColumn("t", retrieval.tokens("text")).select("doc_id", "text", F.explode(retrieval.trigrams(F.col("t"))).alias("g"))
-    relevant = texts.join(F.broadcast(grams), "g").where(F.col("text").contains(F.col("question"))).select("query_id", F.col("doc_id").alias("chunk_id")).distinct()
+    """Scores of all questions under the four configurations, by the natural golden set."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    relevant = saved(_holding(spark, sf_dir, lambda text, item: F.col(text).contains(F.col(item))).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id")), "relevant")
     golden = asked.join(relevant.select("query_id").distinct().withColumn("known", F.lit(True)), "query_id", "left")
-    golden = golden.select("query_id", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("category"), F.col("known").isNull().alias("should_refuse"))
-    lexical = saved(_reranked(spark, sf_dir), "reranked")
-    out = None
-    for config, hits in (("reranked", lexical), ("top2", lexical.where("rank <= 2"))):
-        rows = evaluate.question_scores(golden, relevant, hits).join(retrieval.refusal_gate(golden, hits).select("query_id", "refused"), "query_id").withColumn("config", F.lit(config))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    golden = saved(golden.select("query_id", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("category"), F.col("known").isNull().alias("should_refuse")), "golden")
+    hits = saved(modes(spark, sf_dir, CONFIGS), "hits")
+    out = []
+    for config in CONFIGS:
+        own = hits.where(F.col("config") == config)
+        out.append(evaluate.question_scores(golden, relevant, own).join(retrieval.refusal_gate(golden, own).select("query_id", "refused"), "query_id").withColumn("config", F.lit(config)))
+    return reduce(DataFrame.unionByName, out)
 
 
 def g1_question_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,8 +259,8 @@ def g5_retrieval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g6_compare_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evaluate.compare_configs(evaluate.retrieval_report(_evaluated(spark, sf_dir)), ["reranked", "top2"])
-    return rows.select("metric", F.round("reranked", 6).alias("reranked"), F.round("top2", 6).alias("top2"))
+    rows = evaluate.compare_configs(evaluate.retrieval_report(_evaluated(spark, sf_dir)), list(CONFIGS))
+    return rows.select("metric", *(F.round(f"`{c}`", 6).alias(c.replace("+", "_")) for c in CONFIGS))
 
 
 def g8_answer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,15 +336,15 @@ def _merge(mode: str) -> str:
 
 
 _AGE = "round(epoch(TIMESTAMP '2001-08-02' - o_orderdate) / 86400, 6)"
-_GROUPS = """groups AS (SELECT source AS lease_id, coalesce(CASE WHEN doc_id % 17 > 0 THEN lang END, 'other') AS clause_type, doc_id AS chunk_no, substring(text, 1, 400) AS text,
-  row_number() OVER (PARTITION BY source, coalesce(CASE WHEN doc_id % 17 > 0 THEN lang END, 'other') ORDER BY doc_id)::INT AS n FROM documents QUALIFY n <= 20)"""
-_SPARSE = f"""{_GROUPS}, sparse AS (SELECT * FROM groups WHERE ascii(clause_type) % 3 <> substring(lease_id, 4)::INT % 3),
+_GROUPS = """groups AS (SELECT source AS lease_id, coalesce(CASE WHEN doc_id % 17 > 0 THEN lang || '-' || (length(text) % 8) END, 'other') AS clause_type, doc_id AS chunk_no, text,
+  row_number() OVER (PARTITION BY source, coalesce(CASE WHEN doc_id % 17 > 0 THEN lang || '-' || (length(text) % 8) END, 'other') ORDER BY doc_id)::INT AS n FROM documents QUALIFY n <= 20)"""
+_SPARSE = f"""{_GROUPS}, sparse AS (SELECT * FROM groups),
 pairs AS (SELECT * FROM (SELECT n_nationkey AS pair_id, 'src' || n_nationkey AS left_id, 'src' || ((n_nationkey * 3 + 1) % 23) AS right_id FROM nation) WHERE left_id <> right_id)"""
-_JOINED = r"""joined AS (SELECT lease_id, clause_type, substring(string_agg(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10) || chr(10) ORDER BY chunk_no), 1, 4000) AS t FROM sparse GROUP BY ALL),
+_JOINED = r"""joined AS (SELECT lease_id, clause_type, substring(string_agg(regexp_replace(substring(text, 1, 2000), '^\s+|\s+$', '', 'g'), chr(10) || chr(10) ORDER BY chunk_no), 1, 4000) AS t FROM sparse GROUP BY ALL),
 shared AS (SELECT p.pair_id, l.clause_type, l.t AS lt, r.t AS rt FROM pairs p JOIN joined l ON l.lease_id = p.left_id JOIN joined r ON r.lease_id = p.right_id AND r.clause_type = l.clause_type)"""
-_EVAL = f"""{RERANKED}, relevant AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+_EVAL = f"""{ALL_MODES}, relevant AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 golden AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, item_id NOT IN (SELECT query_id FROM relevant) AS should_refuse FROM benchmark),
-h AS (SELECT 'reranked' AS config, * FROM reranked UNION ALL SELECT 'top2', * FROM reranked WHERE rank <= 2),
+h AS (SELECT * FROM found WHERE config NOT LIKE 'lexical%'),
 c AS (SELECT config, g.* FROM golden g, (SELECT DISTINCT config FROM h)),
 e AS (SELECT c.config, c.query_id, c.category, c.should_refuse, coalesce(1 / min(CASE WHEN r.chunk_id IS NOT NULL THEN h.rank END), 0)::DOUBLE AS rr, count(DISTINCT r.chunk_id) AS found, count(h.rank) AS retrieved, min(h.distance) IS NULL OR min(h.distance) > 0.55 AS refused
   FROM c LEFT JOIN h ON h.config = c.config AND h.query_id = c.query_id LEFT JOIN relevant r ON r.query_id = h.query_id AND r.chunk_id = h.chunk_id GROUP BY ALL),
@@ -351,12 +366,13 @@ QUERIES = {
 ORACLES = {
     "e1_build_context": rf"""WITH {_HITS}, b AS (SELECT query_id, rank, 'Source: ' || coalesce(source, 'unknown') || ', page ' || coalesce(page::VARCHAR, 'N/A') || chr(10) || regexp_replace(substring(text, 1, 2000), '^\s+|\s+$', '', 'g') AS block FROM hits)
 SELECT query_id, md5(string_agg(block, chr(10) || chr(10) ORDER BY rank)) AS digest FROM b GROUP BY 1""",
-    "e2_source_references": f"WITH {_HITS} SELECT query_id, (rank - 1)::INT AS i, chunk_id AS clause_id, coalesce(clause_type, 'other') AS clause_type, length(substring(text, 1, 40))::INT AS n, source, page FROM hits",
+    "e2_source_references": f"WITH {_HITS} SELECT query_id, (rank - 1)::INT AS i, chunk_id AS clause_id, coalesce(clause_type, 'other') AS clause_type, md5({masked('substring(text, 1, 500)', PII_RULES)}) AS digest, source, page FROM hits",
     "e3_parse_model_json": "SELECT event_id, CASE WHEN event_id % 3 <> 1 THEN (props->>'k')::BIGINT END AS k FROM events",
-    "e6_check_grounding": r"SELECT doc_id, item_id, contains(regexp_replace(d.text, '\s+', ' ', 'g'), trim(regexp_replace(b.text, '\s+', ' ', 'g'))) AS grounded FROM documents d JOIN benchmark b ON item_id % 4 = 0 AND doc_id % 10 = item_id % 10",
+    "e6_check_grounding": r"""WITH g AS (SELECT item_id, count(*) AS n, min(doc_id) AS first FROM documents d JOIN benchmark b ON contains(regexp_replace(d.text, '\s+', ' ', 'g'), trim(regexp_replace(b.text, '\s+', ' ', 'g'))) GROUP BY 1)
+SELECT item_id, n IS NOT NULL AS grounded, coalesce(n, 0) AS n_docs, first FROM benchmark LEFT JOIN g USING (item_id)""",
     "e7_cache_key": r"SELECT conv_id, turn, sha256(conv_id || chr(31) || lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) || chr(31) || 'k=5;a=0.5') AS cache_key FROM conversations WHERE role = 'user'",
     "e8_exact_answer_lookup": f"WITH {_LOG} SELECT l.request_id, s.response FROM log l LEFT JOIN (SELECT cache_key, lease_id, max(request_id)::VARCHAR AS response FROM log WHERE value > 100 GROUP BY ALL) s USING (cache_key, lease_id)",
-    "e9_semantic_answer_lookup": f"""WITH p AS (SELECT q.vec_id AS request_id, c.vec_id AS answer_id, q.embedding AS a, c.embedding AS b FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id % 2 = c.vec_id % 2 WHERE q.vec_id % 50 = 0 AND c.vec_id % 50 <> 0),
+    "e9_semantic_answer_lookup": f"""WITH p AS (SELECT q.vec_id AS request_id, c.vec_id AS answer_id, q.embedding AS a, c.embedding AS b FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id % 2 = c.vec_id % 2 WHERE q.vec_id % 20 = 0),
 s AS (SELECT request_id, answer_id, {COSINE} AS similarity FROM p) SELECT request_id, answer_id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.1 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY round(similarity, 9) DESC, answer_id) = 1""",
     "e10_evict_answers": "SELECT o_custkey AS lease_id, count(*) AS evicted FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 3) GROUP BY 1",
     "e11_cap_answers": "SELECT o_orderkey AS answer_id, o_orderdate AS last_used FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 256",
@@ -387,7 +403,7 @@ SELECT lease_id, name, '3' AS page, total FROM t WHERE r BETWEEN 41 AND 60 UNION
     "f15_group_clauses": f"WITH {_GROUPS} SELECT lease_id, clause_type, chunk_no, n FROM groups",
     "f16_clause_overlap": f"""WITH {_SPARSE}, l AS (SELECT DISTINCT pair_id, clause_type FROM pairs JOIN sparse ON lease_id = left_id), r AS (SELECT DISTINCT pair_id, clause_type FROM pairs JOIN sparse ON lease_id = right_id)
 SELECT *, 'shared' AS side FROM (SELECT * FROM l INTERSECT SELECT * FROM r) UNION ALL SELECT *, 'left' FROM (SELECT * FROM l EXCEPT SELECT * FROM r) UNION ALL SELECT *, 'right' FROM (SELECT * FROM r EXCEPT SELECT * FROM l)""",
-    "f17_one_sided_diffs": f"""WITH {_SPARSE}, f AS (SELECT lease_id, clause_type, regexp_replace(arg_min(substring(translate(text, '0123456789', ''), 1, 300), chunk_no), '{PII_RULES["email"]}', '[REDACTED_EMAIL]', 'g') AS t FROM sparse GROUP BY ALL),
+    "f17_one_sided_diffs": f"""WITH {_SPARSE}, f AS (SELECT lease_id, clause_type, {masked('substring(t, 1, 300)', PII_RULES)} AS t FROM (SELECT lease_id, clause_type, arg_min(text, chunk_no) AS t FROM sparse GROUP BY ALL)),
 b AS (SELECT coalesce(l.pair_id, r.pair_id) AS pair_id, coalesce(l.clause_type, r.clause_type) AS clause_type, l.t AS l, r.t AS r FROM (SELECT pair_id, clause_type, t FROM pairs JOIN f ON lease_id = left_id) l FULL JOIN (SELECT pair_id, clause_type, t FROM pairs JOIN f ON lease_id = right_id) r ON l.pair_id = r.pair_id AND l.clause_type = r.clause_type)
 SELECT pair_id, clause_type, md5(coalesce(l, 'Not present')) AS l, md5(coalesce(r, 'Not present')) AS r, 'The ' || clause_type || CASE WHEN r IS NULL THEN ' clause is present on the left and missing on the right.' ELSE ' clause is missing on the left and present on the right.' END AS difference FROM b WHERE l IS NULL OR r IS NULL""",
     "f18_shared_clause_pairs": f"WITH {_SPARSE}, {_JOINED} SELECT pair_id, clause_type, md5(lt) AS l, md5(rt) AS r FROM shared",
@@ -398,7 +414,8 @@ array_to_string(list_sort(list_filter(x, lambda q: NOT list_contains(y, q))), '
 SELECT pair_id, lease_id, 'no record' AS reason FROM s WHERE lease_id NOT IN (SELECT source FROM documents) UNION ALL SELECT pair_id, lease_id, 'no chunks' FROM s WHERE lease_id = 'src4'""",
     "g1_question_scores": f"WITH {_EVAL} SELECT config, query_id, should_refuse, refused, round(rr, 6) AS rr, round(recall, 6) AS recall, round(precision, 6) AS precision FROM s",
     "g5_retrieval_report": f"WITH {_EVAL} SELECT config, category, n, round(mrr, 6) AS mrr, round(recall, 6) AS recall, round(precision, 6) AS precision, round(refusal_accuracy, 6) AS refusal_accuracy FROM report",
-    "g6_compare_configs": f"WITH {_EVAL}, o AS (UNPIVOT (SELECT config, mrr, recall, precision, refusal_accuracy FROM report WHERE category = 'overall') ON mrr, recall, precision, refusal_accuracy INTO NAME metric VALUE v) SELECT metric, round(max(v) FILTER (config = 'reranked'), 6) AS reranked, round(max(v) FILTER (config = 'top2'), 6) AS top2 FROM o GROUP BY 1",
+    "g6_compare_configs": f"WITH {_EVAL}, o AS (UNPIVOT (SELECT config, mrr, recall, precision, refusal_accuracy FROM report WHERE category = 'overall') ON mrr, recall, precision, refusal_accuracy INTO NAME metric VALUE v) SELECT metric, "
+    + ", ".join(f"round(max(v) FILTER (config = '{c}'), 6) AS {c.replace('+', '_')}" for c in CONFIGS) + " FROM o GROUP BY 1",
     "g8_answer_quality": "SELECT round(avg(l_discount) FILTER (u), 6) AS faithfulness, round(avg(l_tax) FILTER (u), 6) AS correctness, round(avg(l_quantity / 100) FILTER (u), 6) AS relevance, round(avg((l_discount + l_tax + l_quantity / 100) / 3) FILTER (u), 6) AS answer_quality, count(*) FILTER (u) AS judged, count(*) FILTER (l_returnflag = 'R' AND l_linestatus <> 'F') AS unavailable, count(*) FILTER (u) = 0 AS none_available FROM (SELECT *, l_returnflag <> 'R' AND l_linestatus <> 'F' AS u FROM lineitem)",
     "g9_regression_check": f"WITH {_METRICS}, j AS (SELECT metric, cur.value AS current, base.value AS prior, CASE WHEN base.value = 0 THEN 0 ELSE (cur.value - base.value) / base.value * 100 END AS pct FROM cur FULL JOIN base USING (metric)) SELECT metric, current, prior, round(pct, 6) AS pct, CASE WHEN pct IS NULL THEN 'MISSING' WHEN pct <= -5 THEN 'REGRESSION' WHEN pct <= -2.5 THEN 'WARN' ELSE 'OK' END AS status FROM j",
     "g10_quality_floors": f"WITH {_METRICS} SELECT metric, value, 25.0::DOUBLE AS floor FROM cur WHERE value < 25",

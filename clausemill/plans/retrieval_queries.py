@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausemill.functions import redaction
 from clausemill.functions.text import hash_query
-from clausemill.functions.vectors import cosine
+from clausemill.functions.vectors import cosine, norm
 from clausemill.operators import retrieval
+from clausemill.sources.tables import saved
 
 from .bindings import questions, table, vectors
 from .chunk_queries import REDACTED, masked, quoted
@@ -63,15 +66,18 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d1_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length, norm and largest entry of every text's vector."""
     from clausemill.operators.embedding import embed
 
-    return embed(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.size("embedding").alias("dims"))
+    rows = embed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.size("embedding").alias("dims"), F.round(norm(F.col("embedding")), 6).alias("norm"), F.round(F.array_max("embedding"), 6).alias("largest"))
 
 
 def d2_cosine_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asks, rows = vectors(spark, sf_dir)
-    pairs = rows.join(asks.select("query_id", "lease_id", F.col("embedding").alias("q")), "lease_id")
-    return pairs.select("query_id", "chunk_id", F.round(cosine("q", "embedding"), 6).alias("similarity"))
+    """Every vector against the first of its label."""
+    _, rows = vectors(spark, sf_dir)
+    first = rows.groupBy("lease_id").agg(F.min_by("embedding", "chunk_id").alias("q"))
+    return rows.join(first, "lease_id").select("chunk_id", F.round(cosine("q", "embedding"), 6).alias("similarity"))
 
 
 def d3_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +90,7 @@ def d4_dense_topk_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def d6_build_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "documents").select(F.col("source").alias("lease_id"), F.col("doc_id").alias("chunk_id"), "text")
-    postings, _ = retrieval.build_bm25(chunks)
-    return postings.groupBy("lease_id", "chunk_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 6).alias("weight"))
+    return retrieval.build_bm25(chunks).postings().groupBy("lease_id", "chunk_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
 def d7_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,16 +103,28 @@ def d8_normalize_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "chunk_id", F.round("scaled", 6).alias("scaled"))
 
 
-def _two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Dense hits, and a second list by a plain score of the same candidates, of which they share some."""
-    asks, rows = vectors(spark, sf_dir)
-    dense = retrieval.dense_topk(asks, rows, 20)
-    scores = rows.join(asks.select("query_id", "lease_id"), "lease_id").select("query_id", "chunk_id", ((F.col("chunk_id") * 7919 + F.col("query_id") * 31) % 997).cast("double").alias("score"))
-    return dense, retrieval.ranked(scores, 20, F.col("score").desc())
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense candidates of every question among all vectors: those of an item's number ask, and a document's vector has its number."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit("all").alias("lease_id"), "embedding")
+    asks = _asked(spark, sf_dir).select("query_id").join(rows.withColumnRenamed("chunk_id", "query_id"), "query_id")
+    return retrieval.dense_topk(asks, rows, 20)
+
+
+def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.bm25_topk(_asked(spark, sf_dir), retrieval.build_bm25(_documents(spark, sf_dir)))
+
+
+def modes(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
+    """(config, query_id, chunk_id, distance, rank) of several retrieval modes, candidates found once."""
+    dense, lexical = saved(_dense(spark, sf_dir), "dense"), saved(_lexical(spark, sf_dir), "lexical")
+    asked, docs = _asked(spark, sf_dir), _documents(spark, sf_dir)
+    found = [retrieval.retrieve(asked, docs, name, dense=dense, lexical=lexical, evaluation=True).withColumn("config", F.lit(name)) for name in names]
+    return reduce(DataFrame.unionByName, found)
 
 
 def d9_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.fuse(*_two_lists(spark, sf_dir)).select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
+    rows = retrieval.fuse(_dense(spark, sf_dir), _lexical(spark, sf_dir))
+    return rows.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
 
 
 def d10_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,8 +135,11 @@ def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.retrieve(_asked(spark, sf_dir), _documents(spark, sf_dir), "lexical+rerank")
 
 
+MODES = ("dense", "lexical", "hybrid", "dense+rerank", "lexical+rerank", "hybrid+rerank")
+
+
 def d11_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.retrieve(_asked(spark, sf_dir), _documents(spark, sf_dir), "lexical", k=5)
+    return modes(spark, sf_dir, MODES).select("config", "query_id", "chunk_id", F.round("distance", 5).alias("distance"), "rank")
 
 
 def d12_refusal_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +162,7 @@ found AS ({rules})"""
 _SCANNED = "(SELECT doc_id, text || chr(10) || [" + ", ".join(f"'{head}' || doc_id || '{tail}'" for head, tail in SCAN_LINES) + f"][doc_id % {len(SCAN_LINES)} + 1] AS text FROM documents)"
 COSINE = "coalesce(list_dot_product(a::DOUBLE[], b::DOUBLE[]) / nullif(sqrt(list_dot_product(a::DOUBLE[], a::DOUBLE[])) * sqrt(list_dot_product(b::DOUBLE[], b::DOUBLE[])), 0), 0)"
 DENSE = f"""
-pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, q.embedding AS a, c.embedding AS b FROM embeddings q JOIN embeddings c USING (label) WHERE q.vec_id % 50 = 0 AND c.vec_id % 50 <> 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, q.embedding AS a, c.embedding AS b FROM embeddings q JOIN embeddings c USING (label) WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
 dense AS (SELECT query_id, chunk_id, 1 - {COSINE} AS distance FROM pairs),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id)::INT AS rank FROM dense)"""
 
@@ -166,14 +186,37 @@ def _tri(column: str) -> str:
     return f"list_distinct(CASE WHEN len({column}) >= 3 THEN [array_to_string({column}[i:i + 2], ' ') FOR i IN range(1, len({column}) - 1)] WHEN len({column}) > 0 THEN [array_to_string({column}, ' ')] ELSE [] END)"
 
 
-RERANKED = (
-    bm25("'all'", "'all'")
-    + f""",
-cand AS (SELECT l.query_id, l.chunk_id, regexp_extract_all(lower(b.text), '[a-z0-9§]+') AS q, regexp_extract_all(lower(d.text), '[a-z0-9§]+') AS t FROM lexical l JOIN benchmark b ON b.item_id = l.query_id JOIN documents d ON d.doc_id = l.chunk_id),
-share AS (SELECT query_id, chunk_id, least(greatest(CASE WHEN len(q) > 0 THEN len(list_intersect({_tri('q')}, {_tri('t')})) / len({_tri('q')}) ELSE 0 END, 1e-6), 1 - 1e-6) AS c FROM cand),
-reranked AS (SELECT query_id, chunk_id, 1 - c AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(1 - c, 9), chunk_id)::INT AS rank FROM share QUALIFY rank <= 5),
+def _scaled(column: str, of: str = "query_id") -> str:
+    return f"CASE WHEN max({column}) OVER w = min({column}) OVER w THEN 0 ELSE ({column} - min({column}) OVER w) / (max({column}) OVER w - min({column}) OVER w) END"
+
+
+def _fused(name: str, n: int) -> str:
+    """CTE of the fused first ``n`` dense and lexical hits."""
+    return f"""{name}_d AS (SELECT query_id, chunk_id, rank AS dr, {_scaled('-distance')} AS d FROM near WHERE rank <= {n} WINDOW w AS (PARTITION BY query_id)),
+{name}_l AS (SELECT query_id, chunk_id, rank AS lr, {_scaled('score')} AS l FROM lexical WHERE rank <= {n} WINDOW w AS (PARTITION BY query_id)),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), dr NULLS LAST, lr NULLS LAST, chunk_id)::INT AS rank
+  FROM (SELECT query_id, chunk_id, dr, lr, 1 - (0.5 * coalesce(d, 0) + 0.5 * coalesce(l, 0)) AS distance FROM {name}_d FULL JOIN {name}_l USING (query_id, chunk_id)) QUALIFY rank <= {n})"""
+
+
+def _reordered(name: str, source: str) -> str:
+    """CTE of the five best hits of a list by the trigram score."""
+    return f"""
+{name}_c AS (SELECT l.query_id, l.chunk_id, regexp_extract_all(lower(b.text), '[a-z0-9§]+') AS q, regexp_extract_all(lower(d.text), '[a-z0-9§]+') AS t FROM {source} l JOIN benchmark b ON b.item_id = l.query_id JOIN documents d ON d.doc_id = l.chunk_id),
+{name}_s AS (SELECT query_id, chunk_id, least(greatest(CASE WHEN len(q) > 0 THEN len(list_intersect({_tri('q')}, {_tri('t')})) / len({_tri('q')}) ELSE 0 END, 1e-6), 1 - 1e-6) AS c FROM {name}_c),
+{name} AS (SELECT query_id, chunk_id, 1 - c AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(1 - c, 9), chunk_id)::INT AS rank FROM {name}_s QUALIFY rank <= 5)"""
+
+
+NEAR = f"""
+apart AS (SELECT b.item_id AS query_id, c.vec_id AS chunk_id, q.embedding AS a, c.embedding AS b FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings c WHERE c.vec_id <> q.vec_id),
+near AS (SELECT query_id, chunk_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id)::INT AS rank FROM (SELECT query_id, chunk_id, 1 - {COSINE} AS distance FROM apart) QUALIFY rank <= 20)"""
+_LEXICAL = bm25("'all'", "'all'")
+RERANKED = f"""{_LEXICAL},{_reordered('reranked', 'lexical')},
 gate AS (SELECT b.item_id AS query_id, min(distance) IS NULL OR min(distance) > 0.55 AS refused, CASE WHEN min(distance) IS NULL OR min(distance) > 0.55 THEN 0.0 ELSE round(1 - min(distance), 5) END AS confidence FROM benchmark b LEFT JOIN reranked r ON r.query_id = b.item_id GROUP BY b.item_id)"""
-)
+#: Up to ``found`` (config, query_id, chunk_id, distance, rank) of all modes.
+ALL_MODES = f"""{_LEXICAL},{NEAR}, {_fused('fused5', 5)}, {_fused('fused20', 20)},{_reordered('dense_r', 'near')},{_reordered('lexical_r', 'lexical')},{_reordered('hybrid_r', 'fused20')},
+lexical5 AS (SELECT query_id, chunk_id, 1 - {_scaled('score')} AS distance, rank FROM lexical WHERE rank <= 5 WINDOW w AS (PARTITION BY query_id)),
+found AS (SELECT 'dense' AS config, query_id, chunk_id, distance, rank FROM near WHERE rank <= 5 UNION ALL SELECT 'lexical', query_id, chunk_id, distance, rank FROM lexical5 UNION ALL SELECT 'hybrid', query_id, chunk_id, distance, rank FROM fused5
+  UNION ALL SELECT 'dense+rerank', * FROM dense_r UNION ALL SELECT 'lexical+rerank', * FROM lexical_r UNION ALL SELECT 'hybrid+rerank', * FROM hybrid_r)"""
 
 QUERIES = {
     f.__name__: f
@@ -189,16 +232,13 @@ ORACLES = {
     "c6_sanitize_chunk": r"SELECT doc_id, md5(regexp_replace(substring(regexp_replace(regexp_replace(text, '\bthe\s+of\b', '', 'gi'), 'que\s+la', '', 'gi'), 1, 2000), '^\s+|\s+$', '', 'g')) AS digest FROM documents",
     "c7_flag_injection": r"SELECT doc_id, regexp_matches(text, '\bthe\s+of\b|que\s+la', 'i') AS flagged FROM documents",
     "c8_hash_query": f"SELECT item_id AS query_id, CASE WHEN text = '' THEN '' ELSE substring(sha256({_PADS[1]} || unhex(sha256({_PADS[0]} || encode(text)))), 1, 16) END AS digest FROM benchmark",
-    "d2_cosine_similarity": f"WITH {DENSE} SELECT query_id, chunk_id, round({COSINE}, 6) AS similarity FROM pairs",
+    "d2_cosine_similarity": f"SELECT chunk_id, round({COSINE}, 6) AS similarity FROM (SELECT vec_id AS chunk_id, embedding AS b, first_value(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS a FROM embeddings)",
     "d3_dense_topk": f"WITH {DENSE} SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM ranked WHERE rank <= 5",
     "d6_build_bm25": f"WITH {bm25('source', chr(39) + 'all' + chr(39))} SELECT lease_id, chunk_id, count(*) AS n_terms, round(sum(weight), 6) AS weight FROM postings GROUP BY ALL",
     "d7_bm25_topk": f"WITH {bm25(chr(39) + 'all' + chr(39), chr(39) + 'all' + chr(39))} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM lexical",
     "d8_normalize_scores": f"WITH {DENSE}, t AS (SELECT * FROM ranked WHERE rank <= 20) SELECT query_id, chunk_id, round(CASE WHEN max(distance) OVER w = min(distance) OVER w THEN 0 ELSE (distance - min(distance) OVER w) / (max(distance) OVER w - min(distance) OVER w) END, 6) AS scaled FROM t WINDOW w AS (PARTITION BY query_id)",
-    "d9_fuse": f"""WITH {DENSE}, d AS (SELECT query_id, chunk_id, rank AS dr, CASE WHEN max(distance) OVER w = min(distance) OVER w THEN 0 ELSE (max(distance) OVER w - distance) / (max(distance) OVER w - min(distance) OVER w) END AS d FROM ranked WHERE rank <= 20 WINDOW w AS (PARTITION BY query_id)),
-lr AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS lr FROM (SELECT query_id, chunk_id, (chunk_id * 7919 + query_id * 31) % 997 AS score FROM pairs) QUALIFY lr <= 20),
-l AS (SELECT query_id, chunk_id, lr, CASE WHEN max(score) OVER w = min(score) OVER w THEN 0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS l FROM lr WINDOW w AS (PARTITION BY query_id)),
-f AS (SELECT query_id, chunk_id, dr, lr, 1 - (0.5 * coalesce(d, 0) + 0.5 * coalesce(l, 0)) AS distance FROM d FULL JOIN l USING (query_id, chunk_id))
-SELECT query_id, chunk_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), dr NULLS LAST, lr NULLS LAST, chunk_id)::INT AS rank FROM f QUALIFY rank <= 5""",
+    "d9_fuse": f"WITH {_LEXICAL},{NEAR}, {_fused('fused', 20)} SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM fused WHERE rank <= 5",
+    "d11_retrieve": f"WITH {ALL_MODES} SELECT config, query_id, chunk_id, round(distance, 5) AS distance, rank FROM found",
     "d10_rerank": f"WITH {RERANKED} SELECT query_id, chunk_id, round(distance, 5) AS distance, rank FROM reranked",
     "d12_refusal_gate": f"WITH {RERANKED} SELECT query_id, refused, confidence FROM gate",
     "d13_refusals_by_clause": f"WITH {RERANKED} SELECT coalesce(lang, 'unknown') AS clause_type, count(*) AS refusals FROM gate g LEFT JOIN reranked r ON r.query_id = g.query_id AND r.rank = 1 LEFT JOIN documents d ON d.doc_id = r.chunk_id WHERE refused GROUP BY 1",
