@@ -9,10 +9,12 @@ shapes' vectors and the logs of its number of words and lines.  The network, tan
 and logistic, is trained in numpy on a bounded labelled sample; one part of the
 sample sets the temperature that calibrates its probabilities.
 
-The vectors have a fixed size, and each task sends one table of sums.
+The vectors have a fixed size.  Each task sends the sums that are not zero as (slot,
+value) rows, which Spark adds up before and after the shuffle.
 
 Defined results: null and empty texts pool to zero vectors and get a score as
-such; repeated rows and null ids pass through one for one; without labels of
+such; repeated rows and null ids pass through one for one (a null id counts as held
+out); of several labels of one id the largest counts; without labels of
 both kinds every score is the share of label 1, or 0.5; other columns are
 ignored.
 """
@@ -23,7 +25,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +33,11 @@ from .labelled import held_out, sample, sigmoid
 from .words import Words, slices
 
 PARTS, PART = 5, 0
-WORDS, SHAPES, DIMENSIONS, NONZERO = 2048, 96, 64, 4
+WORDS, SHAPES, DIMENSIONS, NONZERO = 16_384, 96, 64, 4
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 128, 0.01, 1e-4
 THRESHOLD = 0.3
-_BLOCKS = 16
+#: Sums sent at once.
+_ROWS = 50_000
 
 _UPPER, _LETTER, _DIGIT, _SYMBOL = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91] = True
@@ -88,16 +90,14 @@ def corpus_vectors(docs: DataFrame) -> np.ndarray:
                     a, b = a[same], b[same]
                     for k in range(NONZERO):
                         np.add.at(total, a * DIMENSIONS + places[b, k], signs[b, k])
-        blocks = total.reshape(_BLOCKS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "sums"])
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "sums": [sum(np.frombuffer(x, np.int64) for x in group["sums"]).tobytes()]})
-
-    rows = docs.select("text").mapInArrow(count, "block int, sums binary").groupBy("block").applyInPandas(add, "block int, sums binary").collect()
-    total = np.zeros((_BLOCKS, (WORDS + SHAPES) * DIMENSIONS // _BLOCKS), np.int64)
-    for row in rows:  # a table of fixed size in _BLOCKS rows
-        total[row.block] = np.frombuffer(row.sums, np.int64)
+        slots = np.flatnonzero(total).astype(np.int32)
+        for a in range(0, len(slots), _ROWS):
+            part = slots[a : a + _ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["slot", "value"])
+
+    rows = docs.select("text").mapInArrow(count, "slot int, value long").groupBy("slot").agg(F.sum("value").alias("value")).toPandas()  # as many as the table has numbers
+    total = np.zeros((WORDS + SHAPES) * DIMENSIONS, np.int64)
+    total[rows["slot"]] = rows["value"]
     vectors = total.reshape(WORDS + SHAPES, DIMENSIONS).astype(float)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1.0)
     vectors += index_vectors() / NONZERO**0.5
@@ -174,7 +174,7 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 11) -> Network:
     net = Network(mean, scale, params[0], params[1], params[2], float(params[3][0]))
     if len(vy):
         logits = net.logits(vx)
-        choices = np.exp(np.linspace(0, np.log(20), 60))  # never sharper than trained
+        choices = np.exp(np.linspace(-np.log(4), np.log(20), 81))
         losses = [np.mean(np.logaddexp(0, logits / t) - vy * logits / t) for t in choices]
         net.temperature = float(choices[int(np.argmin(losses))])
     return net

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from clausemill.llm import langid, quality_net, toxicity
+from clausemill.llm.words import Words
 
 SF = "/root/testdata/sf0.01"
 
@@ -129,12 +130,62 @@ def test_quality_odd_rows(spark, odd):
     assert not x[0].any() and not x[1].any() and x[2].any()
 
 
+def test_vectors_and_pooling_against_plain(spark, documents):
+    """Context sums, unit vectors and pooled means, word by word."""
+    texts = ["The cat saw the DOG the the", "cat ** 12a cat\nsaw", None, "", "alone"]
+    index = quality_net.index_vectors()
+    words = [(t or "").split() for t in texts]
+
+    def number(word):
+        return int(Words(pa.array([word])).hashes(0, lower=True)[0] % np.uint64(quality_net.WORDS))
+
+    def shape(own, k):
+        w = own[k]
+        upper, letters = sum(c.isupper() for c in w), sum(c.isalpha() for c in w)
+        case = 0 if upper == 0 else 1 if upper == 1 and letters > 1 else 2
+        symbols = sum(c in "#*$%&|<>{}[]\\/=+~^_@!" for c in w)
+        marks = 0 if not symbols else 1 if not letters else 2
+        again = k > 0 and own[k - 1].lower() == w.lower()
+        return quality_net.WORDS + (((case * 3 + marks) * 2 + any(c.isdigit() for c in w)) * 2 + again) * 2 + (len(w) > 12)
+
+    total = np.zeros(index.shape)
+    for own in words:
+        for k in range(len(own)):
+            for j in (k - 1, k + 1):
+                if 0 <= j < len(own):
+                    total[number(own[k])] += index[number(own[j])]
+                    total[shape(own, k)] += index[shape(own, j)]
+    total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1)
+    total += index / 2
+    total /= np.linalg.norm(total, axis=1, keepdims=True)
+    vectors = quality_net.corpus_vectors(documents(list(enumerate(texts))).repartition(3))
+    assert np.allclose(vectors, total, atol=1e-6)
+    x = quality_net.pooled(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}), vectors)
+    for row, text, own in zip(x, texts, words, strict=True):
+        d = quality_net.DIMENSIONS
+        if own:
+            assert np.allclose(row[:d], np.mean([total[number(w)] for w in own], axis=0), atol=1e-5)
+            assert np.allclose(row[d : 2 * d], np.mean([total[shape(own, k)] for k in range(len(own))], axis=0), atol=1e-5)
+        assert np.allclose(row[-2:], [np.log1p(len(own)) / 10, np.log1p((text or "").count("\n")) / 10])
+
+
+def test_temperature_calibrates():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4000, 130)) * (np.arange(130) < 3)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
+    network = quality_net.train(x, y)
+    score = network.scores(x)
+    for a in np.arange(0, 1, 0.2):
+        some = (score >= a) & (score < a + 0.2)
+        assert abs(score[some].mean() - y[some].mean()) < 0.06
+
+
 def test_network_learns():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 130)) * np.where(np.arange(130) < 2, 1.0, 0.0)
     y = (x[:, 0] * x[:, 1] > 0).astype(float)
     network = quality_net.train(x, y)
-    assert ((network.scores(x) > 0.5) == (y > 0)).mean() > 0.9 and network.temperature >= 1
+    assert ((network.scores(x) > 0.5) == (y > 0)).mean() > 0.9
 
 
 def test_grammar():
