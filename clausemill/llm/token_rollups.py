@@ -6,6 +6,11 @@ becomes signed rows: minus the old count, plus the new one.  Their sums by sourc
 language and tokenizer are the batch's delta; totals are the sum of the deltas of
 all committed batches.
 
+The ledger of a batch's own documents is looked up, not all of it: earlier changes are
+joined with the batch's keys before they are grouped.  ``compact`` rewrites the
+counts in force and the totals as one base, after which earlier batches are not read
+again.
+
 A commit writes the batch's delta and its part of the ledger under the batch's
 own name, replacing what an unfinished attempt left there, and last a marker.  A
 batch whose marker exists is not applied again, so a retry or a replay changes
@@ -48,13 +53,32 @@ class TokenRollups:
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         return [n.split("-", 1)[1] for n in sorted(names)]
 
+    def _base(self) -> int:
+        """Number of commits that the latest base holds."""
+        folder = self._path(f"{self.path}/bases")
+        return max((int(s.getPath().getName()) for s in self._fs.listStatus(folder)), default=0) if self._fs.exists(folder) else 0
+
     def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{kind}/{batch}" for batch in self.committed()]
+        base, done = self._base(), self.committed()
+        paths = [f"{self.path}/{kind}-base/{base}"] * (base > 0) + [f"{self.path}/{kind}/{batch}" for batch in done[base:]]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def current(self) -> DataFrame:
-        """Counts in force: the latest change of each (doc_id, tokenizer)."""
+    def compact(self) -> None:
+        """Write counts in force and totals as a base; its marker comes last, so an unfinished one is never read."""
+        done = len(self.committed())
+        if done == self._base():
+            return
+        unnamed = self._read("ledger", _LEDGER).where("doc_id is null")
+        kept = self.current().withColumns({"deleted": F.lit(False), "seq": F.lit(done - 1).cast("long")}).unionByName(unnamed)
+        kept.write.mode("overwrite").parquet(f"{self.path}/ledger-base/{done}")
+        self.totals().write.mode("overwrite").parquet(f"{self.path}/deltas-base/{done}")
+        self._fs.mkdirs(self._path(f"{self.path}/bases/{done}"))
+
+    def current(self, keys: DataFrame | None = None) -> DataFrame:
+        """Counts in force, of all documents or those of (doc_id, tokenizer) keys: the latest change of each."""
         rows = self._read("ledger", _LEDGER).where("doc_id is not null")
+        if keys is not None:
+            rows = rows.join(keys, ["doc_id", "tokenizer"], "left_semi")
         last = rows.groupBy("doc_id", "tokenizer").agg(F.max_by(F.struct("source", "lang", "n_tokens", "deleted"), "seq").alias("r"))
         return last.where("not r.deleted").select("doc_id", "tokenizer", "r.source", "r.lang", "r.n_tokens")
 
@@ -69,7 +93,7 @@ class TokenRollups:
         ledger = f"{self.path}/ledger/{batch}"
         one.unionByName(rows.where("doc_id is null")).withColumn("seq", F.lit(len(done)).cast("long")).write.mode("overwrite").parquet(ledger)
         new = self.spark.read.schema(_LEDGER).parquet(ledger)
-        old = self.current().join(new.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
+        old = self.current(new.select("doc_id", "tokenizer"))
         signed = old.select(*_GROUP, F.lit(-1).alias("sign"), "n_tokens").unionByName(new.where("not deleted").select(*_GROUP, F.lit(1).alias("sign"), "n_tokens"))
         delta = signed.groupBy(*_GROUP).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("long").alias("n_tokens"))
         delta.write.mode("overwrite").parquet(f"{self.path}/deltas/{batch}")
