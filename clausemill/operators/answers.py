@@ -139,14 +139,20 @@ def cap_answers(answers: DataFrame, most: int, key: str = "answer_id") -> DataFr
 
 
 def cache_hits(requests: DataFrame, ingests: DataFrame) -> DataFrame:
-    """Adds ``hit``: whether the key was asked before since the lease's latest ingest.
+    """(request_id, lease_id, cache_key, epoch, hit): whether the key was asked before since the lease's latest ingest.
 
-    Ingests and requests are merged in time order; the running count of ingests is
-    the epoch.
+    The epoch is the number of a lease's ingests so far.  It is the sum over earlier
+    days, one row a day in the lease's window, and the running count within the
+    day, so no window holds the whole log of a lease.
     """
     log = requests.select("request_id", "lease_id", "cache_key", "ts", F.lit(0).alias("ingest"))
     marks = ingests.select(F.lit(None).cast("long").alias("request_id"), "lease_id", F.lit(None).cast("string").alias("cache_key"), "ts", F.lit(1).alias("ingest"))
-    by_lease = Window.partitionBy("lease_id").orderBy("ts", F.col("ingest").desc(), "request_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = log.unionByName(marks).withColumn("epoch", F.sum("ingest").over(by_lease)).where("ingest = 0")
-    w = Window.partitionBy("lease_id", "cache_key", "epoch").orderBy("ts", "request_id")
-    return rows.select("request_id", "lease_id", "cache_key", "epoch", (F.row_number().over(w) > 1).alias("hit"))
+    rows = log.unionByName(marks).withColumn("day", F.to_date("ts"))
+    earlier = Window.partitionBy("lease_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy("lease_id", "day").agg(F.sum("ingest").alias("n")).select("lease_id", "day", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy("lease_id", "day").orderBy("ts", F.col("ingest").desc(), "request_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("so_far", F.sum("ingest").over(within)).where("ingest = 0").join(days, ["lease_id", "day"])
+    rows = rows.select("request_id", "lease_id", "cache_key", "ts", (F.col("before") + F.col("so_far")).alias("epoch"))
+    key = ["lease_id", "cache_key", "epoch"]
+    first = rows.groupBy(*key).agg(F.min(F.struct("ts", "request_id"))["request_id"].alias("first"))
+    return rows.join(first, key).select("request_id", *key, (F.col("request_id") != F.col("first")).alias("hit"))

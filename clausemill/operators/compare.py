@@ -32,12 +32,17 @@ def clause_overlap(pairs: DataFrame, groups: DataFrame, group: str = "clause_typ
 
 
 def one_sided_diffs(pairs: DataFrame, groups: DataFrame, group: str = "clause_type") -> DataFrame:
-    """(pair_id, clause type, left_value, right_value, difference) where one side has no such clause."""
+    """(pair_id, clause type, left_value, right_value, difference, insight) where one side has no such clause."""
     first = groups.groupBy("lease_id", group).agg(redact_pii(F.substring(F.min_by("text", "chunk_no"), 1, EXCERPT)).alias("excerpt"))
     left, right = _sides(pairs, first)
     both = left.withColumnRenamed("excerpt", "l").join(right.withColumnRenamed("excerpt", "r"), ["pair_id", group], "full_outer").where("l is null or r is null")
-    says = F.concat(F.lit("The "), F.col(group), F.when(F.col("r").isNull(), " clause is present on the left and missing on the right.").otherwise(" clause is missing on the left and present on the right."))
-    return both.select("pair_id", group, F.coalesce("l", F.lit(ABSENT)).alias("left_value"), F.coalesce("r", F.lit(ABSENT)).alias("right_value"), says.alias("difference"))
+    both = both.join(pairs.select("pair_id", "left_id", "right_id"), "pair_id")
+    has = F.when(F.col("r").isNull(), F.col("left_id")).otherwise(F.col("right_id"))
+    lacks = F.when(F.col("r").isNull(), F.col("right_id")).otherwise(F.col("left_id"))
+    return both.select(
+        "pair_id", group, F.coalesce("l", F.lit(ABSENT)).alias("left_value"), F.coalesce("r", F.lit(ABSENT)).alias("right_value"),
+        F.format_string("Present in %s but missing from %s", has, lacks).alias("difference"), F.format_string("'%s' clause found only in %s, not in %s.", F.col(group), has, lacks).alias("insight"),
+    )
 
 
 def _joined(groups: DataFrame, group: str) -> DataFrame:

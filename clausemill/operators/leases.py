@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clausemill.functions.text import strip
+from clausemill.sources.tables import saved
+
+from .answers import json_object
 
 UNKNOWN = "Unknown"
 FIELDS = ("tenant", "landlord", "start_date", "end_date", "rent_amount", "location")
@@ -28,35 +31,61 @@ FIELD_PATTERNS = {
     "location": r"(?im)\b(?:address|location|premises)\s*:\s*([^\n;]+)",
 }
 DAY = 86_400
+#: Pages that end within so many rows are taken by a top-n.
+SHALLOW = 10_000
 
 
 def select_metadata_chunks(chunks: DataFrame, first: int = 5, most: int = 12, signals: Sequence[str] = SIGNALS) -> DataFrame:
     """(lease_id, chunk_no, chosen): the first chunks, then signal matches and their successors, at most ``most``.
 
-    Only the flags of chunks enter the windows, never their text.
+    Only ``most`` chunks can be chosen, so of each signal the first ``most`` matches
+    do; ranks with such a limit are cut before the shuffle.  A successor is the
+    smallest number after a match, an aggregate.  No window holds a whole lease.
     """
     flags = chunks.select("lease_id", "chunk_no", *(F.col("text").rlike(p).alias(f"s{k}") for k, p in enumerate(signals)))
     order = Window.partitionBy("lease_id").orderBy("chunk_no")
-    flags = flags.withColumn("at", F.row_number().over(order))
-    keys = []
-    for k in range(len(signals)):
-        keys.append(F.when(F.col(f"s{k}"), F.struct(F.lit(k).alias("p"), F.col("at").alias("i"), F.lit(0).alias("o"))))
-        keys.append(F.when(F.lag(f"s{k}").over(order), F.struct(F.lit(k).alias("p"), (F.col("at") - 1).alias("i"), F.lit(1).alias("o"))))
-    ranked = flags.withColumn("key", F.array_min(F.array_compact(F.array(*keys))))
-    head = ranked.where(F.col("at") <= first).select("lease_id", "chunk_no", F.lit("first").alias("chosen"))
-    extra = ranked.where((F.col("at") > first) & F.col("key").isNotNull())
+    head = flags.select("lease_id", "chunk_no").withColumn("n", F.row_number().over(order)).where(F.col("n") <= first).drop("n")
+    named = F.array_compact(F.array(*(F.when(F.col(f"s{k}"), F.lit(k)) for k in range(len(signals)))))
+    matches = flags.select("lease_id", "chunk_no", F.explode(named).alias("p")).withColumn("n", F.row_number().over(Window.partitionBy("lease_id", "p").orderBy("chunk_no")))
+    matches = saved(matches.where(F.col("n") <= most).drop("n"), "matches")
+    known = matches.groupBy("lease_id").agg(F.collect_set("chunk_no").alias("known"))  # at most ``most`` for each signal
+    after = chunks.select("lease_id", "chunk_no").join(known, "lease_id").withColumn("m", F.array_max(F.filter("known", lambda x: x < F.col("chunk_no"))))
+    after = after.where("m is not null").groupBy("lease_id", "m").agg(F.min("chunk_no").alias("next"))
+    own = matches.select("lease_id", "chunk_no", F.struct("p", F.col("chunk_no").alias("i"), F.lit(0).alias("o")).alias("key"))
+    followed = matches.withColumnRenamed("chunk_no", "m").join(after, ["lease_id", "m"]).select("lease_id", F.col("next").alias("chunk_no"), F.struct("p", F.col("m").alias("i"), F.lit(1).alias("o")).alias("key"))
+    extra = own.unionByName(followed).groupBy("lease_id", "chunk_no").agg(F.min("key").alias("key")).join(head, ["lease_id", "chunk_no"], "left_anti")
     w = Window.partitionBy("lease_id").orderBy("key", "chunk_no")
-    extra = extra.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most - first).select("lease_id", "chunk_no", F.lit("signal").alias("chosen"))
-    return head.unionByName(extra)
+    extra = extra.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most - first)
+    return head.withColumn("chosen", F.lit("first")).unionByName(extra.select("lease_id", "chunk_no", F.lit("signal").alias("chosen")))
+
 
+def extract_metadata(chunks: DataFrame, patterns: dict[str, str] = FIELD_PATTERNS, leases: DataFrame | None = None) -> DataFrame:
+    """The six fields of each lease by label, the first non-empty by chunk order, and a status.
 
-def extract_metadata(chunks: DataFrame, patterns: dict[str, str] = FIELD_PATTERNS) -> DataFrame:
-    """The six fields of each lease by label, the first non-empty by chunk order, and a status."""
+    ``updated`` with some field, ``no_fields`` without; of the given ``leases`` those
+    without a chunk are ``failed``.
+    """
     found = {f: F.nullif(strip(F.regexp_extract("text", p, 1)), F.lit("")) for f, p in patterns.items()}
     rows = chunks.select("lease_id", "chunk_no", *(c.alias(f) for f, c in found.items()))
     out = rows.groupBy("lease_id").agg(*(F.min_by(f, F.when(F.col(f).isNotNull(), F.col("chunk_no"))).alias(f) for f in patterns))
     some = reduce(lambda a, b: a | b, (F.col(f).isNotNull() for f in patterns))
-    return out.withColumn("status", F.when(some, "updated").otherwise("no_fields"))
+    out = out.withColumn("status", F.when(some, "updated").otherwise("no_fields"))
+    if leases is None:
+        return out
+    return leases.select("lease_id").distinct().join(out, "lease_id", "left").withColumn("status", F.coalesce("status", F.lit("failed")))
+
+
+def parse_metadata(df: DataFrame, raw: str = "raw", fields: Sequence[str] = FIELDS) -> DataFrame:
+    """The six fields of result JSON and a status: ``failed`` for no object, another key or a value that is no string or null."""
+    text = json_object(raw)
+    value = F.try_parse_json(text)
+    kinds = [F.coalesce(F.schema_of_variant(F.try_variant_get(value, f"$.{f}", "variant")), F.lit("VOID")) for f in fields]
+    known = F.size(F.array_except(F.json_object_keys(text), F.array(*map(F.lit, fields)))) == 0
+    good = text.isNotNull() & known & reduce(lambda a, b: a & b, (k.isin("STRING", "VOID") for k in kinds))
+    rows = df.withColumn("_r", F.when(good, F.from_json(text, ", ".join(f"{f} string" for f in fields))))
+    some = reduce(lambda a, b: a | b, (F.col(f"_r.{f}").isNotNull() for f in fields))
+    status = F.when(F.col("_r").isNull(), "failed").when(some, "updated").otherwise("no_fields")
+    return rows.select(*(c for c in df.columns if c != raw), *(F.col(f"_r.{f}").alias(f) for f in fields), status.alias("status"))
 
 
 def _unknown(c: Column) -> Column:
@@ -122,13 +151,29 @@ def search_leases(leases: DataFrame, query: str) -> DataFrame:
     return leases if not q else leases.where(F.lower(F.coalesce("name", F.lit(""))).contains(q) | F.lower(F.coalesce("tenant", F.lit(""))).contains(q))
 
 
-def page_rows(df: DataFrame, order: Sequence[Column], page: int = 1, size: int = 20, clamp: bool = False) -> tuple[DataFrame, int]:
-    """(rows of a 1-based page, total); size is kept in 1 to 100, ``clamp`` goes back to the last page."""
+def page_rows(df: DataFrame, order: Sequence[Column], page: int = 1, size: int = 20, clamp: bool = False, shallow: int = SHALLOW) -> tuple[DataFrame, int]:
+    """(rows of a 1-based page, total); size is kept in 1 to 100, ``clamp`` goes back to the last page.
+
+    Pages that end within ``shallow`` rows are a top-n.  For a deeper one the rows
+    are sorted in ranges and written; the counts of the ranges tell which of them
+    hold the page, and no task gets more than a range.  ``order`` must be total.
+    """
     size, total = min(100, max(1, size)), df.count()
     page = max(1, page)
     if clamp:
         page = min(page, max(1, -(-total // size)))
-    return df.orderBy(*order).offset((page - 1) * size).limit(size), total
+    start = (page - 1) * size
+    if start + size <= shallow or start >= total:
+        return df.orderBy(*order).offset(start).limit(size) if start < total else df.limit(0), total
+    place = F.monotonically_increasing_id()  # the range above 33 bits, the place in it below
+    rows = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_range": F.shiftright(place, 33), "_at": place.bitwiseAND(2**33 - 1)}), "ranges")
+    here, before = F.lit(False), 0
+    for r in sorted(rows.groupBy("_range").count().collect()):  # one row a range
+        low, high = start - before, start + size - before
+        if low < r["count"] and high > 0:
+            here = here | (F.col("_range") == r["_range"]) & F.col("_at").between(low, high - 1)
+        before += r["count"]
+    return rows.where(here).drop("_range", "_at").orderBy(*order), total
 
 
 def age_days(created_at: Column | str, now: str) -> Column:
@@ -174,3 +219,13 @@ def purge_summary(report: DataFrame) -> DataFrame:
 def cap_history(comparisons: DataFrame, most: int = 500) -> DataFrame:
     """The newest ``most`` comparisons."""
     return comparisons.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(most)
+
+
+def log_comparisons(history: DataFrame, new: DataFrame, most: int = 500) -> DataFrame:
+    """The history with new comparisons (id, ..., created_at), of which the newest ``most`` stay."""
+    return cap_history(history.unionByName(new), most)
+
+
+def history_page(history: DataFrame, page: int = 1, size: int = 20) -> tuple[DataFrame, int]:
+    """(a page of comparisons, newest first, their number)."""
+    return page_rows(history, [F.col("created_at").desc(), F.col("id").desc()], page, size)

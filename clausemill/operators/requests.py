@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clausemill.functions.text import hash_query
+
 LIMIT, SECONDS = 30, 60
 BOUNDS = (10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000)
 
@@ -48,19 +51,30 @@ def rate_limit(requests: DataFrame, limit: int = LIMIT, seconds: int = SECONDS)
 
     Refused requests do not count, so a client's requests are read in order.  A
     client that never exceeds the plain window count is allowed as a whole and
-    never leaves the JVM; only the others are grouped for the sequential pass.
+    never leaves the JVM; only the others are sorted for the sequential pass, which
+    streams over them and holds no client's requests at once.
     """
     screened = over_limit_windows(requests, limit, seconds)
     hot = screened.groupBy("client_key").agg(F.max("over").alias("hot")).where("hot").select("client_key")
     calm = requests.join(hot, "client_key", "left_anti").select("request_id", "client_key", F.lit(True).alias("allowed"), F.lit(None).cast("long").alias("retry_after"))
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["us", "request_id"])
-        allowed, retry, _ = limited(group["us"].tolist(), limit, seconds)
-        return pd.DataFrame({"request_id": group["request_id"], "client_key": group["client_key"], "allowed": allowed, "retry_after": pd.array(retry, dtype="Int64")})
-
     busy = requests.join(hot, "client_key", "left_semi").select("request_id", "client_key", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return calm.unionByName(busy.groupBy("client_key").applyInPandas(one, "request_id long, client_key string, allowed boolean, retry_after long"))
+    busy = busy.repartition("client_key").sortWithinPartitions("client_key", "us", "request_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, log = None, []  # of the client being read: at most ``limit`` times are kept from batch to batch
+        for batch in batches:
+            clients, times = batch.column("client_key").to_pylist(), batch.column("us").to_pylist()
+            allowed, retry, a = [], [], 0
+            for b in range(1, len(clients) + 1):
+                if b == len(clients) or clients[b] != clients[a]:
+                    ok, wait, log = limited(times[a:b], limit, seconds, log if clients[a] == key else None)
+                    allowed += ok
+                    retry += wait
+                    key, a = clients[a], b
+            yield pa.RecordBatch.from_arrays([batch.column("request_id"), batch.column("client_key"), pa.array(allowed, pa.bool_()), pa.array(retry, pa.int64())], ["request_id", "client_key", "allowed", "retry_after"])
+
+    return calm.unionByName(busy.mapInArrow(run, "request_id long, client_key string, allowed boolean, retry_after long"))
 
 
 def count_outcomes(events: DataFrame, *labels: str) -> DataFrame:
@@ -87,6 +101,11 @@ def latency_quantile(histogram: DataFrame, *labels: str, q: float = 0.95) -> Dat
     return hit.select(*labels, value.alias("quantile_ms"))
 
 
+def access_log(requests: DataFrame, salt: str) -> DataFrame:
+    """Log rows: the hash of a question instead of its text."""
+    return requests.withColumn("query_hash", hash_query("question", salt)).drop("question")
+
+
 def access_rollup(requests: DataFrame) -> DataFrame:
     """Requests and mean latency by route and status."""
     return requests.groupBy("route", "status").agg(F.count("*").alias("n"), F.avg("latency_ms").alias("mean_ms"))

@@ -181,6 +181,10 @@ REDACTED = masked("text", redaction.PII_RULES)
 _DEFAULTS = "CASE " + " ".join(f"WHEN regexp_matches(x, '{chunking.word_pattern(words)}', 'i') THEN '{kind}'" for kind, _, words in sorted(chunking.CLAUSE_WORDS, key=lambda r: -r[1])) + " ELSE 'other' END"
 _PHRASES = "[" + ", ".join(f"'{p}'" for p in PHRASES) + "]"
 
+#: Up to ``chunks`` (id, no, t) of the clauses ``named``.
+CHUNKED = f"""WITH RECURSIVE {_CLAUSES}, named AS (SELECT *, row_number() OVER () AS id FROM clauses), large AS (SELECT id, text FROM named WHERE length(text) > {chunking.SIZE}), {ladder('large')}, {merging('pieces')},
+chunks AS (SELECT id, 0 AS no, text AS t FROM named WHERE length(text) <= {chunking.SIZE} UNION ALL {overlapping('merged')})"""
+
 QUERIES = {f.__name__: f for f in (a1_read_pages, a2_reject_textless, a4_validate_requests, a8_ingest_summary, b1_split_clauses, b2_split_paragraphs, b3_recursive_chunk, b4_merge_undersized, b5_add_overlap, b6_chunk_pages, b7_assign_chunk_ids, b8_classify_clause, b9_clause_histogram, b10_list_chunks, d5_tokenize)}
 ORACLES = {
     "a1_read_pages": "SELECT source AS lease_id, doc_id::VARCHAR AS source, doc_id + 1 AS page, length(text) AS n_chars FROM documents",
@@ -200,8 +204,7 @@ SELECT page, no::INT AS no, md5(regexp_replace(t, '^\s+|\s+$', '', 'g')) AS dige
     "b3_recursive_chunk": f"WITH RECURSIVE d AS (SELECT doc_id AS id, text FROM documents), {ladder('d')} SELECT id AS doc_id, no::INT AS part_no, md5(t) AS digest FROM pieces",
     "b4_merge_undersized": f"WITH RECURSIVE {_LINES}, {merging('parts')} SELECT id AS page, no::INT AS part_no, md5(t) AS digest FROM merged",
     "b5_add_overlap": f"WITH {_LINES} SELECT id AS page, no::INT AS part_no, md5(t) AS digest FROM ({overlapping('parts')})",
-    "b6_chunk_pages": f"""WITH RECURSIVE {_CLAUSES}, named AS (SELECT *, row_number() OVER () AS id FROM clauses), large AS (SELECT id, text FROM named WHERE length(text) > {chunking.SIZE}), {ladder('large')}, {merging('pieces')},
-chunks AS (SELECT id, 0 AS no, text AS t FROM named WHERE length(text) <= {chunking.SIZE} UNION ALL {overlapping('merged')})
+    "b6_chunk_pages": f"""{CHUNKED}
 SELECT lease_id, source, page, clause_no, no::INT AS part_no, md5(t) AS digest FROM chunks JOIN named USING (id)""",
     "b7_assign_chunk_ids": f"{_IDS} SELECT lease_id, page, clause_no, chunk_no, lease_id || '::' || chunk_no AS chunk_id FROM ids",
     "b8_classify_clause": f"WITH {_CLAUSES} SELECT lease_id, page, clause_no, {_RULES} AS clause_type, {_DEFAULTS} AS default_type FROM (SELECT *, text || ' ' || {_PHRASES}[page % {len(PHRASES)} + 1] || ' ' || {_PHRASES}[clause_no * 5 % {len(PHRASES)} + 1] AS x FROM clauses)",

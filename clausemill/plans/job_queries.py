@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausemill.functions.redaction import redact_pii
+from clausemill.functions.redaction import PII_RULES, redact_pii
 from clausemill.operators import evaluate, leases, retrieval
-from clausemill.sources import tables
+from clausemill.operators.requests import BOUNDS, rate_limit_stream
+from clausemill.sources import tables, validate
 from clausemill.streaming import jobs
 
-from .bindings import pages, table
-from .record_queries import NOW, _metrics, _orders
-from .retrieval_queries import _asked, _documents
+from .bindings import pages, requests, table
+from .chunk_queries import CHUNKED, masked
+from .record_queries import LIMITED, NOW, REGRESSION, _metrics, _orders
+from .retrieval_queries import RERANKED, _asked, _documents
 
 
 def a9_write_eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,12 +24,77 @@ def a9_write_eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("metric string, current double, prior double, pct double, status string, generated_at string").json(path)
 
 
+def a3_gate_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as files: some with the signature, some too large, some of another type."""
+    docs = table(spark, sf_dir, "documents")
+    content = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("%PDF-1.7 "), "text")).otherwise(F.col("text"))
+    files = docs.select("doc_id", F.encode(content, "UTF-8").alias("content"), F.when(F.col("doc_id") % 5 > 0, "application/pdf").when(F.col("doc_id") % 2 > 0, "text/plain").alias("mime"))
+    return validate.gate_uploads(files.withColumn("length", F.octet_length("content").cast("long")), 4000).select("doc_id", "length", "reason")
+
+
+def a5_read_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tables.new_path(spark, "golden")
+    items = table(spark, sf_dir, "benchmark")
+    category = F.element_at(F.array(*map(F.lit, tables.CATEGORIES)), (F.col("item_id") % 4 + 1).cast("int"))
+    line = F.to_json(F.struct(F.col("text").alias("question"), F.array(F.col("item_id").cast("string")).alias("relevant_clause_ids"), F.lit("a").alias("reference_answer"), category.alias("category"), (F.col("item_id") % 4 == 3).alias("should_refuse")))
+    items.select(F.explode(F.array(line, F.lit(""))).alias("value")).write.text(path)
+    rows = tables.read_golden(spark, path)
+    return rows.select(F.md5("question").alias("digest"), F.concat_ws(",", "relevant_clause_ids").alias("ids"), "reference_answer", "category", "should_refuse")
+
+
+def a6_json_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as a store, with lines that cannot be read among them."""
+    path = tables.new_path(spark, "store")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    tables.write_json_store(rows, path)
+    rows.where("id % 10 = 0").select(F.concat(F.lit('{"id": '), F.col("id"), F.lit(', "name')).alias("value")).write.mode("append").text(path)
+    kept, corrupt = tables.read_json_store(spark, path, "id bigint, name string, balance double")
+    return kept.crossJoin(corrupt)  # one row
+
+
+def a7_upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as chunks of their sources, then two sources again with their odd documents alone."""
+    path = tables.new_path(spark, "chunks")
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("lease_id"), "doc_id", "text")
+    tables.upsert_chunks(docs, path)
+    tables.upsert_chunks(docs.where("lease_id in ('src1', 'src2') and doc_id % 2 = 1"), path)
+    return spark.read.parquet(path).groupBy("lease_id").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def h2_rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate limiter as a stream over all events."""
+    root = tables.new_path(spark, "limited")
+    events = requests(spark, sf_dir).select("request_id", "ts", "client_key")
+    events.coalesce(1).write.parquet(f"{root}/in")  # one file is one batch, in which no row is late
+    stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+    return jobs.to_table(rate_limit_stream(stream, 3, 86_400), f"{root}/out", f"{root}/checkpoint")
+
+
+def h4_count_outcomes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of the days that the watermark has passed."""
+    root = tables.new_path(spark, "outcomes")
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").withColumnRenamed("event_type", "status")
+    rows = jobs.to_table(jobs.outcome_windows(stream, ["status"], "1 day"), f"{root}/out", f"{root}/checkpoint")
+    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def h5_latency_histogram_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = tables.new_path(spark, "latency")
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").withColumnRenamed("value", "latency_ms")
+    rows = jobs.to_table(jobs.latency_windows(stream, "1 day"), f"{root}/out", f"{root}/checkpoint")
+    return rows.withColumns({"start": F.col("start").cast("timestamp_ntz"), "total_ms": F.round("total_ms", 2)})
+
+
 def h8_streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of each lease after all pages came in by a stream."""
+    """Chunks of each lease after its pages came in by a stream, in batches of one file each; and the leases rejected."""
     root = tables.new_path(spark, "ingest")
-    pages(spark, sf_dir).withColumn("page", F.col("page").cast("int")).write.parquet(f"{root}/pages")
-    jobs.streaming_ingest(spark, f"{root}/pages", f"{root}/chunks", f"{root}/rejects", f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/chunks").groupBy("lease_id").agg(F.count("*").alias("n_chunks"), F.max("chunk_no").alias("last"))
+    rows = pages(spark, sf_dir).withColumn("page", F.col("page").cast("int"))
+    rows = rows.unionByName(rows.select(F.concat(F.lit("blank-"), "lease_id").alias("lease_id"), "source", "page", F.lit(" ").alias("text")).where("page % 7 = 0"))
+    rows.repartition(3, "page").write.parquet(f"{root}/in")
+    jobs.streaming_ingest(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", files=1).awaitTermination()
+    chunks = jobs.ingested(spark, f"{root}/out").groupBy("lease_id").agg(F.count("*").alias("n_chunks"), F.max("chunk_no").alias("last"), F.lit(None).cast("string").alias("reason"))
+    rejects = jobs.ingested(spark, f"{root}/out", "rejects").select("lease_id", F.lit(0).cast("long").alias("n_chunks"), F.lit(None).cast("long").alias("last"), "reason")
+    return chunks.unionByName(rejects)
 
 
 def h9_retention_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +114,21 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.join(cited, "query_id", "left").select("query_id", "refused", F.round("confidence", 5).alias("confidence"), "rank", "chunk_id", F.round("distance", 5).alias("distance"), "excerpt")
 
 
-QUERIES = {f.__name__: f for f in (a9_write_eval_report, h8_streaming_ingest, h9_retention_sweep)} | {"ask": flagship}
+QUERIES = {f.__name__: f for f in (a3_gate_uploads, a5_read_golden, a6_json_store, a7_upsert_chunks, a9_write_eval_report, h2_rate_limit_stream, h4_count_outcomes_stream, h5_latency_histogram_stream, h8_streaming_ingest, h9_retention_sweep)} | {"ask": flagship}
+_DAYS = "days AS (SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type AS status, value FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 SECOND)"
 ORACLES = {
+    "a3_gate_uploads": """SELECT doc_id, length, CASE WHEN doc_id % 5 = 0 THEN 'type' WHEN length > 4000 THEN 'size' WHEN doc_id % 3 = 0 THEN 'signature' END AS reason
+FROM (SELECT doc_id, strlen(CASE WHEN doc_id % 3 > 0 THEN '%PDF-1.7 ' || text ELSE text END) AS length FROM documents)""",
+    "a5_read_golden": "SELECT md5(text) AS digest, item_id::VARCHAR AS ids, 'a' AS reference_answer, ['factual', 'statute', 'red_flag', 'out_of_scope'][item_id % 4 + 1] AS category, item_id % 4 = 3 AS should_refuse FROM benchmark",
+    "a6_json_store": "SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, (SELECT count(*) FROM customer WHERE c_custkey % 10 = 0) AS corrupt FROM customer",
+    "a7_upsert_chunks": "SELECT source AS lease_id, count(*) AS n, sum(doc_id)::BIGINT AS ids, sum(length(text))::BIGINT AS n_chars FROM documents WHERE source NOT IN ('src1', 'src2') OR doc_id % 2 = 1 OR source NOT IN (SELECT source FROM documents WHERE doc_id % 2 = 1) GROUP BY 1",
+    "a9_write_eval_report": f"SELECT *, '{NOW}' AS generated_at FROM ({REGRESSION})",
+    "ask": f"WITH {RERANKED} SELECT g.query_id, refused, confidence, rank, chunk_id, round(distance, 5) AS distance, {masked('substring(text, 1, 500)', PII_RULES)} AS excerpt FROM gate g LEFT JOIN reranked r ON r.query_id = g.query_id LEFT JOIN documents d ON d.doc_id = r.chunk_id",
+    "h2_rate_limit_stream": LIMITED,
+    "h4_count_outcomes_stream": f"WITH {_DAYS} SELECT start, status, count(*) AS n FROM days GROUP BY ALL",
+    "h5_latency_histogram_stream": f"WITH {_DAYS} SELECT start, " + ", ".join(f"count(*) FILTER (value <= {b}) AS le_{b}" for b in BOUNDS) + ", count(*) AS n, round(sum(value), 2) AS total_ms FROM days GROUP BY 1",
+    "h8_streaming_ingest": f"""{CHUNKED}
+SELECT lease_id, count(*) AS n_chunks, count(*) - 1 AS last, NULL::VARCHAR AS reason FROM chunks JOIN named USING (id) GROUP BY 1
+UNION ALL SELECT DISTINCT 'blank-' || source, 0, NULL::BIGINT, 'no extractable text' FROM documents WHERE (doc_id + 1) % 7 = 0""",
     "h9_retention_sweep": "WITH e AS (SELECT o_orderkey FROM orders WHERE epoch(TIMESTAMP '2001-08-02' - o_orderdate) / 86400 >= 1000) SELECT count(*) AS eligible, (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT * FROM e)) AS n_chunks, count(*) AS succeeded FROM e",
 }

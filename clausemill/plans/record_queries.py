@@ -15,7 +15,7 @@ from clausemill.sources.tables import saved
 from .bindings import table
 from .bindings import requests as request_log
 from .chunk_queries import masked
-from .retrieval_queries import ALL_MODES, COSINE, DENSE, modes
+from .retrieval_queries import ALL_MODES, COSINE, DENSE, hashed, modes
 
 NOW = "2001-08-02 00:00:00"
 
@@ -160,7 +160,7 @@ def f8_search_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f9_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _leases(spark, sf_dir).select("lease_id", "name")
     a, total = leases.page_rows(base, [F.col("name")], 3, 20)
-    b, _ = leases.page_rows(base, [F.col("name")], 10**6, 10, clamp=True)
+    b, _ = leases.page_rows(base, [F.col("name")], 10**6, 10, clamp=True, shallow=50)
     return a.withColumn("page", F.lit("3")).unionByName(b.withColumn("page", F.lit("last"))).withColumn("total", F.lit(total).cast("long"))
 
 
@@ -190,8 +190,12 @@ def f13_purge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f14_cap_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of what is kept after the comparisons of even ids are logged."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
-    return leases.cap_history(rows, 500)
+    history = saved(leases.log_comparisons(rows.where("id % 2 = 1"), rows.where("id % 2 = 0"), 500), "history")
+    page, total = leases.history_page(history, 3, 20)
+    kept = history.withColumn("page", F.lit("all")).unionByName(page.withColumn("page", F.lit("3")))
+    return kept.withColumn("total", F.lit(total).cast("long"))
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +218,7 @@ def f16_clause_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f17_one_sided_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = compare.one_sided_diffs(_pairs(spark, sf_dir), _groups(spark, sf_dir))
-    return rows.select("pair_id", "clause_type", F.md5("left_value").alias("l"), F.md5("right_value").alias("r"), "difference")
+    return rows.select("pair_id", "clause_type", F.md5("left_value").alias("l"), F.md5("right_value").alias("r"), "difference", "insight")
 
 
 def f18_shared_clause_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,6 +316,12 @@ def h6_latency_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("status", F.round("quantile_ms", 6).alias("quantile_ms"))
 
 
+def h7_access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as log rows, the question as its hash."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("question"))
+    return requests.access_log(rows, "salt")
+
+
 def h7_access_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = request_log(spark, sf_dir).withColumn("route", F.concat(F.lit("/r/"), F.col("client_key").cast("int") % 10))
     return requests.access_rollup(rows).select("route", "status", "n", F.round("mean_ms", 6).alias("mean_ms"))
@@ -352,15 +362,29 @@ s AS (SELECT e.config, e.query_id, category, should_refuse, refused, rr, coalesc
   FROM e LEFT JOIN (SELECT query_id, count(*) AS n FROM relevant GROUP BY 1) USING (query_id)),
 report AS (SELECT config, coalesce(category, 'overall') AS category, count(*) AS n, avg(rr) AS mrr, avg(recall) AS recall, avg(precision) AS precision, avg((should_refuse = refused)::INT) AS refusal_accuracy FROM s GROUP BY GROUPING SETS ((config, category), (config)))"""
 _METRICS = "m AS (SELECT p_brand AS metric, avg(p_size) AS a, avg(p_retailprice) AS b FROM part GROUP BY 1), cur AS (SELECT metric, round(a, 3) AS value FROM m WHERE metric <> 'Brand#1'), base AS (SELECT metric, round(b / 57, 3) AS value FROM m WHERE metric <> 'Brand#2')"
+REGRESSION = f"""WITH {_METRICS}, j AS (SELECT metric, cur.value AS current, base.value AS prior, CASE WHEN base.value = 0 THEN 0 ELSE (cur.value - base.value) / base.value * 100 END AS pct FROM cur FULL JOIN base USING (metric))
+SELECT metric, current, prior, pct, CASE WHEN pct IS NULL THEN 'MISSING' WHEN pct <= -5 THEN 'REGRESSION' WHEN pct <= -2.5 THEN 'WARN' ELSE 'OK' END AS status FROM j"""
 _HIST = "h AS (SELECT event_type AS status, le, ord, count(*) FILTER (value <= le_v) AS n, sum(value) AS total_ms, le_v FROM events, (SELECT unnest([10,25,50,100,250,500,1000,2500,5000,10000,1e300]) AS le_v, unnest(['10','25','50','100','250','500','1000','2500','5000','10000','+Inf']) AS le, unnest(range(11)) AS ord) GROUP BY ALL)"
 
+#: Three accepted requests a day and client: of the last three accepted times the oldest decides.
+LIMITED = """
+WITH RECURSIVE e AS (SELECT event_id, user_id::VARCHAR AS client_key, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (
+  SELECT event_id, client_key, n, true AS allowed, NULL::BIGINT AS retry_after, ts AS a, NULL::TIMESTAMP AS b, NULL::TIMESTAMP AS c FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.event_id, e.client_key, e.n, f.ok, CASE WHEN NOT f.ok THEN greatest(1, floor(86400 - (epoch_us(e.ts) - epoch_us(r.c)) / 1e6)::BIGINT + 1) END,
+    CASE WHEN f.ok THEN e.ts ELSE r.a END, CASE WHEN f.ok THEN r.a ELSE r.b END, CASE WHEN f.ok THEN r.b ELSE r.c END
+  FROM r JOIN e ON e.client_key = r.client_key AND e.n = r.n + 1, LATERAL (SELECT r.c IS NULL OR r.c <= e.ts - INTERVAL 1 DAY AS ok) f
+)
+SELECT event_id AS request_id, client_key, allowed, retry_after FROM r"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         e1_build_context, e2_source_references, e3_parse_model_json, e6_check_grounding, e7_cache_key, e8_exact_answer_lookup, e9_semantic_answer_lookup, e10_evict_answers, e11_cap_answers, e12_cache_hits,
         f1_select_metadata_chunks, f3_merge_metadata, f4_register_leases, f5_lease_status, f6_portfolio_stats, f7_recent_leases, f8_search_leases, f9_page_rows, f10_age_days, f11_expired_leases, f12_purge, f13_purge_summary, f14_cap_history,
         f15_group_clauses, f16_clause_overlap, f17_one_sided_diffs, f18_shared_clause_pairs, f19_shared_clause_delta, f21_missing_leases, g1_question_scores, g5_retrieval_report, g6_compare_configs, g8_answer_quality, g9_regression_check, g10_quality_floors,
-        h1_client_key, h2_rate_limit, h3_over_limit_windows, h4_count_outcomes, h5_latency_histogram, h6_latency_quantile, h7_access_rollup,
+        h1_client_key, h2_rate_limit, h3_over_limit_windows, h4_count_outcomes, h5_latency_histogram, h6_latency_quantile, h7_access_log, h7_access_rollup,
     )
 }
 ORACLES = {
@@ -399,13 +423,15 @@ SELECT lease_id, name, '3' AS page, total FROM t WHERE r BETWEEN 41 AND 60 UNION
     "f11_expired_leases": f"SELECT o_orderkey AS lease_id, {_AGE} AS age_days FROM orders WHERE {_AGE} >= 365",
     "f12_purge": f"SELECT o_orderkey AS lease_id, {_AGE} AS age_days, count(l_linenumber) AS n_chunks, count(*) FILTER (l_linenumber = 1) AS n_answers, true AS succeeded, 'retention' AS actor FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE {_AGE} >= 2160 GROUP BY 1, 2",
     "f13_purge_summary": f"SELECT count(*) FILTER ({_AGE} >= 2160) AS eligible, count(*) FILTER ({_AGE} >= 2160) AS succeeded, count(*) FILTER ({_AGE} < 2160) AS records_left FROM orders",
-    "f14_cap_history": "SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 500",
+    "f14_cap_history": """WITH k AS (SELECT o_orderkey AS id, o_orderdate AS created_at, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders QUALIFY n <= 500)
+SELECT id, created_at, 'all' AS page, count(*) OVER () AS total FROM k UNION ALL SELECT id, created_at, '3', (SELECT count(*) FROM k) FROM k WHERE n BETWEEN 41 AND 60""",
     "f15_group_clauses": f"WITH {_GROUPS} SELECT lease_id, clause_type, chunk_no, n FROM groups",
     "f16_clause_overlap": f"""WITH {_SPARSE}, l AS (SELECT DISTINCT pair_id, clause_type FROM pairs JOIN sparse ON lease_id = left_id), r AS (SELECT DISTINCT pair_id, clause_type FROM pairs JOIN sparse ON lease_id = right_id)
 SELECT *, 'shared' AS side FROM (SELECT * FROM l INTERSECT SELECT * FROM r) UNION ALL SELECT *, 'left' FROM (SELECT * FROM l EXCEPT SELECT * FROM r) UNION ALL SELECT *, 'right' FROM (SELECT * FROM r EXCEPT SELECT * FROM l)""",
     "f17_one_sided_diffs": f"""WITH {_SPARSE}, f AS (SELECT lease_id, clause_type, {masked('substring(t, 1, 300)', PII_RULES)} AS t FROM (SELECT lease_id, clause_type, arg_min(text, chunk_no) AS t FROM sparse GROUP BY ALL)),
 b AS (SELECT coalesce(l.pair_id, r.pair_id) AS pair_id, coalesce(l.clause_type, r.clause_type) AS clause_type, l.t AS l, r.t AS r FROM (SELECT pair_id, clause_type, t FROM pairs JOIN f ON lease_id = left_id) l FULL JOIN (SELECT pair_id, clause_type, t FROM pairs JOIN f ON lease_id = right_id) r ON l.pair_id = r.pair_id AND l.clause_type = r.clause_type)
-SELECT pair_id, clause_type, md5(coalesce(l, 'Not present')) AS l, md5(coalesce(r, 'Not present')) AS r, 'The ' || clause_type || CASE WHEN r IS NULL THEN ' clause is present on the left and missing on the right.' ELSE ' clause is missing on the left and present on the right.' END AS difference FROM b WHERE l IS NULL OR r IS NULL""",
+SELECT pair_id, clause_type, md5(coalesce(l, 'Not present')) AS l, md5(coalesce(r, 'Not present')) AS r, 'Present in ' || CASE WHEN r IS NULL THEN left_id || ' but missing from ' || right_id ELSE right_id || ' but missing from ' || left_id END AS difference,
+  chr(39) || clause_type || chr(39) || ' clause found only in ' || CASE WHEN r IS NULL THEN left_id || ', not in ' || right_id ELSE right_id || ', not in ' || left_id END || '.' AS insight FROM b JOIN pairs USING (pair_id) WHERE l IS NULL OR r IS NULL""",
     "f18_shared_clause_pairs": f"WITH {_SPARSE}, {_JOINED} SELECT pair_id, clause_type, md5(lt) AS l, md5(rt) AS r FROM shared",
     "f19_shared_clause_delta": rf"""WITH {_SPARSE}, {_JOINED}, t AS (SELECT pair_id, clause_type, list_distinct(regexp_extract_all(lower(lt), '[a-z0-9§]+')) AS a, list_distinct(regexp_extract_all(lower(rt), '[a-z0-9§]+')) AS b, list_distinct(regexp_extract_all(lt, '\d+(?:[.,]\d+)*')) AS x, list_distinct(regexp_extract_all(rt, '\d+(?:[.,]\d+)*')) AS y FROM shared)
 SELECT pair_id, clause_type, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jaccard, md5(array_to_string(list_sort(list_filter(a, lambda q: NOT list_contains(b, q))), ' ')) AS l, md5(array_to_string(list_sort(list_filter(b, lambda q: NOT list_contains(a, q))), ' ')) AS r,
@@ -417,9 +443,11 @@ SELECT pair_id, lease_id, 'no record' AS reason FROM s WHERE lease_id NOT IN (SE
     "g6_compare_configs": f"WITH {_EVAL}, o AS (UNPIVOT (SELECT config, mrr, recall, precision, refusal_accuracy FROM report WHERE category = 'overall') ON mrr, recall, precision, refusal_accuracy INTO NAME metric VALUE v) SELECT metric, "
     + ", ".join(f"round(max(v) FILTER (config = '{c}'), 6) AS {c.replace('+', '_')}" for c in CONFIGS) + " FROM o GROUP BY 1",
     "g8_answer_quality": "SELECT round(avg(l_discount) FILTER (u), 6) AS faithfulness, round(avg(l_tax) FILTER (u), 6) AS correctness, round(avg(l_quantity / 100) FILTER (u), 6) AS relevance, round(avg((l_discount + l_tax + l_quantity / 100) / 3) FILTER (u), 6) AS answer_quality, count(*) FILTER (u) AS judged, count(*) FILTER (l_returnflag = 'R' AND l_linestatus <> 'F') AS unavailable, count(*) FILTER (u) = 0 AS none_available FROM (SELECT *, l_returnflag <> 'R' AND l_linestatus <> 'F' AS u FROM lineitem)",
-    "g9_regression_check": f"WITH {_METRICS}, j AS (SELECT metric, cur.value AS current, base.value AS prior, CASE WHEN base.value = 0 THEN 0 ELSE (cur.value - base.value) / base.value * 100 END AS pct FROM cur FULL JOIN base USING (metric)) SELECT metric, current, prior, round(pct, 6) AS pct, CASE WHEN pct IS NULL THEN 'MISSING' WHEN pct <= -5 THEN 'REGRESSION' WHEN pct <= -2.5 THEN 'WARN' ELSE 'OK' END AS status FROM j",
+    "g9_regression_check": f"SELECT metric, current, prior, round(pct, 6) AS pct, status FROM ({REGRESSION})",
     "g10_quality_floors": f"WITH {_METRICS} SELECT metric, value, 25.0::DOUBLE AS floor FROM cur WHERE value < 25",
     "h1_client_key": "SELECT event_id AS request_id, CASE WHEN event_id % 3 = 0 THEN '10.0.0.' || user_id WHEN event_id % 5 > 0 THEN event_type ELSE 'unknown-' || event_id END AS client FROM events",
+    "h2_rate_limit": LIMITED,
+    "h7_access_log": f"SELECT conv_id, turn, role, {hashed('text')} AS query_hash FROM conversations",
     "h3_over_limit_windows": "SELECT event_id AS request_id, count(*) OVER w AS in_window, count(*) OVER w > 3 AS over FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '86399999999 microseconds' PRECEDING AND CURRENT ROW)",
     "h4_count_outcomes": "SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1",
     "h5_latency_histogram": f"WITH {_HIST} SELECT status, le, n, round(total_ms, 2) AS total_ms FROM h",

@@ -224,6 +224,13 @@ QUERIES = {
 }
 #: The two padded keys of an HMAC with the key ``salt``, as SQL blobs.
 _PADS = ["'" + "".join(f"\\x{b ^ x:02X}" for b in b"salt".ljust(64, b"\0")) + "'::BLOB" for x in (0x36, 0x5C)]
+
+
+def hashed(text: str) -> str:
+    """SQL of ``hash_query(text, 'salt')``."""
+    return f"CASE WHEN {text} = '' THEN '' ELSE substring(sha256({_PADS[1]} || unhex(sha256({_PADS[0]} || encode({text})))), 1, 16) END"
+
+
 ORACLES = {
     "c1_redact_pii": f"SELECT doc_id, md5({REDACTED}) AS digest FROM documents",
     "c3_pii_profile": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS category, len(regexp_extract_all(text, '(?i){quoted(redaction.NAMED + '(?:' + redaction.NAME_END + ')' if r == 'person_name' else p)}')) AS hits FROM documents" for r, p in redaction.PII_RULES.items()) + ") WHERE hits > 0",
@@ -231,7 +238,7 @@ ORACLES = {
     "c5_scan_gate": f"WITH {_scan('documents')} SELECT d.doc_id, count(f.rule) AS findings, count(f.rule) = 0 AS clean FROM documents d LEFT JOIN found f USING (doc_id) GROUP BY ROLLUP (d.doc_id)",
     "c6_sanitize_chunk": r"SELECT doc_id, md5(regexp_replace(substring(regexp_replace(regexp_replace(text, '\bthe\s+of\b', '', 'gi'), 'que\s+la', '', 'gi'), 1, 2000), '^\s+|\s+$', '', 'g')) AS digest FROM documents",
     "c7_flag_injection": r"SELECT doc_id, regexp_matches(text, '\bthe\s+of\b|que\s+la', 'i') AS flagged FROM documents",
-    "c8_hash_query": f"SELECT item_id AS query_id, CASE WHEN text = '' THEN '' ELSE substring(sha256({_PADS[1]} || unhex(sha256({_PADS[0]} || encode(text)))), 1, 16) END AS digest FROM benchmark",
+    "c8_hash_query": f"SELECT item_id AS query_id, {hashed('text')} AS digest FROM benchmark",
     "d2_cosine_similarity": f"SELECT chunk_id, round({COSINE}, 6) AS similarity FROM (SELECT vec_id AS chunk_id, embedding AS b, first_value(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS a FROM embeddings)",
     "d3_dense_topk": f"WITH {DENSE} SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM ranked WHERE rank <= 5",
     "d6_build_bm25": f"WITH {bm25('source', chr(39) + 'all' + chr(39))} SELECT lease_id, chunk_id, count(*) AS n_terms, round(sum(weight), 6) AS weight FROM postings GROUP BY ALL",

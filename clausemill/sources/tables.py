@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +27,11 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("category", F.when(allowed, F.col("category")).otherwise(F.raise_error(F.concat(F.lit("unknown category: "), F.coalesce("category", F.lit("null"))))))
 
 
-def read_json_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON store; lines that cannot be read are left out."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.where(F.col("_corrupt").isNull()).drop("_corrupt")
+def read_json_store(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, number of lines that could not be read) of a JSON store; such lines are left out."""
+    rows = spark.read.text(path).where("trim(value) <> ''").select("value", F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
+    return rows.where(~bad).select("r.*").drop("_corrupt"), rows.agg(F.count_if(bad).alias("corrupt"))
 
 
 def write_json_store(df: DataFrame, path: str) -> None:
@@ -43,13 +48,22 @@ def write_eval_report(report: DataFrame, path: str, at: str) -> None:
     report.withColumn("generated_at", F.lit(at)).write.mode("overwrite").json(path)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new folder in ``spark.checkpoint.dir``, which all executors share; a local one where it is unset (tests)."""
-    import tempfile
-    import uuid
+def put_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    """The rows of one batch in a folder of their own, replacing those of an earlier attempt."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
 
+def get_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all batches, with ``batch_id``."""
+    return spark.read.schema(f"{schema}, batch_id long").parquet(path)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder in ``spark.checkpoint.dir``, which all executors share; in local mode (tests), where it is unset, a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clausemill.operators import chunking
 from clausemill.operators.requests import BOUNDS
-from clausemill.sources import tables
+from clausemill.sources import tables, validate
 
 
 def outcome_windows(events: DataFrame, labels: Sequence[str], width: str = "1 minute", late: str = "10 seconds") -> DataFrame:
@@ -25,18 +25,42 @@ def latency_windows(requests: DataFrame, width: str = "1 minute", late: str = "1
     return rows.groupBy(F.window("ts", width).alias("w")).agg(*sums, F.count("latency_ms").alias("n"), F.sum("latency_ms").alias("total_ms")).select(F.col("w.start").alias("start"), *(f"le_{b}" for b in bounds), "n", "total_ms")
 
 
-def ingest_batch(pages: DataFrame, target: str, rejects: str, batch_id: int) -> None:
-    """Chunks of new pages replace those of their leases; leases without text are written as rejects."""
-    from clausemill.sources.validate import split_textless
+def ingest_batch(pages: DataFrame, root: str, batch_id: int) -> None:
+    """One micro-batch of pages, which come in any order and over several batches.
 
-    good, bad = split_textless(pages)
+    All pages known of the leases it touches are chunked anew.  Every table under
+    ``root`` (pages, chunks, rejects, leases) gets one folder a batch, which a replay
+    overwrites; the table of leases comes last and tells which batch counts for each.
+    """
+    spark = pages.sparkSession
+    new = pages.select("lease_id", "source", "page", "text").withColumn("batch_id", F.lit(batch_id).cast("long"))
+    tables.put_batch(new.drop("batch_id"), f"{root}/pages", batch_id)
+    new = tables.get_batches(spark, f"{root}/pages", tables.PAGES)
+    touched = new.where(F.col("batch_id") == batch_id).select("lease_id").distinct()
+    known = new.where(F.col("batch_id") <= batch_id).join(touched, "lease_id", "left_semi")
+    whole = tables.saved(known.groupBy("lease_id", "source", "page").agg(F.max_by("text", "batch_id").alias("text")), "pages")
+    good, bad = validate.split_textless(whole)
     chunks = chunking.chunk_pages(good).withColumn("clause_type", chunking.classify("text"))
-    tables.upsert_chunks(chunking.assign_chunk_ids(chunks), target)
-    bad.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(rejects)
+    tables.put_batch(chunking.assign_chunk_ids(chunks), f"{root}/chunks", batch_id)
+    tables.put_batch(bad, f"{root}/rejects", batch_id)
+    tables.put_batch(validate.textless(whole).select("lease_id", "accepted"), f"{root}/leases", batch_id)
 
 
-def streaming_ingest(spark: SparkSession, source: str, target: str, rejects: str, checkpoint: str):
-    """Run over what has arrived under ``source`` (parquet pages), then stop."""
-    pages = spark.readStream.schema(tables.PAGES).parquet(source)
-    query = pages.writeStream.foreachBatch(lambda df, n: ingest_batch(df, target, rejects, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    return query
+def ingested(spark: SparkSession, root: str, kind: str = "chunks") -> DataFrame:
+    """The ``chunks`` or ``rejects`` in force: those of the last batch that touched their lease."""
+    last = tables.get_batches(spark, f"{root}/leases", "lease_id string, accepted boolean").groupBy("lease_id").agg(F.max("batch_id").alias("batch_id"))
+    rows = spark.read.parquet(f"{root}/{kind}")
+    return rows.withColumn("batch_id", F.col("batch_id").cast("long")).join(last, ["lease_id", "batch_id"], "left_semi").drop("batch_id")
+
+
+def streaming_ingest(spark: SparkSession, source: str, root: str, checkpoint: str, files: int | None = None):
+    """Run over what has arrived under ``source`` (parquet pages), at most ``files`` a batch, then stop."""
+    reader = spark.readStream.schema(tables.PAGES)
+    pages = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(source)
+    return pages.writeStream.foreachBatch(lambda df, n: ingest_batch(df, root, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream over all that is there, append its rows to a table, and read that."""
+    stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

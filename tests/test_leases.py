@@ -56,6 +56,34 @@ def test_age_labels_and_paging(spark):
     rows, total = leases.page_rows(df, [F.col("d")], 9, 4, clamp=True)
     assert total == 10 and [r.d for r in rows.collect()] == [59, 60]
     assert leases.page_rows(df, [F.col("d")], -3, 2)[0].count() == 2
+    many = spark.range(0, 1000, 1, 5).withColumn("k", F.col("id") * 37 % 1000)
+    for page in (1, 7, 50, 100, 101):
+        rows, total = leases.page_rows(many, [F.col("k").desc()], page, 10, shallow=0)
+        assert total == 1000 and [r.k for r in rows.collect()] == list(range(999, -1, -1))[(page - 1) * 10 : page * 10]
+
+
+def test_metadata_results(spark):
+    raws = {"some": '{"tenant": "Ann", "landlord": null}', "none": "{}", "key": '{"tenant": "Ann", "pet": "cat"}', "number": '{"rent_amount": 5}', "junk": "x", "null": None}
+    rows = leases.parse_metadata(spark.createDataFrame(list(raws.items()), "lease_id string, raw string")).collect()
+    assert {r.lease_id: (r.status, r.tenant) for r in rows} == {"some": ("updated", "Ann"), "none": ("no_fields", None), "key": ("failed", None), "number": ("failed", None), "junk": ("failed", None), "null": ("failed", None)}
+    chunks = spark.createDataFrame([("l", 1, "Tenant: Ann")], "lease_id string, chunk_no int, text string")
+    got = leases.extract_metadata(chunks, leases=spark.createDataFrame([("l",), ("m",)], "lease_id string"))
+    assert {r.lease_id: r.status for r in got.collect()} == {"l": "updated", "m": "failed"}
+
+
+def test_history(spark):
+    old = spark.createDataFrame([(k, f"2020-01-0{k}") for k in range(1, 6)], "id int, created_at string")
+    history = leases.log_comparisons(old, spark.createDataFrame([(9, "2021-01-01"), (8, "2021-01-01")], "id int, created_at string"), 4)
+    assert [r.id for r in history.collect()] == [9, 8, 5, 4]
+    page, total = leases.history_page(history, 2, 3)
+    assert total == 4 and [r.id for r in page.collect()] == [4]
+
+
+def test_one_sided_lines(spark):
+    groups = spark.createDataFrame([("x", "rent", 1, "call 555-123-4567")], "lease_id string, clause_type string, chunk_no int, text string")
+    row = compare.one_sided_diffs(spark.createDataFrame([("p", "x", "y")], "pair_id string, left_id string, right_id string"), groups).first()
+    assert (row.left_value, row.right_value) == ("call [REDACTED_PHONE]", "Not present")
+    assert (row.difference, row.insight) == ("Present in x but missing from y", "'rent' clause found only in x, not in y.")
 
 
 def test_collect_comparison(spark):

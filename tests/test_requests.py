@@ -83,9 +83,24 @@ def test_histogram_stream_equals_batch(spark, tmp_path):
         assert all(hist[str(b)] == row[f"le_{b}"] for b in requests.BOUNDS) and hist["+Inf"] == row.n
 
 
-def test_streaming_ingest(spark, tmp_path):
-    pages = spark.createDataFrame([("a", "s", 1, "1. One\n2. Two"), ("b", "t", 1, " ")], "lease_id string, source string, page int, text string")
-    pages.write.parquet(str(tmp_path / "pages"))
-    jobs.streaming_ingest(spark, str(tmp_path / "pages"), str(tmp_path / "chunks"), str(tmp_path / "rejects"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "chunks")).collect()) == ["1. One", "2. Two"]
-    assert [(r.lease_id, r.reason) for r in spark.read.parquet(str(tmp_path / "rejects")).collect()] == [("b", "no extractable text")]
+def _arrive(spark, tmp_path, name, rows):
+    spark.createDataFrame(rows, "lease_id string, source string, page int, text string").coalesce(1).write.parquet(str(tmp_path / "pages" / name))
+    jobs.streaming_ingest(spark, str(tmp_path / "pages" / "*"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    chunks = [(r.lease_id, r.page, r.chunk_no, r.text) for r in jobs.ingested(spark, str(tmp_path / "out")).orderBy("lease_id", "chunk_no").collect()]
+    return chunks, sorted((r.lease_id, r.reason) for r in jobs.ingested(spark, str(tmp_path / "out"), "rejects").collect())
+
+
+def test_streaming_ingest_over_batches(spark, tmp_path):
+    chunks, rejects = _arrive(spark, tmp_path, "1", [("a", "s", 1, "1. One\n2. Two"), ("b", "t", 1, " ")])
+    assert chunks == [("a", 1, 0, "1. One"), ("a", 1, 1, "2. Two")] and rejects == [("b", "no extractable text")]
+    chunks, rejects = _arrive(spark, tmp_path, "2", [("a", "s", 2, "Three"), ("b", "t", 2, "text")])
+    assert chunks == [("a", 1, 0, "1. One"), ("a", 1, 1, "2. Two"), ("a", 2, 2, "Three"), ("b", 2, 0, "text")] and rejects == []
+    chunks, rejects = _arrive(spark, tmp_path, "3", [("b", "t", 2, "")])  # the lease has lost its text
+    assert [c[0] for c in chunks] == ["a"] * 3 and rejects == [("b", "no extractable text")]
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    pages = spark.createDataFrame([("a", "s", 1, "One"), ("b", "t", 1, " ")], "lease_id string, source string, page int, text string")
+    for _ in range(2):
+        jobs.ingest_batch(pages, str(tmp_path), 0)
+    assert jobs.ingested(spark, str(tmp_path)).count() == 1 and jobs.ingested(spark, str(tmp_path), "rejects").count() == 1

@@ -41,7 +41,8 @@ def test_read_golden(spark, tmp_path):
 
 def test_json_store(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"id": "a", "n": 1}\n{broken\n')
-    assert [(r.id, r.n) for r in tables.read_json_store(spark, str(tmp_path / "s.json"), "id string, n int").collect()] == [("a", 1)]
+    rows, corrupt = tables.read_json_store(spark, str(tmp_path / "s.json"), "id string, n int")
+    assert [(r.id, r.n) for r in rows.collect()] == [("a", 1)] and corrupt.first().corrupt == 1
 
 
 def test_upsert_replaces_a_lease(spark, tmp_path):
