@@ -57,7 +57,7 @@ def test_compaction_keeps_what_is_known(spark, documents):
     rows = corpus()
     index = substring.FingerprintIndex(spark, 2, fan_in=2)
     found = [index.add_batch(documents(part)) for part in (rows[:20], rows[20:40], rows[40:])]
-    assert len(index.runs) == 1
+    assert len(index.runs) == 2 and index.made == 4  # the first two runs became one
     index.close()
     places = {}
     for part in found:
@@ -75,6 +75,27 @@ def test_odd_rows(spark, odd):
     assert substring.deduplicated(extra, 2).columns == [*extra.columns, "n_words", "n_removed", "kept_text"]
 
 
+def test_columns_of_any_name(spark, documents):
+    rows = corpus()
+    base = documents(rows).select("doc_id", "text")
+    for c in ("_id", "_places", "places", "id", "row", "at_id", "N_words", "kept_text", "a.b"):
+        base = base.withColumn(c, base.doc_id + 1)
+    out = substring.deduplicated(base, 2)
+    assert out.columns == ["doc_id", "text", "_id", "_places", "places", "id", "row", "at_id", "a.b", "n_words", "n_removed", "kept_text"]
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in out.collect()} == plain(rows)
+    assert all(r._id == r.doc_id + 1 == r["a.b"] for r in out.collect())
+
+
+def test_compaction_is_not_a_shuffle(spark, documents):
+    index = substring.FingerprintIndex(spark, 2)
+    rows = corpus()
+    index.add_batch(documents(rows[:30]))
+    index.add_batch(documents(rows[30:]))
+    plan = index._merged()._jdf.queryExecution().executedPlan().toString()
+    index.close()
+    assert "Exchange" not in plan
+
+
 def test_query_against_sql(spark):
     compare(spark, substring.op2_substring_dedup, substring.ORACLES["op2_substring_dedup"])
     assert hashlib is not None
