@@ -8,8 +8,11 @@
 5. encode: byte-level BPE of the texts that are left, as digests.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``.  All
-but the last return the columns of ``documents``.  Rows with a null doc_id pass
-the filters, as no operator can name them.
+but the last return the columns of ``documents``, whatever other columns ``docs``
+has.  Rows with a null doc_id pass stages 2 to 4, as no operator can name them.  Null,
+empty and blank texts pass every stage and have no tokens; of repeated rows with one
+id all stay or all go; of ties between groups of equal documents the smallest doc_id
+stays; an empty table gives an empty result of the same columns.
 """
 
 from __future__ import annotations
