@@ -12,6 +12,8 @@ from clausemill.functions.redaction import redact_pii, sanitize_chunk
 from clausemill.functions.text import strip
 from clausemill.functions.vectors import cosine
 
+from .retrieval import bounded
+
 #: Labels of an answer (fixed values).
 SIGNALS = ("standard", "tenant_friendly", "landlord_friendly", "unusual", "red_flag")
 REFUSAL = "I could not find this in the document."
@@ -119,9 +121,13 @@ def exact_answer_lookup(requests: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def semantic_answer_lookup(requests: DataFrame, answers: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(request_id, answer_id, similarity): the most similar answer of the same lease and flags, first on a tie."""
+    """(request_id, answer_id, similarity): the most similar answer of the same lease and flags, first on a tie.
+
+    Few requests go to every task of the answers, so no lease's answers are
+    gathered; each task sends on only its best answer of a request.
+    """
     asks = requests.select("request_id", "lease_id", "flags", F.col("embedding").alias("q"))
-    pairs = asks.join(answers.select("answer_id", "lease_id", "flags", "embedding"), ["lease_id", "flags"])
+    pairs = answers.select("answer_id", "lease_id", "flags", "embedding").join(bounded(asks), ["lease_id", "flags"])
     near = pairs.select("request_id", "answer_id", cosine("q", "embedding").alias("similarity")).where(F.col("similarity") >= least)
     w = Window.partitionBy("request_id").orderBy(F.round("similarity", 9).desc(), "answer_id")
     return near.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")

@@ -53,7 +53,7 @@ def build_bm25(chunks: DataFrame) -> Bm25:
     Texts are tokenised once and their term counts written; all else is derived
     from them.  A negative idf becomes EPSILON times the lease's mean idf.
     """
-    words = chunks.select("lease_id", "chunk_id", F.array_sort(tokens("text")).alias("t"))
+    words = chunks.select("lease_id", "chunk_id", F.sort_array(tokens("text")).alias("t"))
     rows = saved(words.select("lease_id", "chunk_id", F.size("t").alias("dl"), term_counts(F.col("t")).alias("terms")), "term-counts")
     lease = rows.groupBy("lease_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     tf = rows.select("lease_id", "chunk_id", "dl", F.inline("terms"))
@@ -85,7 +85,6 @@ def bm25_topk(questions: DataFrame, index: Bm25, k: int = CANDIDATES) -> DataFra
     hits = postings.join(bounded(terms), ["lease_id", "term"]).groupBy("query_id", "lease_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
     columns = ["query_id", "chunk_id", "score", "rank"]
     best = F.round("score", 9).desc()
-    hits = saved(hits, "scores")
     top = saved(ranked(hits, k, best).select(*columns), "lexical")
     found = top.where("score > 0").groupBy("query_id").agg(F.count("*").alias("found"))
     few = questions.select("query_id", "lease_id").join(found, "query_id", "left").where(F.coalesce("found", F.lit(0)) < k).select("query_id", "lease_id")
@@ -104,10 +103,12 @@ def bm25_topk(questions: DataFrame, index: Bm25, k: int = CANDIDATES) -> DataFra
 
 def dense_topk(queries: DataFrame, candidates: DataFrame, k: int = TOP, itself: bool = False) -> DataFrame:
     """Exact: (query_id, chunk_id, distance, rank), distance 1 - cosine within the query's lease; a chunk asked by its own id only if ``itself``."""
-    asks = queries.select("query_id", "lease_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn"))
-    rows = candidates.withColumn("cn", norm(F.col("embedding"))).join(bounded(asks), "lease_id")
-    usable = (F.size("q") == F.size("embedding")) & (F.col("qn") * F.col("cn") > 0)
-    near = F.coalesce(F.when(usable, dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("cn"))), F.lit(0.0))
+    wide = "array<double>"
+    asks = queries.select("query_id", "lease_id", F.col("embedding").cast(wide).alias("q"), norm(F.col("embedding")).alias("qn"))
+    own = candidates.select("lease_id", "chunk_id", F.col("embedding").cast(wide).alias("c"), norm(F.col("embedding")).alias("cn"))
+    rows = own.join(bounded(asks), "lease_id")
+    usable = (F.size("q") == F.size("c")) & (F.col("qn") * F.col("cn") > 0)
+    near = F.coalesce(F.when(usable, dot(F.col("q"), F.col("c")) / (F.col("qn") * F.col("cn"))), F.lit(0.0))
     rows = rows if itself else rows.where("query_id <> chunk_id")
     return ranked(rows.select("query_id", "chunk_id", (1 - near).alias("distance")), k, F.round("distance", 9).asc())
 

@@ -3,8 +3,8 @@ import pytest
 from clausemill import registry
 from oracle import compare
 
-#: Shares its operators with g5 or d12 and takes as long.
-SLOW = {"g1_question_scores", "g6_compare_configs", "d13_refusals_by_clause"}
+#: Share their operators with g5 or d11 and take as long.
+SLOW = {"g1_question_scores", "g6_compare_configs", "d10_rerank", "d12_refusal_gate", "d13_refusals_by_clause", "ask"}
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.ORACLES) - SLOW))

@@ -80,3 +80,12 @@ def test_normalize_all_equal(spark):
     df = spark.createDataFrame([(1, 2.0), (1, 2.0), (2, 0.0), (2, 4.0)], "query_id int, s double")
     assert sorted((r.query_id, r.scaled) for r in retrieval.normalize(df, "s").collect()) == [(1, 0.0), (1, 0.0), (2, 0.0), (2, 1.0)]
     assert F is not None
+
+
+def test_dense_lengths_and_zeros(spark):
+    rows = [(1, "l", [1.0, 0.0, 0.0]), (2, "l", [1.0, 1.0]), (3, "l", [0.0, 0.0, 0.0]), (4, "l", []), (5, "l", [2.0, 0.0, 0.0]), (6, "l", [0.0, 3.0, 4.0]), (7, "m", [1.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "chunk_id int, lease_id string, embedding array<float>")
+    asks = spark.createDataFrame([(10, "l", [2.0, 0.0, 0.0]), (11, "l", [1.0, 0.0])], "query_id int, lease_id string, embedding array<float>")
+    got = {(r.query_id, r.chunk_id): round(r.distance, 6) for r in retrieval.dense_topk(asks, vectors, 10).collect()}
+    assert got == {(10, 1): 0.0, (10, 2): 1.0, (10, 3): 1.0, (10, 4): 1.0, (10, 5): 0.0, (10, 6): 1.0} | {(11, k): 1.0 for k in (1, 3, 4, 5, 6)} | {(11, 2): round(1 - 0.5**0.5, 6)}
+    assert retrieval.dense_topk(asks.limit(0), vectors).count() == 0
