@@ -95,9 +95,9 @@ def corpus_vectors(docs: DataFrame) -> np.ndarray:
             part = slots[a : a + _ROWS]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["slot", "value"])
 
-    rows = docs.select("text").mapInArrow(count, "slot int, value long").groupBy("slot").agg(F.sum("value").alias("value")).toPandas()  # as many as the table has numbers
+    rows = docs.select("text").mapInArrow(count, "slot int, value long").groupBy("slot").agg(F.sum("value").alias("value")).toArrow()  # as many as the table has numbers
     total = np.zeros((WORDS + SHAPES) * DIMENSIONS, np.int64)
-    total[rows["slot"]] = rows["value"]
+    total[rows["slot"].to_numpy()] = rows["value"].to_numpy()
     vectors = total.reshape(WORDS + SHAPES, DIMENSIONS).astype(float)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1.0)
     vectors += index_vectors() / NONZERO**0.5
@@ -195,11 +195,11 @@ def _features(docs: DataFrame, key: str, kind: str, vectors: np.ndarray) -> Data
 def fit(docs: DataFrame, rows: DataFrame) -> tuple[np.ndarray, Network]:
     """Vectors from all documents, network from a bounded sample of (text, y)."""
     vectors = corpus_vectors(docs)
-    seen = _features(rows, "y", "int", vectors).toPandas()  # one pooled vector a sampled row
-    seen = seen.sort_values("y", kind="stable") if len(seen) else seen
-    x = np.array(seen["x"].tolist()) if len(seen) else np.zeros((0, 2 * DIMENSIONS + 2))
-    order = np.lexsort(x.T) if len(x) else slice(None)  # the order in which rows came does not matter
-    return vectors, train(x[order], np.array(seen["y"], float)[order])
+    seen = _features(rows, "y", "int", vectors).toArrow()  # one pooled vector a sampled row
+    y = seen["y"].to_numpy().astype(float)
+    x = seen["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), 2 * DIMENSIONS + 2)
+    order = np.lexsort([*x.T, y]) if len(y) else slice(None)  # the order in which rows came does not matter
+    return vectors, train(x[order], y[order])
 
 
 def scored(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
