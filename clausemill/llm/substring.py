@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import drop, saved
+from .tables import delete, drop, new_path, saved
 from .words import WORD_PATTERN, Words, mix, rolled, slices
 
 WINDOW = 13
@@ -93,7 +93,7 @@ def _windows(rows: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Runs of window fingerprints in bucketed tables of the session's warehouse.
+    """Runs of window fingerprints as bucketed tables in the folder that all executors share.
 
     ``buckets`` bounds the memory of a merge task: a bucket of one run is sorted
     within one task.  ``fan_in`` runs are compacted into one before the next is added.
@@ -102,13 +102,18 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, buckets: int, fan_in: int = 2):
         self.spark, self.buckets, self.fan_in = spark, buckets, fan_in
         self.name = f"fingerprints_{uuid.uuid4().hex[:12]}"
+        self.folder = new_path(spark, "fingerprints")
         self.runs: list[str] = []
         self.made = 0
 
     def _bucketed(self, rows: DataFrame, name: str) -> DataFrame:
-        rows.write.option("compression", "zstd").bucketBy(self.buckets, "anchor").sortBy("anchor").saveAsTable(name)
+        rows.write.option("compression", "zstd").option("path", f"{self.folder}/{name}").bucketBy(self.buckets, "anchor").sortBy("anchor").saveAsTable(name)
         return self.spark.table(name)
 
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(self.spark, f"{self.folder}/{name}")
+
     def _flush(self, rows: DataFrame) -> DataFrame:
         self.made += 1
         self.runs.append(f"{self.name}_{self.made}")
@@ -143,7 +148,7 @@ class FingerprintIndex:
         found = windows.join(first, ["anchor", "sign"]).where(F.col("first") < F.col("doc_id"))
         found = saved(found.select("doc_id", (F.col("place") + F.col("k")).alias("place")), "duplicate-windows")
         drop(first)
-        self.spark.sql(f"DROP TABLE {self.runs[-1]}_shared")
+        self._drop(f"{self.runs[-1]}_shared")
         return found
 
     def _merged(self) -> DataFrame:
@@ -158,12 +163,13 @@ class FingerprintIndex:
         self.runs = []
         self._flush(rows)
         for run in old:
-            self.spark.sql(f"DROP TABLE {run}")
+            self._drop(run)
 
     def close(self) -> None:
         for run in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {run}_shared")
-            self.spark.sql(f"DROP TABLE {run}")
+            self._drop(f"{run}_shared")
+            self._drop(run)
+        delete(self.spark, self.folder)
         self.runs = []
 
 
