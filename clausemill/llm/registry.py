@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, jaccard, langid, quality_net, quality_rules, substring, token_rollups, toxicity
+from . import bpe, decontaminate, fim, fingerprints, html_text, jaccard, langid, quality_net, quality_rules, substring, token_rollups, toxicity, whitening
 
-MODULES = (bpe, decontaminate, quality_rules, html_text, substring, jaccard, langid, toxicity, quality_net, token_rollups)
+MODULES = (bpe, decontaminate, quality_rules, html_text, substring, jaccard, langid, toxicity, quality_net, token_rollups, fingerprints, whitening, fim)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
