@@ -6,9 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space of Unicode, and the four separators of ASCII that count as such too.
+BLANK = r"[\s\x1c-\x1f]"
+
+
 def strip(text: Column | str) -> Column:
-    """Without white space at both ends, line ends included."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space at both ends, line ends and the blanks of Unicode included."""
+    return F.regexp_replace(text, rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
+
+
+def squeezed(text: Column | str) -> Column:
+    """Each run of white space made one space, none at the ends."""
+    return strip(F.regexp_replace(text, rf"(?U){BLANK}+", " "))
 
 
 def tokens(text: Column | str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clausemill.functions.redaction import redact_pii, sanitize_chunk
-from clausemill.functions.text import strip
+from clausemill.functions.text import squeezed, strip
 from clausemill.functions.vectors import cosine
 
 from .retrieval import bounded
@@ -70,7 +70,7 @@ def validate_answer(raw: Column | str, signals: tuple[str, ...] = SIGNALS) -> Co
 
 def check_grounding(context: Column | str, quote: Column | str) -> Column:
     """Whether the quote occurs in the context, white space made single; an empty quote does not."""
-    c, q = (strip(F.regexp_replace(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")), r"\s+", " ")) for x in (context, quote))
+    c, q = (squeezed(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))) for x in (context, quote))
     return (q != "") & c.contains(q)
 
 
@@ -88,7 +88,7 @@ def resolve_answer(rows: DataFrame, guard: bool = True) -> DataFrame:
     """Final answer of (query_id, refused, confidence, sources, raw, grounded) rows.
 
     Gate refusal, then unreadable answer, then failed grounding, then the redacted
-    answer.
+    answer.  An empty quote is none.
     """
     a = validate_answer("raw")
     rows = rows.withColumn("_a", a)
@@ -103,7 +103,7 @@ def resolve_answer(rows: DataFrame, guard: bool = True) -> DataFrame:
         text.alias("answer"),
         F.when(~F.col("refused"), F.col("sources")).alias("sources"),
         F.when(F.col("refused"), 0.0).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(given, redact_pii(F.col("_a.quote"))).alias("quote"),
+        F.when(given, F.nullif(redact_pii(F.col("_a.quote")), F.lit(""))).alias("quote"),
         F.when(given, F.col("_a.signal")).alias("signal"),
     )
 
@@ -111,7 +111,7 @@ def resolve_answer(rows: DataFrame, guard: bool = True) -> DataFrame:
 def cache_key(lease: Column | str, question: Column | str, flags: Column | str) -> Column:
     """SHA-256 of lease, normalised question and configuration flags."""
     lease, question, flags = (F.col(x) if isinstance(x, str) else x for x in (lease, question, flags))
-    normal = F.lower(strip(F.regexp_replace(question, r"\s+", " ")))
+    normal = F.lower(squeezed(question))
     return F.sha2(F.concat_ws("\u001f", lease, normal, flags), 256)
 
 

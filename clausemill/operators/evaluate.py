@@ -97,16 +97,34 @@ def quality_floors(metrics: DataFrame, floors: dict[str, float] = FLOORS) -> Dat
     return metrics.withColumn("floor", table[F.col("metric")]).where("value < floor").select("metric", "value", "floor")
 
 
+def _said(value: Column) -> Column:
+    """A JSON value as text: null, true and false by their Python names, no value as ``unknown``, objects and arrays as JSON."""
+    kind = F.schema_of_variant(value)
+    text = F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value))
+    return F.when(value.isNull(), "unknown").when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
+
+
+def _truthy(value: Column) -> Column:
+    """Whether a JSON value counts as true: all but nothing, null, false, zero and what is empty."""
+    kind, text = F.schema_of_variant(value), F.to_json(value)
+    number = F.try_variant_get(value, "$", "double")
+    yes = F.when(kind == "BOOLEAN", text == "true").when(kind == "STRING", text != '""').when(text.rlike(r"^[\[{]"), ~text.isin("[]", "{}")).when(kind != "VOID", number != 0)
+    return F.coalesce(yes, F.lit(False))
+
+
 def audit_verdicts(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """has_pii and findings (category, location) of audit JSON; unreadable counts as a finding."""
-    one = F.from_json(json_object(raw), "has_pii boolean, findings array<struct<category:string,location:string>>")
-    rows = df.withColumn("_a", F.when(json_object(raw).isNotNull(), one))
-    bad = F.col("_a").isNull() | F.col("_a.has_pii").isNull()
+    """has_pii and findings (category, location) of audit JSON; unreadable counts as a finding.
+
+    A missing flag is false.  Of the findings the objects count, their values as text.
+    """
+    rows = df.withColumn("_a", F.try_parse_json(json_object(raw)))
+    bad = F.col("_a").isNull()
     failed = F.array(F.struct(F.lit("audit_unavailable").alias("category"), F.lit("unknown").alias("location")))
-    kind = "array<struct<category:string,location:string>>"
-    clean = F.transform(F.coalesce("_a.findings", F.array().cast(kind)), lambda x: F.struct(F.coalesce(x["category"], F.lit("unknown")).alias("category"), F.coalesce(x["location"], F.lit("unknown")).alias("location")))
+    items = F.filter(F.try_variant_get("_a", "$.findings", "array<variant>"), lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)))
+    said = F.transform(items, lambda x: F.struct(*(_said(F.try_variant_get(x, f"$.{f}", "variant")).alias(f) for f in ("category", "location"))))
+    clean = F.coalesce(said, F.array().cast("array<struct<category:string,location:string>>"))
     kept = [c for c in df.columns if c != raw]
-    return rows.select(*kept, F.when(bad, True).otherwise(F.col("_a.has_pii")).alias("has_pii"), F.when(bad, failed).otherwise(clean).alias("findings"))
+    return rows.select(*kept, F.when(bad, True).otherwise(_truthy(F.try_variant_get("_a", "$.has_pii", "variant"))).alias("has_pii"), F.when(bad, failed).otherwise(clean).alias("findings"))
 
 
 def audit_scorecard(fixtures: DataFrame, verdicts: DataFrame) -> DataFrame:

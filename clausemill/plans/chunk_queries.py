@@ -28,8 +28,11 @@ def a1_read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a2_reject_textless(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a lease of one page, so that blank ones are rejected."""
-    return validate.textless(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("lease_id"), "text")).select("lease_id", "n_pages", "n_chars", "accepted")
+    """Every document as a lease of one page, every fifth with nothing but blanks of Unicode; and a blank page more for some."""
+    blank = F.lit(" \u00a0\n\u2003\u3000 ")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("lease_id"), F.when(F.col("doc_id") % 5 > 0, F.concat(blank, "text", blank)).otherwise(blank).alias("text"))
+    pages = docs.unionByName(docs.where("lease_id % 3 = 0").withColumn("text", F.lit("\x1f\x85")))
+    return validate.textless(pages).select("lease_id", "n_pages", "n_chars", "accepted")
 
 
 def a4_validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +191,7 @@ chunks AS (SELECT id, 0 AS no, text AS t FROM named WHERE length(text) <= {chunk
 QUERIES = {f.__name__: f for f in (a1_read_pages, a2_reject_textless, a4_validate_requests, a8_ingest_summary, b1_split_clauses, b2_split_paragraphs, b3_recursive_chunk, b4_merge_undersized, b5_add_overlap, b6_chunk_pages, b7_assign_chunk_ids, b8_classify_clause, b9_clause_histogram, b10_list_chunks, d5_tokenize)}
 ORACLES = {
     "a1_read_pages": "SELECT source AS lease_id, doc_id::VARCHAR AS source, doc_id + 1 AS page, length(text) AS n_chars FROM documents",
-    "a2_reject_textless": r"SELECT doc_id AS lease_id, count(*) AS n_pages, sum(n)::BIGINT AS n_chars, sum(n) > 0 AS accepted FROM (SELECT doc_id, length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS n FROM documents) GROUP BY 1",
+    "a2_reject_textless": r"SELECT doc_id AS lease_id, 1 + (doc_id % 3 = 0)::BIGINT AS n_pages, n AS n_chars, n > 0 AS accepted FROM (SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) ELSE 0 END AS n FROM documents)",
     "a4_validate_requests": r"""
 SELECT conv_id, turn, array_to_string(list_filter([
   CASE WHEN NOT regexp_full_match(lease_id, '[A-Za-z0-9_-]{1,100}') THEN 'lease_id' END,

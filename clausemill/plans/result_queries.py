@@ -34,7 +34,8 @@ def _cases(key: Column, texts: list[Column]) -> Column:
 
 def _audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.format_string('{"has_pii": %s, "findings": [{"category": "%s", "location": "row %d"}, {"category": "%s"}]}', (F.col("value") > 100).cast("string"), F.col("event_type"), F.col("event_id"), F.col("event_type"))
-    raw = _cases(F.col("event_id"), [one, F.lit('{"has_pii": false, "findings": []}'), F.lit("no json"), F.lit('{"findings": []}'), F.concat(F.lit("```json\n"), one, F.lit("\n```")), F.lit("[1]"), F.lit('{"has_pii": true}')])
+    odd = F.format_string('{"has_pii": "yes", "findings": [{"category": %d}, "x", {"category": null, "location": true}]}', F.col("event_id"))
+    raw = _cases(F.col("event_id"), [one, F.lit('{"has_pii": false, "findings": []}'), F.lit("no json"), F.lit('{"findings": []}'), F.concat(F.lit("```json\n"), one, F.lit("\n```")), F.lit("[1]"), F.lit('{"has_pii": true}'), odd, F.lit('{"has_pii": 0, "findings": "none"}')])
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("fixture_id"), raw.alias("raw"))
 
 
@@ -63,7 +64,8 @@ def c11_redaction_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _model_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     signal = F.element_at(F.array(*map(F.lit, (*answers.SIGNALS, "favorable"))), (F.col("event_id") % 6 + 1).cast("int"))
     good = F.format_string('{"answer": "It is %d, write to u%d@example.org", "quote": "type %s", "signal": "%s"}', F.col("event_id"), F.col("user_id"), F.col("event_type"), signal)
-    raw = _cases(F.col("event_id"), [good, F.concat(F.lit("```JSON\n"), good, F.lit("\n```")), F.concat(F.lit("["), good, F.lit("]")), F.substring(good, 1, 30), F.lit('{"answer": 5, "quote": "q", "signal": "unusual"}'), F.lit('{"answer": "a", "signal": "unusual"}'), good])
+    mute = F.regexp_replace(good, '"type [^"]*"', '""')
+    raw = _cases(F.col("event_id"), [good, F.concat(F.lit("```JSON\n"), good, F.lit("\n```")), F.concat(F.lit("["), good, F.lit("]")), F.substring(good, 1, 30), F.lit('{"answer": 5, "quote": "q", "signal": "unusual"}'), F.lit('{"answer": "a", "signal": "unusual"}'), good, mute])
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("query_id"), raw.alias("raw"), "value")
 
 
@@ -114,10 +116,11 @@ def g7_parse_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", *(F.round(d, 6).alias(d) for d in evaluate.DIMENSIONS), "unavailable")
 
 
-_AUDITS = """audits AS (SELECT event_id AS fixture_id, CASE WHEN event_id % 7 IN (0, 4) THEN value > 100 WHEN event_id % 7 = 1 THEN false ELSE true END AS has_pii,
-  CASE WHEN event_id % 7 IN (0, 4) THEN event_type || '/row ' || event_id || ',' || event_type || '/unknown' WHEN event_id % 7 IN (1, 6) THEN '' ELSE 'audit_unavailable/unknown' END AS findings FROM events)"""
+_AUDITS = """audits AS (SELECT event_id AS fixture_id, CASE WHEN event_id % 9 IN (0, 4) THEN value > 100 WHEN event_id % 9 IN (1, 3, 8) THEN false ELSE true END AS has_pii,
+  CASE WHEN event_id % 9 IN (0, 4) THEN event_type || '/row ' || event_id || ',' || event_type || '/unknown' WHEN event_id % 9 IN (1, 3, 6, 8) THEN '' WHEN event_id % 9 = 7 THEN event_id || '/unknown,None/True' ELSE 'audit_unavailable/unknown' END AS findings FROM events)"""
 _FIXTURES = f"""fixtures AS (SELECT doc_id AS fixture_id, text, {' + '.join(f"regexp_matches(text, '(?i){redaction.PII_RULES[r]}')::INT" for r in _FIXED)} AS expected, doc_id % 9 = 0 AS more FROM documents)"""
-_GOOD = "event_id % 7 IN (0, 1, 6) AND event_id % 6 < 5"
+_GOOD = "event_id % 8 IN (0, 1, 6, 7) AND event_id % 6 < 5"
+_QUOTE = "CASE WHEN event_id % 8 = 7 THEN '' ELSE 'type ' || event_type END"
 _SIGNAL = "[" + ", ".join(f"'{x}'" for x in answers.SIGNALS) + "][event_id % 6 + 1]"
 _OUTCOME = f"CASE WHEN value > 200 THEN 'refused' WHEN NOT ({_GOOD}) THEN 'invalid' WHEN event_id % 5 = 0 THEN 'ungrounded' ELSE 'answered' END"
 
@@ -127,10 +130,10 @@ ORACLES = {
     "c9_audit_verdicts": f"WITH {_AUDITS} SELECT * FROM audits",
     "c10_audit_scorecard": f"WITH {_AUDITS}, {_FIXTURES}, j AS (SELECT CASE WHEN expected > 0 OR more THEN has_pii ELSE NOT has_pii OR findings = '' END AS ok FROM fixtures JOIN audits USING (fixture_id)) SELECT count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed, count(*) AS total FROM j",
     "c11_redaction_recall": f"WITH {_FIXTURES} SELECT fixture_id, expected, " + " AND ".join(f"(NOT regexp_matches(text, '(?i){redaction.PII_RULES[r]}') OR contains({REDACTED}, '[REDACTED_{r.upper()}]'))" for r in _FIXED) + f" AS complete, md5({REDACTED}) AS digest FROM fixtures",
-    "e4_validate_answer": f"SELECT event_id AS query_id, {_GOOD} AS valid, CASE WHEN {_GOOD} THEN 'It is ' || event_id || ', write to u' || user_id || '@example.org' END AS answer, CASE WHEN {_GOOD} THEN 'type ' || event_type END AS quote, CASE WHEN {_GOOD} THEN {_SIGNAL} END AS signal FROM events",
+    "e4_validate_answer": f"SELECT event_id AS query_id, {_GOOD} AS valid, CASE WHEN {_GOOD} THEN 'It is ' || event_id || ', write to u' || user_id || '@example.org' END AS answer, CASE WHEN {_GOOD} THEN {_QUOTE} END AS quote, CASE WHEN {_GOOD} THEN {_SIGNAL} END AS signal FROM events",
     "e5_resolve_answer": f"""WITH r AS (SELECT *, {_OUTCOME} AS outcome FROM events)
 SELECT event_id AS query_id, outcome, CASE outcome WHEN 'invalid' THEN '{answers.INVALID}' WHEN 'answered' THEN 'It is ' || event_id || ', write to [REDACTED_EMAIL]' ELSE '{answers.REFUSAL}' END AS answer,
-  CASE WHEN outcome <> 'refused' THEN 1 END AS n_sources, CASE WHEN outcome = 'refused' THEN 0 ELSE round(value / 1000, 6) END AS confidence, CASE WHEN outcome = 'answered' THEN 'type ' || event_type END AS quote, CASE WHEN outcome = 'answered' THEN {_SIGNAL} END AS signal FROM r""",
+  CASE WHEN outcome <> 'refused' THEN 1 END AS n_sources, CASE WHEN outcome = 'refused' THEN 0 ELSE round(value / 1000, 6) END AS confidence, CASE WHEN outcome = 'answered' THEN nullif({_QUOTE}, '') END AS quote, CASE WHEN outcome = 'answered' THEN {_SIGNAL} END AS signal FROM r""",
     "f2_extract_metadata": """SELECT c_custkey AS lease_id, CASE WHEN c_nationkey > 2 THEN CASE WHEN c_custkey % 4 > 0 THEN c_name ELSE 'another' END END AS tenant, CASE WHEN c_nationkey > 2 AND c_custkey % 3 > 0 THEN c_mktsegment END AS landlord, NULL::VARCHAR AS end_date,
   CASE WHEN c_nationkey > 2 AND c_custkey % 4 > 0 AND c_acctbal > 0 THEN trunc(c_acctbal)::INT::VARCHAR END AS rent_amount, CASE WHEN c_nationkey > 2 THEN 'updated' ELSE 'failed' END AS status FROM customer""",
     "f2_metadata_results": "SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'u' || user_id END AS tenant, NULL::VARCHAR AS landlord, CASE WHEN event_id % 6 = 0 THEN event_type END AS rent_amount, CASE event_id % 6 WHEN 0 THEN 'updated' WHEN 1 THEN 'no_fields' WHEN 5 THEN 'no_fields' ELSE 'failed' END AS status FROM events",

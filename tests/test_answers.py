@@ -23,12 +23,13 @@ def test_every_label_is_valid(spark):
 
 
 def test_resolve_matrix(spark):
-    rows = [(1, True, 0.9, ["s"], GOOD, True), (2, False, 0.9, ["s"], "junk", True), (3, False, 0.9, ["s"], GOOD, False), (4, False, 0.9, ["s"], GOOD.replace("It is 5.", "ask a@b.org"), True)]
+    rows = [(1, True, 0.9, ["s"], GOOD, True), (2, False, 0.9, ["s"], "junk", True), (3, False, 0.9, ["s"], GOOD, False), (4, False, 0.9, ["s"], GOOD.replace("It is 5.", "ask a@b.org"), True), (5, False, 0.9, ["s"], GOOD.replace("rent is 5", ""), True)]
     df = spark.createDataFrame(rows, "query_id int, refused boolean, confidence double, sources array<string>, raw string, grounded boolean")
     got = {r.query_id: r for r in answers.resolve_answer(df).collect()}
     assert [got[k].outcome for k in (1, 2, 3, 4)] == ["refused", "invalid", "ungrounded", "answered"]
     assert got[1].sources is None and got[1].confidence == 0.0 and got[3].confidence == 0.9 and got[3].sources == ["s"] and got[3].answer == answers.REFUSAL
-    assert got[4].answer == "ask [REDACTED_EMAIL]" and got[4].signal == "standard"
+    assert got[4].answer == "ask [REDACTED_EMAIL]" and got[4].signal == "standard" and got[4].quote == "rent is 5"
+    assert got[5].outcome == "answered" and got[5].quote is None
     assert [r.outcome for r in answers.resolve_answer(df, guard=False).where("query_id = 3").collect()] == ["answered"]
 
 

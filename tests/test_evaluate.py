@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from clausemill.operators import evaluate
 
 
@@ -51,4 +49,21 @@ def test_audit(spark):
     card = evaluate.audit_scorecard(fixtures, verdicts).first()
     assert (card.passed, card.failed, card.total) == (1, 2, 3)
     assert [r.complete for r in evaluate.redaction_recall(fixtures).orderBy("fixture_id").collect()] == [True, True, True]
-    assert F is not None
+
+
+def test_audit_reads_loose_json(spark):
+    """A missing flag is false, values count as they do in Python, objects among the findings stay, their values as text."""
+    cases = {
+        '{"findings": []}': (False, []),
+        '{"has_pii": true, "findings": [{"category": 3}, "x", {"category": null, "location": true}, {"location": "row 2"}]}': (True, [("3", "unknown"), ("None", "True"), ("unknown", "row 2")]),
+        '{"has_pii": 0}': (False, []),
+        '{"has_pii": 2, "findings": "none"}': (True, []),
+        '{"has_pii": ""}': (False, []),
+        '{"has_pii": "no"}': (True, []),
+        '{"has_pii": null, "findings": null}': (False, []),
+        '{"has_pii": []}': (False, []),
+        '{"has_pii": {"a": 1}}': (True, []),
+        "[1]": (True, [("audit_unavailable", "unknown")]),
+    }
+    rows = evaluate.audit_verdicts(spark.createDataFrame(list(enumerate(cases)), "fixture_id int, raw string")).orderBy("fixture_id").collect()
+    assert [(r.has_pii, [tuple(f) for f in r.findings]) for r in rows] == list(cases.values())

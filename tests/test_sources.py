@@ -14,9 +14,11 @@ def test_read_pages_keeps_empty_pages(spark, tmp_path):
 
 
 def test_textless(spark):
-    df = spark.createDataFrame([("a", " x "), ("b", " "), ("b", None)], "lease_id string, text string")
+    blank = "\u00a0\u2003\u3000\x85\x1f\n"
+    df = spark.createDataFrame([("a", " x "), ("b", " "), ("b", None), ("c", blank), ("d", f"{blank}y{blank}z{blank}")], "lease_id string, text string")
     good, bad = validate.split_textless(df)
-    assert good.count() == 1 and [r.lease_id for r in bad.collect()] == ["b"]
+    assert good.count() == 2 and sorted(r.lease_id for r in bad.collect()) == ["b", "c"]
+    assert {r.lease_id: r.n_chars for r in validate.textless(df).collect()} == {"a": 1, "b": 0, "c": 0, "d": 8}
 
 
 def test_gate_uploads(spark):
