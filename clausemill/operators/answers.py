@@ -10,9 +10,8 @@ from pyspark.sql.window import Window
 
 from clausemill.functions.redaction import redact_pii, sanitize_chunk
 from clausemill.functions.text import squeezed, strip
-from clausemill.functions.vectors import cosine
 
-from .retrieval import bounded
+from .vector_search import similar_pairs
 
 #: Labels of an answer (fixed values).
 SIGNALS = ("standard", "tenant_friendly", "landlord_friendly", "unusual", "red_flag")
@@ -120,15 +119,13 @@ def exact_answer_lookup(requests: DataFrame, answers: DataFrame) -> DataFrame:
     return requests.join(answers.select("cache_key", "lease_id", "response"), ["cache_key", "lease_id"], "left")
 
 
-def semantic_answer_lookup(requests: DataFrame, answers: DataFrame, least: float = SIMILAR) -> DataFrame:
+def semantic_answer_lookup(requests: DataFrame, answers: DataFrame, least: float = SIMILAR, itself: bool = True) -> DataFrame:
     """(request_id, answer_id, similarity): the most similar answer of the same lease and flags, first on a tie.
 
-    Few requests go to every task of the answers, so no lease's answers are
-    gathered; each task sends on only its best answer of a request.
+    Bounds on angles leave few answers to compare with a request (``similar_pairs``);
+    each task sends on only its best answer of a request.
     """
-    asks = requests.select("request_id", "lease_id", "flags", F.col("embedding").alias("q"))
-    pairs = answers.select("answer_id", "lease_id", "flags", "embedding").join(bounded(asks), ["lease_id", "flags"])
-    near = pairs.select("request_id", "answer_id", cosine("q", "embedding").alias("similarity")).where(F.col("similarity") >= least)
+    near = similar_pairs(requests, answers, least, ["lease_id", "flags"], itself)
     w = Window.partitionBy("request_id").orderBy(F.round("similarity", 9).desc(), "answer_id")
     return near.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 

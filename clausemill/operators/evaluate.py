@@ -17,18 +17,20 @@ def question_scores(questions: DataFrame, relevant: DataFrame, hits: DataFrame,
     """Reciprocal rank, recall and precision at k of every question.
 
     ``questions`` (query_id, ...), ``relevant`` (query_id, chunk_id) and ``hits``
-    (query_id, chunk_id, rank).  Ids that come twice count once; precision divides
-    by what was retrieved within k.
+    (query_id, chunk_id, rank).  Where questions and hits have a ``config``, each
+    configuration is scored for itself, all in one pass.  Ids that come twice count
+    once; precision divides by what was retrieved within k.
     """
+    key = ["config", "query_id"] if "config" in questions.columns else ["query_id"]
     wanted = relevant.select("query_id", "chunk_id").distinct()
     n_relevant = wanted.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
     seen = hits.join(wanted.withColumn("good", F.lit(True)), ["query_id", "chunk_id"], "left")
-    per = seen.groupBy("query_id").agg(
+    per = seen.groupBy(*key).agg(
         F.min(F.when(F.col("good"), F.col("rank"))).alias("first"),
         F.count_distinct(F.when(F.col("good") & (F.col("rank") <= k), F.col("chunk_id"))).alias("found"),
         F.count_if(F.col("rank") <= k).alias("retrieved"),
     )
-    rows = questions.join(n_relevant, "query_id", "left").join(per, "query_id", "left")
+    rows = questions.join(n_relevant, "query_id", "left").join(per, key, "left")
     found = F.coalesce("found", F.lit(0))
     return rows.select(
         *questions.columns,

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clausemill.functions.text import tokens
 from clausemill.functions.vectors import cosine, dot, norm
-from clausemill.sources.tables import saved
+from clausemill.sources.tables import new_path, saved
+
+from .lexical_index import Bm25, LexicalIndex
+from .vector_search import VectorIndex, tiled_topk
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
 TOP, CANDIDATES, ALPHA, THRESHOLD = 5, 20, 0.5, 0.55
 #: Query rows up to this many are sent to every executor; more are joined by a shuffle.
 BROADCAST_QUERIES = 20_000
+#: Vectors that ask are sent to every executor up to so many bytes.
+BROADCAST_BYTES = 32 << 20
 
 
 def bounded(queries: DataFrame) -> DataFrame:
@@ -23,45 +25,12 @@ def bounded(queries: DataFrame) -> DataFrame:
     return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
 
 
-@dataclass(frozen=True)
-class Bm25:
-    """Okapi index: ``tf`` (lease_id, chunk_id, dl, term, tf), ``idf`` (lease_id, term, avgdl, idf) and ``chunks`` (lease_id, chunk_id)."""
-
-    tf: DataFrame
-    idf: DataFrame
-    chunks: DataFrame
-
-    def postings(self, tf: DataFrame | None = None, idf: DataFrame | None = None) -> DataFrame:
-        """(lease_id, term, chunk_id, weight), the whole contribution of a term to a chunk's score."""
-        rows = (self.tf if tf is None else tf).join(self.idf if idf is None else idf, ["lease_id", "term"])
-        weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        return rows.select("lease_id", "term", "chunk_id", weight.alias("weight"))
-
-
-def term_counts(t: Column) -> Column:
-    """(term, tf) of an array of tokens, which must be a plain column: runs of the sorted tokens, inside the row."""
-    n = F.size(t)
-    begins = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(t, i - 1) != F.get(t, i - 2)))
-    ends = F.concat(F.slice(begins, F.lit(2), n), F.array(n + 1))
-    runs = F.zip_with(begins, ends, lambda a, b: F.struct(F.get(t, a - 1).alias("term"), (b - a).cast("long").alias("tf")))
-    return F.when(n > 0, runs).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
-
-
 def build_bm25(chunks: DataFrame) -> Bm25:
-    """Okapi index of each lease, from (lease_id, chunk_id, text).
-
-    Texts are tokenised once and their term counts written; all else is derived
-    from them.  A negative idf becomes EPSILON times the lease's mean idf.
-    """
-    words = chunks.select("lease_id", "chunk_id", F.sort_array(tokens("text")).alias("t"))
-    rows = saved(words.select("lease_id", "chunk_id", F.size("t").alias("dl"), term_counts(F.col("t")).alias("terms")), "term-counts")
-    lease = rows.groupBy("lease_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = rows.select("lease_id", "chunk_id", "dl", F.inline("terms"))
-    df = tf.groupBy("lease_id", "term").agg(F.count("*").alias("df")).join(lease, "lease_id")
-    df = saved(df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "document-frequencies")
-    mean = df.groupBy("lease_id").agg(F.avg("raw").alias("mean"))
-    idf = df.join(mean, "lease_id").select("lease_id", "term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25(tf, idf, rows.select("lease_id", "chunk_id"))
+    """The Okapi index of each lease of (lease_id, chunk_id, text), in a folder of its own."""
+    kind = {c: chunks.schema[c].dataType.simpleString() for c in ("lease_id", "chunk_id")}
+    index = LexicalIndex(chunks.sparkSession, new_path(chunks.sparkSession, "bm25"), kind["lease_id"], kind["chunk_id"])
+    index.update(chunks, 0)
+    return index.read()
 
 
 def ranked(scores: DataFrame, k: int, order: Column) -> DataFrame:
@@ -102,36 +71,31 @@ def bm25_topk(questions: DataFrame, index: Bm25, k: int = CANDIDATES) -> DataFra
 
 
 def dense_topk(queries: DataFrame, candidates: DataFrame, k: int = TOP, itself: bool = False) -> DataFrame:
-    """Exact: (query_id, chunk_id, distance, rank), distance 1 - cosine within the query's lease; a chunk asked by its own id only if ``itself``."""
+    """Exact: (query_id, chunk_id, distance, rank), distance 1 - cosine within the query's lease; a chunk asked by its own id only if ``itself``.
+
+    A few questions go to every task of the candidates, by the bytes that they take;
+    more are multiplied with the candidates in tiles.
+    """
     wide = "array<double>"
+    bytes_of = queries.agg(F.coalesce(F.sum(F.size("embedding") * 8 + 64), F.lit(0)).alias("n")).first().n
+    if bytes_of > BROADCAST_BYTES:
+        return tiled_topk(queries, candidates, k, itself)
     asks = queries.select("query_id", "lease_id", F.col("embedding").cast(wide).alias("q"), norm(F.col("embedding")).alias("qn"))
     own = candidates.select("lease_id", "chunk_id", F.col("embedding").cast(wide).alias("c"), norm(F.col("embedding")).alias("cn"))
-    rows = own.join(bounded(asks), "lease_id")
+    rows = own.join(F.broadcast(asks), "lease_id")
     usable = (F.size("q") == F.size("c")) & (F.col("qn") * F.col("cn") > 0)
     near = F.coalesce(F.when(usable, dot(F.col("q"), F.col("c")) / (F.col("qn") * F.col("cn"))), F.lit(0.0))
     rows = rows if itself else rows.where("query_id <> chunk_id")
     return ranked(rows.select("query_id", "chunk_id", (1 - near).alias("distance")), k, F.round("distance", 9).asc())
 
 
-def dense_topk_approx(queries: DataFrame, candidates: DataFrame, k: int = TOP, tables: int = 16, length: float = 1.2, seed: int = 5, itself: bool = False) -> DataFrame:
-    """As ``dense_topk`` by random-projection buckets on unit vectors, then exact scores."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df: DataFrame) -> DataFrame:
-        n = norm(F.col("embedding"))
-        return df.withColumn("v", array_to_vector(F.transform("embedding", lambda x: F.coalesce(x.cast("double") / F.nullif(n, F.lit(0.0)), F.lit(0.0)))))
-
-    rows, asks = unit(candidates), unit(queries)
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=tables, seed=seed).fit(rows)
-    def keys(df: DataFrame, name: str) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-        return model.transform(df).select("lease_id", name, F.posexplode("h").alias("table", "bucket")).withColumn("bucket", F.get(vector_to_array("bucket"), 0))
-
-    near = keys(rows, "chunk_id").join(bounded(keys(asks, "query_id")), ["lease_id", "table", "bucket"]).select("query_id", "chunk_id").distinct()
-    pairs = near.join(candidates, "chunk_id").join(bounded(queries.select("query_id", F.col("embedding").alias("q"))), "query_id")
-    pairs = pairs if itself else pairs.where("query_id <> chunk_id")
-    return ranked(pairs.select("query_id", "chunk_id", (1 - cosine("q", "embedding")).alias("distance")), k, F.round("distance", 9).asc())
+def dense_topk_approx(queries: DataFrame, candidates: DataFrame, k: int = TOP, itself: bool = False) -> DataFrame:
+    """As ``dense_topk`` by a coarse index, built for this search in a folder of its own."""
+    kind = {c: candidates.schema[c].dataType.simpleString() for c in ("lease_id", "chunk_id")}
+    index = VectorIndex(candidates.sparkSession, new_path(candidates.sparkSession, "vectors"), kind["lease_id"], kind["chunk_id"])
+    index.fit(candidates, k=k)
+    index.update(candidates, 0)
+    return index.search(queries, k, itself=itself)
 
 
 def normalize(scores: DataFrame, column: str) -> DataFrame:
@@ -170,6 +134,16 @@ def trigram_score(candidates: DataFrame) -> DataFrame:
     return rows.withColumn("raw", F.log(share / (1 - share))).drop("_q", "_t")
 
 
+def rescored(questions: DataFrame, chunks: DataFrame, pairs: DataFrame, scorer=trigram_score) -> DataFrame:
+    """(query_id, chunk_id, distance) of the distinct (query_id, chunk_id) pairs, by a scorer that adds ``raw``; distance 1 - sigmoid.
+
+    Texts are fetched once for all pairs, whatever number of configurations has them.
+    """
+    pairs = saved(pairs.select("query_id", "chunk_id").distinct(), "pairs")
+    texts = chunks.select("chunk_id", "text").join(bounded(pairs), "chunk_id").join(bounded(questions.select("query_id", "question")), "query_id")
+    return scorer(texts).select("query_id", "chunk_id", (1 - 1 / (1 + F.exp(-F.col("raw")))).alias("distance"))
+
+
 def rerank(candidates: DataFrame, k: int = TOP, scorer=trigram_score) -> DataFrame:
     """Candidates (query_id, chunk_id, question, text) by a scorer that adds ``raw``, best first; distance 1 - sigmoid."""
     rows = scorer(candidates)
@@ -178,12 +152,13 @@ def rerank(candidates: DataFrame, k: int = TOP, scorer=trigram_score) -> DataFra
 
 
 def refusal_gate(questions: DataFrame, hits: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(query_id, refused, confidence); no hits count as distance 1."""
-    best = hits.groupBy("query_id").agg(F.min("distance").alias("best"))
-    rows = questions.select("query_id").join(best, "query_id", "left")
+    """(query_id, refused, confidence), for each ``config`` where the questions have one; no hits count as distance 1."""
+    key = ["config", "query_id"] if "config" in questions.columns else ["query_id"]
+    best = hits.groupBy(*key).agg(F.min("distance").alias("best"))
+    rows = questions.select(*key).join(best, key, "left")
     low = F.coalesce("best", F.lit(1.0))
     refused = F.col("best").isNull() | (low > threshold)
-    return rows.select("query_id", refused.alias("refused"), F.when(refused, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - low))).alias("confidence"))
+    return rows.select(*key, refused.alias("refused"), F.when(refused, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - low))).alias("confidence"))
 
 
 def refusals_by_clause(gate: DataFrame, hits: DataFrame) -> DataFrame:
@@ -194,12 +169,21 @@ def refusals_by_clause(gate: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def retrieve(
-    questions: DataFrame, chunks: DataFrame, mode: str = "lexical+rerank", k: int = TOP, candidates: int = CANDIDATES, dense: DataFrame | None = None, lexical: DataFrame | None = None, evaluation: bool = False
+    questions: DataFrame,
+    chunks: DataFrame,
+    mode: str = "lexical+rerank",
+    k: int = TOP,
+    candidates: int = CANDIDATES,
+    dense: DataFrame | None = None,
+    lexical: DataFrame | None = None,
+    evaluation: bool = False,
+    distances: DataFrame | None = None,
 ) -> DataFrame:
     """Hits of the questions: ``dense``, ``lexical`` or ``hybrid``, each also ``+rerank``.
 
     ``dense`` and ``lexical`` hold candidates by rank; lexical ones are looked for
-    where they are not given.  Hybrid without rerank is for evaluation only.
+    where they are not given.  ``distances`` may hold those of a rerank of all
+    candidates (``rescored``).  Hybrid without rerank is for evaluation only.
     """
     kind, _, second = mode.partition("+")
     if kind == "hybrid" and not second and not evaluation:
@@ -217,5 +201,6 @@ def retrieve(
         found = normalize(lexical, "score").select("query_id", "chunk_id", (1 - F.col("scaled")).alias("distance"), "rank")
     if not second:
         return found.where(F.col("rank") <= k)
-    texts = chunks.select("chunk_id", "text").join(bounded(found.select("query_id", "chunk_id")), "chunk_id").join(bounded(questions.select("query_id", "question")), "query_id")
-    return rerank(texts, k)
+    if distances is None:
+        distances = rescored(questions, chunks, found)
+    return ranked(found.select("query_id", "chunk_id").join(distances, ["query_id", "chunk_id"]), k, F.round("distance", 9).asc())

@@ -14,7 +14,7 @@ from clausemill.streaming import jobs
 from .bindings import pages, requests, table
 from .chunk_queries import CHUNKED, masked
 from .record_queries import LIMITED, NOW, REGRESSION, _metrics, _orders
-from .retrieval_queries import RERANKED, _asked, _documents
+from .retrieval_queries import RERANKED, _asked, _documents, stored_index
 
 
 def a9_write_eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,9 +108,9 @@ def h9_retention_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cited evidence for every question: BM25, trigram rerank, refusal gate and redacted excerpts."""
     asked, docs = _asked(spark, sf_dir), _documents(spark, sf_dir)
-    hits = retrieval.retrieve(asked, docs, "lexical+rerank")
+    hits = tables.saved(retrieval.retrieve(asked, docs, "lexical+rerank", lexical=retrieval.bm25_topk(asked, stored_index(spark, sf_dir))), "hits")
     gate = retrieval.refusal_gate(asked, hits)
-    cited = hits.join(docs.select("chunk_id", redact_pii(F.substring("text", 1, 500)).alias("excerpt")), "chunk_id")
+    cited = docs.join(retrieval.bounded(hits), "chunk_id").withColumn("excerpt", redact_pii(F.substring("text", 1, 500)))
     return gate.join(cited, "query_id", "left").select("query_id", "refused", F.round("confidence", 5).alias("confidence"), "rank", "chunk_id", F.round("distance", 5).alias("distance"), "excerpt")
 
 

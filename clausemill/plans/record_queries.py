@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from clausemill.sources.tables import saved
 from .bindings import table
 from .bindings import requests as request_log
 from .chunk_queries import masked
-from .retrieval_queries import ALL_MODES, COSINE, DENSE, hashed, modes
+from .retrieval_queries import ALL_MODES, COSINE, DENSE, hashed, modes, stored_index
 
 NOW = "2001-08-02 00:00:00"
 
@@ -46,16 +44,25 @@ def e3_parse_model_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _holding(spark: SparkSession, sf_dir: str, holds) -> DataFrame:
     """(item_id, doc_id): documents that hold an item's text by ``holds(text, item)``.
 
-    A text that holds an item has the second trigram of its tokens, whose first
-    and last token lie inside the item; only those pairs are compared.  Texts are
-    fetched for them alone.
+    A text that holds an item has all tokens that lie inside the item, so the
+    postings of its rarest one name all that can hold it; texts are fetched for
+    those alone.  Items of under three tokens have none inside and are compared with
+    every text, as a filter on the scan.
     """
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    asked = items.withColumn("t", retrieval.tokens("item")).select("item_id", F.get(retrieval.trigrams(F.col("t")), 1).alias("g"))
-    grams = docs.select("doc_id", retrieval.tokens("text").alias("t")).select("doc_id", F.explode(retrieval.trigrams(F.col("t"))).alias("g"))
-    pairs = saved(grams.join(retrieval.bounded(asked), "g").select("item_id", "doc_id").distinct(), "pairs")
-    return docs.join(retrieval.bounded(pairs), "doc_id").join(retrieval.bounded(items), "item_id").where(holds("text", "item")).select("item_id", "doc_id")
+    index = stored_index(spark, sf_dir)
+    inner = items.withColumn("t", retrieval.tokens("item")).where(F.size("t") > 2)
+    inner = inner.select("item_id", F.explode(F.slice("t", F.lit(2), F.size("t") - 2)).alias("term")).distinct()
+    known = index.idf.join(retrieval.bounded(inner.select("term").distinct()), "term", "left_semi").select("term", "idf")
+    # a term that no text has is the rarest
+    rarest = inner.join(known, "term", "left").groupBy("item_id").agg(F.max_by("term", F.coalesce("idf", F.lit(float("inf")))).alias("term"))
+    pairs = saved(index.tf.select("term", F.col("chunk_id").alias("doc_id")).join(retrieval.bounded(rarest), "term").select("item_id", "doc_id"), "pairs")
+    found = docs.join(retrieval.bounded(pairs), "doc_id").join(retrieval.bounded(items), "item_id").where(holds("text", "item")).select("item_id", "doc_id")
+    short = items.where(F.size(retrieval.tokens("item")) <= 2)
+    if short.limit(1).count():
+        found = found.unionByName(docs.join(retrieval.bounded(short), holds("text", "item")).select("item_id", "doc_id"))
+    return found
 
 
 def e6_check_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,13 +89,20 @@ def e8_exact_answer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(requests, answers): every vector is an answer; every twentieth asks for its successor, moved more or less toward the one after that."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("lease_id"), (F.col("vec_id") % 2).cast("string").alias("flags"), "embedding")
-    return rows.where("id % 20 = 0").withColumnRenamed("id", "request_id"), rows.withColumnRenamed("id", "answer_id")
+    asks = rows.where("id % 20 = 0").select(F.col("id").alias("request_id"))
+    near = rows.select((F.col("id") - 1).alias("request_id"), "lease_id", "flags", F.col("embedding").alias("a"))
+    far = rows.select((F.col("id") - 2).alias("request_id"), F.col("embedding").alias("b"))
+    asks = asks.join(near, "request_id").join(far, "request_id", "left")
+    weight = 0.2 + 0.05 * (F.floor(F.col("request_id") / 20) % 10)
+    moved = F.zip_with("a", F.coalesce("b", "a"), lambda x, y: x.cast("double") + F.col("weight") * y.cast("double"))
+    return asks.withColumn("weight", weight).select("request_id", "lease_id", "flags", moved.alias("embedding")), rows.withColumnRenamed("id", "answer_id")
 
 
 def e9_semantic_answer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest answer of every asking vector: its own, stored too, unless an equal one comes first."""
-    rows = answers.semantic_answer_lookup(*_answers(spark, sf_dir), least=0.1)
+    """The nearest other answer of every asking vector, if it is near enough."""
+    rows = answers.semantic_answer_lookup(*_answers(spark, sf_dir), itself=False)
     return rows.select("request_id", "answer_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -246,11 +260,8 @@ def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     golden = asked.join(relevant.select("query_id").distinct().withColumn("known", F.lit(True)), "query_id", "left")
     golden = saved(golden.select("query_id", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("category"), F.col("known").isNull().alias("should_refuse")), "golden")
     hits = saved(modes(spark, sf_dir, CONFIGS), "hits")
-    out = []
-    for config in CONFIGS:
-        own = hits.where(F.col("config") == config)
-        out.append(evaluate.question_scores(golden, relevant, own).join(retrieval.refusal_gate(golden, own).select("query_id", "refused"), "query_id").withColumn("config", F.lit(config)))
-    return reduce(DataFrame.unionByName, out)
+    each = golden.withColumn("config", F.explode(F.array(*map(F.lit, CONFIGS))))
+    return evaluate.question_scores(each, relevant, hits).join(retrieval.refusal_gate(each, hits).select("config", "query_id", "refused"), ["config", "query_id"])
 
 
 def g1_question_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,8 +407,10 @@ SELECT query_id, md5(string_agg(block, chr(10) || chr(10) ORDER BY rank)) AS dig
 SELECT item_id, n IS NOT NULL AS grounded, coalesce(n, 0) AS n_docs, first FROM benchmark LEFT JOIN g USING (item_id)""",
     "e7_cache_key": r"SELECT conv_id, turn, sha256(conv_id || chr(31) || lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) || chr(31) || 'k=5;a=0.5') AS cache_key FROM conversations WHERE role = 'user'",
     "e8_exact_answer_lookup": f"WITH {_LOG} SELECT l.request_id, s.response FROM log l LEFT JOIN (SELECT cache_key, lease_id, max(request_id)::VARCHAR AS response FROM log WHERE value > 100 GROUP BY ALL) s USING (cache_key, lease_id)",
-    "e9_semantic_answer_lookup": f"""WITH p AS (SELECT q.vec_id AS request_id, c.vec_id AS answer_id, q.embedding AS a, c.embedding AS b FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id % 2 = c.vec_id % 2 WHERE q.vec_id % 20 = 0),
-s AS (SELECT request_id, answer_id, {COSINE} AS similarity FROM p) SELECT request_id, answer_id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.1 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY round(similarity, 9) DESC, answer_id) = 1""",
+    "e9_semantic_answer_lookup": f"""WITH q AS (SELECT i.vec_id - 1 AS request_id, i.label, i.vec_id % 2 AS flags, i.embedding AS x, coalesce(j.embedding, i.embedding) AS y, 0.2::DOUBLE + 0.05::DOUBLE * (((i.vec_id - 1) // 20) % 10) AS w
+  FROM embeddings i LEFT JOIN embeddings j ON j.vec_id = i.vec_id + 1 WHERE (i.vec_id - 1) % 20 = 0),
+p AS (SELECT request_id, c.vec_id AS answer_id, [x[k]::DOUBLE + w * y[k]::DOUBLE FOR k IN range(1, len(x) + 1)] AS a, c.embedding AS b FROM q JOIN embeddings c ON c.label = q.label AND c.vec_id % 2 = q.flags AND c.vec_id <> request_id),
+s AS (SELECT request_id, answer_id, {COSINE} AS similarity FROM p) SELECT request_id, answer_id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.92 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY round(similarity, 9) DESC, answer_id) = 1""",
     "e10_evict_answers": "SELECT o_custkey AS lease_id, count(*) AS evicted FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 3) GROUP BY 1",
     "e11_cap_answers": "SELECT o_orderkey AS answer_id, o_orderdate AS last_used FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 256",
     "e12_cache_hits": f"""WITH {_LOG}, r AS (SELECT request_id, lease_id, cache_key, ts, (SELECT count(*) FROM log i WHERE i.request_id % 97 = 0 AND i.lease_id = l.lease_id AND i.ts <= l.ts) AS epoch FROM log l WHERE request_id % 97 <> 0)

@@ -11,7 +11,9 @@ from clausemill.functions import redaction
 from clausemill.functions.text import hash_query
 from clausemill.functions.vectors import cosine, norm
 from clausemill.operators import retrieval
-from clausemill.sources.tables import saved
+from clausemill.operators.lexical_index import LexicalIndex
+from clausemill.operators.vector_search import VectorIndex
+from clausemill.sources.tables import new_path, saved, shared_dir, version
 
 from .bindings import questions, table, vectors
 from .chunk_queries import REDACTED, masked, quoted
@@ -84,8 +86,43 @@ def d3_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dense_topk(*vectors(spark, sf_dir)).select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+def _stored_vectors(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The coarse index of all vectors, kept on disk for as long as their files do not change."""
+    _, rows = vectors(spark, sf_dir)
+    kind = {c: rows.schema[c].dataType.simpleString() for c in ("lease_id", "chunk_id")}
+    index = VectorIndex(spark, f"{shared_dir(spark)}/vectors-{version(rows)}", kind["lease_id"], kind["chunk_id"])
+    if not index.store.folders():
+        index.fit(rows)
+        index.update(rows, 0)
+    return index
+
+
 def d4_dense_topk_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.dense_topk_approx(*vectors(spark, sf_dir)).select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
+    found = _stored_vectors(spark, sf_dir).search(vectors(spark, sf_dir)[0], retrieval.TOP)
+    return found.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+def d4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the neighbours that the exact search finds for all asking vectors, and whether the index finds nine in ten of them, before and after some leases came again."""
+    asks, rows = vectors(spark, sf_dir)
+    exact = saved(retrieval.dense_topk(asks, rows).select("query_id", "chunk_id"), "exact")
+    first = _stored_vectors(spark, sf_dir).search(asks, retrieval.TOP).select("query_id", "chunk_id")
+    index = VectorIndex(spark, new_path(spark, "vectors"), *(rows.schema[c].dataType.simpleString() for c in ("lease_id", "chunk_id")), buckets=4)
+    index.fit(rows.where("lease_id % 3 = 0"))
+    index.update(rows.where("lease_id % 3 = 0 or chunk_id % 2 = 0"), 0)  # half of the vectors of the other leases, which then come whole
+    index.update(rows.where("lease_id % 3 > 0"), 1)
+    again = index.search(asks, retrieval.TOP).select("query_id", "chunk_id")
+    hits = [exact.join(found, ["query_id", "chunk_id"], "left_semi").agg(F.count("*").alias(f"n{k}")) for k, found in enumerate((first, again))]
+    n = exact.agg(F.count("*").alias("neighbours")).crossJoin(hits[0]).crossJoin(hits[1])  # one row each
+    return n.select("neighbours", (10 * F.col("n0") >= 9 * F.col("neighbours")).alias("enough"), (10 * F.col("n1") >= 9 * F.col("neighbours")).alias("enough_again"))
+
+
+def d3_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same neighbours, found in tiles as for any number of questions; one lease is many tasks."""
+    asks, rows = vectors(spark, sf_dir)
+    one = [df.withColumn("lease_id", F.lit("all")) for df in (asks, rows)]
+    found = retrieval.tiled_topk(*one, retrieval.TOP, questions=16, vectors=256)
+    return found.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
 
 
 def d6_build_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,8 +130,29 @@ def d6_build_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.build_bm25(chunks).postings().groupBy("lease_id", "chunk_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> retrieval.Bm25:
+    """The index of all documents as one lease, kept on disk for as long as their files do not change."""
+    docs = table(spark, sf_dir, "documents")
+    index = LexicalIndex(spark, f"{shared_dir(spark)}/bm25-{version(docs)}", chunk=docs.schema["doc_id"].dataType.simpleString())
+    if not index.store.folders():
+        index.update(_documents(spark, sf_dir), 0)
+    return index.read()
+
+
+def d6_reingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after some sources came again with other documents, one left, and its batches were folded."""
+    chunks = table(spark, sf_dir, "documents").select(F.col("source").alias("lease_id"), F.col("doc_id").alias("chunk_id"), "text")
+    index = LexicalIndex(spark, new_path(spark, "bm25"), chunk=chunks.schema["chunk_id"].dataType.simpleString(), buckets=4)
+    index.update(chunks.where("chunk_id % 3 < 2"), 0)
+    index.update(chunks.where("lease_id in ('src1', 'src2', 'src5') and chunk_id % 2 = 1"), 1)
+    index.remove(chunks.where("lease_id = 'src3'").select("lease_id"), 2)
+    index.compact(most=2)
+    index.update(chunks.where("lease_id = 'src2' or lease_id = 'src4'"), 3)
+    return index.read().postings().groupBy("lease_id", "chunk_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
 def d7_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.bm25_topk(_asked(spark, sf_dir), retrieval.build_bm25(_documents(spark, sf_dir)))
+    found = retrieval.bm25_topk(_asked(spark, sf_dir), stored_index(spark, sf_dir))
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -111,14 +169,16 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25_topk(_asked(spark, sf_dir), retrieval.build_bm25(_documents(spark, sf_dir)))
+    return retrieval.bm25_topk(_asked(spark, sf_dir), stored_index(spark, sf_dir))
 
 
 def modes(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
-    """(config, query_id, chunk_id, distance, rank) of several retrieval modes, candidates found once."""
+    """(config, query_id, chunk_id, distance, rank) of several retrieval modes, candidates found and reranked once for all."""
     dense, lexical = saved(_dense(spark, sf_dir), "dense"), saved(_lexical(spark, sf_dir), "lexical")
     asked, docs = _asked(spark, sf_dir), _documents(spark, sf_dir)
-    found = [retrieval.retrieve(asked, docs, name, dense=dense, lexical=lexical, evaluation=True).withColumn("config", F.lit(name)) for name in names]
+    pairs = dense.select("query_id", "chunk_id").union(lexical.select("query_id", "chunk_id"))
+    distances = saved(retrieval.rescored(asked, docs, pairs), "distances")
+    found = [retrieval.retrieve(asked, docs, name, dense=dense, lexical=lexical, evaluation=True, distances=distances).withColumn("config", F.lit(name)) for name in names]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -132,7 +192,7 @@ def d10_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.retrieve(_asked(spark, sf_dir), _documents(spark, sf_dir), "lexical+rerank")
+    return retrieval.retrieve(_asked(spark, sf_dir), _documents(spark, sf_dir), "lexical+rerank", lexical=_lexical(spark, sf_dir))
 
 
 MODES = ("dense", "lexical", "hybrid", "dense+rerank", "lexical+rerank", "hybrid+rerank")
@@ -167,10 +227,10 @@ dense AS (SELECT query_id, chunk_id, 1 - {COSINE} AS distance FROM pairs),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id)::INT AS rank FROM dense)"""
 
 
-def bm25(lease: str, ask: str) -> str:
+def bm25(lease: str, ask: str, where: str = "true") -> str:
     """CTEs up to ``scores`` and ``lexical`` (query_id, chunk_id, score, rank)."""
     return f"""
-words AS (SELECT {lease} AS lease_id, doc_id AS chunk_id, regexp_extract_all(lower(text), '[a-z0-9§]+') AS t FROM documents),
+words AS (SELECT {lease} AS lease_id, doc_id AS chunk_id, regexp_extract_all(lower(text), '[a-z0-9§]+') AS t FROM documents WHERE {where}),
 lease AS (SELECT lease_id, count(*) AS n, avg(len(t)) AS avgdl FROM words GROUP BY 1),
 tf AS (SELECT lease_id, chunk_id, dl, term, count(*) AS tf FROM (SELECT lease_id, chunk_id, len(t) AS dl, unnest(t) AS term FROM words) GROUP BY ALL),
 raw AS (SELECT lease_id, term, n, avgdl, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT lease_id, term, count(*) AS df FROM tf GROUP BY ALL) JOIN lease USING (lease_id)),
@@ -220,7 +280,7 @@ found AS (SELECT 'dense' AS config, query_id, chunk_id, distance, rank FROM near
 
 QUERIES = {
     f.__name__: f
-    for f in (c1_redact_pii, c3_pii_profile, c4_scan_lines, c5_scan_gate, c6_sanitize_chunk, c7_flag_injection, c8_hash_query, d1_embed, d2_cosine_similarity, d3_dense_topk, d4_dense_topk_approx, d6_build_bm25, d7_bm25_topk, d8_normalize_scores, d9_fuse, d10_rerank, d11_retrieve, d12_refusal_gate, d13_refusals_by_clause)
+    for f in (c1_redact_pii, c3_pii_profile, c4_scan_lines, c5_scan_gate, c6_sanitize_chunk, c7_flag_injection, c8_hash_query, d1_embed, d2_cosine_similarity, d3_dense_topk, d3_tiles, d4_dense_topk_approx, d4_recall, d6_build_bm25, d6_reingest, d7_bm25_topk, d8_normalize_scores, d9_fuse, d10_rerank, d11_retrieve, d12_refusal_gate, d13_refusals_by_clause)
 }
 #: The two padded keys of an HMAC with the key ``salt``, as SQL blobs.
 _PADS = ["'" + "".join(f"\\x{b ^ x:02X}" for b in b"salt".ljust(64, b"\0")) + "'::BLOB" for x in (0x36, 0x5C)]
@@ -231,6 +291,9 @@ def hashed(text: str) -> str:
     return f"CASE WHEN {text} = '' THEN '' ELSE substring(sha256({_PADS[1]} || unhex(sha256({_PADS[0]} || encode({text})))), 1, 16) END"
 
 
+#: The documents that are left in the index after the batches of ``d6_reingest``; a source that came without rows keeps what it had.
+_REINGESTED = """CASE WHEN source IN ('src2', 'src4') THEN true WHEN source = 'src3' THEN false
+WHEN source IN ('src1', 'src5') AND source IN (SELECT source FROM documents WHERE doc_id % 2 = 1) THEN doc_id % 2 = 1 ELSE doc_id % 3 < 2 END"""
 ORACLES = {
     "c1_redact_pii": f"SELECT doc_id, md5({REDACTED}) AS digest FROM documents",
     "c3_pii_profile": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS category, len(regexp_extract_all(text, '(?i){quoted(redaction.NAMED + '(?:' + redaction.NAME_END + ')' if r == 'person_name' else p)}')) AS hits FROM documents" for r, p in redaction.PII_RULES.items()) + ") WHERE hits > 0",
@@ -241,7 +304,11 @@ ORACLES = {
     "c8_hash_query": f"SELECT item_id AS query_id, {hashed('text')} AS digest FROM benchmark",
     "d2_cosine_similarity": f"SELECT chunk_id, round({COSINE}, 6) AS similarity FROM (SELECT vec_id AS chunk_id, embedding AS b, first_value(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS a FROM embeddings)",
     "d3_dense_topk": f"WITH {DENSE} SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM ranked WHERE rank <= 5",
+    "d3_tiles": f"""WITH p AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, q.embedding AS a, c.embedding AS b FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id), d AS (SELECT query_id, chunk_id, 1 - {COSINE} AS distance FROM p)
+SELECT query_id, chunk_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id)::INT AS rank FROM d QUALIFY rank <= 5""",
+    "d4_recall": f"WITH {DENSE} SELECT count(*) AS neighbours, true AS enough, true AS enough_again FROM ranked WHERE rank <= 5",
     "d6_build_bm25": f"WITH {bm25('source', chr(39) + 'all' + chr(39))} SELECT lease_id, chunk_id, count(*) AS n_terms, round(sum(weight), 6) AS weight FROM postings GROUP BY ALL",
+    "d6_reingest": f"WITH {bm25('source', chr(39) + 'all' + chr(39), _REINGESTED)} SELECT lease_id, chunk_id, count(*) AS n_terms, round(sum(weight), 6) AS weight FROM postings GROUP BY ALL",
     "d7_bm25_topk": f"WITH {bm25(chr(39) + 'all' + chr(39), chr(39) + 'all' + chr(39))} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM lexical",
     "d8_normalize_scores": f"WITH {DENSE}, t AS (SELECT * FROM ranked WHERE rank <= 20) SELECT query_id, chunk_id, round(CASE WHEN max(distance) OVER w = min(distance) OVER w THEN 0 ELSE (distance - min(distance) OVER w) / (max(distance) OVER w - min(distance) OVER w) END, 6) AS scaled FROM t WINDOW w AS (PARTITION BY query_id)",
     "d9_fuse": f"WITH {_LEXICAL},{NEAR}, {_fused('fused', 20)} SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM fused WHERE rank <= 5",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -58,15 +59,29 @@ def get_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, batch_id long").parquet(path)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new folder in ``spark.checkpoint.dir``, which all executors share; in local mode (tests), where it is unset, a local one."""
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all executors share; in local mode (tests), where it is unset, a new local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def version(df: DataFrame) -> str:
+    """A digest of the names, lengths and times of the files that a table is read from."""
+    spark, seen = df.sparkSession, hashlib.sha256()
+    for file in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        seen.update(f"{file} {status.getLen()} {status.getModificationTime()}\n".encode())
+    return seen.hexdigest()[:16]
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
