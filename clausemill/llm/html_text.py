@@ -3,10 +3,15 @@
 Every DOM node gets its characters, tags, link characters and link tags.  Its
 composite density is the characters a tag, damped by a logarithm whose base grows
 with the share of link text (Sun, Song and Liao, "DOM based content extraction
-via text density", 2011).  A node's density sum adds its children's densities.
-The smallest density on the path from the node of the largest density sum up to
-body is the threshold; the subtree with the largest density sum whose density
-reaches it is the article.
+via text density", 2011).  A node's density sum adds its children's densities.  The
+node of the largest sum is the core of the article, and the smallest density on its
+path up to body is the threshold that other content has to reach.
+
+An <article> or <main> around the core, or one with half of the text, is the article
+as a whole.  Elsewhere the subtree grows from the core to its parents, as long as what
+they add is content: headings, or paragraphs and the like that reach the threshold and
+are not mostly links.  So the parts of a text that is cut into sections or columns stay
+together in page order, and of what was added only blocks of links go.
 
 The whole page is parsed into a tree first, with the end tags that HTML lets authors
 omit.  Scripts, styles and the like never enter it.  Navigation, asides, forms and
@@ -14,7 +19,9 @@ elements whose class, id or role names boilerplate or reader comments are then t
 out, unless they hold the article: the largest <article> or <main> that is no comment
 or, on pages without one, more than half of the text with a main heading or several
 paragraphs.  So a class such as ``has-sidebar`` on a wrapper, a form around the page
-or a <nav> that is never closed costs nothing.  Densities are computed on what is
+or a <nav> that is never closed costs nothing.  Inside an <article> or <main> a name
+counts only if it has no other words than such as name boilerplate, and never on a
+heading: ``ad-box`` goes, ``tracking-a-storm`` stays.  Densities are computed on what is
 left.
 
 Defined results: null or empty html gives an empty text; broken or cut markup is
@@ -61,7 +68,15 @@ BOILERPLATE = frozenset(
 COMMENTS = frozenset("comment comments commentlist disqus feedback remark remarks replies reply respond responses review reviews".split())
 #: Words that make a name say something about another element, as in has-sidebar, and words that make a header the article's own.
 ABOUT = frozenset("has no not with without is show open closed enabled disabled on off".split())
-CONTENT = frozenset("article content entry main post story".split())
+CONTENT = frozenset("article content entry main post story section".split())
+#: Words that say no more about an element than its place or form.
+FORM = frozenset(
+    "area bar block body bottom box btn button buttons card cell col column container fixed float global group hd holder inner item items js left line link links list mini module new"
+    " outer page pane panel right row site slot small sticky title top unit wrap wrapper zone".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold the text of an article.
+TEXTUAL = HEADINGS | frozenset("p blockquote pre li dd td figcaption".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -77,36 +92,41 @@ _BLANK = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("chars", "children", "density", "kind", "link_chars", "link_tags", "loose", "own", "parent", "parts", "sum", "tag", "tags")
+    __slots__ = ("chars", "children", "density", "kind", "link_chars", "link_tags", "loose", "own", "parent", "parts", "sure", "sum", "tag", "tags", "textual")
 
-    def __init__(self, tag: str, parent: _Node | None, kind: str = ""):
-        self.tag, self.parent, self.kind = tag, parent, kind
+    def __init__(self, tag: str, parent: _Node | None, kind: str = "", sure: bool = True):
+        self.tag, self.parent, self.kind, self.sure = tag, parent, kind, sure
         self.children: list[_Node] = []
         self.parts: list[str | _Node] = []  # texts and child nodes in page order
-        self.chars = self.own = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.own = self.tags = self.link_chars = self.link_tags = self.textual = 0
         self.density = self.sum = 0.0
 
 
-def _kind(tag: str, attributes: str) -> str:
-    """What an element's tag and names say it is: boilerplate, comments, hidden, or nothing."""
-    found = "boilerplate" if tag in STRUCTURAL else ""
+def _kind(tag: str, attributes: str) -> tuple[str, bool]:
+    """What an element's tag and names say it is: boilerplate, comments, hidden, or nothing; and whether they say nothing else."""
+    found, sure = ("boilerplate", True) if tag in STRUCTURAL else ("", False)
     for m in _NAMED.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return "hidden"
+            return "hidden", True
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return "hidden"
+                return "hidden", True
             continue
         for token in html.unescape(value).split():
             parts = set(_PARTS.findall(_CAMEL.sub(" ", token).lower()))
             if parts & ABOUT or parts & CONTENT and "header" in parts:
                 continue
-            if parts & COMMENTS:
-                return "comments"
-            if parts & BOILERPLATE and tag not in ("article", "main", "h1"):
-                found = "boilerplate"
-    return found
+            only = parts <= BOILERPLATE | COMMENTS | FORM
+            if tag in ("article", "main", "h1"):  # never boilerplate; an article may be what a reader wrote
+                if tag == "article" and only and parts & COMMENTS:
+                    return "comments", True
+            elif parts & COMMENTS:
+                if only or found != "comments":
+                    found, sure = "comments", only
+            elif parts & BOILERPLATE and found != "comments":
+                found, sure = "boilerplate", sure or only
+    return found, sure
 
 
 def _closed(node: _Node, tags: frozenset | set, stops: frozenset) -> _Node:
@@ -162,7 +182,10 @@ def parse(page: str) -> _Node:
             if tag not in VOID and not alone:
                 skip, depth = tag, 1
             continue
-        child = _Node(tag, node, "boilerplate" if tag == "header" and not articles else _kind(tag, m[4]))
+        kind, sure = ("boilerplate", True) if tag == "header" and not articles else _kind(tag, m[4])
+        if articles and (not sure or tag in HEADINGS) and kind != "hidden":  # inside an article, names with other words say nothing
+            kind = ""
+        child = _Node(tag, node, kind, sure)
         node.children.append(child)
         node.parts.append(child)
         if tag not in VOID and not alone:
@@ -184,6 +207,9 @@ def prune(root: _Node) -> _Node:
     for node in reversed(order):
         node.own = sum(len(word) for p in node.parts if isinstance(p, str) for word in p.split())
         chars[node] = node.own + sum(chars[c] for c in node.children)
+    written = [n for n in order if n.tag == "article" and n.kind == "comments"]
+    if len(written) == 1 and not any(n.tag in ("article", "main") and n.kind != "comments" for n in order):
+        written[0].kind = ""  # the page's only article may be a review itself
     out: set[_Node] = set()  # inside comments or hidden
     for node in order:
         if node.parent in out or node.kind in ("comments", "hidden"):
@@ -241,6 +267,7 @@ def _measure(root: _Node) -> list[_Node]:
         node.loose = [own + sum(c.loose[0] for c in inline), sum(c.loose[1] + 1 for c in inline)]
         node.link_chars = node.chars if node.tag == "a" else sum(c.link_chars for c in node.children)
         node.link_tags = sum(c.link_tags for c in node.children) + (node.tag == "a")
+        node.textual = (node.chars if node.tag in TEXTUAL else sum(c.textual for c in node.children)) if node.link_chars * 2 < node.chars else 0
         node.loose += [node.loose[0] if node.tag == "a" else sum(c.loose[2] for c in inline), sum(c.loose[3] for c in inline) + (node.tag == "a")]
     body_ratio = root.link_chars / max(1, root.chars)
     for node in reversed(order):
@@ -251,22 +278,45 @@ def _measure(root: _Node) -> list[_Node]:
     return [node for node in order if node.tag in NODES]
 
 
-def article(root: _Node) -> _Node | None:
-    """The subtree that holds the article."""
-    full = [n for n in _measure(root) if n.chars]
-    if not full:
-        return None
-    best = max(full, key=lambda n: n.sum)
-    threshold, up = best.density, best
-    while up is not None:
-        threshold = min(threshold, up.density) if up.tag in NODES else threshold
-        up = up.parent
-    passing = [n for n in full if n.density >= threshold]
-    return max(passing, key=lambda n: (n.sum, n.chars))  # the first of equals, as nodes come in page order
+def _linked(node: _Node) -> bool:
+    """Whether a block is a list of links rather than text."""
+    return node.link_chars * 2 >= node.chars and node.tag in NODES - TEXTUAL
 
 
-def text_of(node: _Node | None) -> str:
-    """Blocks of a subtree in page order, white space made single, joined by a space."""
+def article(root: _Node) -> tuple[_Node | None, set[_Node]]:
+    """The subtree that holds the article, and the blocks of links in it that do not belong to it."""
+    full = [n for n in _measure(root) if n.chars]
+    if not full:
+        return None, set()
+    best = max(full, key=lambda n: (n.sum, n.chars))  # the first of equals, as nodes come in page order
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    threshold = min(n.density for n in path if n.tag in NODES)
+    whole = max((n for n in full if n.tag in ("article", "main")), key=lambda n: n.chars, default=None)
+    around = [n for n in path if n.tag in ("article", "main")]
+    if around:
+        # an article is a whole; a main element around it is one if it holds more than that
+        inner = next((n for n in around if n.tag == "article"), around[0])
+        return max([inner, *(n for n in around if n.chars > 2 * inner.chars)], key=lambda n: n.chars), set()
+    if whole is not None and 2 * whole.chars >= root.chars:
+        return whole, set()
+    top, out, held = best, {c for c in best.children if c.chars and _linked(c)}, best
+    for up in path[1:]:
+        others = [c for c in up.children if c is not held and c.chars]
+        held = up
+        added = [c for c in others if not _linked(c) and c.textual and (c.tag in HEADINGS or c.density >= threshold)]
+        if added:
+            top = up
+            out |= {c for c in others if _linked(c)}
+        elif others or up.own:
+            if up.tag in NODES:
+                break
+    return top, out
+
+
+def text_of(node: _Node | None, out: set[_Node] = frozenset()) -> str:
+    """Blocks of a subtree without those of ``out`` in page order, white space made single, joined by a space."""
     blocks, run = [], []
 
     def flush() -> None:
@@ -286,6 +336,9 @@ def text_of(node: _Node | None) -> str:
             block = item.tag in BLOCKS
             if block:
                 flush()
+            if item in out:
+                continue
+            if block:
                 stack.append(None)
             stack.extend(reversed(item.parts))
     flush()
@@ -294,7 +347,7 @@ def text_of(node: _Node | None) -> str:
 
 def extract(page: str | None) -> str:
     """Main text of one page."""
-    return text_of(article(prune(parse(page)))) if page else ""
+    return text_of(*article(prune(parse(page)))) if page else ""
 
 
 def main_text(pages: DataFrame) -> DataFrame:
