@@ -8,6 +8,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 from clausemill.functions.text import hash_query
@@ -111,21 +112,70 @@ def access_rollup(requests: DataFrame) -> DataFrame:
     return requests.groupBy("route", "status").agg(F.count("*").alias("n"), F.avg("latency_ms").alias("mean_ms"))
 
 
+class Limiter(StatefulProcessor):
+    """Per client: requests the watermark has not passed, and the accepted times of the window.
+
+    A request is decided when the watermark has passed it, so requests that come out
+    of order within the watermark are decided in order.  A timer at the earliest one
+    waiting decides all that have been passed by then; another, a window after the
+    last accepted one, clears the client's state.
+    """
+
+    def __init__(self, limit: int, seconds: int):
+        self.limit, self.seconds = limit, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, request_id long")
+        self.accepted = handle.getListState("accepted", "us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            self.waiting.appendList([(int(us), int(i)) for us, i in zip(part["us"], part["request_id"], strict=True)])
+            low = int(part["us"].min())
+            first = low if first is None else min(first, low)
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
+        yield self._rows(key, [], [], [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted((int(r[0]), int(r[1])) for r in self.waiting.get())
+        due = [w for w in waiting if w[0] < passed]
+        times = [int(r[0]) for r in self.accepted.get()]
+        allowed, retry, times = limited([us for us, _ in due], self.limit, self.seconds, times)
+        times = [t for t in times if t > passed - self.seconds * 1_000_000]
+        _put(self.waiting, waiting[len(due) :])
+        _put(self.accepted, [(t,) for t in times])
+        if len(due) < len(waiting):
+            self.handle.registerTimer(waiting[len(due)][0] // 1000 + 1)
+        elif times:
+            self.handle.registerTimer(times[-1] // 1000 + self.seconds * 1000 + 1)
+        yield self._rows(key, [i for _, i in due], allowed, retry)
+
+    @staticmethod
+    def _rows(key, ids, allowed, retry) -> pd.DataFrame:
+        return pd.DataFrame({"request_id": pd.array(ids, dtype="int64"), "client_key": pd.array([key[0]] * len(ids), dtype="object"), "allowed": pd.array(allowed, dtype="bool"), "retry_after": pd.array(retry, dtype="Int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def _put(state, rows: list[tuple]) -> None:
+    if rows:
+        state.put(rows)
+    else:
+        state.clear()
+
+
 def rate_limit_stream(requests: DataFrame, limit: int = LIMIT, seconds: int = SECONDS, late: str = "10 seconds") -> DataFrame:
-    """``rate_limit`` on a stream: accepted times are the client's state, dropped when its window has passed."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        log = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["us", "request_id"])
-        allowed, retry, log = limited(rows["us"].tolist(), limit, seconds, log)
-        state.update((log,))
-        if log:
-            state.setTimeoutTimestamp(max(log[-1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"request_id": rows["request_id"], "client_key": key[0], "allowed": allowed, "retry_after": pd.array(retry, dtype="Int64")})
-
-    rows = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
-    return rows.groupBy("client_key").applyInPandasWithState(step, "request_id long, client_key string, allowed boolean, retry_after long", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    """``rate_limit`` on a stream of any number of batches: a request's row appears once the watermark has passed it.
+
+    Requests up to ``late`` behind the latest are decided in order; later ones are
+    dropped.  Needs the RocksDB state store, which is set for the session.
+    """
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    rows = rows.select("client_key", "ts", F.unix_micros("ts").alias("us"), F.col("request_id").cast("long").alias("request_id"))
+    return rows.groupBy("client_key").transformWithStateInPandas(Limiter(limit, seconds), "request_id long, client_key string, allowed boolean, retry_after long", "Append", "EventTime")

@@ -61,13 +61,36 @@ def a7_upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("lease_id").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"), F.sum(F.length("text")).alias("n_chars"))
 
 
+def _arriving(spark: SparkSession, sf_dir: str, root: str, back: str = "12 hours", files: int = 4) -> DataFrame:
+    """Events as they would come in: in files, each of a span of days, up to 12 hours out of order or, every fiftieth, ``back`` behind; with ``batch``."""
+    rows = table(spark, sf_dir, "events").withColumn("jitter", F.expr(f"CASE WHEN event_id % 50 = 7 THEN INTERVAL {back} ELSE make_dt_interval(0, 0, 0, event_id % 720 * 60) END"))
+    span = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    width = max(1, int((span.b - span.a).total_seconds()) // files + 1)
+    came = F.floor((F.unix_seconds((F.col("ts") + F.col("jitter")).cast("timestamp")) - F.unix_seconds(F.lit(span.a).cast("timestamp"))) / width)
+    rows = saved_batches(rows.withColumn("batch", F.least(came, F.lit(files - 1)).cast("int")).drop("jitter"), root, files)
+    return rows
+
+
+def saved_batches(rows: DataFrame, root: str, files: int) -> DataFrame:
+    """The rows of each ``batch`` as one file, written in turn, as a file source reads them by their times."""
+    rows = tables.saved(rows, "events")
+    for k in range(files):
+        rows.where(F.col("batch") == k).repartition(1).write.mode("append").parquet(root)  # one file is one batch
+    return rows
+
+
+def _stream(spark: SparkSession, root: str, schema) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
 def h2_rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rate limiter as a stream over all events."""
+    """The rate limiter as a stream over all events, in several batches and out of order within the watermark; a last row moves that past them."""
     root = tables.new_path(spark, "limited")
-    events = requests(spark, sf_dir).select("request_id", "ts", "client_key")
-    events.coalesce(1).write.parquet(f"{root}/in")  # one file is one batch, in which no row is late
-    stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
-    return jobs.to_table(rate_limit_stream(stream, 3, 86_400), f"{root}/out", f"{root}/checkpoint")
+    came = _arriving(spark, sf_dir, f"{root}/in")
+    end = came.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 3 DAYS")).alias("ts"), F.lit(-1).cast(came.schema["user_id"].dataType).alias("user_id"))
+    came.limit(0).unionByName(end, allowMissingColumns=True).repartition(1).write.mode("append").parquet(f"{root}/in")
+    stream = _stream(spark, f"{root}/in", came.schema).select(F.col("event_id").alias("request_id"), "ts", F.col("user_id").cast("string").alias("client_key"))
+    return jobs.to_table(rate_limit_stream(stream, 3, 86_400, "1 day"), f"{root}/out", f"{root}/checkpoint")
 
 
 def h4_count_outcomes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +101,16 @@ def h4_count_outcomes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+def h4_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream in several batches counted by day and status, what came too late for it, and what is still open."""
+    root = tables.new_path(spark, "late")
+    came = _arriving(spark, sf_dir, f"{root}/in", "9 days")
+    stream = _stream(spark, f"{root}/in", came.schema).withColumnRenamed("event_type", "status")
+    counted = jobs.to_table(jobs.outcome_windows(stream, ["status"], "1 day", "1 day"), f"{root}/out", f"{root}/checkpoint")
+    rows = jobs.late_rows(came.withColumnRenamed("event_type", "status"), counted, ["status"], "1 day", "1 day")
+    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 def h5_latency_histogram_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = tables.new_path(spark, "latency")
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").withColumnRenamed("value", "latency_ms")
@@ -91,9 +124,9 @@ def h8_streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pages(spark, sf_dir).withColumn("page", F.col("page").cast("int"))
     rows = rows.unionByName(rows.select(F.concat(F.lit("blank-"), "lease_id").alias("lease_id"), "source", "page", F.lit(" ").alias("text")).where("page % 7 = 0"))
     rows.repartition(3, "page").write.parquet(f"{root}/in")
-    jobs.streaming_ingest(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", files=1).awaitTermination()
-    chunks = jobs.ingested(spark, f"{root}/out").groupBy("lease_id").agg(F.count("*").alias("n_chunks"), F.max("chunk_no").alias("last"), F.lit(None).cast("string").alias("reason"))
-    rejects = jobs.ingested(spark, f"{root}/out", "rejects").select("lease_id", F.lit(0).cast("long").alias("n_chunks"), F.lit(None).cast("long").alias("last"), "reason")
+    jobs.streaming_ingest(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", files=1, buckets=8, most=2).awaitTermination()
+    chunks = jobs.ingested(spark, f"{root}/out", buckets=8).groupBy("lease_id").agg(F.count("*").alias("n_chunks"), F.max("chunk_no").alias("last"), F.lit(None).cast("string").alias("reason"))
+    rejects = jobs.ingested(spark, f"{root}/out", "rejects", 8).select("lease_id", F.lit(0).cast("long").alias("n_chunks"), F.lit(None).cast("long").alias("last"), "reason")
     return chunks.unionByName(rejects)
 
 
@@ -114,8 +147,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.join(cited, "query_id", "left").select("query_id", "refused", F.round("confidence", 5).alias("confidence"), "rank", "chunk_id", F.round("distance", 5).alias("distance"), "excerpt")
 
 
-QUERIES = {f.__name__: f for f in (a3_gate_uploads, a5_read_golden, a6_json_store, a7_upsert_chunks, a9_write_eval_report, h2_rate_limit_stream, h4_count_outcomes_stream, h5_latency_histogram_stream, h8_streaming_ingest, h9_retention_sweep)} | {"ask": flagship}
+QUERIES = {f.__name__: f for f in (a3_gate_uploads, a5_read_golden, a6_json_store, a7_upsert_chunks, a9_write_eval_report, h2_rate_limit_stream, h4_count_outcomes_stream, h4_late_rows, h5_latency_histogram_stream, h8_streaming_ingest, h9_retention_sweep)} | {"ask": flagship}
 _DAYS = "days AS (SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type AS status, value FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 SECOND)"
+#: Events with the batch in which ``_arriving`` puts them, a few days late.
+_CAME = """span AS (SELECT min(ts) AS a, greatest(1, floor(epoch(max(ts) - min(ts)))::BIGINT // 4 + 1) AS width FROM events),
+came AS (SELECT ts, event_type AS status, least(floor((floor(epoch(ts + CASE WHEN event_id % 50 = 7 THEN INTERVAL 9 DAY ELSE to_seconds(event_id % 720 * 60) END))::BIGINT - floor(epoch(a))::BIGINT) / width), 3)::INT AS batch FROM events, span)"""
 ORACLES = {
     "a3_gate_uploads": """SELECT doc_id, length, CASE WHEN doc_id % 5 = 0 THEN 'type' WHEN length > 4000 THEN 'size' WHEN doc_id % 3 = 0 THEN 'signature' END AS reason
 FROM (SELECT doc_id, strlen(CASE WHEN doc_id % 3 > 0 THEN '%PDF-1.7 ' || text ELSE text END) AS length FROM documents)""",
@@ -126,6 +162,10 @@ FROM (SELECT doc_id, strlen(CASE WHEN doc_id % 3 > 0 THEN '%PDF-1.7 ' || text EL
     "ask": f"WITH {RERANKED} SELECT g.query_id, refused, confidence, rank, chunk_id, round(distance, 5) AS distance, {masked('substring(text, 1, 500)', PII_RULES)} AS excerpt FROM gate g LEFT JOIN reranked r ON r.query_id = g.query_id LEFT JOIN documents d ON d.doc_id = r.chunk_id",
     "h2_rate_limit_stream": LIMITED,
     "h4_count_outcomes_stream": f"WITH {_DAYS} SELECT start, status, count(*) AS n FROM days GROUP BY ALL",
+    # a batch drops what the watermark of the batch before it had closed, which is the latest time of the batches before that
+    "h4_late_rows": f"""WITH {_CAME}, top AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - INTERVAL 1 DAY AS mark FROM came GROUP BY batch),
+e AS (SELECT status, date_trunc('day', ts)::TIMESTAMP AS start, coalesce(date_trunc('day', ts) + INTERVAL 1 DAY <= date_trunc('milliseconds', mark), false) AS late, date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM came) - INTERVAL 1 DAY AS closed FROM came JOIN top USING (batch))
+SELECT start, status, count(*) FILTER (closed AND NOT late) AS counted, count(*) FILTER (closed AND late) AS dropped, count(*) FILTER (NOT closed) AS pending FROM e GROUP BY ALL""",
     "h5_latency_histogram_stream": f"WITH {_DAYS} SELECT start, " + ", ".join(f"count(*) FILTER (value <= {b}) AS le_{b}" for b in BOUNDS) + ", count(*) AS n, round(sum(value), 2) AS total_ms FROM days GROUP BY 1",
     "h8_streaming_ingest": f"""{CHUNKED}
 SELECT lease_id, count(*) AS n_chunks, count(*) - 1 AS last, NULL::VARCHAR AS reason FROM chunks JOIN named USING (id) GROUP BY 1

@@ -73,20 +73,22 @@ class LeaseStore:
             rows = rows.unionByName(self._rows(kind, [(b, n) for b, n in several if n in have.get(b, [])]).join(last, ["lease_id", "batch_id"], "left_semi"))
         return rows.drop("bucket", "batch_id")
 
-    def compact(self, most: int = 8) -> list[int]:
-        """Fold the batches of each bucket that has over ``most`` into its last one; returns those buckets.
+    def compact(self, most: int = 8, before: int | None = None) -> list[int]:
+        """Fold the batches (under ``before``) of each bucket that has over ``most`` into the last of them; returns those buckets.
 
+        A job that replays batches folds only those before the one it is at, as a
+        replay overwrites its folders.
         The folded rows are written beside the store first.  Once all are there, a
         marker says so, and folders are exchanged one by one; a job that dies in
         between finishes the exchange when it opens the store again.
         """
-        batches = self.folders()
+        batches = {b: [n for n in own if before is None or n < before] for b, own in self.folders().items()}
         full = [b for b, own in batches.items() if len(own) > most]
         if not full:
             return []
         self._delete(f"{self.root}/_folded")
         for kind in self.kinds:
-            rows = self.read(kind, full).withColumn("bucket", self.bucket())
+            rows = self.read(kind, full, before).withColumn("bucket", self.bucket())
             top = F.create_map(*(F.lit(x) for b in full for x in (b, max(batches[b]))))
             rows = rows.withColumn("batch_id", top[F.col("bucket")].cast("long")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "batch_id", "lease_id")
             rows.write.partitionBy("bucket", "batch_id").parquet(f"{self.root}/_folded/{kind}")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 PAGES = "lease_id string, source string, page int, text string"
 GOLDEN = "question string, relevant_clause_ids array<string>, reference_answer string, category string, should_refuse boolean"
+CHUNKS = "lease_id string, source string, page int, clause_no int, part_no int, text string, clause_type string, chunk_no long, chunk_id string"
 CATEGORIES = ("factual", "statute", "red_flag", "out_of_scope")
 
 
@@ -49,16 +50,6 @@ def write_eval_report(report: DataFrame, path: str, at: str) -> None:
     report.withColumn("generated_at", F.lit(at)).write.mode("overwrite").json(path)
 
 
-def put_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """The rows of one batch in a folder of their own, replacing those of an earlier attempt."""
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-
-def get_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The rows of all batches, with ``batch_id``."""
-    return spark.read.schema(f"{schema}, batch_id long").parquet(path)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, which all executors share; in local mode (tests), where it is unset, a new local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -89,3 +80,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table made by ``saved`` once nothing reads it."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

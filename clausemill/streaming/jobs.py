@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clausemill.operators import chunking
 from clausemill.operators.requests import BOUNDS
 from clausemill.sources import tables, validate
+from clausemill.sources.store import LeaseStore
 
 
 def outcome_windows(events: DataFrame, labels: Sequence[str], width: str = "1 minute", late: str = "10 seconds") -> DataFrame:
@@ -25,42 +26,64 @@ def latency_windows(requests: DataFrame, width: str = "1 minute", late: str = "1
     return rows.groupBy(F.window("ts", width).alias("w")).agg(*sums, F.count("latency_ms").alias("n"), F.sum("latency_ms").alias("total_ms")).select(F.col("w.start").alias("start"), *(f"le_{b}" for b in bounds), "n", "total_ms")
 
 
-def ingest_batch(pages: DataFrame, root: str, batch_id: int) -> None:
+def ingest_store(spark: SparkSession, root: str, buckets: int = 32) -> LeaseStore:
+    """Pages, chunks and rejects of the leases ingested under ``root``."""
+    return LeaseStore(spark, root, {"pages": tables.PAGES, "chunks": tables.CHUNKS, "rejects": "lease_id string, reason string"}, buckets)
+
+
+def ingest_batch(pages: DataFrame, root: str, batch_id: int, buckets: int = 32, most: int = 8) -> None:
     """One micro-batch of pages, which come in any order and over several batches.
 
-    All pages known of the leases it touches are chunked anew.  Every table under
-    ``root`` (pages, chunks, rejects, leases) gets one folder a batch, which a replay
-    overwrites; the table of leases comes last and tells which batch counts for each.
+    All pages known of the leases it touches are chunked anew; of a page that came
+    more than once the last text counts, in one batch the greatest.  What is known is
+    read from those leases' buckets alone, so a batch costs as much as its leases
+    have, not as the history has.  Buckets with over ``most`` batches are folded
+    first, which keeps listings short too.
     """
     spark = pages.sparkSession
-    new = pages.select("lease_id", "source", "page", "text").withColumn("batch_id", F.lit(batch_id).cast("long"))
-    tables.put_batch(new.drop("batch_id"), f"{root}/pages", batch_id)
-    new = tables.get_batches(spark, f"{root}/pages", tables.PAGES)
-    touched = new.where(F.col("batch_id") == batch_id).select("lease_id").distinct()
-    known = new.where(F.col("batch_id") <= batch_id).join(touched, "lease_id", "left_semi")
-    whole = tables.saved(known.groupBy("lease_id", "source", "page").agg(F.max_by("text", "batch_id").alias("text")), "pages")
+    store = ingest_store(spark, root, buckets)
+    store.compact(most, batch_id)
+    new = tables.saved(pages.select("lease_id", "source", "page", "text"), "arrived")
+    touched = new.select("lease_id").distinct()
+    known = store.read("pages", store.touched(touched), batch_id).join(touched, "lease_id", "left_semi")
+    both = known.withColumn("new", F.lit(False)).unionByName(new.withColumn("new", F.lit(True)))
+    whole = tables.saved(both.groupBy("lease_id", "source", "page").agg(F.max_by("text", F.struct("new", "text")).alias("text")), "pages")
     good, bad = validate.split_textless(whole)
-    chunks = chunking.chunk_pages(good).withColumn("clause_type", chunking.classify("text"))
-    tables.put_batch(chunking.assign_chunk_ids(chunks), f"{root}/chunks", batch_id)
-    tables.put_batch(bad, f"{root}/rejects", batch_id)
-    tables.put_batch(validate.textless(whole).select("lease_id", "accepted"), f"{root}/leases", batch_id)
+    chunks = chunking.assign_chunk_ids(chunking.chunk_pages(good).withColumn("clause_type", chunking.classify("text")))
+    store.write(batch_id, touched, {"pages": ["lease_id", "page"], "chunks": ["lease_id", "chunk_no"]}, pages=whole, chunks=chunks, rejects=bad)
+    tables.drop(new)
+    tables.drop(whole)
 
 
-def ingested(spark: SparkSession, root: str, kind: str = "chunks") -> DataFrame:
-    """The ``chunks`` or ``rejects`` in force: those of the last batch that touched their lease."""
-    last = tables.get_batches(spark, f"{root}/leases", "lease_id string, accepted boolean").groupBy("lease_id").agg(F.max("batch_id").alias("batch_id"))
-    rows = spark.read.parquet(f"{root}/{kind}")
-    return rows.withColumn("batch_id", F.col("batch_id").cast("long")).join(last, ["lease_id", "batch_id"], "left_semi").drop("batch_id")
+def ingested(spark: SparkSession, root: str, kind: str = "chunks", buckets: int = 32) -> DataFrame:
+    """The ``pages``, ``chunks`` or ``rejects`` in force: those of the last batch that touched their lease."""
+    return ingest_store(spark, root, buckets).read(kind)
 
 
-def streaming_ingest(spark: SparkSession, source: str, root: str, checkpoint: str, files: int | None = None):
+def streaming_ingest(spark: SparkSession, source: str, root: str, checkpoint: str, files: int | None = None, buckets: int = 32, most: int = 8):
     """Run over what has arrived under ``source`` (parquet pages), at most ``files`` a batch, then stop."""
     reader = spark.readStream.schema(tables.PAGES)
     pages = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(source)
-    return pages.writeStream.foreachBatch(lambda df, n: ingest_batch(df, root, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return pages.writeStream.foreachBatch(lambda df, n: ingest_batch(df, root, n, buckets, most)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def late_rows(events: DataFrame, counted: DataFrame, labels: Sequence[str] = (), width: str = "1 minute", late: str = "10 seconds") -> DataFrame:
+    """(start, labels, counted, dropped, pending): what a stream's windows (``outcome_windows``) have of all events.
+
+    The batch form counts all of them.  What the stream lacks of a window that its
+    watermark has closed came too late and was dropped; the other windows are still
+    open and not written yet.
+    """
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    end = rows.agg((F.date_trunc("millisecond", F.max("ts")) - F.expr(f"INTERVAL {late}")).alias("mark"))
+    all_rows = rows.groupBy(F.window("ts", width).alias("w"), *labels).agg(F.count("*").alias("all"))
+    both = all_rows.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *labels, "all").join(counted, ["start", *labels], "left").crossJoin(F.broadcast(end))  # one row
+    lacks = F.col("all") - F.coalesce("n", F.lit(0))
+    closed = F.col("end") <= F.col("mark")
+    return both.select("start", *labels, F.coalesce("n", F.lit(0)).alias("counted"), F.when(closed, lacks).otherwise(0).alias("dropped"), F.when(closed, 0).otherwise(lacks).alias("pending"))
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all that is there, append its rows to a table, and read that."""
+    """Run a stream over all that is there, append its rows to a table, and read that; ``maxFilesPerTrigger`` of its source makes the batches."""
     stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)

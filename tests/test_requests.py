@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from clausemill.operators import requests
@@ -62,10 +63,33 @@ def _streamed(spark, tmp_path, build, name):
     return df, spark.table(name)
 
 
-def test_rate_limit_stream_equals_batch(spark, tmp_path):
-    df, out = _streamed(spark, tmp_path, lambda s: requests.rate_limit_stream(s, 3), "limited")
-    batch = {r.request_id: r.allowed for r in requests.rate_limit(df, 3).collect()}
-    assert {r.request_id: r.allowed for r in out.collect()} == batch
+def test_rate_limit_stream_over_batches(spark, tmp_path):
+    """Three files, out of order within the watermark; a last row far ahead lets the watermark pass all others."""
+    df = log(spark)
+    late = F.when(F.col("request_id") % 4 == 1, 15).otherwise(0) + F.unix_seconds("ts") - int(START.replace(tzinfo=dt.UTC).timestamp())
+    parts = [df.where((late >= a) & (late < b)) for a, b in ((0, 40), (40, 80), (80, 10**6))]
+    assert all(p.count() for p in parts)
+    end = spark.createDataFrame([(99, "z", START + dt.timedelta(hours=1), 0.0, "ok")], SCHEMA)
+    for p in [*parts, end]:
+        p.orderBy(F.col("ts").desc()).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for limit in (3, 30):
+        out = jobs.to_table(requests.rate_limit_stream(stream, limit, late="20 seconds"), str(tmp_path / f"out{limit}"), str(tmp_path / f"cp{limit}"))
+        got = {r.request_id: (r.allowed, r.retry_after) for r in out.collect()}
+        assert got == {r.request_id: (r.allowed, r.retry_after) for r in requests.rate_limit(df, limit).collect()}
+
+
+def test_late_rows_are_those_the_stream_drops(spark, tmp_path):
+    rows = [(0, 5), (0, 70), (1, 65), (1, 3), (1, 200), (2, 59), (2, 130), (2, 300), (3, 100), (3, 400)]
+    df = spark.createDataFrame([(b, START + dt.timedelta(seconds=s), "ok") for b, s in rows], "batch int, ts timestamp, status string")
+    for b in range(4):
+        df.where(F.col("batch") == b).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    counted = jobs.to_table(jobs.outcome_windows(stream, []), str(tmp_path / "out"), str(tmp_path / "cp"))
+    minutes = {r.start: (r.counted, r.dropped, r.pending) for r in jobs.late_rows(df, counted).collect()}
+    minute = lambda k: START + dt.timedelta(minutes=k)
+    # a batch drops what the watermark of the batch before it had closed: (2, 59) and (3, 100)
+    assert minutes == {minute(0): (2, 1, 0), minute(1): (2, 1, 0), minute(2): (1, 0, 0), minute(3): (1, 0, 0), minute(5): (1, 0, 0), minute(6): (0, 0, 1)}
 
 
 def test_counters_stream_equals_batch(spark, tmp_path):
@@ -104,3 +128,48 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     for _ in range(2):
         jobs.ingest_batch(pages, str(tmp_path), 0)
     assert jobs.ingested(spark, str(tmp_path)).count() == 1 and jobs.ingested(spark, str(tmp_path), "rejects").count() == 1
+
+
+def test_a_replay_after_a_compaction_changes_nothing(spark, tmp_path):
+    """Batches fold those before them; a batch that is replayed finds the same state and leaves the same."""
+    page = lambda *rows: spark.createDataFrame(rows, "lease_id string, source string, page int, text string")
+    batches = [page(("a", "s", 1, "One"), ("b", "t", 1, "B one")), page(("a", "s", 2, "Two")), page(("c", "u", 1, "C one"), ("a", "s", 1, "First")), page(("b", "t", 2, "B two"), ("a", "s", 3, " "))]
+    for n, rows in enumerate(batches):
+        jobs.ingest_batch(rows, str(tmp_path), n, buckets=1, most=1)
+    jobs.ingest_batch(batches[-1], str(tmp_path), 3, buckets=1, most=1)
+    chunks = sorted((r.lease_id, r.chunk_no, r.text) for r in jobs.ingested(spark, str(tmp_path), buckets=1).collect())
+    assert chunks == [("a", 0, "First"), ("a", 1, "Two"), ("b", 0, "B one"), ("b", 1, "B two"), ("c", 0, "C one")]
+    assert jobs.ingest_store(spark, str(tmp_path), 1).folders() == {0: [2, 3]}
+
+
+def test_a_batch_reads_its_leases_buckets_alone(spark, tmp_path):
+    rows = [(f"lease{k}", "s", 1, f"text {k}") for k in range(40)]
+    jobs.ingest_batch(spark.createDataFrame(rows, "lease_id string, source string, page int, text string"), str(tmp_path), 0, buckets=8)
+    store = jobs.ingest_store(spark, str(tmp_path), 8)
+    one = spark.createDataFrame([("lease7",)], "lease_id string")
+    (bucket,) = store.touched(one)
+    files = store.read("pages", [bucket], 1).inputFiles()
+    assert len(store.folders("pages")) > 4 and files and all(f"/bucket={bucket}/" in f for f in files)
+
+
+def test_a_compaction_that_died_is_finished(spark, tmp_path):
+    page = lambda *rows: spark.createDataFrame(rows, "lease_id string, source string, page int, text string")
+    for n in range(3):
+        jobs.ingest_batch(page((f"l{n}", "s", 1, f"text {n}"), ("x", "s", n, f"page {n}")), str(tmp_path), n, buckets=1)
+    before = sorted(map(tuple, jobs.ingested(spark, str(tmp_path), buckets=1).collect()))
+
+    class Dies(jobs.LeaseStore):
+        left = 2
+
+        def _exchange(self, kind, bucket, batch):
+            if not self.left:
+                raise RuntimeError("lost")
+            self.left -= 1
+            super()._exchange(kind, bucket, batch)
+
+    store = jobs.ingest_store(spark, str(tmp_path), 1)
+    store.__class__ = Dies
+    with pytest.raises(RuntimeError, match="lost"):
+        store.compact(1)
+    assert sorted(map(tuple, jobs.ingested(spark, str(tmp_path), buckets=1).collect())) == before
+    assert jobs.ingest_store(spark, str(tmp_path), 1).folders() == {0: [2]}
