@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausemill.functions.text import tokens
-from clausemill.sources.store import LeaseStore
+from clausemill.sources.store import BROADCAST_LEASES, LeaseStore
+from clausemill.sources.tables import saved
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Chunks of a lease for each part in which its postings are written.
+PART = 1000
 
 
 @dataclass(frozen=True)
@@ -21,11 +24,14 @@ class Bm25:
     idf: DataFrame
     chunks: DataFrame
 
-    def postings(self, tf: DataFrame | None = None, idf: DataFrame | None = None) -> DataFrame:
+    def postings(self) -> DataFrame:
         """(lease_id, term, chunk_id, weight), the whole contribution of a term to a chunk's score."""
-        rows = (self.tf if tf is None else tf).join(self.idf if idf is None else idf, ["lease_id", "term"])
-        weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        return rows.select("lease_id", "term", "chunk_id", weight.alias("weight"))
+        return self.tf.join(self.idf, ["lease_id", "term"]).select("lease_id", "term", "chunk_id", bm25_weight().alias("weight"))
+
+
+def bm25_weight() -> Column:
+    """Of rows with tf, dl, idf and avgdl."""
+    return F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
 
 class LexicalIndex:
@@ -37,6 +43,9 @@ class LexicalIndex:
     combined inside the tasks that read them; all else is derived from the postings.
     """
 
+    #: Number of the layout on disk.
+    LAYOUT = 1
+
     def __init__(self, spark: SparkSession, root: str, lease: str = "string", chunk: str = "string", buckets: int = 32):
         kinds = {
             "postings": f"lease_id {lease}, term string, chunk_id {chunk}, dl int, tf long",
@@ -49,9 +58,13 @@ class LexicalIndex:
     def update(self, chunks: DataFrame, batch_id: int) -> None:
         """Index the leases of ``chunks`` (lease_id, chunk_id, text) anew."""
         put, own = self.store.put, lambda kind: self.store.read(kind, batch=batch_id)
+        sizes = saved(chunks.groupBy("lease_id").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "sizes")  # one row a lease
+        sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LEASES else sizes
+        part = F.pmod(F.xxhash64("chunk_id"), F.col("parts"))  # all terms of a chunk in one part, so that a search sums its score there
         words = chunks.select("lease_id", "chunk_id", tokens("text").alias("t"))
         each = words.select("lease_id", "chunk_id", F.size("t").alias("dl"), F.explode_outer("t").alias("term"))  # a chunk without a token keeps a row
-        put(batch_id, "postings", each.groupBy("lease_id", "term", "chunk_id").agg(F.max("dl").alias("dl"), F.count("term").alias("tf")), ["lease_id", "term", "chunk_id"])
+        tf = each.groupBy("lease_id", "term", "chunk_id").agg(F.max("dl").alias("dl"), F.count("term").alias("tf"))
+        put(batch_id, "postings", tf.join(sizes, "lease_id"), ["lease_id", "term"], part)
         postings = own("postings")
         put(batch_id, "chunks", postings.groupBy("lease_id", "chunk_id").agg(F.max("dl").alias("dl")), ["lease_id", "chunk_id"])
         put(batch_id, "terms", postings.where("term is not null").groupBy("lease_id", "term").agg(F.count("*").alias("df")), ["lease_id", "term"])

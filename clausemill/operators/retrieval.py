@@ -10,7 +10,7 @@ from clausemill.functions.text import tokens
 from clausemill.functions.vectors import cosine, dot, norm
 from clausemill.sources.tables import new_path, saved
 
-from .lexical_index import Bm25, LexicalIndex
+from .lexical_index import Bm25, LexicalIndex, bm25_weight
 from .vector_search import VectorIndex, tiled_topk
 
 TOP, CANDIDATES, ALPHA, THRESHOLD = 5, 20, 0.5, 0.55
@@ -49,9 +49,9 @@ def bm25_topk(questions: DataFrame, index: Bm25, k: int = CANDIDATES) -> DataFra
     """
     chunks = index.chunks
     terms = questions.select("query_id", "lease_id", F.explode(tokens("question")).alias("term")).groupBy("query_id", "lease_id", "term").agg(F.count("*").alias("times"))
-    asked = bounded(terms.select("lease_id", "term").distinct())
-    postings = index.postings(index.tf.join(asked, ["lease_id", "term"], "left_semi"), index.idf.join(asked, ["lease_id", "term"], "left_semi"))
-    hits = postings.join(bounded(terms), ["lease_id", "term"]).groupBy("query_id", "lease_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
+    # the questions' terms with their weights are a small table, which meets the postings once
+    asked = saved(index.idf.join(bounded(terms), ["lease_id", "term"]), "asked")
+    hits = index.tf.join(bounded(asked), ["lease_id", "term"]).groupBy("query_id", "lease_id", "chunk_id").agg(F.sum(bm25_weight() * F.col("times")).alias("score"))
     columns = ["query_id", "chunk_id", "score", "rank"]
     best = F.round("score", 9).desc()
     top = saved(ranked(hits, k, best).select(*columns), "lexical")

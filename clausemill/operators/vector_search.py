@@ -161,6 +161,8 @@ class VectorIndex:
     cells, and scores those exactly.
     """
 
+    #: Number of the layout on disk.
+    LAYOUT = 1
     CENTRES = "cell int, probes int, centre array<double>"
 
     def __init__(self, spark: SparkSession, root: str, lease: str = "string", chunk: str = "string", buckets: int = 32):

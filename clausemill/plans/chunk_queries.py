@@ -181,6 +181,20 @@ def quoted(pattern: str) -> str:
 
 
 REDACTED = masked("text", redaction.PII_RULES)
+#: Lines with personal data, one or more of each category, that every fifth text gets.
+PERSONAL_LINES = (
+    "SSN 123-45-6789", "Card 4111 1111-1111 1111, SSN 987-65-4321", "Account # 12345678-90", "Pay to IBAN: DE44500105175407324931 now", "mail a.b@c.org and d_e@f.example", "call (555) 123-4567 or +1 555.123.4567",
+    "at 12 North Elm Street, 742 Evergreen Terrace", "Date of Birth: March 14, 1985", "born 1980", "Tenant: José García-López Jr. signed", "LANDLORD - Mary O'Neil, agent: Bob Brown;", "tenant: 5 and landlord nobody", "Routing: 123456789", "ABAC 12345678",
+)
+PERSONAL = "docs AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || [" + ", ".join("'" + line.replace("'", "''") + "'" for line in PERSONAL_LINES) + f"][(doc_id // 5) % {len(PERSONAL_LINES)} + 1] ELSE text END AS text FROM documents)"
+
+
+def with_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, some with one of the lines at their end."""
+    line = F.get(F.array(*map(F.lit, PERSONAL_LINES)), (F.floor(F.col("doc_id") / 5) % len(PERSONAL_LINES)).cast("int"))
+    return table(spark, sf_dir, "documents").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat_ws("\n", "text", line)).otherwise(F.col("text")))
+
+
 _DEFAULTS = "CASE " + " ".join(f"WHEN regexp_matches(x, '{chunking.word_pattern(words)}', 'i') THEN '{kind}'" for kind, _, words in sorted(chunking.CLAUSE_WORDS, key=lambda r: -r[1])) + " ELSE 'other' END"
 _PHRASES = "[" + ", ".join(f"'{p}'" for p in PHRASES) + "]"
 

@@ -13,9 +13,9 @@ from clausemill.functions import redaction
 from clausemill.operators import answers, compare, evaluate, leases
 
 from .bindings import table
-from .chunk_queries import REDACTED, masked
+from .chunk_queries import PERSONAL, REDACTED, masked, quoted, with_personal_data
 
-_FIXED = ("credit_card", "email", "phone")
+_SHOWN = tuple(r for r in redaction.PII_RULES if r != "person_name")
 
 
 def c2_redact_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,9 +47,9 @@ def c9_audit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as payloads: the categories that their text shows are expected, and every ninth expects a model to find more."""
-    shown = F.array_compact(F.array(*(F.when(F.col("text").rlike("(?iU)" + redaction.PII_RULES[r]), r) for r in _FIXED)))
+    shown = F.array_compact(F.array(*(F.when(F.col("text").rlike("(?iU)" + redaction.PII_RULES[r]), r) for r in _SHOWN), F.when(F.col("text").rlike("(?iU)" + redaction.PII_RULES["person_name"]), "person_name")))
     more = F.when(F.col("doc_id") % 9 == 0, F.array(F.lit("person_name"))).otherwise(F.array().cast("array<string>"))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("fixture_id"), F.col("text").alias("payload"), shown.alias("expected_regex_categories"), more.alias("expected_llm_categories"))
+    return with_personal_data(spark, sf_dir).select(F.col("doc_id").alias("fixture_id"), F.col("text").alias("payload"), shown.alias("expected_regex_categories"), more.alias("expected_llm_categories"))
 
 
 def c10_audit_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,8 @@ def g7_parse_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _AUDITS = """audits AS (SELECT event_id AS fixture_id, CASE WHEN event_id % 9 IN (0, 4) THEN value > 100 WHEN event_id % 9 IN (1, 3, 8) THEN false ELSE true END AS has_pii,
   CASE WHEN event_id % 9 IN (0, 4) THEN event_type || '/row ' || event_id || ',' || event_type || '/unknown' WHEN event_id % 9 IN (1, 3, 6, 8) THEN '' WHEN event_id % 9 = 7 THEN event_id || '/unknown,None/True' ELSE 'audit_unavailable/unknown' END AS findings FROM events)"""
-_FIXTURES = f"""fixtures AS (SELECT doc_id AS fixture_id, text, {' + '.join(f"regexp_matches(text, '(?i){redaction.PII_RULES[r]}')::INT" for r in _FIXED)} AS expected, doc_id % 9 = 0 AS more FROM documents)"""
+_PATTERNS = {r: quoted(redaction.PII_RULES[r]) for r in _SHOWN} | {"person_name": quoted(f"{redaction.NAMED}(?:{redaction.NAME_END})")}
+_FIXTURES = f"""{PERSONAL}, fixtures AS (SELECT doc_id AS fixture_id, text, {' + '.join(f"regexp_matches(text, '(?i){p}')::INT" for p in _PATTERNS.values())} AS expected, doc_id % 9 = 0 AS more FROM docs)"""
 _GOOD = "event_id % 8 IN (0, 1, 6, 7) AND event_id % 6 < 5"
 _QUOTE = "CASE WHEN event_id % 8 = 7 THEN '' ELSE 'type ' || event_type END"
 _SIGNAL = "[" + ", ".join(f"'{x}'" for x in answers.SIGNALS) + "][event_id % 6 + 1]"
@@ -129,7 +130,7 @@ ORACLES = {
     "c2_redact_nested": f"SELECT doc_id::VARCHAR AS id, md5({REDACTED}) AS digest, {masked('n_chars::VARCHAR', redaction.PII_RULES)} AS n_chars, true AS empty FROM documents",
     "c9_audit_verdicts": f"WITH {_AUDITS} SELECT * FROM audits",
     "c10_audit_scorecard": f"WITH {_AUDITS}, {_FIXTURES}, j AS (SELECT CASE WHEN expected > 0 OR more THEN has_pii ELSE NOT has_pii OR findings = '' END AS ok FROM fixtures JOIN audits USING (fixture_id)) SELECT count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed, count(*) AS total FROM j",
-    "c11_redaction_recall": f"WITH {_FIXTURES} SELECT fixture_id, expected, " + " AND ".join(f"(NOT regexp_matches(text, '(?i){redaction.PII_RULES[r]}') OR contains({REDACTED}, '[REDACTED_{r.upper()}]'))" for r in _FIXED) + f" AS complete, md5({REDACTED}) AS digest FROM fixtures",
+    "c11_redaction_recall": f"WITH {_FIXTURES} SELECT fixture_id, expected, " + " AND ".join(f"(NOT regexp_matches(text, '(?i){p}') OR contains({REDACTED}, '[REDACTED_{r.upper()}]'))" for r, p in _PATTERNS.items()) + f" AS complete, md5({REDACTED}) AS digest FROM fixtures",
     "e4_validate_answer": f"SELECT event_id AS query_id, {_GOOD} AS valid, CASE WHEN {_GOOD} THEN 'It is ' || event_id || ', write to u' || user_id || '@example.org' END AS answer, CASE WHEN {_GOOD} THEN {_QUOTE} END AS quote, CASE WHEN {_GOOD} THEN {_SIGNAL} END AS signal FROM events",
     "e5_resolve_answer": f"""WITH r AS (SELECT *, {_OUTCOME} AS outcome FROM events)
 SELECT event_id AS query_id, outcome, CASE outcome WHEN 'invalid' THEN '{answers.INVALID}' WHEN 'answered' THEN 'It is ' || event_id || ', write to [REDACTED_EMAIL]' ELSE '{answers.REFUSAL}' END AS answer,

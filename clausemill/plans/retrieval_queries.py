@@ -16,18 +16,18 @@ from clausemill.operators.vector_search import VectorIndex
 from clausemill.sources.tables import new_path, saved, shared_dir, version
 
 from .bindings import questions, table, vectors
-from .chunk_queries import REDACTED, masked, quoted
+from .chunk_queries import PERSONAL, REDACTED, masked, quoted, with_personal_data
 
 SCAN_LINES = (("SERVICE_API_KEY=abcdef", "x"), ("Signed: Ann Lee ", ""), ("Acct. AB12345678", ""), ("Authorization: Bearer abcdefghijklmnop", ""), ("gsk_abcdefghijklmnop", ""), ("pk-lf-0123abcd-", "wxyz"), ("LANGFUSE_REDIS_AUTH=pass", ""), ("nothing ", " here"))
 _PHRASES = (r"\bthe\s+of\b", r"que\s+la")
 
 
 def c1_redact_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(redaction.redact_pii("text")).alias("digest"))
+    return with_personal_data(spark, sf_dir).select("doc_id", F.md5(redaction.redact_pii("text")).alias("digest"))
 
 
 def c3_pii_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redaction.pii_profile(table(spark, sf_dir, "documents"), "doc_id")
+    return redaction.pii_profile(with_personal_data(spark, sf_dir), "doc_id")
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ def _stored_vectors(spark: SparkSession, sf_dir: str) -> VectorIndex:
     """The coarse index of all vectors, kept on disk for as long as their files do not change."""
     _, rows = vectors(spark, sf_dir)
     kind = {c: rows.schema[c].dataType.simpleString() for c in ("lease_id", "chunk_id")}
-    index = VectorIndex(spark, f"{shared_dir(spark)}/vectors-{version(rows)}", kind["lease_id"], kind["chunk_id"])
+    index = VectorIndex(spark, f"{shared_dir(spark)}/vectors-stored-{VectorIndex.LAYOUT}-{version(rows)}", kind["lease_id"], kind["chunk_id"])
     if not index.store.folders():
         index.fit(rows)
         index.update(rows, 0)
@@ -133,7 +133,7 @@ def d6_build_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_index(spark: SparkSession, sf_dir: str) -> retrieval.Bm25:
     """The index of all documents as one lease, kept on disk for as long as their files do not change."""
     docs = table(spark, sf_dir, "documents")
-    index = LexicalIndex(spark, f"{shared_dir(spark)}/bm25-{version(docs)}", chunk=docs.schema["doc_id"].dataType.simpleString())
+    index = LexicalIndex(spark, f"{shared_dir(spark)}/bm25-stored-{LexicalIndex.LAYOUT}-{version(docs)}", chunk=docs.schema["doc_id"].dataType.simpleString())
     if not index.store.folders():
         index.update(_documents(spark, sf_dir), 0)
     return index.read()
@@ -295,8 +295,8 @@ def hashed(text: str) -> str:
 _REINGESTED = """CASE WHEN source IN ('src2', 'src4') THEN true WHEN source = 'src3' THEN false
 WHEN source IN ('src1', 'src5') AND source IN (SELECT source FROM documents WHERE doc_id % 2 = 1) THEN doc_id % 2 = 1 ELSE doc_id % 3 < 2 END"""
 ORACLES = {
-    "c1_redact_pii": f"SELECT doc_id, md5({REDACTED}) AS digest FROM documents",
-    "c3_pii_profile": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS category, len(regexp_extract_all(text, '(?i){quoted(redaction.NAMED + '(?:' + redaction.NAME_END + ')' if r == 'person_name' else p)}')) AS hits FROM documents" for r, p in redaction.PII_RULES.items()) + ") WHERE hits > 0",
+    "c1_redact_pii": f"WITH {PERSONAL} SELECT doc_id, md5({REDACTED}) AS digest FROM docs",
+    "c3_pii_profile": f"WITH {PERSONAL} SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS category, len(regexp_extract_all(text, '(?i){quoted(redaction.NAMED + '(?:' + redaction.NAME_END + ')' if r == 'person_name' else p)}')) AS hits FROM docs" for r, p in redaction.PII_RULES.items()) + ") WHERE hits > 0",
     "c4_scan_lines": f"WITH {_scan(_SCANNED)} SELECT doc_id, line_no, rule, md5(substring(regexp_replace({masked('line', redaction.SCAN_RULES, '[MASKED]')}, '^\\s+|\\s+$', '', 'g'), 1, 80)) AS digest FROM found",
     "c5_scan_gate": f"WITH {_scan('documents')} SELECT d.doc_id, count(f.rule) AS findings, count(f.rule) = 0 AS clean FROM documents d LEFT JOIN found f USING (doc_id) GROUP BY ROLLUP (d.doc_id)",
     "c6_sanitize_chunk": r"SELECT doc_id, md5(regexp_replace(substring(regexp_replace(regexp_replace(text, '\bthe\s+of\b', '', 'gi'), 'que\s+la', '', 'gi'), 1, 2000), '^\s+|\s+$', '', 'g')) AS digest FROM documents",

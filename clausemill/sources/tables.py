@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 PAGES = "lease_id string, source string, page int, text string"
 GOLDEN = "question string, relevant_clause_ids array<string>, reference_answer string, category string, should_refuse boolean"
 CHUNKS = "lease_id string, source string, page int, clause_no int, part_no int, text string, clause_type string, chunk_no long, chunk_id string"
+#: Tables under so many bytes are left in few tasks.
+SPREAD_BYTES = 4 << 20
 CATEGORIES = ("factual", "statute", "red_flag", "out_of_scope")
 
 
@@ -65,6 +67,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, least: int = SPREAD_BYTES) -> DataFrame:
+    """A table whose files give fewer tasks than there are cores, dealt out over all of them; other and small tables as they are.
+
+    Work on texts costs far more than moving them once, and a file with one row group
+    is one task.  Tables of many files have tasks enough and are not shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < least or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(4 * cores)
+
+
 def version(df: DataFrame) -> str:
     """A digest of the names, lengths and times of the files that a table is read from."""
     spark, seen = df.sparkSession, hashlib.sha256()

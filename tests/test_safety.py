@@ -52,3 +52,28 @@ def test_scan(spark):
     assert all("abc" not in r.excerpt for r in rows)
     assert {(r.id, r.findings, r.clean) for r in redaction.scan_gate(redaction.scan_lines(df, "id"), df, "id").collect()} == {(1, 6, False), (2, 0, True), (None, 6, False)}
     assert redaction.pii_profile(df.select("id", F.lit("a@b.co c@d.co").alias("text")), "id").first().hits == 2
+
+
+def test_anchors_lose_no_match(spark):
+    """Rules behind their anchors give what all rules in turn give."""
+    texts = [*POSITIVE, *NEGATIVE, "pay \u0665\u0665\u0665-\u0665\u0665-\u0665\u0665\u0665\u0665", "swift ABCDEFGH and tenant\u00a0:\u00a0Ann", "\u0131ban abcdefgh", "agent-Bob Lee. mail x@y.zz", "", "\u212aoo: 12 Oak Lane"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = F.col("text")
+    for name, pattern in redaction.PII_RULES.items():
+        plain = F.regexp_replace(plain, "(?iU)" + pattern, f"[REDACTED_{name.upper()}]")
+    rows = df.select("text", redaction.redact_pii("text").alias("r"), plain.alias("p")).collect()
+    assert [r.r for r in rows] == [r.p for r in rows] and sum(r.r != r.text for r in rows) > 20
+    assert redacted(spark, [None]) == [None]
+
+
+def test_scan_names_keys_and_variables(spark):
+    lines = {
+        "gsk_abcdefghijklmnop1": "groq_api_key", "x pk-lf-0123abcd-wxyz": "langfuse_public_key", "sk-lf-0123ABCD-wx_y-z": "langfuse_secret_key", "LANGFUSE_NEXTAUTH_SECRET=0123456789abcdef": "langfuse_nextauth_secret",
+        "LANGFUSE_CLICKHOUSE_PASSWORD = abcd": "langfuse_clickhouse_password", "LANGFUSE_MINIO_ROOT_PASSWORD=abcd": "langfuse_minio_root_password", "LANGFUSE_REDIS_AUTH=abcd": "langfuse_redis_auth", "gsk_short": None, "pk-lf-0123abc-wxyz": None,
+    }
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "id int, text string")
+    found = {}
+    for r in redaction.scan_lines(df, "id").collect():
+        found.setdefault(r.id, set()).add(r.rule)
+    for k, rule in enumerate(lines.values()):
+        assert (rule in found[k]) if rule else k not in found
