@@ -10,6 +10,7 @@ from .answers import json_object
 K = 5
 DIMENSIONS = ("faithfulness", "correctness", "relevance")
 FLOORS = {"recall": 0.70, "precision": 0.10, "mrr": 0.55, "refusal_accuracy": 0.80, "faithfulness": 0.60, "correctness": 0.60, "relevance": 0.60}
+#: Metrics that the gate tracks.
 GATED = ("mrr", "recall", "precision", "refusal_accuracy", "answer_quality")
 
 
@@ -93,6 +94,11 @@ def regression_check(current: DataFrame, baseline: DataFrame, threshold: float =
     return rows.withColumn("status", status)
 
 
+def tracked_check(current: DataFrame, baseline: DataFrame, threshold: float = 5.0, tracked: tuple[str, ...] = GATED) -> DataFrame:
+    """``regression_check`` of the metrics that the gate tracks; others never fail a run."""
+    return regression_check(current.where(F.col("metric").isin(*tracked)), baseline.where(F.col("metric").isin(*tracked)), threshold)
+
+
 def quality_floors(metrics: DataFrame, floors: dict[str, float] = FLOORS) -> DataFrame:
     """(metric, value, floor) of metrics under their floor."""
     table = F.create_map(*(F.lit(x) for kv in floors.items() for x in kv))

@@ -13,14 +13,28 @@ from clausemill.functions.text import strip
 from clausemill.sources.tables import saved
 
 from .answers import json_object
+from .retrieval import bounded
 
 UNKNOWN = "Unknown"
 FIELDS = ("tenant", "landlord", "start_date", "end_date", "rent_amount", "location")
+#: Words of the signals for metadata (fixed values), in priority order: signature and name lines, terms of fields, words for the parties; ``*`` stands for any word ending.
+IDENTITY, TERMS, PARTY_WORDS = (
+    ("landlord signature", "tenant signature", "approved occupants", "name:"),
+    ("base rent", "monthly rent", "rent", "commenc*", "expir*", "lease term", "property address", "premises located", "address"),
+    ("tenant", "lessee", "landlord", "lessor"),
+)
+
+
+def signal(words: Sequence[str], start: str = r"\b", end: str = r"\b") -> str:
+    """A pattern of any of the words, whatever the case; white space between them and before a colon is free."""
+    return "(?i)" + start + "(?:" + "|".join(w.replace(" ", r"\s+").replace("*", r"\w*").replace(":", r"\s*:") for w in words) + ")" + end
+
+
 #: Signals for metadata, in priority order.
 SIGNALS = (
-    r"(?i)\b(?:signed|signature)\b.*:|\bapproved\s+occupants?\b|\bname\s*:",
-    r"(?i)\brent\b|\bcommenc|\bexpir|\blease\s+term\b|\baddress\b|\bpremises\b",
-    r"(?i)\btenant\b|\blessee\b|\blandlord\b|\blessor\b",
+    signal(IDENTITY[:3], "", "") + "|" + signal(IDENTITY[3:], end="").removeprefix("(?i)"),
+    signal(TERMS),
+    signal(PARTY_WORDS),
 )
 FIELD_PATTERNS = {
     "tenant": r"(?im)\b(?:tenant|lessee)(?:\s+name)?\s*:\s*([^\n;]+)",
@@ -116,6 +130,16 @@ def register_leases(rows: DataFrame) -> DataFrame:
     return rows.groupBy("lease_id").agg(F.max_by(F.struct(*columns), "written").alias("r")).select("lease_id", "r.*")
 
 
+def list_leases(leases: DataFrame, page: int = 1, size: int = 20) -> tuple[DataFrame, int]:
+    """(a page of the registered leases, newest first, their number); leases without a time come last."""
+    return page_rows(leases, [F.col("created_at").desc_nulls_last(), F.col("lease_id")], page, size)
+
+
+def get_leases(leases: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The record of each wanted ``lease_id``, all null for an unknown one; few ids are looked up in the scan."""
+    return bounded(wanted.select("lease_id").distinct()).join(leases, "lease_id", "left").select(*leases.columns)
+
+
 def lease_status() -> Column:
     """pending while start, end or rent is unknown."""
     return F.when(_unknown(F.col("start_date")) | _unknown(F.col("end_date")) | _unknown(F.col("rent_amount")), "pending").otherwise("active")
@@ -126,8 +150,8 @@ def portfolio_stats(leases: DataFrame, comparisons: DataFrame | None = None) ->
     active = F.count_if(lease_status() == "active")
     stats = leases.agg(F.count("*").alias("total"), active.alias("active"), (F.count("*") - active).alias("pending"))
     stats = stats.withColumn("active_pct", F.when(F.col("total") > 0, F.round(100 * F.col("active") / F.col("total"))).otherwise(0.0).cast("long"))
-    done = comparisons.count() if comparisons is not None else 0
-    return stats.withColumn("comparisons", F.lit(done).cast("long"))
+    done = comparisons.agg(F.count("*").alias("comparisons")) if comparisons is not None else stats.select(F.lit(0).cast("long").alias("comparisons"))
+    return stats.crossJoin(done)  # one row each
 
 
 def age_label(days: Column) -> Column:

@@ -74,8 +74,7 @@ class LexicalIndex:
         put(batch_id, "leases", own("stats").select("lease_id"))
 
     def remove(self, leases: DataFrame, batch_id: int) -> None:
-        """Take leases out: the batch has no rows of them."""
-        self.store.put(batch_id, "leases", leases.select("lease_id").distinct())
+        self.store.remove(leases, batch_id)
 
     def compact(self, most: int = 8) -> list[int]:
         return self.store.compact(most)

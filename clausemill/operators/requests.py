@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 from clausemill.functions.text import hash_query
 
 LIMIT, SECONDS = 30, 60
+#: Size of a quantile sketch; its ranks are off by under RANK_ERROR (99 % of the time).
+SKETCH, RANK_ERROR = 400, 0.0075
 BOUNDS = (10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000)
 
 
@@ -102,6 +104,19 @@ def latency_quantile(histogram: DataFrame, *labels: str, q: float = 0.95) -> Dat
     return hit.select(*labels, value.alias("quantile_ms"))
 
 
+def latency_sketches(requests: DataFrame, *labels: str, width: str = "1 day", k: int = SKETCH) -> DataFrame:
+    """(start, labels, n, sketch): a quantile sketch of the latencies of each window, a few KB whatever the window holds."""
+    rows = requests.withColumn("ts", F.col("ts").cast("timestamp")).where("latency_ms is not null")
+    rows = rows.groupBy(F.window("ts", width).alias("w"), *labels).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col("latency_ms").cast("double"), k).alias("sketch"))
+    return rows.select(F.col("w.start").alias("start"), *labels, "n", "sketch")
+
+
+def merged_quantile(sketches: DataFrame, *labels: str, q: float = 0.95) -> DataFrame:
+    """(labels, n, quantile_ms) of stored windows together: their sketches merge, the requests are not read again."""
+    merged = sketches.groupBy(*labels).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    return merged.select(*labels, "n", F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias("quantile_ms"))
+
+
 def access_log(requests: DataFrame, salt: str) -> DataFrame:
     """Log rows: the hash of a question instead of its text."""
     return requests.withColumn("query_hash", hash_query("question", salt)).drop("question")

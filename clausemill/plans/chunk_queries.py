@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clausemill.functions import redaction
 from clausemill.functions.text import strip, tokens
 from clausemill.operators import chunking
-from clausemill.sources import validate
+from clausemill.sources import tables, validate
 
 from .bindings import pages, table
 
@@ -24,7 +24,12 @@ PHRASES = ("terminating", "a breach", "assigning it", "consent to assign", "rene
 
 
 def a1_read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).select("lease_id", "source", "page", F.length("text").cast("long").alias("n_chars"))
+    """Documents written as files of eight pages, every eleventh page empty, and read back."""
+    path = tables.new_path(spark, "drops")
+    docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 8).alias("drop"), "doc_id", F.when(F.col("doc_id") % 11 > 0, F.col("text")).otherwise("").alias("text"))
+    files = docs.groupBy("drop").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\f").alias("value"))  # eight at most
+    files.select(F.concat(F.lit("lease-"), "drop").alias("lease_id"), "value").repartition("lease_id").write.option("lineSep", "\x1e").partitionBy("lease_id").text(path)
+    return tables.read_pages(spark, path).select("lease_id", "page", F.md5(F.regexp_replace("text", "\x1e", "")).alias("digest"))
 
 
 def a2_reject_textless(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +46,21 @@ def a4_validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.requests(rows).select("conv_id", "turn", F.concat_ws(",", "errors").alias("errors"))
 
 
+def a4_validate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of lease ids from orders: some equal, some malformed, some missing."""
+    key = F.col("o_orderkey")
+    left = F.concat(F.lit("lease-"), (key % 9).cast("string"), F.when(key % 11 == 0, " x").otherwise(""))
+    right = F.when(key % 13 > 0, F.concat(F.lit("lease-"), (F.col("o_custkey") % 9).cast("string")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", left.alias("left_id"), right.alias("right_id"))
+    return validate.pairs(rows).select("o_orderkey", F.concat_ws(",", "errors").alias("errors"))
+
+
+def a4_validate_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata fields from texts, of 190 to 209 characters with blanks around them, and some that are null."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", *((F.when(F.col("doc_id") % 7 != k, F.concat(F.lit(" \u00a0"), F.repeat(F.lit("x"), (190 + (F.col("doc_id") + 3 * k) % 20).cast("int")), F.lit("\n "))).alias(f)) for k, f in enumerate(validate.METADATA_FIELDS)))
+    return validate.metadata_fields(rows).select("doc_id", F.concat_ws(",", "errors").alias("errors"))
+
+
 def a8_ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pages(spark, sf_dir)
     return chunking.ingest_summary(chunking.split_clauses(docs), docs)
@@ -202,9 +222,9 @@ _PHRASES = "[" + ", ".join(f"'{p}'" for p in PHRASES) + "]"
 CHUNKED = f"""WITH RECURSIVE {_CLAUSES}, named AS (SELECT *, row_number() OVER () AS id FROM clauses), large AS (SELECT id, text FROM named WHERE length(text) > {chunking.SIZE}), {ladder('large')}, {merging('pieces')},
 chunks AS (SELECT id, 0 AS no, text AS t FROM named WHERE length(text) <= {chunking.SIZE} UNION ALL {overlapping('merged')})"""
 
-QUERIES = {f.__name__: f for f in (a1_read_pages, a2_reject_textless, a4_validate_requests, a8_ingest_summary, b1_split_clauses, b2_split_paragraphs, b3_recursive_chunk, b4_merge_undersized, b5_add_overlap, b6_chunk_pages, b7_assign_chunk_ids, b8_classify_clause, b9_clause_histogram, b10_list_chunks, d5_tokenize)}
+QUERIES = {f.__name__: f for f in (a1_read_pages, a2_reject_textless, a4_validate_requests, a4_validate_pairs, a4_validate_metadata, a8_ingest_summary, b1_split_clauses, b2_split_paragraphs, b3_recursive_chunk, b4_merge_undersized, b5_add_overlap, b6_chunk_pages, b7_assign_chunk_ids, b8_classify_clause, b9_clause_histogram, b10_list_chunks, d5_tokenize)}
 ORACLES = {
-    "a1_read_pages": "SELECT source AS lease_id, doc_id::VARCHAR AS source, doc_id + 1 AS page, length(text) AS n_chars FROM documents",
+    "a1_read_pages": "SELECT 'lease-' || (doc_id // 8) AS lease_id, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id)::INT AS page, md5(CASE WHEN doc_id % 11 > 0 THEN text ELSE '' END) AS digest FROM documents",
     "a2_reject_textless": r"SELECT doc_id AS lease_id, 1 + (doc_id % 3 = 0)::BIGINT AS n_pages, n AS n_chars, n > 0 AS accepted FROM (SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) ELSE 0 END AS n FROM documents)",
     "a4_validate_requests": r"""
 SELECT conv_id, turn, array_to_string(list_filter([
@@ -212,6 +232,9 @@ SELECT conv_id, turn, array_to_string(list_filter([
   CASE WHEN length(q) = 0 THEN 'question_blank' END, CASE WHEN length(q) > 1000 THEN 'question_long' END,
   CASE WHEN length(trim(substring(text, 1, 230))) = 0 THEN 'name_blank' END, CASE WHEN length(substring(text, 1, 230)) > 200 THEN 'name_long' END], lambda x: x IS NOT NULL), ',') AS errors
 FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS q, role || '-' || conv_id || CASE WHEN turn % 3 = 0 THEN '-a b' ELSE '' END AS lease_id FROM conversations)""",
+    "a4_validate_pairs": r"""SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 11 = 0 THEN 'left_id' END, CASE WHEN o_orderkey % 13 = 0 THEN 'right_id' END,
+  CASE WHEN o_orderkey % 11 > 0 AND o_orderkey % 13 > 0 AND o_orderkey % 9 = o_custkey % 9 THEN 'same_lease' END], lambda x: x IS NOT NULL), ',') AS errors FROM orders""",
+    "a4_validate_metadata": "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN doc_id % 7 <> {k} AND (doc_id + {3 * k}) % 20 > 10 THEN '{f}' END" for k, f in enumerate(validate.METADATA_FIELDS)) + "], lambda x: x IS NOT NULL), ',') AS errors FROM documents",
     "a8_ingest_summary": f"WITH {_CLAUSES} SELECT l.lease_id, count(c.lease_id) AS chunk_count, count(c.lease_id) > 0 AS accepted FROM (SELECT DISTINCT source AS lease_id FROM documents) l LEFT JOIN (SELECT lease_id FROM clauses) c USING (lease_id) GROUP BY 1",
     "b1_split_clauses": f"WITH {_CLAUSES} SELECT lease_id, page, clause_no, n_clauses, md5(text) AS digest FROM clauses",
     "b2_split_paragraphs": r"""

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from clausemill.functions.redaction import PII_RULES, redact_pii
 from clausemill.operators import evaluate, leases, retrieval
 from clausemill.operators.requests import BOUNDS, rate_limit_stream
+from clausemill.operators.retention import Retention
 from clausemill.sources import tables, validate
+from clausemill.sources.store import LeaseStore
 from clausemill.streaming import jobs
 
 from .bindings import pages, requests, table
@@ -25,11 +27,15 @@ def a9_write_eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a3_gate_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as files: some with the signature, some too large, some of another type."""
-    docs = table(spark, sf_dir, "documents")
-    content = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("%PDF-1.7 "), "text")).otherwise(F.col("text"))
-    files = docs.select("doc_id", F.encode(content, "UTF-8").alias("content"), F.when(F.col("doc_id") % 5 > 0, "application/pdf").when(F.col("doc_id") % 2 > 0, "text/plain").alias("mime"))
-    return validate.gate_uploads(files.withColumn("length", F.octet_length("content").cast("long")), 4000).select("doc_id", "length", "reason")
+    """Texts written as files of one to ten documents: some with the signature, some too large, some of another type, and read as what they are."""
+    path = tables.new_path(spark, "uploads")
+    docs = table(spark, sf_dir, "documents").withColumn("file", F.floor(F.col("doc_id") / 10))
+    files = docs.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("text"))  # ten at most
+    value = F.concat(F.when(F.col("file") % 3 > 0, "%PDF-1.7 ").otherwise(""), "text")
+    kind = F.when(F.col("file") % 5 > 0, "pdf").when(F.col("file") % 2 > 0, "txt").otherwise("odd")
+    files.select(value.alias("value"), kind.alias("type"), "file").repartition("file").write.partitionBy("type", "file").text(path)
+    found = validate.gate_uploads(tables.read_uploads(spark, path), 25_000)
+    return found.select(F.regexp_extract("path", r"/file=(\d+)/", 1).cast("long").alias("file"), "length", "reason")
 
 
 def a5_read_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,11 +137,35 @@ def h8_streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def h9_retention_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One sweep: the report of what expired, by artifact."""
+    """Two sweeps over stored tables on two ticks, the second run again: in the first a step fails for some leases, the second takes those.
+
+    One row a sweep: what it took and removed, and what is left after all.
+    """
+    root = tables.new_path(spark, "retention")
     records = _orders(spark, sf_dir)
+    lease = records.schema["lease_id"].dataType.simpleString()
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("lease_id"), "l_linenumber")
-    _, report = leases.purge(leases.expired_leases(records, NOW, 1000), records, {"chunks": items}, actor="sweep")
-    return report.agg(F.count("*").alias("eligible"), F.sum("n_chunks").alias("n_chunks"), F.count_if("succeeded").alias("succeeded"))
+    line = items.schema["l_linenumber"].dataType.simpleString()
+    stored = {
+        "chunks": (items, f"lease_id {lease}, l_linenumber {line}"),
+        "answers": (items.where("l_linenumber = 1"), f"lease_id {lease}, l_linenumber {line}"),
+        "records": (records, f"lease_id {lease}, created_at string"),
+    }
+    stores = {name: LeaseStore(spark, f"{root}/{name}", {name: schema}, 4, lease) for name, (_, schema) in stored.items()}
+    for name, (rows, _) in stored.items():
+        stores[name].write(0, rows.select("lease_id"), **{name: rows})
+    retention = Retention(spark, f"{root}/journal", {name: stores[name] for name in ("chunks", "answers")}, stores["records"])
+    down = records.where("lease_id % 7 = 0").select("lease_id", F.lit("answers").alias("step"), F.lit("store is down").alias("error"))
+    for k in range(2):
+        spark.range(0, 1, 1, 1).select(F.lit(NOW).cast("timestamp").alias("now")).write.mode("append").parquet(f"{root}/ticks")
+        jobs.retention_sweeps(spark, f"{root}/ticks", f"{root}/checkpoint", retention, 1000, lambda n: down if n == 0 else None)
+    retention.sweep(1, NOW, 1000)
+    left = [stores[name].read(name).agg(F.count("*").alias(f"{name}_left")) for name in stored]
+    found = spark.read.option("basePath", f"{root}/journal").parquet(*(f"{root}/journal/sweep={k}/report" for k in range(2)))
+    rows = found.groupBy("sweep").agg(F.count("*").alias("eligible"), F.count_if("succeeded").alias("succeeded"), F.sum("n_chunks").alias("n_chunks"), F.sum("n_answers").alias("n_answers"), F.max(F.get("errors", 0)).alias("error"))
+    for one in left:
+        rows = rows.crossJoin(one)  # one row
+    return rows
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,8 +183,8 @@ _DAYS = "days AS (SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type A
 _CAME = """span AS (SELECT min(ts) AS a, greatest(1, floor(epoch(max(ts) - min(ts)))::BIGINT // 4 + 1) AS width FROM events),
 came AS (SELECT ts, event_type AS status, least(floor((floor(epoch(ts + CASE WHEN event_id % 50 = 7 THEN INTERVAL 9 DAY ELSE to_seconds(event_id % 720 * 60) END))::BIGINT - floor(epoch(a))::BIGINT) / width), 3)::INT AS batch FROM events, span)"""
 ORACLES = {
-    "a3_gate_uploads": """SELECT doc_id, length, CASE WHEN doc_id % 5 = 0 THEN 'type' WHEN length > 4000 THEN 'size' WHEN doc_id % 3 = 0 THEN 'signature' END AS reason
-FROM (SELECT doc_id, strlen(CASE WHEN doc_id % 3 > 0 THEN '%PDF-1.7 ' || text ELSE text END) AS length FROM documents)""",
+    "a3_gate_uploads": """SELECT file, length, CASE WHEN file % 5 = 0 THEN 'type' WHEN length > 25000 THEN 'size' WHEN file % 3 = 0 THEN 'signature' END AS reason
+FROM (SELECT doc_id // 10 AS file, 1 + CASE WHEN doc_id // 10 % 3 > 0 THEN 9 ELSE 0 END + strlen(string_agg(text, chr(10) ORDER BY doc_id)) AS length FROM documents GROUP BY doc_id // 10, doc_id // 10 % 3)""",
     "a5_read_golden": "SELECT md5(text) AS digest, item_id::VARCHAR AS ids, 'a' AS reference_answer, ['factual', 'statute', 'red_flag', 'out_of_scope'][item_id % 4 + 1] AS category, item_id % 4 = 3 AS should_refuse FROM benchmark",
     "a6_json_store": "SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, (SELECT count(*) FROM customer WHERE c_custkey % 10 = 0) AS corrupt FROM customer",
     "a7_upsert_chunks": "SELECT source AS lease_id, count(*) AS n, sum(doc_id)::BIGINT AS ids, sum(length(text))::BIGINT AS n_chars FROM documents WHERE source NOT IN ('src1', 'src2') OR doc_id % 2 = 1 OR source NOT IN (SELECT source FROM documents WHERE doc_id % 2 = 1) GROUP BY 1",
@@ -170,5 +200,10 @@ SELECT start, status, count(*) FILTER (closed AND NOT late) AS counted, count(*)
     "h8_streaming_ingest": f"""{CHUNKED}
 SELECT lease_id, count(*) AS n_chunks, count(*) - 1 AS last, NULL::VARCHAR AS reason FROM chunks JOIN named USING (id) GROUP BY 1
 UNION ALL SELECT DISTINCT 'blank-' || source, 0, NULL::BIGINT, 'no extractable text' FROM documents WHERE (doc_id + 1) % 7 = 0""",
-    "h9_retention_sweep": "WITH e AS (SELECT o_orderkey FROM orders WHERE epoch(TIMESTAMP '2001-08-02' - o_orderdate) / 86400 >= 1000) SELECT count(*) AS eligible, (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT * FROM e)) AS n_chunks, count(*) AS succeeded FROM e",
+    "h9_retention_sweep": """WITH e AS (SELECT o_orderkey, o_orderkey % 7 = 0 AS down FROM orders WHERE epoch(TIMESTAMP '2001-08-02' - o_orderdate) / 86400 >= 1000),
+l AS (SELECT l_orderkey, l_linenumber, down FROM lineitem LEFT JOIN e ON l_orderkey = o_orderkey),
+kept AS (SELECT (SELECT count(*) FROM l WHERE down IS NULL) AS chunks_left, (SELECT count(*) FROM l WHERE down IS NULL AND l_linenumber = 1) AS answers_left, (SELECT count(*) FROM orders) - (SELECT count(*) FROM e) AS records_left)
+SELECT 0 AS sweep, count(*) AS eligible, count(*) FILTER (NOT down) AS succeeded, (SELECT count(*) FROM l WHERE down IS NOT NULL) AS n_chunks, (SELECT count(*) FROM l WHERE NOT down AND l_linenumber = 1) AS n_answers,
+  max(CASE WHEN down THEN 'answers: store is down' END) AS error, any_value(chunks_left) AS chunks_left, any_value(answers_left) AS answers_left, any_value(records_left) AS records_left FROM e, kept
+UNION ALL SELECT 1, count(*) FILTER (down), count(*) FILTER (down), 0, (SELECT count(*) FROM l WHERE down AND l_linenumber = 1), NULL, any_value(chunks_left), any_value(answers_left), any_value(records_left) FROM e, kept""",
 }

@@ -136,6 +136,16 @@ def f1_select_metadata_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leases.select_metadata_chunks(docs, signals=("[0-9]{4}", "shand|ndthe", "que la|das"))
 
 
+SIGNAL_LINES = ("Tenant Signature ______", "approved  occupants: none", "Name: A", "MONTHLY RENT", "commencing on", "expires", "Lease Term", "property address", "the lessee", "Landlord", "nothing of that kind", "signed by nobody")
+
+
+def f1_default_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The choice by the default signals, over texts of which every third gets a line with one."""
+    line = F.get(F.array(*map(F.lit, SIGNAL_LINES)), (F.floor(F.col("doc_id") / 3) % len(SIGNAL_LINES)).cast("int"))
+    text = F.when((F.col("doc_id") % 3 == 0) & (F.col("doc_id") > 20), F.concat_ws("\n", "text", line)).otherwise(F.col("text"))
+    return leases.select_metadata_chunks(table(spark, sf_dir, "documents").select(F.col("source").alias("lease_id"), F.col("doc_id").alias("chunk_no"), text.alias("text")))
+
+
 def f3_merge_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _leases(spark, sf_dir)
     patch = table(spark, sf_dir, "supplier").select(
@@ -151,12 +161,23 @@ def f4_register_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leases.register_leases(rows).select("lease_id", "name", "rent", F.col("written.o_orderkey").alias("row"))
 
 
+def f4_list_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of the registered leases, newest first, and some leases by their ids, one of which is unknown."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("lease_id"), F.col("o_orderstatus").alias("name"), F.col("o_orderdate").alias("created_at"), F.struct("o_orderdate", "o_orderkey").alias("written"))
+    known = saved(leases.register_leases(rows).drop("written"), "leases")
+    page, total = leases.list_leases(known, 2, 30)
+    wanted = table(spark, sf_dir, "customer").where("c_custkey % 50 = 1").select(F.col("c_custkey").alias("lease_id"))
+    found = leases.get_leases(known, wanted.unionByName(wanted.limit(0).unionByName(spark.range(1).select(F.lit(-1).cast(wanted.schema["lease_id"].dataType).alias("lease_id")))))
+    return page.withColumn("kind", F.lit("page")).unionByName(found.withColumn("kind", F.lit("get"))).withColumn("total", F.lit(total).cast("long"))
+
+
 def f5_lease_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leases(spark, sf_dir).select("lease_id", leases.lease_status().alias("status"))
 
 
 def f6_portfolio_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leases.portfolio_stats(_leases(spark, sf_dir), table(spark, sf_dir, "nation"))
+    pairs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
+    return leases.portfolio_stats(_leases(spark, sf_dir), leases.cap_history(pairs, 500))
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,6 +316,13 @@ def g9_regression_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("metric", "current", "prior", F.round("pct", 6).alias("pct"), "status")
 
 
+def g9_tracked_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over the five metrics that it tracks, of reports that hold others and categories too."""
+    rows = table(spark, sf_dir, "part").where("p_size <= 50").groupBy((F.col("p_size") % 8).alias("k")).agg(F.avg("p_retailprice").alias("a"), F.avg("p_size").alias("b"))
+    names = F.get(F.array(*map(F.lit, (*evaluate.GATED, "latency", "recall_overall", "coverage"))), F.col("k").cast("int"))
+    return evaluate.tracked_check(rows.select(names.alias("metric"), F.round("b", 3).alias("value")), rows.select(names.alias("metric"), F.round(F.col("a") / 57, 3).alias("value"))).select("metric", "current", "prior", F.round("pct", 6).alias("pct"), "status")
+
+
 def g10_quality_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     current, _ = _metrics(spark, sf_dir)
     return evaluate.quality_floors(current, {f"Brand#{k}": 25.0 for k in range(1, 26)})
@@ -327,6 +355,16 @@ def h6_latency_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("status", F.round("quantile_ms", 6).alias("quantile_ms"))
 
 
+def h6_merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quantile of all days by status from the days' stored sketches, and whether its rank is as near as the sketch promises, for tie-free shares too."""
+    log = request_log(spark, sf_dir)
+    days = saved(requests.latency_sketches(log, "status"), "sketches")
+    found = saved(requests.merged_quantile(days, "status"), "quantiles")
+    ranks = log.join(F.broadcast(found.select("status", "quantile_ms")), "status").groupBy("status").agg(F.avg((F.col("latency_ms") < F.col("quantile_ms")).cast("int")).alias("below"), F.avg((F.col("latency_ms") <= F.col("quantile_ms")).cast("int")).alias("upto"))
+    near = (F.col("below") <= 0.95 + 2 * requests.RANK_ERROR) & (F.col("upto") >= 0.95 - 2 * requests.RANK_ERROR)
+    return found.join(ranks, "status").select("status", "n", near.alias("near"))
+
+
 def h7_access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as log rows, the question as its hash."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("question"))
@@ -338,6 +376,17 @@ def h7_access_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.access_rollup(rows).select("route", "status", "n", F.round("mean_ms", 6).alias("mean_ms"))
 
 
+def _chosen(docs: str, signals: tuple[str, ...]) -> str:
+    """The choice of metadata chunks by three signals."""
+    flags = ", ".join(f"regexp_matches(text, '{p}') AS s{k}" for k, p in enumerate(signals))
+    keys = " UNION ALL ".join(f"SELECT lease_id, {k} AS p, no AS i, {o} AS o, no + {o} AS no FROM c WHERE s{k}" for o in (0, 1) for k in range(3))
+    return f"""WITH c AS (SELECT source AS lease_id, doc_id AS chunk_no, row_number() OVER w AS no, {flags} FROM {docs} WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+k AS ({keys}),
+b AS (SELECT lease_id, no, min((p, i, o)) AS key FROM k WHERE no > 5 GROUP BY ALL),
+x AS (SELECT c.lease_id, c.chunk_no FROM b JOIN c USING (lease_id, no) QUALIFY row_number() OVER (PARTITION BY c.lease_id ORDER BY key, c.chunk_no) <= 7)
+SELECT lease_id, chunk_no, 'first' AS chosen FROM c WHERE no <= 5 UNION ALL SELECT lease_id, chunk_no, 'signal' FROM x"""
+
+
 _HITS = f"""{DENSE}, hits AS (
   SELECT r.query_id, r.rank, r.chunk_id, coalesce(d.text, '') AS text, d.source, d.lang AS clause_type, CASE WHEN d.doc_id % 9 > 0 THEN d.doc_id + 1 END AS page
   FROM ranked r LEFT JOIN documents d ON d.doc_id = r.chunk_id WHERE rank <= 5)"""
@@ -393,9 +442,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         e1_build_context, e2_source_references, e3_parse_model_json, e6_check_grounding, e7_cache_key, e8_exact_answer_lookup, e9_semantic_answer_lookup, e10_evict_answers, e11_cap_answers, e12_cache_hits,
-        f1_select_metadata_chunks, f3_merge_metadata, f4_register_leases, f5_lease_status, f6_portfolio_stats, f7_recent_leases, f8_search_leases, f9_page_rows, f10_age_days, f11_expired_leases, f12_purge, f13_purge_summary, f14_cap_history,
-        f15_group_clauses, f16_clause_overlap, f17_one_sided_diffs, f18_shared_clause_pairs, f19_shared_clause_delta, f21_missing_leases, g1_question_scores, g5_retrieval_report, g6_compare_configs, g8_answer_quality, g9_regression_check, g10_quality_floors,
-        h1_client_key, h2_rate_limit, h3_over_limit_windows, h4_count_outcomes, h5_latency_histogram, h6_latency_quantile, h7_access_log, h7_access_rollup,
+        f1_select_metadata_chunks, f1_default_signals, f3_merge_metadata, f4_register_leases, f4_list_leases, f5_lease_status, f6_portfolio_stats, f7_recent_leases, f8_search_leases, f9_page_rows, f10_age_days, f11_expired_leases, f12_purge, f13_purge_summary, f14_cap_history,
+        f15_group_clauses, f16_clause_overlap, f17_one_sided_diffs, f18_shared_clause_pairs, f19_shared_clause_delta, f21_missing_leases, g1_question_scores, g5_retrieval_report, g6_compare_configs, g8_answer_quality, g9_regression_check, g9_tracked_metrics, g10_quality_floors,
+        h1_client_key, h2_rate_limit, h3_over_limit_windows, h4_count_outcomes, h5_latency_histogram, h6_latency_quantile, h6_merged_sketches, h7_access_log, h7_access_rollup,
     )
 }
 ORACLES = {
@@ -415,17 +464,15 @@ s AS (SELECT request_id, answer_id, {COSINE} AS similarity FROM p) SELECT reques
     "e11_cap_answers": "SELECT o_orderkey AS answer_id, o_orderdate AS last_used FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 256",
     "e12_cache_hits": f"""WITH {_LOG}, r AS (SELECT request_id, lease_id, cache_key, ts, (SELECT count(*) FROM log i WHERE i.request_id % 97 = 0 AND i.lease_id = l.lease_id AND i.ts <= l.ts) AS epoch FROM log l WHERE request_id % 97 <> 0)
 SELECT request_id, epoch, row_number() OVER (PARTITION BY lease_id, cache_key, epoch ORDER BY ts, request_id) > 1 AS hit FROM r""",
-    "f1_select_metadata_chunks": """
-WITH c AS (SELECT source AS lease_id, doc_id AS chunk_no, row_number() OVER w AS no, regexp_matches(text, '[0-9]{4}') AS s0, regexp_matches(text, 'shand|ndthe') AS s1, regexp_matches(text, 'que la|das') AS s2 FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
-k AS (SELECT lease_id, 0 AS p, no AS i, 0 AS o, no FROM c WHERE s0 UNION ALL SELECT lease_id, 1, no, 0, no FROM c WHERE s1 UNION ALL SELECT lease_id, 2, no, 0, no FROM c WHERE s2
-  UNION ALL SELECT lease_id, 0, no, 1, no + 1 FROM c WHERE s0 UNION ALL SELECT lease_id, 1, no, 1, no + 1 FROM c WHERE s1 UNION ALL SELECT lease_id, 2, no, 1, no + 1 FROM c WHERE s2),
-b AS (SELECT lease_id, no, min((p, i, o)) AS key FROM k WHERE no > 5 GROUP BY ALL),
-x AS (SELECT c.lease_id, c.chunk_no FROM b JOIN c USING (lease_id, no) QUALIFY row_number() OVER (PARTITION BY c.lease_id ORDER BY key, c.chunk_no) <= 7)
-SELECT lease_id, chunk_no, 'first' AS chosen FROM c WHERE no <= 5 UNION ALL SELECT lease_id, chunk_no, 'signal' FROM x""",
+    "f1_select_metadata_chunks": _chosen("documents", ("[0-9]{4}", "shand|ndthe", "que la|das")),
+    "f1_default_signals": _chosen(f"(SELECT source, doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id > 20 THEN text || chr(10) || {list(SIGNAL_LINES)}[(doc_id // 3) % {len(SIGNAL_LINES)} + 1] ELSE text END AS text FROM documents)", leases.SIGNALS),
     "f3_merge_metadata": f"WITH {_LEASES}, {_PATCH} {_merge('update')} UNION ALL {_merge('missing')}",
     "f4_register_leases": "SELECT o_custkey AS lease_id, o_orderstatus AS name, o_totalprice AS rent, o_orderkey AS row FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
+    "f4_list_leases": """WITH l AS (SELECT o_custkey AS lease_id, o_orderstatus AS name, o_orderdate AS created_at FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
+n AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, lease_id) AS r, count(*) OVER () AS total FROM l), w AS (SELECT c_custkey AS lease_id FROM customer WHERE c_custkey % 50 = 1 UNION ALL SELECT -1)
+SELECT lease_id, name, created_at, 'page' AS kind, total FROM n WHERE r BETWEEN 31 AND 60 UNION ALL SELECT w.lease_id, name, created_at, 'get', (SELECT count(*) FROM l) FROM w LEFT JOIN l USING (lease_id)""",
     "f5_lease_status": f"WITH {_LEASES} SELECT lease_id, {_STATUS} AS status FROM leases",
-    "f6_portfolio_stats": f"WITH {_LEASES} SELECT count(*) AS total, count(*) FILTER (s = 'active') AS active, count(*) FILTER (s = 'pending') AS pending, round(100 * count(*) FILTER (s = 'active') / count(*))::BIGINT AS active_pct, (SELECT count(*) FROM nation) AS comparisons FROM (SELECT {_STATUS} AS s FROM leases)",
+    "f6_portfolio_stats": f"WITH {_LEASES} SELECT count(*) AS total, count(*) FILTER (s = 'active') AS active, count(*) FILTER (s = 'pending') AS pending, round(100 * count(*) FILTER (s = 'active') / count(*))::BIGINT AS active_pct, (SELECT least(count(*), 500) FROM orders) AS comparisons FROM (SELECT {_STATUS} AS s FROM leases)",
     "f7_recent_leases": """SELECT o_orderkey AS lease_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS created_at,
 CASE WHEN d <= 0 THEN 'Today' WHEN d = 1 THEN '1 day' WHEN d < 7 THEN d || ' days' WHEN d < 14 THEN '1 week' WHEN d < 30 THEN (d // 7) || ' weeks' WHEN d < 60 THEN '1 month' ELSE (d // 30) || ' months' END AS age
 FROM (SELECT *, date_diff('day', o_orderdate::DATE, DATE '2001-08-02') AS d FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 200)""",
@@ -457,6 +504,9 @@ SELECT pair_id, lease_id, 'no record' AS reason FROM s WHERE lease_id NOT IN (SE
     + ", ".join(f"round(max(v) FILTER (config = '{c}'), 6) AS {c.replace('+', '_')}" for c in CONFIGS) + " FROM o GROUP BY 1",
     "g8_answer_quality": "SELECT round(avg(l_discount) FILTER (u), 6) AS faithfulness, round(avg(l_tax) FILTER (u), 6) AS correctness, round(avg(l_quantity / 100) FILTER (u), 6) AS relevance, round(avg((l_discount + l_tax + l_quantity / 100) / 3) FILTER (u), 6) AS answer_quality, count(*) FILTER (u) AS judged, count(*) FILTER (l_returnflag = 'R' AND l_linestatus <> 'F') AS unavailable, count(*) FILTER (u) = 0 AS none_available FROM (SELECT *, l_returnflag <> 'R' AND l_linestatus <> 'F' AS u FROM lineitem)",
     "g9_regression_check": f"SELECT metric, current, prior, round(pct, 6) AS pct, status FROM ({REGRESSION})",
+    "g9_tracked_metrics": """WITH m AS (SELECT ['mrr', 'recall', 'precision', 'refusal_accuracy', 'answer_quality', 'latency', 'recall_overall', 'coverage'][p_size % 8 + 1] AS metric, round(avg(p_size), 3) AS current, round(avg(p_retailprice) / 57, 3) AS prior FROM part WHERE p_size <= 50 GROUP BY 1),
+p AS (SELECT *, CASE WHEN prior = 0 THEN 0 ELSE (current - prior) / prior * 100 END AS pct FROM m WHERE metric IN ('mrr', 'recall', 'precision', 'refusal_accuracy', 'answer_quality'))
+SELECT metric, current, prior, round(pct, 6) AS pct, CASE WHEN pct <= -5 THEN 'REGRESSION' WHEN pct <= -2.5 THEN 'WARN' ELSE 'OK' END AS status FROM p""",
     "g10_quality_floors": f"WITH {_METRICS} SELECT metric, value, 25.0::DOUBLE AS floor FROM cur WHERE value < 25",
     "h1_client_key": "SELECT event_id AS request_id, CASE WHEN event_id % 3 = 0 THEN '10.0.0.' || user_id WHEN event_id % 5 > 0 THEN event_type ELSE 'unknown-' || event_id END AS client FROM events",
     "h2_rate_limit": LIMITED,
@@ -466,5 +516,6 @@ SELECT pair_id, lease_id, 'no record' AS reason FROM s WHERE lease_id NOT IN (SE
     "h5_latency_histogram": f"WITH {_HIST} SELECT status, le, n, round(total_ms, 2) AS total_ms FROM h",
     "h6_latency_quantile": f"""WITH {_HIST}, x AS (SELECT *, coalesce(lag(n) OVER w, 0) AS before, CASE WHEN ord = 0 THEN 0 ELSE lag(le_v) OVER w END AS low, 0.95 * max(n) OVER (PARTITION BY status) AS want FROM h WINDOW w AS (PARTITION BY status ORDER BY ord))
 SELECT status, round(CASE WHEN le = '+Inf' THEN 10000 ELSE low + (le_v - low) * (want - before) / (n - before) END, 6) AS quantile_ms FROM x WHERE n >= want AND before < want""",
+    "h6_merged_sketches": "SELECT event_type AS status, count(value) AS n, true AS near FROM events GROUP BY 1",
     "h7_access_rollup": "SELECT '/r/' || (user_id % 10) AS route, event_type AS status, count(*) AS n, round(avg(value), 6) AS mean_ms FROM events GROUP BY ALL",
 }

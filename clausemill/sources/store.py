@@ -58,6 +58,10 @@ class LeaseStore:
         rows = rows.withColumns(place).hint("rebalance", "bucket", "_part").sortWithinPartitions("bucket", "batch_id", *order).select(*names, "bucket", "batch_id")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(f"{self.root}/{kind}")
 
+    def remove(self, leases: DataFrame, batch_id: int) -> None:
+        """Take leases out: a batch that has no rows of them."""
+        self.put(batch_id, "leases", leases.select("lease_id").distinct())
+
     def read(self, kind: str, buckets: Iterable[int] | None = None, before: int | None = None, batch: int | None = None) -> DataFrame:
         """The rows in force of some buckets, or of all: those of the last batch (under ``before``) of their lease.
 

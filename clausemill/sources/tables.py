@@ -19,11 +19,29 @@ CATEGORIES = ("factual", "statute", "red_flag", "out_of_scope")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Text drops, one file a lease and pages between form feeds: (lease_id, source, page, text), empty pages kept."""
-    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("lease_id"), F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("source"), "value")
+    """Text drops, one file a lease and pages between form feeds: (lease_id, source, page, text), empty pages kept.
+
+    The lease is the name of the file without its ending, or that of a folder
+    ``lease_id=...`` around it.
+    """
+    rows = spark.read.text(path, wholetext=True)
+    file = F.col("_metadata.file_name")
+    lease = F.col("lease_id").cast("string") if "lease_id" in rows.columns else F.regexp_replace(file, r"(?<=.)\.[^.]*$", "")
+    rows = rows.select(lease.alias("lease_id"), file.alias("source"), "value")
     return rows.select("lease_id", "source", F.posexplode(F.split("value", "\f")).alias("i", "text")).select("lease_id", "source", (F.col("i") + 1).alias("page"), "text")
 
 
+def read_uploads(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, content, mime) of files of any kind; the type by the ending of the name or of a folder ``type=...`` around it.
+
+    Spark's readers give no row for a file without bytes, so one is not seen here.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    kind = F.coalesce(F.nullif(F.regexp_extract("path", r"/type=([^/]+)/", 1), F.lit("")), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
+    mime = F.when(kind == "pdf", "application/pdf").when(kind == "txt", "text/plain")
+    return rows.select("path", "length", "content", mime.alias("mime"))
+
+
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of golden questions; blank lines are skipped, a bad line or category fails the read."""
     rows = spark.read.schema(GOLDEN).option("mode", "FAILFAST").json(path)

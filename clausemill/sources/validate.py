@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clausemill.functions.text import strip
 
 LARGEST_UPLOAD = 50 * 1024 * 1024
+METADATA_FIELDS, LONGEST_FIELD = ("tenant", "landlord", "start_date", "end_date", "rent_amount", "location"), 200
 
 
 def textless(pages: DataFrame) -> DataFrame:
@@ -55,3 +56,8 @@ def pairs(df: DataFrame) -> DataFrame:
     """Adds ``errors`` for (left_id, right_id): two distinct valid ids."""
     ok = [F.coalesce(c, F.lit("")).rlike(r"\A[A-Za-z0-9_-]{1,100}\z") for c in ("left_id", "right_id")]
     return df.withColumn("errors", _errors((~ok[0], "left_id"), (~ok[1], "right_id"), (F.col("left_id").eqNullSafe(F.col("right_id")), "same_lease")))
+
+
+def metadata_fields(df: DataFrame, fields: tuple[str, ...] = METADATA_FIELDS, most: int = LONGEST_FIELD) -> DataFrame:
+    """Adds ``errors``, the names of the metadata fields that are longer than ``most`` once stripped; none has to be there."""
+    return df.withColumn("errors", _errors(*((F.length(strip(F.coalesce(f, F.lit("")))) > most, f) for f in fields)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clausemill.operators import chunking
 from clausemill.operators.requests import BOUNDS
+from clausemill.operators.retention import Retention
 from clausemill.sources import tables, validate
 from clausemill.sources.store import LeaseStore
 
@@ -87,3 +88,19 @@ def to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run a stream over all that is there, append its rows to a table, and read that; ``maxFilesPerTrigger`` of its source makes the batches."""
     stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def retention_sweeps(spark: SparkSession, ticks: str, checkpoint: str, retention: Retention, days: int, failures=None) -> None:
+    """A sweep for each file of times (``now`` timestamps, the latest counts) that has arrived under ``ticks``, then stop.
+
+    The number of the batch is that of the sweep, so a batch that is replayed goes on
+    with its sweep.  ``failures(sweep_id)`` may give steps that fail.
+    """
+
+    def sweep(times: DataFrame, sweep_id: int) -> None:
+        now = times.agg(F.max("now")).first()[0]
+        if now is not None:
+            retention.sweep(sweep_id, now.strftime("%Y-%m-%d %H:%M:%S"), days, failures(sweep_id) if failures else None, "sweep").write.mode("overwrite").parquet(f"{retention.root}/sweep={sweep_id}/report")
+
+    stream = spark.readStream.schema("now timestamp").option("maxFilesPerTrigger", 1).parquet(ticks)
+    stream.writeStream.foreachBatch(sweep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
