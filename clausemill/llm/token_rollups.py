@@ -6,10 +6,10 @@ becomes signed rows: minus the old count, plus the new one.  Their sums by sourc
 language and tokenizer are the batch's delta; totals are the sum of the deltas of
 all committed batches.
 
-The ledger of a batch's own documents is looked up, not all of it: earlier changes are
-joined with the batch's keys before they are grouped.  ``compact`` rewrites the
-counts in force and the totals as one base, after which earlier batches are not read
-again.
+The ledger lies in PARTS folders by a hash of doc_id.  A batch reads those of its own
+documents alone, and there the earlier changes are joined with the batch's keys before
+they are grouped.  ``compact`` rewrites the counts in force and the totals as one base,
+after which earlier batches are not read again.
 
 A commit writes the batch's delta and its part of the ledger under the batch's
 own name, replacing what an unfinished attempt left there, and last a marker.  A
@@ -34,6 +34,12 @@ from .tables import drop, new_path, saved
 _LEDGER = "doc_id long, tokenizer string, source string, lang string, n_tokens long, deleted boolean, seq long"
 _DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 _GROUP = ("source", "lang", "tokenizer")
+#: Folders of each batch of the ledger.
+PARTS = 16
+
+
+def _part():
+    return F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)), F.lit(0)).cast("int")
 
 
 class TokenRollups:
@@ -58,11 +64,18 @@ class TokenRollups:
         folder = self._path(f"{self.path}/bases")
         return max((int(s.getPath().getName()) for s in self._fs.listStatus(folder)), default=0) if self._fs.exists(folder) else 0
 
-    def _read(self, kind: str, schema: str) -> DataFrame:
+    def _read(self, kind: str, schema: str, parts: list[int] | None = None) -> DataFrame:
         base, done = self._base(), self.committed()
         paths = [f"{self.path}/{kind}-base/{base}"] * (base > 0) + [f"{self.path}/{kind}/{batch}" for batch in done[base:]]
+        if parts is not None:
+            paths = [f"{p}/part={k}" for p in paths for k in parts if self._fs.exists(self._path(f"{p}/part={k}"))]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    @staticmethod
+    def _write(rows: DataFrame, path: str) -> None:
+        # one task has all of a part, or several have a large one; small ones share a task
+        rows.withColumn("part", _part()).hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(path)
+
     def compact(self) -> None:
         """Write counts in force and totals as a base; its marker comes last, so an unfinished one is never read."""
         done = len(self.committed())
@@ -70,13 +83,14 @@ class TokenRollups:
             return
         unnamed = self._read("ledger", _LEDGER).where("doc_id is null")
         kept = self.current().withColumns({"deleted": F.lit(False), "seq": F.lit(done - 1).cast("long")}).unionByName(unnamed)
-        kept.write.mode("overwrite").parquet(f"{self.path}/ledger-base/{done}")
+        self._write(kept, f"{self.path}/ledger-base/{done}")
         self.totals().write.mode("overwrite").parquet(f"{self.path}/deltas-base/{done}")
         self._fs.mkdirs(self._path(f"{self.path}/bases/{done}"))
 
     def current(self, keys: DataFrame | None = None) -> DataFrame:
         """Counts in force, of all documents or those of (doc_id, tokenizer) keys: the latest change of each."""
-        rows = self._read("ledger", _LEDGER).where("doc_id is not null")
+        parts = None if keys is None else [r.part for r in keys.select(_part().alias("part")).distinct().collect()]  # PARTS at most
+        rows = self._read("ledger", _LEDGER, parts).where("doc_id is not null")
         if keys is not None:
             rows = rows.join(keys, ["doc_id", "tokenizer"], "left_semi")
         last = rows.groupBy("doc_id", "tokenizer").agg(F.max_by(F.struct("source", "lang", "n_tokens", "deleted"), "seq").alias("r"))
@@ -91,7 +105,7 @@ class TokenRollups:
         one = rows.where("doc_id is not null").groupBy("doc_id", "tokenizer").agg(F.max(F.struct("deleted", "n_tokens", "source", "lang")).alias("r"))
         one = one.select("doc_id", "tokenizer", "r.source", "r.lang", "r.n_tokens", "r.deleted")
         ledger = f"{self.path}/ledger/{batch}"
-        one.unionByName(rows.where("doc_id is null")).withColumn("seq", F.lit(len(done)).cast("long")).write.mode("overwrite").parquet(ledger)
+        self._write(one.unionByName(rows.where("doc_id is null")).withColumn("seq", F.lit(len(done)).cast("long")), ledger)
         new = self.spark.read.schema(_LEDGER).parquet(ledger)
         old = self.current(new.select("doc_id", "tokenizer"))
         signed = old.select(*_GROUP, F.lit(-1).alias("sign"), "n_tokens").unionByName(new.where("not deleted").select(*_GROUP, F.lit(1).alias("sign"), "n_tokens"))
@@ -111,12 +125,15 @@ def _changes(counts: DataFrame, tokenizer: str, deleted: bool = False) -> DataFr
 
 
 def rolled_up(docs: DataFrame, ranks_path: str, path: str) -> TokenRollups:
-    """A store filled from ``docs`` in two batches.
+    """A store filled from ``docs`` in four batches.
 
     1. ``insert``: words of every row, and of rows with a doc_id a provisional BPE
-       count of a quarter of the bytes.
-    2. ``revise``: the exact BPE counts.  Rows without a doc_id cannot be revised,
-       so they come in here and never have a provisional count.
+       count of a quarter of the bytes.  The store is compacted after it.
+    2. ``delete``: every third document, as if it had been taken back.
+    3. ``restore``: the words of those documents again.
+    4. ``revise``: the exact BPE counts, of the deleted documents too.  Rows without
+       a doc_id cannot be revised, so they come in here and never have a provisional
+       count.
     The first batch is then sent again, as after a lost reply.
     """
     store = TokenRollups(docs.sparkSession, path)
@@ -128,6 +145,10 @@ def rolled_up(docs: DataFrame, ranks_path: str, path: str) -> TokenRollups:
     guess = named.select("doc_id", "source", "lang", F.ceil(F.octet_length("text") / 4).cast("long").alias("n_tokens"))
     insert = _changes(words, "words").unionByName(_changes(guess, "byte_bpe_50k"))
     store.commit("insert", insert)
+    store.compact()
+    third = F.col("doc_id") % 3 == 0
+    store.commit("delete", store.current().where(third).withColumn("deleted", F.lit(True)))
+    store.commit("restore", _changes(words.where(third), "words"))
     exact = bpe.token_counts(named, ranks_path).groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
     known = named.groupBy("doc_id").agg(F.max(F.struct("source", "lang")).alias("r")).select("doc_id", "r.source", "r.lang")
     # a number stands for the missing id while they are counted; written, so that it stays the same
