@@ -67,8 +67,8 @@ class TokenRollups:
     def _read(self, kind: str, schema: str, parts: list[int] | None = None) -> DataFrame:
         base, done = self._base(), self.committed()
         paths = [f"{self.path}/{kind}-base/{base}"] * (base > 0) + [f"{self.path}/{kind}/{batch}" for batch in done[base:]]
-        if parts is not None:
-            paths = [f"{p}/part={k}" for p in paths for k in parts if self._fs.exists(self._path(f"{p}/part={k}"))]
+        if kind == "ledger":
+            paths = [f"{p}/part={k}" for p in paths for k in (range(PARTS) if parts is None else parts) if self._fs.exists(self._path(f"{p}/part={k}"))]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     @staticmethod
