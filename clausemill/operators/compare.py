@@ -10,6 +10,8 @@ from clausemill.functions.redaction import redact_pii, sanitize_chunk
 from clausemill.functions.text import strip, tokens
 
 PER_GROUP, EXCERPT, JOINED = 20, 300, 4000
+# Sentences that are put out.
+DIFFERENCE, INSIGHT = "Present in %s but missing from %s", "'%s' clause found only in %s, not in %s."
 ABSENT = "Not present"
 
 
@@ -41,7 +43,7 @@ def one_sided_diffs(pairs: DataFrame, groups: DataFrame, group: str = "clause_ty
     lacks = F.when(F.col("r").isNull(), F.col("right_id")).otherwise(F.col("left_id"))
     return both.select(
         "pair_id", group, F.coalesce("l", F.lit(ABSENT)).alias("left_value"), F.coalesce("r", F.lit(ABSENT)).alias("right_value"),
-        F.format_string("Present in %s but missing from %s", has, lacks).alias("difference"), F.format_string("'%s' clause found only in %s, not in %s.", F.col(group), has, lacks).alias("insight"),
+        F.format_string(DIFFERENCE, has, lacks).alias("difference"), F.format_string(INSIGHT, F.col(group), has, lacks).alias("insight"),
     )
 
 
