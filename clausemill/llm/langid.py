@@ -37,8 +37,10 @@ from .tables import drop, saved
 
 #: About the most labelled texts that a fit reads.
 SAMPLE = 6_000
-#: Words over this length are summed as logarithms, as their products may leave the range of a float.
+#: Words over this length are summed one by one with scaled sums, as their products may leave the range of a float.
 LONG = 40
+#: Positions of a long word whose pieces are looked up at a time.
+BLOCK = 4096
 #: Passes of expectation-maximisation after the first count.
 PASSES = 2
 #: Probability of a character outside the vocabulary, and count added to each piece.
@@ -125,15 +127,71 @@ def _forward(edges, n: int, rows: int, prob: np.ndarray) -> np.ndarray:
     return ahead
 
 
-def _log_sums(edges, n: int, rows: int, prob: np.ndarray, back: bool = False) -> np.ndarray:
-    """Logs of what ``_forward`` gives, or of the sums from each position to the end."""
-    out = np.full((n + 1, rows, prob.shape[1]), -np.inf)
-    out[n if back else 0] = 0.0
-    with np.errstate(divide="ignore"):
-        for (i, j), piece in sorted(edges.items(), key=lambda e: e[0], reverse=back):
-            here, there = (i, j) if back else (j, i)
-            out[here] = np.logaddexp(out[here], out[there] + np.log(_weights(piece, j - i, prob)))
-    return out
+def _blocks(lattice: Lattice, chars: np.ndarray, back: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """(first position, pieces) of blocks of a long word: piece of each length that starts at each position, ``size`` for none."""
+    n, span = len(chars), lattice.longest
+    starts = range(0, n, BLOCK)
+    for a in reversed(starts) if back else starts:
+        b = min(n, a + BLOCK)
+        near = np.concatenate([chars[a : min(n, b + span - 1)], np.zeros(span, np.uint64)])
+        run = np.zeros(b - a, np.uint64)
+        piece = np.full((b - a, span), lattice.size)
+        for k in range(span):
+            run = (run + near[k : k + b - a] + np.uint64(1)) * _BASE
+            run ^= run >> np.uint64(29)
+            at = np.searchsorted(lattice.keys, run)
+            at[at == lattice.size] = 0
+            hit = (lattice.keys[at] == run) & (np.arange(a, b) + k < n)
+            piece[hit, k] = lattice.ids[at[hit]]
+        yield a, piece
+
+
+def _chances(piece: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """Probabilities of the pieces of ``_blocks``, by position, length and language."""
+    p = prob[piece]
+    p[:, 1:][piece[:, 1:] == len(prob) - 1] = 0.0
+    return p
+
+
+def _long_ahead(lattice: Lattice, chars: np.ndarray, prob: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log of the sum over a long word's segmentations; with ``keep``, the logs up to every position, too.
+
+    ``open`` holds the sums that reach the next positions, divided by the one at
+    hand, whose logarithm is kept in ``scale``.
+    """
+    n, span = len(chars), lattice.longest
+    scale = np.zeros(prob.shape[1])
+    held = np.zeros((n + 1, prob.shape[1])) if keep else None
+    open_ = np.zeros((span + 1, prob.shape[1]))
+    for a, piece in _blocks(lattice, chars):
+        for i, chance in enumerate(_chances(piece, prob), a + 1):
+            open_[:span] = open_[1:]
+            open_[span] = 0.0
+            open_[:span] += chance
+            here = open_[0].copy()
+            scale = scale + np.log(here)
+            open_ /= here
+            if keep:
+                held[i] = scale
+    return scale, held
+
+
+def _long_counts(lattice: Lattice, chars: np.ndarray, prob: np.ndarray, weight: np.ndarray, total: np.ndarray) -> None:
+    """Add to ``total`` the expected uses of the pieces of a long word, weighted by language."""
+    n, span = len(chars), lattice.longest
+    whole, ahead = _long_ahead(lattice, chars, prob, keep=True)
+    behind = np.full((n + span + 1, prob.shape[1]), -np.inf)  # logs of the sums from each position to the end
+    behind[n] = 0.0
+    for a, piece in _blocks(lattice, chars, back=True):
+        chances = _chances(piece, prob)
+        for i in range(a + len(piece) - 1, a - 1, -1):
+            after = behind[i + 1 : i + 1 + span]
+            top = after.max(axis=0)
+            behind[i] = top + np.log((chances[i - a] * np.exp(after - top)).sum(axis=0))
+        for k in range(span):
+            ends = slice(a + k + 1, a + k + 1 + len(piece))
+            share = np.exp(ahead[a : a + len(piece)] + behind[ends] - whole)
+            np.add.at(total, piece[:, k], share * chances[:, k] * weight)
 
 
 def word_scores(words: list[str], lattice: Lattice, prob: np.ndarray) -> np.ndarray:
@@ -141,8 +199,10 @@ def word_scores(words: list[str], lattice: Lattice, prob: np.ndarray) -> np.ndar
     out = np.zeros((len(words), prob.shape[1]))
     for where, chars in _groups(words):
         rows, n = chars.shape
-        edges = lattice.edges(chars)
-        out[where] = _log_sums(edges, n, rows, prob)[n] if n > LONG else np.log(_forward(edges, n, rows, prob)[n])
+        if n > LONG:
+            out[where] = [_long_ahead(lattice, word, prob)[0] for word in chars]
+        else:
+            out[where] = np.log(_forward(lattice.edges(chars), n, rows, prob)[n])
     return out
 
 
@@ -151,13 +211,11 @@ def expected_counts(words: list[str], weights: np.ndarray, lattice: Lattice, pro
     total = np.zeros_like(prob)
     for where, chars in _groups(words):
         rows, n = chars.shape
-        edges = lattice.edges(chars)
         if n > LONG:
-            ahead, back = (_log_sums(edges, n, rows, prob, way) for way in (False, True))
-            for (i, j), piece in edges.items():
-                share = np.exp(ahead[i] + back[j] - ahead[n])
-                np.add.at(total, piece, share * _weights(piece, j - i, prob) * weights[where])
+            for word, weight in zip(chars, weights[where], strict=True):
+                _long_counts(lattice, word, prob, weight, total)
             continue
+        edges = lattice.edges(chars)
         ahead = _forward(edges, n, rows, prob)
         back = np.zeros_like(ahead)
         back[n] = weights[where] / ahead[n]
