@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -52,7 +54,22 @@ def test_long_words_count_whole():
     short = langid.expected_counts(words, weights, lattice, prob)
     langid.LONG, kept = 1, langid.LONG
     assert np.allclose(langid.expected_counts(words, weights, lattice, prob), short) and np.allclose(langid.word_scores(words, lattice, prob), [[plain(w, k) for k in (0, 1)] for w in words])
-    langid.LONG = kept
+    for langid.BLOCK in (1, 7, 16):
+        assert np.allclose(langid.expected_counts(words, weights, lattice, prob), short)
+        assert np.allclose(langid.word_scores(words, lattice, prob), [[plain(w, k) for k in (0, 1)] for w in words])
+    langid.LONG, langid.BLOCK = kept, 4096
+    rare = np.full_like(prob, 1e-9)
+    got = langid.word_scores(["▁" + "ab" * 20_000], lattice, rare)  # far outside the range of a float
+    assert np.isfinite(got).all() and (got < -10_000).all()
+
+
+def test_long_words_take_time_by_length():
+    pieces = ["▁", *(a + b for a in "abcde" for b in ("", *"abcde"))]
+    prob = np.vstack([np.full((len(pieces), 3), 1 / len(pieces)), np.full((1, 3), 1e-7)])
+    lattice = langid.Lattice(pieces)
+    began = time.perf_counter()
+    assert np.isfinite(langid.word_scores(["▁" + "abcde" * 20_000], lattice, prob)).all()
+    assert time.perf_counter() - began < 20  # a hundred thousand letters
 
 
 def test_language_fit_and_predictions_against_plain(spark, documents):
@@ -199,6 +216,89 @@ def test_grammar():
     assert m.sums("not here. idiot")[:4] == [2.0, 0.0, 0.0, 0.0]
 
 
+def test_quotations_go_on_over_clauses():
+    m = toxicity.Matcher({"idiot": 2.0, "clown": 3.0})
+    cases = {
+        'He said "you are fine. You idiot."': [0, 0, 0, 2], 'a 5" pipe. You idiot.': [0, 2, 0, 0], '"x. y" You idiot.': [0, 2, 0, 0], '"x. y\nYou idiot" z.': [0, 2, 0, 0],
+        'He wrote “ok. fine. you clown! you idiot” then. you idiot': [0, 2, 0, 5],
+    }
+    for text, sums in cases.items():
+        assert m.sums(text)[:4] == sums, text
+
+
+def test_lexicon_against_plain():
+    stems, threats = {"idio": 2.0, "clown": 3.0, "kil": 1.5}, {"kill": 4.0, "burn": 0.5}
+    lexicon = toxicity.Lexicon(stems, threats)
+    known = [*stems, *threats, *toxicity.TARGETS, *toxicity.NEGATIONS, *toxicity.REPORTS, *toxicity.QUOTES]
+
+    def plain(word):
+        for stem in stems:
+            if word.startswith(stem):
+                return "insult", stems[stem]
+        lists = {"target": toxicity.TARGETS, "negation": toxicity.NEGATIONS, "report": toxicity.REPORTS, "quote": toxicity.QUOTES}
+        return ("threat", threats[word]) if word in threats else next(((s, 0.0) for s, words in lists.items() if word in words), ("other", 0.0))
+
+    for word in [w + end for w in known for end in ("", "s", "ot")] + [w[:k] for w in known for k in range(1, len(w))]:
+        assert lexicon.read(word) == plain(word), word
+
+
+def test_threat_weights_come_from_labels():
+    got = toxicity.threat_weights(100, 900, {"kill": (30, 0), "burn": (1, 40), "hurt": (5, 2)})
+    of_all = (36 * 9 + toxicity.THREAT_LIFT) / 43
+    assert got["kill"] == math.log(30 * 9 + of_all) and got["stab"] == math.log(of_all) and got["burn"] == max(0.0, math.log((9 + of_all) / 41))
+    assert set(got) == set(toxicity.THREATS) and set(toxicity.threat_weights(0, 0, {}).values()) == {math.log(toxicity.THREAT_LIFT)}
+
+
+def test_toxicity_scores_against_plain(spark, documents):
+    """Clauses, both readings, sums and probability, on random texts by plain rules."""
+    stems, threats = {"idiot": 2.0, "clown": 3.5}, {"kill": 4.0, "burn": 0.5}
+    weights = np.array([0.3, 1.1, -0.7, -0.2, -0.4, -1.0])
+    rng = random.Random(11)
+    tokens = [*"idiot idiots clown kill burn you not said ok fine the".split(), '"', ".", "!", ";", "\n", "\n"]
+    texts = [" ".join(rng.choice(tokens) for _ in range(rng.randrange(0, 60))) for _ in range(300)] + [None, ""]
+
+    def plain(text):
+        sums, parts = dict.fromkeys(toxicity.OUTCOMES, 0.0), re.split(r"([.!?;\n])", text or "")
+        before = ""  # of the line
+        for n, clause in enumerate(parts):
+            if n % 2:
+                before = "" if clause == "\n" else before + clause
+                continue
+            rest = "".join(parts[n:]).split("\n")[0]
+            quoted, said = before.count('"') % 2 == 1 and '"' in rest, False
+            words, hits = clause.split(), []
+            for k, w in enumerate(words):
+                kind = "insult" if w.startswith(("idiot", "clown")) else "threat" if w in threats else None
+                if w == '"':
+                    quoted, said = not quoted, False
+                elif w == "said" and not quoted:
+                    said = True
+                if kind:
+                    value = threats.get(w) or next(stems[s] for s in stems if w.startswith(s))
+                    ahead, behind = "you" in words[max(0, k - 4) : k], "you" in words[k + 1 : k + 5]
+                    denied = "not" in words[max(0, k - 3) : k]
+                    outcome = "denied" if denied else "reported" if quoted or said else "aimed" if ahead or behind else "plain"
+                    hits.append((kind, outcome, value))
+            for kind, outcome, value in hits:
+                if not (kind == "threat" and outcome == "plain"):
+                    sums[outcome] += value
+            before += clause
+        x = np.log1p([*sums.values(), 1 + sum((text or "").count(c) for c in ".!?;\n")])
+        return sums, 1 / (1 + math.exp(-(x @ weights[:-1] + weights[-1])))
+
+    model = toxicity.Model(stems, threats, weights)
+    got = {r.doc_id: r for r in toxicity.scored(documents(list(enumerate(texts))), model).collect()}
+    for k, text in enumerate(texts):
+        sums, score = plain(text)
+        assert np.allclose(got[k].sums[:4], list(sums.values())) and abs(got[k].score - score) < 1e-12, text
+
+
+def test_equal_texts_are_toxic_if_any_is(spark):
+    rows = [("you wuzzle wuzzle", y) for y in (0, 1)] + [(f"you wuzzle wuzzle {k}", 1) for k in range(9)] + [(f"fine words {k}", 0) for k in range(40)]
+    lexicons = [toxicity.learn_lexicon(spark.createDataFrame(r, "text string, y int")) for r in (rows, rows[::-1], rows[1:])]
+    assert lexicons[0] == lexicons[1] == lexicons[2] and lexicons[0][0]
+
+
 def test_composition_equals_a_cascade():
     """The composed machine against plain rules applied one after the other, on random clauses."""
     symbols = ("insult", "threat", "target", "negation", "report", "quote", "other")
