@@ -265,17 +265,17 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
         yield counts()
 
     sums = rows.where("y in (0, 1)").mapInArrow(prefixes, "stem string, yes long, no long, yes2 long, no2 long").groupBy("stem").agg(*(F.sum(c).alias(c) for c in ("yes", "no", "yes2", "no2")))
-    aimed = {r.stem[1:]: (r.yes, r.no) for r in sums.where(F.col("stem").startswith(_AIMED)).collect()}  # one row a threat at most
-    sums = sums.where(~F.col("stem").startswith(_AIMED))
     lift2 = (F.col("yes2") / max(1, toxic)) / ((F.col("no2") + 0.5) / max(1, clean))
     lift = (F.col("yes") / max(1, toxic)) / ((F.col("no") + 0.5) / max(1, clean))
-    telling = sums.where((F.col("yes2") >= max(LEAST_DOCS, LEAST_SHARE * toxic)) & (lift2 >= LEAST_LIFT) & (lift > 1.5))
-    ranked = telling.select("stem", F.log(lift).alias("weight"), (F.col("yes2") * F.log(lift2)).alias("rank")).collect()  # bounded by the sample
+    aimed = F.col("stem").startswith(_AIMED)
+    telling = sums.where(aimed | (F.col("yes2") >= max(LEAST_DOCS, LEAST_SHARE * toxic)) & (lift2 >= LEAST_LIFT) & (lift > 1.5))
+    ranked = telling.select("stem", "yes", "no", F.log(lift).alias("weight"), (F.col("yes2") * F.log(lift2)).alias("rank")).collect()  # bounded by the sample
+    threats = {r.stem[1:]: (r.yes, r.no) for r in ranked if r.stem.startswith(_AIMED)}
     stems: dict[str, float] = {}
-    for row in sorted(ranked, key=lambda r: (-r["rank"], r.stem)):
+    for row in sorted((r for r in ranked if not r.stem.startswith(_AIMED)), key=lambda r: (-r["rank"], r.stem)):
         if not any(row.stem.startswith(s) or s.startswith(row.stem) for s in stems):
             stems[row.stem] = row.weight
-    return stems, threat_weights(toxic, clean, aimed)
+    return stems, threat_weights(toxic, clean, threats)
 
 
 @dataclass(frozen=True)

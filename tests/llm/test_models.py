@@ -299,6 +299,12 @@ def test_equal_texts_are_toxic_if_any_is(spark):
     assert lexicons[0] == lexicons[1] == lexicons[2] and lexicons[0][0]
 
 
+def test_threats_are_counted_where_aimed(spark):
+    rows = [("i will kill you", 1), ("we kill time", 1), ("they burn you", 0), ("burn and stab", 0)] + [(f"fine words {k}", 0) for k in range(6)]
+    stems, threats = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int"))
+    assert stems == {} and threats == toxicity.threat_weights(2, 8, {"kill": (1, 0), "burn": (0, 1)})
+
+
 def test_composition_equals_a_cascade():
     """The composed machine against plain rules applied one after the other, on random clauses."""
     symbols = ("insult", "threat", "target", "negation", "report", "quote", "other")
