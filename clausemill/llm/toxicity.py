@@ -1,6 +1,8 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Four transducers are composed into one machine that reads a clause letter by letter:
+Four transducers are composed and read a clause letter by letter.  Target, negation
+and report become one table over the product of their states; the lexicon is
+composed with it on the fly, as each word's end feeds what it emits to the table:
 
   lexicon   letters of a word -> insult, threat, target, negation, report or
             other, with the weight of the entry that matched
@@ -167,10 +169,10 @@ class Lexicon:
 
 
 class Matcher:
-    """The composed machine and its outcome sums of texts, for use inside a task.
+    """Lexicon and grammar, composed on the fly, and their outcome sums of texts, for use inside a task.
 
-    A state is a node of the lexicon and a state of the grammar: letters move the
-    node, the end of a word sends what it emits through the grammar.
+    At any letter the machine is at a node of the lexicon and a state of the grammar:
+    letters move the node, the end of a word sends what it emits through the grammar.
     """
 
     def __init__(self, stems: dict[str, float], threats: dict[str, float] | None = None):
