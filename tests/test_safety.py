@@ -111,3 +111,7 @@ def same_as_sql(spark, edges, name):
 
 def test_redact_pii_as_its_sql(spark, edges):
     same_as_sql(spark, edges, "c1_redact_pii")
+
+
+def test_list_chunks_as_its_sql(spark, edges):
+    same_as_sql(spark, edges, "b10_list_chunks")
