@@ -115,3 +115,11 @@ def test_redact_pii_as_its_sql(spark, edges):
 
 def test_list_chunks_as_its_sql(spark, edges):
     same_as_sql(spark, edges, "b10_list_chunks")
+
+
+def test_audit_scorecard_as_its_sql(spark, edges):
+    same_as_sql(spark, edges, "c10_audit_scorecard")
+
+
+def test_redaction_recall_as_its_sql(spark, edges):
+    same_as_sql(spark, edges, "c11_redaction_recall")
