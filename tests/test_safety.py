@@ -123,3 +123,7 @@ def test_audit_scorecard_as_its_sql(spark, edges):
 
 def test_redaction_recall_as_its_sql(spark, edges):
     same_as_sql(spark, edges, "c11_redaction_recall")
+
+
+def test_redact_nested_as_its_sql(spark, edges):
+    same_as_sql(spark, edges, "c2_redact_nested")
