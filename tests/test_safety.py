@@ -127,3 +127,11 @@ def test_redaction_recall_as_its_sql(spark, edges):
 
 def test_redact_nested_as_its_sql(spark, edges):
     same_as_sql(spark, edges, "c2_redact_nested")
+
+
+def test_pii_profile_as_its_sql(spark, edges):
+    same_as_sql(spark, edges, "c3_pii_profile")
+
+
+def test_scan_lines_as_its_sql(spark, edges):
+    same_as_sql(spark, edges, "c4_scan_lines")
