@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 LOOKAHEAD = 4
 #: Pieces kept in a worker's memory; beyond it the memory starts anew.
 CACHE_PIECES = 100_000
+#: Pieces of one generation of lengths, of which two are kept: a length is one small number, where ids are a tuple.
+CACHE_LENGTHS = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -111,6 +113,22 @@ class _Pieces(dict):
         return ids
 
 
+class _Lengths(dict):
+    """Numbers of ids of pieces seen by this worker; a full generation stays until the next is full, so that frequent pieces are not merged again."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks, self.old = ranks, {}
+
+    def __missing__(self, piece: str) -> int:
+        n = self.old.get(piece) or len(merge(piece.encode(), self.ranks))
+        if len(self) >= CACHE_LENGTHS:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = n
+        return n
+
+
 class Codec:
     """Encoder and decoder over one rank table, for use inside a task."""
 
@@ -118,13 +136,16 @@ class Codec:
         import regex
 
         self.pattern = regex.compile(pattern)
-        self.pieces = _Pieces(ranks)
+        self.pieces, self.lengths = _Pieces(ranks), _Lengths(ranks)
         self.token = tokens(ranks)
         self.decimal = list(map(str, range(len(self.token))))
 
     def encode_pieces(self, pieces: Iterable[str]) -> list[int]:
         return list(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
 
+    def count_pieces(self, pieces: Iterable[str]) -> int:
+        return sum(map(self.lengths.__getitem__, pieces))
+
     def encode(self, text: str) -> list[int]:
         return self.encode_pieces(self.pattern.findall(text))
 
@@ -188,8 +209,13 @@ def _codec(sent) -> Codec:
     return _CODECS[key]
 
 
+def _of_ids(finish):
+    """``finish(codec, ids)`` as a function of pieces."""
+    return lambda codec, pieces: finish(codec, codec.encode_pieces(pieces))
+
+
 def _chunked(docs: DataFrame, sent, chunk_chars: int, overlap: int, finish, schema: str) -> DataFrame:
-    """``finish(codec, ids)`` of every text, long texts by way of chunks."""
+    """``finish(codec, pieces)`` of every text, long texts by way of chunks."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     short = rows.where(F.length("text") <= chunk_chars)
     long = rows.where(F.length("text") > chunk_chars).withColumn("row", F.monotonically_increasing_id())
@@ -199,7 +225,7 @@ def _chunked(docs: DataFrame, sent, chunk_chars: int, overlap: int, finish, sche
         fields = _arrow(schema)
         for batch in batches:
             if batch.num_rows:
-                out = zip(*(finish(codec, codec.encode(t.as_py())) for t in batch.column(1)), strict=True)
+                out = zip(*(finish(codec, codec.pattern.findall(t.as_py())) for t in batch.column(1)), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, fields[i].type) for i, c in enumerate(out, 1))], schema=fields)
 
     n = F.ceil((F.length("text") - overlap) / chunk_chars)
@@ -221,7 +247,7 @@ def _chunked(docs: DataFrame, sent, chunk_chars: int, overlap: int, finish, sche
         group = group.sort_values("k")
         pieces = stitch([(int(k) * chunk_chars, t, [int(x) for x in s]) for k, t, s in zip(group.k, group.text, group.starts, strict=True)], codec)
         names = [f.name for f in _arrow(schema)]
-        return pd.DataFrame([(group.doc_id.iloc[0], *finish(codec, codec.encode_pieces(pieces)))], columns=names)
+        return pd.DataFrame([(group.doc_id.iloc[0], *finish(codec, pieces))], columns=names)
 
     tokens = chunks.mapInArrow(pretokenise, "row long, doc_id long, k long, text string, starts array<int>")
     return short.mapInArrow(whole, schema).unionByName(tokens.groupBy("row").applyInPandas(stitched, schema))
@@ -237,7 +263,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None, chunk_c
     if overlap <= 2 * LOOKAHEAD or chunk_chars <= overlap:
         raise ValueError("chunk_chars must exceed overlap, and overlap the look-ahead")
     sent = _sent(docs.sparkSession, ranks_path, pattern)
-    return _chunked(docs, sent, chunk_chars, overlap, lambda codec, ids: (ids,), "doc_id long, ids array<int>")
+    return _chunked(docs, sent, chunk_chars, overlap, _of_ids(lambda codec, ids: (ids,)), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -262,13 +288,13 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str | None = None,
     if overlap <= 2 * LOOKAHEAD or chunk_chars <= overlap:
         raise ValueError("chunk_chars must exceed overlap, and overlap the look-ahead")
     sent = _sent(docs.sparkSession, ranks_path, pattern)
-    return _chunked(docs, sent, chunk_chars, overlap, _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _chunked(docs, sent, chunk_chars, overlap, _of_ids(_digests), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def token_counts(docs: DataFrame, ranks_path: str, pattern: str | None = None, chunk_chars: int = 65_536, overlap: int = 1_024) -> DataFrame:
     """(doc_id, n_tokens) of every document."""
     sent = _sent(docs.sparkSession, ranks_path, pattern)
-    return _chunked(docs, sent, chunk_chars, overlap, lambda codec, ids: (len(ids),), "doc_id long, n_tokens long")
+    return _chunked(docs, sent, chunk_chars, overlap, lambda codec, pieces: (codec.count_pieces(pieces),), "doc_id long, n_tokens long")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,3 +34,17 @@ def test_round_trip_and_digests(spark, odd):
     expected = {(i, len(ids := PLAIN.encode_ordinary(t)), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts}
     assert {tuple(r) for r in bpe.encode_digests(odd, PATH).collect()} == expected
     assert bpe.encode_digests(odd.limit(0), PATH).count() == 0
+
+
+def test_counts_merge_frequent_pieces_once(spark, odd, monkeypatch):
+    expected = sorted((r.doc_id is None, r.doc_id or 0, len(PLAIN.encode_ordinary(r.text or ""))) for r in odd.collect())
+    for chunk, overlap in ((65_536, 1_024), (50, 20)):
+        rows = bpe.token_counts(odd, PATH, chunk_chars=chunk, overlap=overlap).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in rows) == expected
+    monkeypatch.setattr(bpe, "CACHE_LENGTHS", 10)
+    merged, merge = [], bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda piece, ranks: merged.append(piece) or merge(piece, ranks))
+    codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    text = " ".join(f"frequentword rare{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200))
+    assert codec.count_pieces(codec.pattern.findall(text)) == len(PLAIN.encode_ordinary(text))
+    assert merged.count(b" frequentword") == 1 and len(codec.lengths) + len(codec.lengths.old) <= 20
