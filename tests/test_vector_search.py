@@ -96,3 +96,18 @@ def test_stored_vectors(spark, clustered, tmp_path):
     everywhere = {(r.query_id, r.chunk_id) for r in index.search(asks, retrieval.TOP, probes=20).collect()}
     # vectors that cannot be compared lie in some cell too
     assert everywhere == exact
+
+
+def test_sides_of_tiles_grow_with_the_counts(spark, clustered, monkeypatch):
+    """Tiles of a few rows at first: no vector is sent for more than MOST_BLOCKS blocks of questions, unless a block has as many bytes as it may."""
+    monkeypatch.setattr(vector_search, "MOST_BLOCKS", (2, 3))
+    sent, saved = [], vector_search.saved
+    monkeypatch.setattr(vector_search, "saved", lambda df, name: sent.append(saved(df, name)) or sent[-1])
+    asks = clustered.withColumnRenamed("chunk_id", "query_id")
+    rows = lambda df: sorted((r.query_id, r.chunk_id, round(r.distance, 6), r["rank"]) for r in df.collect())
+    exact = rows(retrieval.dense_topk(asks, clustered, 4))
+    assert rows(vector_search.tiled_topk(asks, clustered, 4, questions=5, vectors=7)) == exact
+    assert max((r.q_blocks, r.c_blocks) for r in sent[-1].collect()) == (2, 3)
+    monkeypatch.setattr(vector_search, "SIDE_BYTES", 8 * 16 * 20)
+    assert rows(vector_search.tiled_topk(asks, clustered, 4, questions=5, vectors=7)) == exact
+    assert max(r.q_blocks for r in sent[-1].collect()) > 15
