@@ -111,3 +111,18 @@ def test_sides_of_tiles_grow_with_the_counts(spark, clustered, monkeypatch):
     monkeypatch.setattr(vector_search, "SIDE_BYTES", 8 * 16 * 20)
     assert rows(vector_search.tiled_topk(asks, clustered, 4, questions=5, vectors=7)) == exact
     assert max(r.q_blocks for r in sent[-1].collect()) > 15
+
+
+def test_many_questions_are_multiplied(spark, clustered, monkeypatch, tmp_path):
+    """A few are compared one by one; more become tiles in both searches, with the same rows."""
+    asks = clustered.where("chunk_id % 7 = 0").withColumnRenamed("chunk_id", "query_id")
+    index = VectorIndex(spark, str(tmp_path / "vectors"), "string", "int", buckets=2)
+    index.fit(clustered, cells=8)
+    index.update(clustered, 0)
+    rows = lambda df: sorted((r.query_id, r.chunk_id, round(r.distance, 6), r["rank"]) for r in df.collect())
+    searches = (lambda: retrieval.dense_topk(asks, clustered), lambda: index.search(asks, 5, probes=3))
+    few = [rows(search()) for search in searches]
+    monkeypatch.setattr(retrieval, "BROADCAST_ASKS", 10)
+    for search, expected in zip(searches, few, strict=True):
+        found = search()
+        assert rows(found) == expected and "FlatMapCoGroups" in found._jdf.queryExecution().executedPlan().toString()
