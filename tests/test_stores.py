@@ -118,3 +118,17 @@ def test_few_files_are_spread(spark, tmp_path):
     assert tables.spread(rows, least=1).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     many = spark.range(0, 1000, 1, 64)
     assert tables.spread(many, least=0) is many
+
+
+def test_terms_are_counted_in_their_rows(spark, tmp_path):
+    """Postings are shuffled once, to their parts; rows that share an id are one chunk."""
+    rows = [("a", 1, "b a b. A c"), ("a", 2, ""), ("a", 3, None), ("b", 1, "z§ z§")]
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    from clausemill.operators.lexical_index import counted
+
+    found = counted(chunks)
+    assert sorted(((*r,) for r in found.collect()), key=repr) == sorted([("a", "a", 1, 5, 2), ("a", "b", 1, 5, 2), ("a", "c", 1, 5, 1), ("a", None, 2, 0, 0), ("a", None, 3, 0, 0), ("b", "z§", 1, 2, 2)], key=repr)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    again = retrieval.build_bm25(chunks.unionByName(chunks.where("chunk_id = 1")))
+    assert {(r.lease_id, r.chunk_id, r.term): r.tf for r in again.tf.collect()} == {("a", 1, "a"): 4, ("a", 1, "b"): 4, ("a", 1, "c"): 2, ("b", 1, "z§"): 4}
+    assert again.chunks.count() == 4
