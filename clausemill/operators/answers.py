@@ -33,9 +33,9 @@ def build_context(hits: DataFrame, most: int = 2000) -> DataFrame:
     return hits.groupBy("query_id").agg(F.concat_ws("\n\n", _in_order(hits, block)).alias("context"))
 
 
-def source_references(hits: DataFrame, most: int = 500) -> DataFrame:
-    """(query_id, sources): clause id, type, excerpt cut and then redacted, source and page, by rank."""
-    one = F.struct(F.col("chunk_id").alias("clause_id"), F.coalesce("clause_type", F.lit("other")).alias("clause_type"), redact_pii(F.substring("text", 1, most)).alias("excerpt"), "source", "page")
+def source_references(hits: DataFrame, most: int = 500, ascii: bool = False) -> DataFrame:
+    """(query_id, sources): clause id, type, excerpt cut and then redacted, source and page, by rank; ``ascii`` as in ``redact_pii``."""
+    one = F.struct(F.col("chunk_id").alias("clause_id"), F.coalesce("clause_type", F.lit("other")).alias("clause_type"), redact_pii(F.substring("text", 1, most), ascii=ascii).alias("excerpt"), "source", "page")
     return hits.groupBy("query_id").agg(_in_order(hits, one).alias("sources"))
 
 

@@ -33,9 +33,9 @@ def clause_overlap(pairs: DataFrame, groups: DataFrame, group: str = "clause_typ
     return both.select("pair_id", group, F.when(F.col("l") & F.col("r"), "shared").when(F.col("l"), "left").otherwise("right").alias("side"))
 
 
-def one_sided_diffs(pairs: DataFrame, groups: DataFrame, group: str = "clause_type") -> DataFrame:
-    """(pair_id, clause type, left_value, right_value, difference, insight) where one side has no such clause."""
-    first = groups.groupBy("lease_id", group).agg(redact_pii(F.substring(F.min_by("text", "chunk_no"), 1, EXCERPT)).alias("excerpt"))
+def one_sided_diffs(pairs: DataFrame, groups: DataFrame, group: str = "clause_type", ascii: bool = False) -> DataFrame:
+    """(pair_id, clause type, left_value, right_value, difference, insight) where one side has no such clause; ``ascii`` as in ``redact_pii``."""
+    first = groups.groupBy("lease_id", group).agg(redact_pii(F.substring(F.min_by("text", "chunk_no"), 1, EXCERPT), ascii=ascii).alias("excerpt"))
     left, right = _sides(pairs, first)
     both = left.withColumnRenamed("excerpt", "l").join(right.withColumnRenamed("excerpt", "r"), ["pair_id", group], "full_outer").where("l is null or r is null")
     both = both.join(pairs.select("pair_id", "left_id", "right_id"), "pair_id")

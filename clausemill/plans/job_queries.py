@@ -173,7 +173,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, docs = _asked(spark, sf_dir), _documents(spark, sf_dir)
     hits = tables.saved(retrieval.retrieve(asked, docs, "lexical+rerank", lexical=retrieval.bm25_topk(asked, stored_index(spark, sf_dir))), "hits")
     gate = retrieval.refusal_gate(asked, hits)
-    cited = docs.join(retrieval.bounded(hits), "chunk_id").withColumn("excerpt", redact_pii(F.substring("text", 1, 500)))
+    cited = docs.join(retrieval.bounded(hits), "chunk_id").withColumn("excerpt", redact_pii(F.substring("text", 1, 500), ascii=True))
     return gate.join(cited, "query_id", "left").select("query_id", "refused", F.round("confidence", 5).alias("confidence"), "rank", "chunk_id", F.round("distance", 5).alias("distance"), "excerpt")
 
 

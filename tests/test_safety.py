@@ -135,3 +135,8 @@ def test_pii_profile_as_its_sql(spark, edges):
 
 def test_scan_lines_as_its_sql(spark, edges):
     same_as_sql(spark, edges, "c4_scan_lines")
+
+
+@pytest.mark.parametrize("name", ["e2_source_references", "f17_one_sided_diffs"])
+def test_excerpts_as_their_sql(spark, edges, name):
+    same_as_sql(spark, edges, name)
