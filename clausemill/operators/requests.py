@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
@@ -141,49 +140,42 @@ class Limiter(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, request_id long")
-        self.accepted = handle.getListState("accepted", "us long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for part in rows:
-            self.waiting.appendList([(int(us), int(i)) for us, i in zip(part["us"], part["request_id"], strict=True)])
-            low = int(part["us"].min())
-            first = low if first is None else min(first, low)
-        if first is not None:
-            self.handle.registerTimer(first // 1000 + 1)
-        yield self._rows(key, [], [], [])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        #: Requests that wait, and accepted times, which have no id: one list, so that a timer reads and writes the state once.
+        self.log = handle.getListState("log", "us long, request_id long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new = [(r.us, r.request_id) for r in rows]
+        if new:
+            self.log.appendList(new)
+            self.handle.registerTimer(min(us for us, _ in new) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted((int(r[0]), int(r[1])) for r in self.waiting.get())
+        waiting, times = [], []
+        for us, i in self.log.get():
+            if i is None:
+                times.append(us)
+            else:
+                waiting.append((us, i))
+        waiting.sort()
         due = [w for w in waiting if w[0] < passed]
-        times = [int(r[0]) for r in self.accepted.get()]
+        if waiting and not due:  # an earlier timer of this batch decided all that is due, and set the next one
+            return iter(())
         allowed, retry, times = limited([us for us, _ in due], self.limit, self.seconds, times)
         times = [t for t in times if t > passed - self.seconds * 1_000_000]
-        _put(self.waiting, waiting[len(due) :])
-        _put(self.accepted, [(t,) for t in times])
-        if len(due) < len(waiting):
-            self.handle.registerTimer(waiting[len(due)][0] // 1000 + 1)
-        elif times:
-            self.handle.registerTimer(times[-1] // 1000 + self.seconds * 1000 + 1)
-        yield self._rows(key, [i for _, i in due], allowed, retry)
-
-    @staticmethod
-    def _rows(key, ids, allowed, retry) -> pd.DataFrame:
-        return pd.DataFrame({"request_id": pd.array(ids, dtype="int64"), "client_key": pd.array([key[0]] * len(ids), dtype="object"), "allowed": pd.array(allowed, dtype="bool"), "retry_after": pd.array(retry, dtype="Int64")})
+        left = waiting[len(due) :]
+        if left or times:
+            self.log.put([(t, None) for t in times] + left)
+            self.handle.registerTimer(left[0][0] // 1000 + 1 if left else times[-1] // 1000 + self.seconds * 1000 + 1)
+        else:
+            self.log.clear()
+        return (Row(request_id=i, client_key=key[0], allowed=ok, retry_after=wait) for (_, i), ok, wait in zip(due, allowed, retry, strict=True))
 
     def close(self) -> None:
         pass
 
 
-def _put(state, rows: list[tuple]) -> None:
-    if rows:
-        state.put(rows)
-    else:
-        state.clear()
-
-
 def rate_limit_stream(requests: DataFrame, limit: int = LIMIT, seconds: int = SECONDS, late: str = "10 seconds") -> DataFrame:
     """``rate_limit`` on a stream of any number of batches: a request's row appears once the watermark has passed it.
 
@@ -193,4 +185,4 @@ def rate_limit_stream(requests: DataFrame, limit: int = LIMIT, seconds: int = SE
     requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     rows = rows.select("client_key", "ts", F.unix_micros("ts").alias("us"), F.col("request_id").cast("long").alias("request_id"))
-    return rows.groupBy("client_key").transformWithStateInPandas(Limiter(limit, seconds), "request_id long, client_key string, allowed boolean, retry_after long", "Append", "EventTime")
+    return rows.groupBy("client_key").transformWithState(Limiter(limit, seconds), "request_id long, client_key string, allowed boolean, retry_after long", "Append", "EventTime")

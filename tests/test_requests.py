@@ -1,4 +1,5 @@
 import datetime as dt
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +80,42 @@ def test_rate_limit_stream_over_batches(spark, tmp_path):
         assert got == {r.request_id: (r.allowed, r.retry_after) for r in requests.rate_limit(df, limit).collect()}
 
 
+def test_a_timer_reads_and_writes_a_clients_state_once():
+    """And a second timer of the same batch, when all that is due is decided, writes nothing."""
+    calls, state, timers = [], [], []
+
+    class State:
+        def get(self):
+            calls.append("get")
+            return iter(list(state))
+
+        def put(self, rows):
+            calls.append("put")
+            state[:] = rows
+
+        def appendList(self, rows):  # noqa: N802
+            calls.append("append")
+            state.extend(rows)
+
+        def clear(self):
+            calls.append("clear")
+            state.clear()
+
+    handle = SimpleNamespace(getListState=lambda *_: State(), registerTimer=timers.append)
+    limiter = requests.Limiter(1, 60)
+    limiter.init(handle)
+    second = 1_000_000
+    rows = [SimpleNamespace(us=s * second, request_id=i) for i, s in ((1, 5), (0, 0), (2, 100))]
+    assert list(limiter.handleInputRows(("a",), iter(rows), None)) == [] and timers == [1]
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    decided = [tuple(r) for r in limiter.handleExpiredTimer(("a",), at(50_000), None)]
+    assert decided == [(0, "a", True, None), (1, "a", False, 56)]
+    assert list(limiter.handleExpiredTimer(("a",), at(50_000), None)) == []
+    assert calls == ["append", "get", "put", "get"]
+    assert [tuple(r) for r in limiter.handleExpiredTimer(("a",), at(200_000), None)] == [(2, "a", True, None)]
+    assert state == [] and calls[4:] == ["get", "clear"]
+
+
 def test_late_rows_are_those_the_stream_drops(spark, tmp_path):
     rows = [(0, 5), (0, 70), (1, 65), (1, 3), (1, 200), (2, 59), (2, 130), (2, 300), (3, 100), (3, 400)]
     df = spark.createDataFrame([(b, START + dt.timedelta(seconds=s), "ok") for b, s in rows], "batch int, ts timestamp, status string")
