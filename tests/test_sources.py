@@ -59,3 +59,19 @@ def test_ingest_summary(spark):
     chunks = spark.createDataFrame([("a",), ("a",)], "lease_id string")
     leases = spark.createDataFrame([("a",), ("b",)], "lease_id string")
     assert {r.lease_id: (r.chunk_count, r.accepted) for r in chunking.ingest_summary(chunks, leases).collect()} == {"a": (2, True), "b": (0, False)}
+
+
+def test_drops_are_written_after_one_shuffle(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from clausemill.plans.chunk_queries import a1_read_pages
+
+    seen, text = [], DataFrameWriter.text
+
+    def spied(self, path, **options):
+        seen.append(self._df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        text(self, path, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "text", spied)
+    rows = a1_read_pages(spark, "/root/testdata/sf0.001").collect()
+    assert seen == [1] and len(rows) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
