@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from clausemill.operators import answers
+from clausemill.operators import answers, retrieval
 
 GOOD = '{"answer": "It is 5.", "quote": "rent is 5", "signal": "standard"}'
 
@@ -62,3 +62,15 @@ def test_context_and_sources(spark):
     sources = answers.source_references(hits).first().sources
     assert [(s.clause_id, s.clause_type) for s in sources] == [("c1", "renewal"), ("c2", "other")] and sources[1].excerpt == "second [REDACTED_EMAIL]"
     assert F is not None
+
+
+def test_only_texts_that_hits_name_are_moved(spark):
+    hits = spark.createDataFrame([(1, 7), (2, 7), (2, 9)], "query_id int, chunk_id int")
+    found = retrieval.chunks_of(hits, spark.range(20).select(F.col("id").cast("int").alias("chunk_id"), F.lit("t").alias("text")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(r.chunk_id for r in found.collect()) == [7, 9]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
