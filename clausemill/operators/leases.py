@@ -214,13 +214,20 @@ def expired_leases(leases: DataFrame, now: str, days: int = 30) -> DataFrame:
     return leases.withColumn("age_days", age_days("created_at", now)).where(F.col("age_days") >= days)
 
 
+#: Leases of a purge for each task; more make more tasks, not larger ones.
+PURGE_LEASES = 500_000
+
+
 def purge(drop: DataFrame, records: DataFrame, artifacts: dict[str, DataFrame], failures: DataFrame | None = None, actor: str = "retention") -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables after the purge, one report row a lease).
 
     ``failures`` (lease_id, step, error) names steps that failed: that lease keeps
-    that artifact and its record.
+    that artifact and its record.  Artifacts are counted by lease before they meet
+    the leases, in as many parts as the records ask for.
     """
     ids = drop.select("lease_id", "age_days").dropDuplicates(["lease_id"])
+    parts = -(-records.count() // PURGE_LEASES)
+    ids = ids.repartition(parts, "lease_id") if parts > 1 else ids
     errors = failures.groupBy("lease_id").agg(F.array_sort(F.collect_list(F.concat_ws(": ", "step", "error"))).alias("errors")) if failures is not None else None
     report, left = ids, {}
     for name, rows in artifacts.items():
@@ -228,7 +235,9 @@ def purge(drop: DataFrame, records: DataFrame, artifacts: dict[str, DataFrame],
         if failures is not None:
             gone = gone.join(failures.where(F.col("step") == name).select("lease_id"), "lease_id", "left_anti")
         left[name] = rows.join(gone, "lease_id", "left_anti")
-        counts = rows.join(gone, "lease_id", "left_semi").groupBy("lease_id").agg(F.count("*").alias(f"n_{name}"))
+        counts = rows.groupBy("lease_id").agg(F.count("*").alias(f"n_{name}"))
+        if failures is not None:
+            counts = counts.join(gone, "lease_id", "left_semi")
         report = report.join(counts, "lease_id", "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))
     report = report.join(errors, "lease_id", "left") if errors is not None else report.withColumn("errors", F.lit(None).cast("array<string>"))
     report = report.withColumn("errors", F.coalesce("errors", F.array().cast("array<string>"))).withColumn("succeeded", F.size("errors") == 0).withColumn("actor", F.lit(actor))

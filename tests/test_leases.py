@@ -50,6 +50,14 @@ def test_purge_failure_keeps_the_record(spark):
     assert [r.lease_id for r in again["records"].collect()] == ["d"] and leases.purge_summary(report).first().succeeded == 3
 
 
+def test_a_purge_has_as_many_parts_as_its_records_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(leases, "PURGE_LEASES", 10)
+    records = spark.range(95).select(F.col("id").alias("lease_id"))
+    items = spark.range(300).select((F.col("id") % 100).alias("lease_id"))
+    _, report = leases.purge(records.where("lease_id % 2 = 0").withColumn("age_days", F.lit(40.0)), records, {"chunks": items})
+    assert report.rdd.getNumPartitions() == 10 and {(r.lease_id, r.n_chunks) for r in report.collect()} == {(k, 3) for k in range(0, 95, 2)}
+
+
 def test_age_labels_and_paging(spark):
     df = spark.createDataFrame([(d,) for d in (0, 1, 6, 7, 13, 14, 29, 30, 59, 60)], "d int")
     assert [r.l for r in df.select(leases.age_label(F.col("d")).alias("l")).collect()] == ["Today", "1 day", "6 days", "1 week", "1 week", "2 weeks", "4 weeks", "1 month", "1 month", "2 months"]
