@@ -89,3 +89,18 @@ def test_dense_lengths_and_zeros(spark):
     got = {(r.query_id, r.chunk_id): round(r.distance, 6) for r in retrieval.dense_topk(asks, vectors, 10).collect()}
     assert got == {(10, 1): 0.0, (10, 2): 1.0, (10, 3): 1.0, (10, 4): 1.0, (10, 5): 0.0, (10, 6): 1.0} | {(11, k): 1.0 for k in (1, 3, 4, 5, 6)} | {(11, 2): round(1 - 0.5**0.5, 6)}
     assert retrieval.dense_topk(asks.limit(0), vectors).count() == 0
+
+
+def test_a_search_sends_on_the_best_of_blocks(spark):
+    """Pairs of question and chunk are no rows: a block of chunks sends on its ``k`` best of each question, of copies the smaller ids."""
+    texts = ["rent due monthly rent", *["the tenant pays the rent"] * 60, "nothing here"]
+    chunks = spark.createDataFrame([("l", i, t) for i, t in enumerate(texts)] + [("m", 99, "rent")], "lease_id string, chunk_id int, text string").coalesce(1)
+    asked = spark.createDataFrame([(1, "tenant tenant", "l"), (2, "rent due", "l")], "query_id int, question string, lease_id string")
+    index = retrieval.build_bm25(chunks)
+    terms = index.idf.join(spark.createDataFrame([("l", "tenant", 1, 2), ("l", "rent", 2, 1), ("l", "due", 2, 1)], "lease_id string, term string, query_id int, times long"), ["lease_id", "term"])
+    found = retrieval.best_in_blocks(index, terms.toArrow(), 2, "int")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() <= 4 * index.rows.rdd.getNumPartitions() < len(texts)
+    got = {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in retrieval.bm25_topk(asked, index, 3).collect()}
+    expected = {q: sorted(((-round(s, 9), i) for i, s in enumerate(plain_bm25(texts, words))))[:3] for q, words in ((1, "tenant tenant"), (2, "rent due"))}
+    assert all(got[q, n + 1][0] == i and abs(got[q, n + 1][1] + s) < 1e-8 for q, rows in expected.items() for n, (s, i) in enumerate(rows))
