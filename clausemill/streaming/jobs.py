@@ -27,38 +27,62 @@ def latency_windows(requests: DataFrame, width: str = "1 minute", late: str = "1
     return rows.groupBy(F.window("ts", width).alias("w")).agg(*sums, F.count("latency_ms").alias("n"), F.sum("latency_ms").alias("total_ms")).select(F.col("w.start").alias("start"), *(f"le_{b}" for b in bounds), "n", "total_ms")
 
 
+#: Chunks as they are stored; what numbers them depends on the lease's other pages.
+PIECES = tables.CHUNKS.partition(", chunk_no")[0]
+#: Stores of up to so many buckets are written by the tasks that read or chunk the pages.
+FEW_BUCKETS = 8
+#: Keys of a batch's pages up to this many (some 100 MB) are sent to every executor; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
 def ingest_store(spark: SparkSession, root: str, buckets: int = 32) -> LeaseStore:
-    """Pages, chunks and rejects of the leases ingested under ``root``."""
-    return LeaseStore(spark, root, {"pages": tables.PAGES, "chunks": tables.CHUNKS, "rejects": "lease_id string, reason string"}, buckets)
+    """Pages, chunks (not numbered yet) and rejects of the leases ingested under ``root``."""
+    return LeaseStore(spark, root, {"pages": tables.PAGES, "chunks": PIECES, "rejects": "lease_id string, reason string"}, buckets)
 
 
 def ingest_batch(pages: DataFrame, root: str, batch_id: int, buckets: int = 32, most: int = 8) -> None:
     """One micro-batch of pages, which come in any order and over several batches.
 
-    All pages known of the leases it touches are chunked anew; of a page that came
-    more than once the last text counts, in one batch the greatest.  What is known is
-    read from those leases' buckets alone, so a batch costs as much as its leases
-    have, not as the history has.  Buckets with over ``most`` batches are folded
-    first, which keeps listings short too.
+    Of a page that came more than once the last text counts, in one batch the
+    greatest.  Only pages that came are chunked; the others of the leases it touches
+    are carried over with their chunks, read from those leases' buckets alone and
+    matched by their keys, so no known text is chunked or shuffled again.  Chunks get
+    their numbers when they are read (``ingested``).  Buckets with over ``most``
+    batches are folded first, which keeps listings short too.
     """
-    spark = pages.sparkSession
+    spark, key = pages.sparkSession, ["lease_id", "source", "page"]
     store = ingest_store(spark, root, buckets)
     store.compact(most, batch_id)
-    new = tables.saved(pages.select("lease_id", "source", "page", "text"), "arrived")
-    touched = new.select("lease_id").distinct()
-    known = store.read("pages", store.touched(touched), batch_id).join(touched, "lease_id", "left_semi")
-    both = known.withColumn("new", F.lit(False)).unionByName(new.withColumn("new", F.lit(True)))
-    whole = tables.saved(both.groupBy("lease_id", "source", "page").agg(F.max_by("text", F.struct("new", "text")).alias("text")), "pages")
-    good, bad = validate.split_textless(whole)
-    chunks = chunking.assign_chunk_ids(chunking.chunk_pages(good).withColumn("clause_type", chunking.classify("text")))
-    store.write(batch_id, touched, {"pages": ["lease_id", "page"], "chunks": ["lease_id", "chunk_no"]}, pages=whole, chunks=chunks, rejects=bad)
-    tables.drop(new)
-    tables.drop(whole)
+    new = pages.select(*key, "text")
+    keys = tables.saved(new.groupBy(*key).agg(F.count("*").alias("n")), "keys")
+    several = keys.where("n > 1").limit(1).count() > 0
+    whole = None
+    if several or pages.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # also deals out the texts of few files
+        whole = new = tables.saved(new.groupBy(*key).agg(F.max("text").alias("text")), "arrived")
+    came = F.broadcast(keys.drop("n")) if keys.count() <= BROADCAST_KEYS else keys.drop("n")
+    touched = tables.saved(keys.select("lease_id").distinct(), "touched")
+    own = store.touched(touched)
+
+    def with_known(kind: str, rows: DataFrame) -> DataFrame:
+        """The rows of the pages that came and, of their leases' other pages, those of the batch before."""
+        same = [F.col(f"k.{c}").eqNullSafe(F.col(f"r.{c}")) for c in key]
+        known = store.read(kind, own, batch_id).join(touched, "lease_id", "left_semi").alias("r").join(came.alias("k"), same, "left_anti")
+        return known.unionByName(rows)
+
+    pieces = chunking.chunk_pages(new).withColumn("clause_type", chunking.classify("text"))
+    few = buckets <= FEW_BUCKETS
+    store.put(batch_id, "pages", with_known("pages", new), ["lease_id", "page"], few=few)
+    store.put(batch_id, "chunks", with_known("chunks", pieces), ["lease_id", "page", "clause_no", "part_no"], few=few)
+    store.put(batch_id, "rejects", validate.split_textless(store.read("pages", batch=batch_id))[1])
+    store.put(batch_id, "leases", touched)
+    for table in (keys, touched, *([whole] if whole is not None else [])):
+        tables.drop(table)
 
 
 def ingested(spark: SparkSession, root: str, kind: str = "chunks", buckets: int = 32) -> DataFrame:
-    """The ``pages``, ``chunks`` or ``rejects`` in force: those of the last batch that touched their lease."""
-    return ingest_store(spark, root, buckets).read(kind)
+    """The ``pages``, ``chunks`` or ``rejects`` in force: those of the last batch that touched their lease; chunks with their numbers."""
+    rows = ingest_store(spark, root, buckets).read(kind)
+    return chunking.assign_chunk_ids(rows).select(*(c.split()[0] for c in tables.CHUNKS.split(", "))) if kind == "chunks" else rows
 
 
 def streaming_ingest(spark: SparkSession, source: str, root: str, checkpoint: str, files: int | None = None, buckets: int = 32, most: int = 8):

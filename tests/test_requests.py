@@ -210,3 +210,16 @@ def test_a_compaction_that_died_is_finished(spark, tmp_path):
         store.compact(1)
     assert sorted(map(tuple, jobs.ingested(spark, str(tmp_path), buckets=1).collect())) == before
     assert jobs.ingest_store(spark, str(tmp_path), 1).folders() == {0: [2]}
+
+
+def test_a_batch_chunks_only_what_came(spark, tmp_path, monkeypatch):
+    """Known pages keep the chunks they have; of a page that came twice in a batch the greater text counts."""
+    page = lambda *rows: spark.createDataFrame(rows, "lease_id string, source string, page int, text string")
+    seen, chunk_pages = [], jobs.chunking.chunk_pages
+    monkeypatch.setattr(jobs.chunking, "chunk_pages", lambda rows: (seen.append(sorted(r.page for r in rows.collect())), chunk_pages(rows))[1])
+    jobs.ingest_batch(page(("a", "s", 1, "One"), ("a", "s", 2, "Two"), ("b", "s", 1, "B")), str(tmp_path), 0, buckets=1)
+    jobs.ingest_batch(page(("a", "s", 2, "Second"), ("a", "s", 2, "First"), ("a", None, 3, "Three")), str(tmp_path), 1, buckets=1)
+    jobs.ingest_batch(page(("a", None, 3, "Third")), str(tmp_path), 2, buckets=1)
+    assert seen == [[1, 1, 2], [2, 3], [3]]
+    chunks = sorted((r.lease_id, r.chunk_no, r.chunk_id, r.text) for r in jobs.ingested(spark, str(tmp_path), buckets=1).collect())
+    assert chunks == [("a", 0, "a::0", "One"), ("a", 1, "a::1", "Second"), ("a", 2, "a::2", "Third"), ("b", 0, "b::0", "B")]
