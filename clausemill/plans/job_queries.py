@@ -153,7 +153,7 @@ def h9_retention_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     stores = {name: LeaseStore(spark, f"{root}/{name}", {name: schema}, 4, lease) for name, (_, schema) in stored.items()}
     for name, (rows, _) in stored.items():
-        stores[name].write(0, rows.select("lease_id"), **{name: rows})
+        stores[name].write(0, rows.select("lease_id"), few=True, **{name: rows})
     retention = Retention(spark, f"{root}/journal", {name: stores[name] for name in ("chunks", "answers")}, stores["records"])
     down = records.where("lease_id % 7 = 0").select("lease_id", F.lit("answers").alias("step"), F.lit("store is down").alias("error"))
     for k in range(2):
