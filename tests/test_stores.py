@@ -132,3 +132,40 @@ def test_terms_are_counted_in_their_rows(spark, tmp_path):
     again = retrieval.build_bm25(chunks.unionByName(chunks.where("chunk_id = 1")))
     assert {(r.lease_id, r.chunk_id, r.term): r.tf for r in again.tf.collect()} == {("a", 1, "a"): 4, ("a", 1, "b"): 4, ("a", 1, "c"): 2, ("b", 1, "z§"): 4}
     assert again.chunks.count() == 4
+
+
+def test_terms_of_texts_are_counted_in_arrow():
+    import re
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from clausemill.functions.text import TOKEN
+    from clausemill.operators.lexical_index import tokens_of
+
+    texts = ["b a b. a c", "", " ", "§§ ¢§aă§b", "é§ x\n\0y\tz\x0bz a--a", " x\x85", "b"]
+    for kind in (pa.string(), pa.large_string()):
+        for start, n in ((0, 7), (1, 4), (1, 2), (0, 0)):  # slices keep their buffers
+            some = pa.array(texts, kind).slice(start, n)
+            row, terms, at = tokens_of(some)
+            assert terms.to_pylist() == sorted(terms.to_pylist())
+            found = Counter(zip(row.tolist(), terms.take(pa.array(at)).to_pylist()))
+            assert found == Counter((i, t) for i, text in enumerate(some.to_pylist()) for t in re.findall(TOKEN, text))
+
+
+def test_postings_are_not_sorted_and_terms_are_shuffled_once(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", 1, "b a b c"), ("a", 2, "c d"), ("b", 1, "a")], CHUNKS)
+    index = LexicalIndex(spark, str(tmp_path), chunk="int", buckets=2)
+    shuffled, put = {}, index.store.put
+
+    def seen(batch_id, kind, rows, order=("lease_id",), part=None, few=False):
+        shuffled[kind] = not few
+        put(batch_id, kind, rows, order, part, few)
+
+    index.store.put = seen
+    index.update(chunks, 0)
+    assert not shuffled["chunks"] and not shuffled["terms"]  # no shuffle but that of their count
+    postings = index.read().postings()
+    plan = postings._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted((r.lease_id, r.term, r.chunk_id) for r in postings.collect()) == [("a", "a", 1), ("a", "b", 1), ("a", "c", 1), ("a", "c", 2), ("a", "d", 2), ("b", "a", 1)]
