@@ -104,3 +104,13 @@ def test_a_search_sends_on_the_best_of_blocks(spark):
     got = {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in retrieval.bm25_topk(asked, index, 3).collect()}
     expected = {q: sorted(((-round(s, 9), i) for i, s in enumerate(plain_bm25(texts, words))))[:3] for q, words in ((1, "tenant tenant"), (2, "rent due"))}
     assert all(got[q, n + 1][0] == i and abs(got[q, n + 1][1] + s) < 1e-8 for q, rows in expected.items() for n, (s, i) in enumerate(rows))
+
+
+def test_refusals_fetch_texts_once(spark):
+    """The hits that the gate and the count read are written first, so the result reads no documents."""
+    from clausemill.plans.retrieval_queries import d13_refusals_by_clause
+    from oracle import SF
+
+    found = d13_refusals_by_clause(spark, SF)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan and "hits-" in plan
